@@ -16,6 +16,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merganser.llm.exact_dedup import exact_dedup
 
@@ -30,6 +40,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merganser.llm.packing import pack_best_fit
 
@@ -38,8 +54,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
