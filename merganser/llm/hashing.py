@@ -64,22 +64,30 @@ def tokens(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, np.searchsorted(starts, bounds)
 
 
+_STEP = 0xD1342543DE82EF95
+
+
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n tokens, wherever texts begin and end: one for each place where a run may start."""
+    out = np.zeros(max(0, len(hashes) - n + 1), U)
+    for k in range(n if len(out) else 0):
+        out += hashes[k : len(hashes) - n + 1 + k] * U(pow(_STEP, k, 1 << 64))
+    return mix(out + U(n))
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n tokens in each text, or of all its tokens if it has fewer; and bounds as in tokens()."""
     sizes = np.diff(bounds)
-    m = len(hashes)
-    combined = np.zeros(max(0, m - n + 1), U)
-    for k in range(n):
-        combined += mix(hashes[k : m - n + 1 + k] + U(k + 1)) if m >= n else U(0)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(len(combined)) + n <= bounds[1:][owner[: len(combined)]] if len(combined) else np.zeros(0, bool)
     counts = np.where(sizes >= n, sizes - n + 1, (sizes > 0).astype(sizes.dtype))
     out_bounds = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(out_bounds[-1], U)
-    owner_in = owner[: len(combined)][inside]
-    if len(owner_in):
-        out[out_bounds[:-1][owner_in] + (np.flatnonzero(inside) - bounds[:-1][owner_in])] = mix(combined[inside])
-    for i in np.flatnonzero((sizes > 0) & (sizes < n)):
-        short = hashes[bounds[i] : bounds[i + 1]]
-        out[out_bounds[i]] = mix(np.sum(mix(short + np.arange(1, len(short) + 1, dtype=U)), dtype=U, keepdims=True) ^ U(0xA5A5 + len(short)))[0]
+    long = sizes >= n
+    every = runs(hashes, n)
+    inside = np.zeros(len(every) + 1, np.int32)
+    np.add.at(inside, bounds[:-1][long], 1)
+    np.add.at(inside, bounds[1:][long] - n + 1, -1)
+    whole = np.repeat(long, counts)
+    out[whole] = every[np.cumsum(inside[:-1]) > 0]
+    for i in np.flatnonzero((sizes > 0) & ~long):
+        out[out_bounds[i]] = runs(hashes[bounds[i] : bounds[i + 1]], int(sizes[i]))[0]
     return out, out_bounds

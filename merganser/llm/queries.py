@@ -40,6 +40,20 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.decontaminate import contaminated, contamination
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        F.col("__words").alias("n_words"),
+        F.col("__hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merganser.llm.toxicity import toxicity_scores
 
@@ -57,11 +71,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": rf"""
@@ -72,5 +89,20 @@ SELECT doc_id,
  row_number() OVER w = 1 AS kept,
  sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
+""",
+    "op7_decontamination": rf"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+win AS (
+ SELECT item, 13 AS n, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS s FROM iw, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13
+ UNION ALL SELECT item, len(w), list_aggregate(w, 'string_agg', ' ') FROM iw WHERE len(w) BETWEEN 1 AND 12),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT doc_id, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS s FROM dw, sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+occ AS (SELECT DISTINCT p.doc_id, p.i, p.n, win.item FROM places p JOIN win ON win.n = p.n AND win.s = p.s),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM occ, unnest(range(0, n)) AS t(j) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """,
 }
