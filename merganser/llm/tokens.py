@@ -1,73 +1,149 @@
 """Token ids of whole texts, by the tokenizers library, with a bounded cache of encoded segments.
 
-The library is asked once for each distinct segment between spaces. Both vocabularies used here split there
-anyway, so the joined ids equal those of the whole text:
+A batch of texts is cut into segments where both vocabularies cut anyway, so the joined ids equal those of the whole
+text; the library encodes each distinct segment that the cache lacks. Cutting, hashing and joining are vectorised.
 
-* byte-level BPE puts a space in front of the word that follows it. A cut before a space is exact where that space
-  has no other white space beside it; other texts are encoded whole.
-* the word BPE drops white space after normalising, so any cut at a space or line feed is exact.
+* byte-level BPE puts a space in front of the word that follows it. Cuts before a space, around a line feed, and between
+  an ASCII letter or digit and one full stop or comma that ends a word are exact where no white space has other white
+  space beside it and none begins or ends the text; other texts are encoded whole.
+* the word BPE drops white space and lower-cases, so cuts at spaces and line feeds are exact everywhere.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import numpy as np
 
-#: Segments that a worker keeps with their ids. A bound on memory: the cache is emptied when it is reached.
-CACHE = 400_000
-#: Longer segments are not kept.
+from merganser.llm.hashing import hash_slices
+
+#: Segments of the newer generation that a worker keeps with their ids; then it becomes the older one, which is dropped
+#: in turn. A bound on memory: at most twice as many are held, and none that are longer than LONGEST bytes.
+CACHE = 300_000
 LONGEST = 64
 
 _BESIDE = re.compile(r"\s\s|\A\s|\s\Z")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_WORD = np.zeros(256, bool)
+_WORD[[c for c in range(128) if chr(c).isalnum()]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord("."), ord(",")]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Lead bytes and second bytes of the white space outside ASCII; a text with such a pair is looked at more closely.
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SECOND = np.zeros(256, bool)
+_SECOND[[0x80, 0x81, 0x85, 0x9A, 0xA0]] = True
 
 
 class Encoder:
     """encode(texts) gives the ids of each text as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str, spaces: str = "kept"):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.kept = spaces == "kept"
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cuts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the segments of texts that are separated by line feeds; a separator is one, too, if kept."""
+        feed, blank = data == 10, data == 32
+        if not self.kept:
+            gap = feed | blank
+            edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+            edges = np.concatenate([[0], edge, [len(data)]])
+            solid = ~gap[edges[:-1]]
+            return edges[:-1][solid], edges[1:][solid]
+        start = feed | blank
+        start[0] = True
+        start[1:] |= feed[:-1]
+        start[1:-1] |= _STOP[data[1:-1]] & _WORD[data[:-2]] & (feed[2:] | blank[2:])
+        starts = np.flatnonzero(start)
+        return starts, np.append(starts[1:], len(data))
+
+    def _ids(self, segments: list[bytes]) -> list[bytes]:
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        out = [cache.get(s) for s in segments]
+        unknown = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                s = segments[i]
+                ids = older.get(s)
+                if ids is None:
+                    unknown.append(i)
+                else:
+                    cache[s] = out[i] = ids
+        for i, ids in zip(unknown, self.whole([segments[i].decode() for i in unknown]), strict=True):
+            out[i] = ids
+            if len(segments[i]) <= LONGEST:
+                cache[segments[i]] = ids
+        return out
 
-    def _learn(self, segments: set[str]) -> None:
-        new = list(segments)
-        self.cache.update(zip(new, self.whole(new), strict=True))
+    def _odd(self, data: np.ndarray, bounds: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Texts that have to be encoded whole."""
+        space = _SPACE[data]
+        doubtful = np.zeros(len(data), bool)
+        doubtful[1:] = space[1:] & space[:-1]
+        doubtful[1:] |= _LEAD[data[:-1]] & _SECOND[data[1:]]
+        at = np.unique(np.searchsorted(bounds, np.flatnonzero(doubtful), "right") - 1)
+        near = np.unique(np.clip(np.concatenate([at - 1, at, at + 1]), 0, len(texts) - 1)) if len(at) else at
+        odd = np.zeros(len(texts), bool)
+        odd[[i for i in near if _BESIDE.search(texts[i])]] = True
+        return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if self.kept:
-                if _BESIDE.search(text):
-                    out += self.whole([text])
-                    continue
-                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            else:
-                parts = text.replace("\n", " ").split(" ")
-            cache = self.cache
-            new = {p for p in parts if p not in cache}
-            if new:
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = set(parts)
-                self._learn(new)
-            out.append(b"".join([cache[p] for p in parts]))
-            if len(cache) > CACHE:
-                cache.clear()
-            else:
-                for p in new:
-                    if len(p) > LONGEST:
-                        del cache[p]
-        return out
+        import pandas as pd
+
+        if not texts:
+            return []
+        encoded = [t.encode() for t in texts]
+        raw = b"\n".join(encoded) + b"\n"
+        data = np.frombuffer(raw, np.uint8)
+        bounds = np.cumsum([0] + [len(t) + 1 for t in encoded])
+        odd = np.zeros(len(texts), bool)
+        if self.kept:
+            odd = self._odd(data, bounds, texts)
+            if texts[-1][-1:].isspace() or texts[0][:1].isspace():
+                odd[[0, -1]] |= [bool(_BESIDE.search(texts[0])), bool(_BESIDE.search(texts[-1]))]
+        else:
+            data = _LOWER[data]
+            raw = data.tobytes()
+        starts, ends = self._cuts(data)
+        owner = np.searchsorted(bounds, starts, "right") - 1
+        use = ~odd[owner]
+        if self.kept:
+            use &= starts != bounds[1:][owner] - 1  # separators
+        starts, ends, owner = starts[use], ends[use], owner[use]
+        keys, first = pd.factorize(hash_slices(data, starts, ends))
+        where = np.zeros(len(first), np.int64)
+        where[keys[::-1]] = np.arange(len(keys))[::-1]
+        ids = self._ids([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        offsets = np.cumsum(sizes) - sizes
+        n = sizes[keys]
+        total = np.cumsum(n)
+        out = flat[np.repeat(offsets[keys] - total + n, n) + np.arange(total[-1] if len(total) else 0)].tobytes()
+        stops = np.concatenate([[0], np.cumsum(np.bincount(owner, n, len(texts)).astype(np.int64))]) * 4
+        result = [out[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+        if odd.any():
+            at = np.flatnonzero(odd).tolist()
+            for i, got in zip(at, self.whole([texts[i] for i in at]), strict=True):
+                result[i] = got
+        return result
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
