@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merganser.llm.common import Workspace, documents
+from merganser.llm.common import Workspace, crc32_text, documents
 
 
 def vocabulary(name: str) -> str:
@@ -73,6 +73,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.language_id import language_id, train
+
+    docs = documents(spark, sf_dir)
+    return language_id(docs.select("doc_id", "text"), train(docs)).select(
+        "doc_id",
+        F.coalesce(F.expr(crc32_text("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"),
+        F.col("__lang").alias("lang_pred"),
+        F.col("__lang_score").alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language_id": op10_language_id,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
