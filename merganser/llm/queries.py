@@ -32,6 +32,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.line_templates import drop_recurring_lines
+
+    return drop_recurring_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merganser.llm.token_files import read_token_files, write_token_files
 
@@ -40,6 +46,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.licenses import license_scan
+
+    docs = documents(spark, sf_dir)
+    return license_scan(docs, path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merganser.llm.ngram_join import jaccard_components
 
@@ -88,7 +101,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_templates": op3_line_templates,
     "op4_token_files": op4_token_files,
+    "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
