@@ -1,4 +1,457 @@
-"""The engine's queries over the supplied tables, and DuckDB SQL for each."""
+"""The engine's queries over the supplied tables, and DuckDB SQL that returns the same rows."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from merganser.functions import names
+from merganser.operators import cluster, enrich, match, merge, preview, scan, snapshot
+from merganser.plans import name_sql
+from merganser.sources.fixtures import relation, with_relations
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+NOW = "2024-02-14 00:00:00"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return register
+
+
+# names
+
+_PERSONS = with_relations("persons") + ","
+
+
+@query("parsed_names", f"{_PERSONS} {name_sql.parsed('persons')} SELECT entity_id, first, last, middle FROM parsed")
+def parsed_names(spark, sf):
+    return match.with_names(relation(spark, sf, "persons")).select("entity_id", "first", "last", "middle")
+
+
+@query("cleaned_names", f"{_PERSONS} {name_sql.parsed('persons')} SELECT entity_id, p1x AS cleaned FROM p1")
+def cleaned_names(spark, sf):
+    return relation(spark, sf, "persons").select("entity_id", names.preprocess(F.col("title")).alias("cleaned"))
+
+
+@query("surname_norm", f"{_PERSONS} {name_sql.parsed('persons')} SELECT DISTINCT last, norm_last FROM parsed")
+def surname_norm(spark, sf):
+    return match.with_names(relation(spark, sf, "persons")).select("last", "norm_last").distinct()
+
+
+@query("alias_canonical", f"{_PERSONS} {name_sql.parsed('persons')} SELECT first, {name_sql.canonical('first')} AS canonical, count(*) AS n FROM parsed GROUP BY first")
+def alias_canonical(spark, sf):
+    rows = match.with_names(relation(spark, sf, "persons")).groupBy("first").agg(F.count("*").alias("n"))
+    return rows.select("first", names.canonical(F.col("first")).alias("canonical"), "n")
+
+
+@query("first_name_variants", f"{_PERSONS} {name_sql.parsed('persons')} SELECT DISTINCT first, array_to_string({name_sql.variants('first')}, '|') AS variants FROM parsed")
+def first_name_variants(spark, sf):
+    return match.with_names(relation(spark, sf, "persons")).select("first", F.array_join(names.variants(F.col("first")), "|").alias("variants")).distinct()
+
+
+# pairs
+
+
+def pairs(spark, sf) -> DataFrame:
+    return match.find_pairs(relation(spark, sf, "persons"))
+
+
+_PAIRS = f"{_PERSONS} {name_sql.pairs()} SELECT id_a, id_b, certainty, scenario FROM pairs"
+
+for _name, _test in {
+    "pairs_all": "true",
+    "pairs_exact": "scenario = 'exact'",
+    "pairs_normalized": "scenario = 'normalization'",
+    "pairs_nickname": "scenario in ('nickname', 'nickname+typo', 'nickname+compound')",
+    "pairs_french_compound": "scenario = 'french_compound'",
+    "pairs_typo": "scenario = 'typo'",
+    "pairs_initial": "scenario = 'initial'",
+    "pairs_middle_name": "scenario = 'middle_name'",
+    "pairs_reversal": "scenario = 'reversal'",
+}.items():
+    query(_name, f"{_PAIRS} WHERE {_test}")(lambda spark, sf, t=_test: pairs(spark, sf).filter(t).select("id_a", "id_b", "certainty", "scenario"))
+
+
+# groups
+
+_GROUPS = f"{_PERSONS} {name_sql.groups()}"
+_DETAILS = """
+adj1 AS (SELECT m.group_ord, m.certainty, m.scenario, count(*) AS members,
+  count(CASE WHEN email <> '' THEN 1 END) AS ne, count(DISTINCT CASE WHEN email <> '' THEN email END) AS de,
+  count(team) AS nt, count(DISTINCT team) AS dt, count(category) AS np, count(DISTINCT category) AS dp
+ FROM members m JOIN persons p USING (entity_id) GROUP BY m.group_ord, m.certainty, m.scenario),
+adj2 AS (SELECT *, CASE WHEN ne >= 2 AND de = 1 THEN least(100, certainty + 20) ELSE certainty END AS c1 FROM adj1),
+adj3 AS (SELECT *, CASE WHEN nt = members AND dt = 1 THEN least(100, c1 + 5) ELSE c1 END AS c2 FROM adj2),
+adjusted AS (SELECT group_ord, members, certainty, scenario, CAST(CASE WHEN np >= 2 AND dp > 1 THEN greatest(50, c2 - 20) ELSE c2 END AS INTEGER) AS adjusted FROM adj3)"""
+
+
+def groups(spark, sf) -> DataFrame:
+    return cluster.group_duplicates(pairs(spark, sf))
+
+
+def adjusted(spark, sf, found: DataFrame) -> DataFrame:
+    return enrich.adjust(found, relation(spark, sf, "persons").select("entity_id", "email", "team", F.col("category").alias("position")))
+
+
+@query("duplicate_groups", f"{_GROUPS} SELECT group_ord, entity_id, certainty, scenario FROM members")
+def duplicate_groups(spark, sf):
+    return groups(spark, sf).select("group_ord", "entity_id", "certainty", "scenario")
+
+
+@query("groups_adjusted", f"{_GROUPS}, {_DETAILS} SELECT * FROM adjusted")
+def groups_adjusted(spark, sf):
+    return adjusted(spark, sf, groups(spark, sf))
+
+
+@query("groups_top", f"{_GROUPS}, {_DETAILS} SELECT * FROM adjusted ORDER BY adjusted DESC, certainty DESC, group_ord LIMIT 50")
+def groups_top(spark, sf):
+    return enrich.top_groups(adjusted(spark, sf, groups(spark, sf)))
+
+
+@query(
+    "group_members_ranked",
+    with_relations("persons", "participation") + f""", {name_sql.groups()}, {_DETAILS},
+ev AS (SELECT entity_id, count(*) AS n FROM participation GROUP BY entity_id),
+rk AS (SELECT m.group_ord, m.entity_id, coalesce(n, 0) AS events, row_number() OVER (PARTITION BY m.group_ord ORDER BY coalesce(n, 0) DESC, m.ord) AS rank,
+ CAST(sum(coalesce(n, 0)) OVER (PARTITION BY m.group_ord) AS BIGINT) AS group_events FROM members m LEFT JOIN ev USING (entity_id))
+SELECT group_ord, entity_id, events, CAST(rank AS INTEGER) AS rank, group_events, CASE WHEN adjusted >= 90 THEN 'High' WHEN adjusted >= 70 THEN 'Medium' ELSE 'Low' END AS tier, rank = 1 AS survivor
+FROM rk JOIN adjusted USING (group_ord)""",
+)
+def group_members_ranked(spark, sf):
+    found = groups(spark, sf)
+    ranked = enrich.ranked_members(found, enrich.participation_counts(relation(spark, sf, "participation")), adjusted(spark, sf, found))
+    return ranked.select("group_ord", "entity_id", "events", "rank", "group_events", "tier", "survivor")
+
+
+# scans and lookups
+
+
+def entities(spark, sf) -> DataFrame:
+    return relation(spark, sf, "persons").select("entity_id", F.lit("player").alias("kind"), F.lit("publish").alias("status"), "title", F.expr("date_add(date'2020-01-01', cast(entity_id % 1000 as int))").alias("created_at"))
+
+
+_MADE = "CAST(DATE '2020-01-01' + CAST(entity_id % 1000 AS INTEGER) AS DATE)"
+
+
+@query("candidate_scan", f"{with_relations('persons')} SELECT entity_id, title FROM persons ORDER BY {_MADE} DESC, entity_id LIMIT 2000")
+def candidate_scan(spark, sf):
+    return scan.candidates(entities(spark, sf)).select("entity_id", "title")
+
+
+@query("picker_scan", f"{with_relations('persons')} SELECT entity_id, concat(title, ' (ID: ', entity_id, ')') AS label FROM persons ORDER BY title, entity_id LIMIT 500")
+def picker_scan(spark, sf):
+    return scan.picker(entities(spark, sf))
+
+
+@query(
+    "label_search",
+    f"{with_relations('persons')} SELECT entity_id, concat(title, ' (ID: ', entity_id, ')', ' - ', team) AS label FROM persons WHERE contains(lower(title), 'smi') ORDER BY title, entity_id LIMIT 20",
+)
+def label_search(spark, sf):
+    return scan.search(entities(spark, sf), "Smi", relation(spark, sf, "persons").select("entity_id", F.col("team").alias("group")))
+
+
+_ATTRS = with_relations("attrs")
+
+
+@query("participation_counts", f"{with_relations('participation')} SELECT entity_id, count(*) AS events FROM participation GROUP BY entity_id")
+def participation_counts(spark, sf):
+    return enrich.participation_counts(relation(spark, sf, "participation"))
+
+
+@query("latest_group", f"{_ATTRS} SELECT entity_id, max_by(value, attr_id) AS value FROM attrs WHERE value NOT IN ('', '0') GROUP BY entity_id")
+def latest_group(spark, sf):
+    return enrich.latest_value(relation(spark, sf, "attrs"), "sp_team")
+
+
+@query("attribute_lookup", f"{_ATTRS} SELECT entity_id, string_agg(value, '|' ORDER BY attr_id) AS all_values, first(value ORDER BY attr_id) AS single FROM attrs GROUP BY entity_id")
+def attribute_lookup(spark, sf):
+    return scan.attribute(relation(spark, sf, "attrs"), "sp_team").select("entity_id", F.array_join("all_values", "|").alias("all_values"), "single")
+
+
+@query(
+    "term_names",
+    """WITH t AS (SELECT DISTINCT o_custkey AS entity_id, o_orderpriority AS name FROM orders) SELECT entity_id, string_agg(name, ', ' ORDER BY name) AS names FROM t GROUP BY entity_id""",
+)
+def term_names(spark, sf):
+    return scan.term_names(terms(spark, sf).withColumnRenamed("term", "name"), "priority")
+
+
+def terms(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("entity_id"), F.lit("priority").alias("taxonomy"), F.col("o_orderpriority").alias("term"))
+
+
+@query("taxonomy_discovery", "SELECT DISTINCT 'priority' AS taxonomy FROM orders")
+def taxonomy_discovery(spark, sf):
+    return scan.taxonomies(terms(spark, sf))
+
+
+@query("prefix_cleanup", f"{with_relations('references')} SELECT attr_id, key FROM \"references\" WHERE NOT starts_with(key, 'sp_o')")
+def prefix_cleanup(spark, sf):
+    return scan.with_prefix(relation(spark, sf, "references"), "sp_o", keep=False).select("attr_id", "key")
+
+
+_REFERRED = with_relations("references", "redirect")
+
+
+@query("referencing_exact", f"{_REFERRED} SELECT DISTINCT entity_id FROM \"references\" WHERE value IN (SELECT CAST(dup_id AS varchar) FROM redirect)")
+def referencing_exact(spark, sf):
+    return scan.referencing(relation(spark, sf, "references"), relation(spark, sf, "redirect").select(F.col("dup_id").alias("id")))
+
+
+@query("referencing_loose", f"{_REFERRED} SELECT DISTINCT entity_id FROM \"references\" JOIN redirect ON contains(value, CAST(dup_id AS varchar))")
+def referencing_loose(spark, sf):
+    return scan.referencing(relation(spark, sf, "references"), relation(spark, sf, "redirect").select(F.col("dup_id").alias("id")), loose=True)
+
+
+# preview
+
+_APPEAR = with_relations("appearance", "redirect")
+
+
+@query(
+    "preview_counts",
+    f"""{_APPEAR}, n AS (SELECT entity_id, count(*) AS n FROM appearance GROUP BY entity_id)
+SELECT primary_id, CAST(coalesce(max(p.n), 0) AS BIGINT) AS current, CAST(sum(coalesce(d.n, 0)) AS BIGINT) AS incoming, CAST(coalesce(max(p.n), 0) + sum(coalesce(d.n, 0)) AS BIGINT) AS result
+FROM redirect LEFT JOIN n p ON p.entity_id = primary_id LEFT JOIN n d ON d.entity_id = dup_id GROUP BY primary_id""",
+)
+def preview_counts(spark, sf):
+    return preview.preview_counts(relation(spark, sf, "appearance"), relation(spark, sf, "redirect"))
+
+
+@query(
+    "shared_events",
+    f"""{_APPEAR} SELECT primary_id, count(*) AS shared FROM redirect JOIN appearance a ON a.entity_id = primary_id
+WHERE EXISTS (SELECT 1 FROM appearance d WHERE d.entity_id = dup_id AND d.event_id = a.event_id) GROUP BY primary_id""",
+)
+def shared_events(spark, sf):
+    return preview.shared_events(relation(spark, sf, "appearance"), relation(spark, sf, "redirect"))
+
+
+_SHOWN = "CASE WHEN len({0}) <= 3 THEN array_to_string({0}, ', ') ELSE concat(array_to_string({0}[1:2], ', '), ' +', len({0}) - 2, ' more') END"
+
+
+@query(
+    "preview_values",
+    f"""{with_relations("attrs", "person_redirect")}, v AS (SELECT primary_id, attr_id, value, false AS d FROM attrs JOIN (SELECT DISTINCT primary_id FROM person_redirect) ON entity_id = primary_id WHERE value NOT IN ('', '0')
+ UNION ALL SELECT primary_id, attr_id, value, true FROM attrs JOIN person_redirect ON entity_id = dup_id WHERE value NOT IN ('', '0')),
+f AS (SELECT primary_id, d, value, min(attr_id) AS k FROM v GROUP BY primary_id, d, value),
+u AS (SELECT primary_id, value, min(d) AS d, min_by(k, d) AS k FROM f GROUP BY primary_id, value),
+l AS (SELECT primary_id, coalesce(list(value ORDER BY k) FILTER (WHERE NOT d), []) AS c, coalesce(list(value ORDER BY k) FILTER (WHERE d), []) AS i FROM f GROUP BY primary_id),
+r AS (SELECT primary_id, list(value ORDER BY d, k) AS r FROM u GROUP BY primary_id)
+SELECT primary_id, 'group' AS data_type, {_SHOWN.format("c")} AS current, {_SHOWN.format("i")} AS incoming, {_SHOWN.format("r")} AS result FROM l JOIN r USING (primary_id)""",
+)
+def preview_values(spark, sf):
+    attrs = relation(spark, sf, "attrs").filter(enrich.valid(F.col("value")))
+    return preview.value_rows(attrs.select("entity_id", F.col("value").alias("name"), F.col("attr_id").alias("pos")), relation(spark, sf, "person_redirect"), "group")
+
+
+# merge
+
+_CUSTOMERS = with_relations("attrs", "person_redirect")
+
+
+@query("term_union", f"WITH r AS ({with_relations('person_redirect')} SELECT * FROM person_redirect) SELECT DISTINCT coalesce(primary_id, o_custkey) AS entity_id, o_orderpriority AS term FROM orders LEFT JOIN r ON dup_id = o_custkey")
+def term_union(spark, sf):
+    return merge.union_terms(terms(spark, sf), relation(spark, sf, "person_redirect")).select("entity_id", "term")
+
+
+@query(
+    "affiliation_dedup",
+    f"""{_ATTRS}, f AS (SELECT entity_id, value, min(attr_id) AS k, count(*) AS n FROM attrs GROUP BY entity_id, value)
+SELECT entity_id, CASE WHEN max(n) > 1 THEN coalesce(string_agg(value, '|' ORDER BY k) FILTER (WHERE value NOT IN ('', '0')), '') ELSE string_agg(value, '|' ORDER BY k) END AS all_values FROM f GROUP BY entity_id""",
+)
+def affiliation_dedup(spark, sf):
+    return merge.distinct_values(relation(spark, sf, "attrs")).select("entity_id", F.array_join("all_values", "|").alias("all_values"))
+
+
+@query(
+    "missing_attributes",
+    f"""{_CUSTOMERS}, g AS (SELECT primary_id AS entity_id, value, attr_id FROM attrs JOIN person_redirect ON entity_id = dup_id)
+SELECT entity_id, value, attr_id FROM g WHERE NOT EXISTS (SELECT 1 FROM attrs a WHERE a.entity_id = g.entity_id AND a.value = g.value)""",
+)
+def missing_attributes(spark, sf):
+    return merge.missing_attributes(relation(spark, sf, "attrs"), relation(spark, sf, "person_redirect")).select("entity_id", "value", "attr_id")
+
+
+@query("fk_rewrite", f"{_REFERRED} SELECT attr_id, key, CASE WHEN key <> 'sp_other' THEN coalesce(CAST(primary_id AS varchar), value) ELSE value END AS value FROM \"references\" LEFT JOIN redirect ON value = CAST(dup_id AS varchar)")
+def fk_rewrite(spark, sf):
+    return merge.rewrite_references(relation(spark, sf, "references"), relation(spark, sf, "redirect")).select("attr_id", "key", "value")
+
+
+_BOX = with_relations("boxscore", "redirect")
+
+
+@query(
+    "boxscore_merge",
+    f"""{_BOX} SELECT event_id, team, coalesce(primary_id, player_id) AS player_id, stat, CAST(CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS varchar) AS value
+FROM boxscore LEFT JOIN redirect ON dup_id = player_id GROUP BY ALL""",
+)
+def boxscore_merge(spark, sf):
+    return merge.merge_boxscore(relation(spark, sf, "boxscore"), relation(spark, sf, "redirect"))
+
+
+@query(
+    "timeline_merge",
+    f"""{with_relations("redirect")}, m AS (SELECT DISTINCT l_orderkey AS event_id, l_returnflag AS team, coalesce(primary_id, l_suppkey) AS player_id, l_linenumber AS x FROM lineitem LEFT JOIN redirect ON dup_id = l_suppkey)
+SELECT event_id, team, player_id, 'goals' AS perf_key, string_agg(x, ',' ORDER BY x) AS minutes FROM m GROUP BY event_id, team, player_id""",
+)
+def timeline_merge(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    timeline = lines.groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_returnflag").alias("team"), F.col("l_suppkey").alias("player_id")).agg(F.collect_list("l_linenumber").alias("minutes"))
+    merged = merge.merge_timeline(timeline.withColumn("perf_key", F.lit("goals")), relation(spark, sf, "redirect"))
+    return merged.withColumn("minutes", F.array_join(F.col("minutes").cast("array<string>"), ","))
+
+
+def _positions(spark, sf) -> DataFrame:
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return lines.groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("player_id")).agg(F.max(F.col("l_quantity").cast("long")).alias("value"), (F.min("l_linenumber") * 10000000 + F.col("l_suppkey")).alias("pos"))
+
+
+_POSITIONS = f"""{with_relations("redirect")}, r AS (SELECT l_orderkey AS event_id, l_suppkey AS player_id, CAST(max(l_quantity) AS BIGINT) AS value, min(l_linenumber) * 10000000 + l_suppkey AS pos FROM lineitem GROUP BY l_orderkey, l_suppkey),
+m AS (SELECT event_id, coalesce(primary_id, player_id) AS player_id, value, pos FROM r LEFT JOIN redirect ON dup_id = player_id)"""
+
+
+@query("order_merge", f"{_POSITIONS} SELECT event_id, player_id, max_by(value, pos) AS value FROM m GROUP BY event_id, player_id")
+def order_merge(spark, sf):
+    return merge.merge_positions(_positions(spark, sf), relation(spark, sf, "redirect"), scalar=True)
+
+
+@query("roster_rewrite", f"{_POSITIONS} SELECT event_id AS list_id, player_id, min_by(value, pos) AS value FROM m GROUP BY event_id, player_id")
+def roster_rewrite(spark, sf):
+    return merge.rewrite_roster(_positions(spark, sf).withColumnRenamed("event_id", "list_id"), relation(spark, sf, "redirect"))
+
+
+_LEAVES = with_relations("leaves", "redirect")
+
+
+@query(
+    "deep_merge_leaves",
+    f"""{_LEAVES}, d AS (SELECT primary_id AS entity_id, k1, k2, value FROM leaves JOIN redirect ON entity_id = dup_id), p AS (SELECT * FROM leaves WHERE entity_id NOT IN (SELECT dup_id FROM redirect))
+SELECT coalesce(p.entity_id, d.entity_id) AS entity_id, coalesce(p.k1, d.k1) AS k1, coalesce(p.k2, d.k2) AS k2, coalesce(p.value, d.value) AS value FROM p FULL OUTER JOIN d ON p.entity_id = d.entity_id AND p.k1 = d.k1 AND p.k2 = d.k2""",
+)
+def deep_merge_leaves(spark, sf):
+    leaves = relation(spark, sf, "leaves").select("entity_id", F.array("k1", "k2").alias("path"), "value")
+    return merge.deep_merge(leaves, relation(spark, sf, "redirect")).select("entity_id", F.col("path")[0].alias("k1"), F.col("path")[1].alias("k2"), "value")
+
+
+@query(
+    "structural_rewrite",
+    f"""{with_relations("boxscore", "redirect")}, s AS (SELECT event_id, coalesce(CAST(a.primary_id AS varchar), CAST(player_id AS varchar)) AS player, coalesce(CAST(b.primary_id AS varchar), value) AS value, player_id * 1000 + pos AS pos, team
+ FROM boxscore LEFT JOIN redirect a ON a.dup_id = player_id LEFT JOIN redirect b ON b.dup_id = CAST(value AS BIGINT))
+SELECT event_id, team, player, min_by(value, pos) AS value FROM s GROUP BY event_id, team, player""",
+)
+def structural_rewrite(spark, sf):
+    box = relation(spark, sf, "boxscore")
+    leaves = box.select(F.col("event_id").alias("entity_id"), F.array("team", F.col("player_id").cast("string")).alias("path"), (F.col("player_id") * 1000 + F.col("pos")).alias("pos"), "value")
+    # order within one event; leaves of one event and position are told apart by it
+    out = merge.rewrite_leaves(leaves.withColumn("pos", F.struct("pos", "path")), relation(spark, sf, "redirect"))
+    return out.select(F.col("entity_id").alias("event_id"), F.col("path")[0].alias("team"), F.col("path")[1].alias("player"), "value")
+
+
+@query("survivors", f"{with_relations('persons', 'person_redirect')} SELECT entity_id, title FROM persons WHERE entity_id NOT IN (SELECT dup_id FROM person_redirect)")
+def survivors(spark, sf):
+    return merge.survivors(relation(spark, sf, "persons"), relation(spark, sf, "person_redirect")).select("entity_id", "title")
+
+
+@query(
+    "image_fill",
+    f"""{with_relations("person_redirect")}, i AS (SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN concat('img', c_custkey) ELSE '' END AS image FROM customer),
+m AS (SELECT coalesce(primary_id, entity_id) AS entity_id, image, dup_id FROM i LEFT JOIN person_redirect ON dup_id = entity_id WHERE image <> '')
+SELECT entity_id, first(image ORDER BY dup_id NULLS FIRST) AS image FROM m GROUP BY entity_id""",
+)
+def image_fill(spark, sf):
+    images = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("img"), "c_custkey")).otherwise("").alias("image"))
+    return merge.fill_images(images, relation(spark, sf, "person_redirect"))
+
+
+#: (request, primary, duplicates)
+REQUESTS = [(1, 1, [2, 3]), (2, 1, [2, 2, 0]), (3, 0, [2]), (4, 1, []), (5, 1, [0]), (6, 1, list(range(2, 13))), (7, 1, [1, 2]), (8, 99, [2]), (9, 21, [2]), (10, 1, [21]), (11, 1, [2, 99]), (12, 1, None)]
+
+
+@query(
+    "merge_validation",
+    """SELECT * FROM (VALUES (1, 1, '2,3', 'ok'), (2, 1, '2', 'ok'), (3, 0, '2', 'invalid selection'), (4, 1, '', 'invalid selection'), (5, 1, '', 'invalid selection'), (6, 1, '2,3,4,5,6,7,8,9,10,11,12', 'maximum exceeded'),
+(7, 1, '1,2', 'primary is duplicate'), (8, 99, '2', 'primary missing'), (9, 21, '2', 'primary missing'), (10, 1, '21', 'duplicate missing'), (11, 1, '2,99', 'duplicate missing'), (12, 1, NULL, 'invalid format')) AS t(request_id, primary_id, duplicates, outcome)""",
+)
+def merge_validation(spark, sf):
+    known = spark.range(1, 22).select(F.col("id").alias("entity_id"), F.lit("player").alias("kind"), F.when(F.col("id") == 21, "draft").otherwise("publish").alias("status"))
+    requests = spark.createDataFrame(REQUESTS, "request_id int, primary_id int, duplicates array<int>")
+    return merge.validate(requests, known).withColumn("duplicates", F.array_join(F.col("duplicates").cast("array<string>"), ","))
+
+
+# backups
+
+_BACKUPS = with_relations("backups")
+
+
+@query("backup_recent", f"{_BACKUPS} SELECT backup_id, user_id, created_at, status FROM backups ORDER BY created_at DESC, backup_id DESC LIMIT 10")
+def backup_recent(spark, sf):
+    return snapshot.recent(relation(spark, sf, "backups")).select("backup_id", "user_id", "created_at", "status")
+
+
+@query("backup_retained", f"{_BACKUPS} SELECT backup_id, user_id, created_at, status FROM backups WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY")
+def backup_retained(spark, sf):
+    return snapshot.retained(relation(spark, sf, "backups"), F.lit(NOW).cast("timestamp_ntz")).select("backup_id", "user_id", "created_at", "status")
+
+
+@query("backup_loadable", f"{_BACKUPS} SELECT backup_id, user_id, status FROM backups WHERE regexp_matches(backup_id, '{snapshot.BACKUP_ID}') AND coalesce(status, 'active') <> 'reverted'")
+def backup_loadable(spark, sf):
+    return snapshot.loadable(relation(spark, sf, "backups")).select("backup_id", "user_id", "status")
+
+
+@query("backup_last_of_user", f"{_BACKUPS} SELECT user_id, max_by(backup_id, (created_at, backup_id)) AS backup_id FROM backups GROUP BY user_id")
+def backup_last_of_user(spark, sf):
+    return relation(spark, sf, "backups").groupBy("user_id").agg(F.max_by("backup_id", F.struct("created_at", "backup_id")).alias("backup_id"))
+
+
+@query("backup_mark_reverted", f"{_BACKUPS} SELECT backup_id, CASE WHEN status = 'active' THEN 'reverted' ELSE status END AS status FROM backups")
+def backup_mark_reverted(spark, sf):
+    rows = relation(spark, sf, "backups")
+    return snapshot.mark_reverted(rows, rows.filter("status = 'active'")).select("backup_id", "status")
+
+
+@query("backup_bulk_delete", f"{_BACKUPS} SELECT backup_id, user_id FROM backups WHERE NOT (user_id = 7 AND backup_id IN ('merge_1704067201_00000001', 'merge_1704067202_00000002'))")
+def backup_bulk_delete(spark, sf):
+    return snapshot.bulk_delete(relation(spark, sf, "backups"), ["merge_1704067201_00000001", "merge_1704067202_00000002"], 7).select("backup_id", "user_id")
+
+
+@query(
+    "backup_listed",
+    f"{_BACKUPS} SELECT backup_id, strftime(created_at, '%b %-d, %Y %-I:%M %p') AS made, json_extract_string(payload, '$.primary_name') AS primary_name FROM backups",
+)
+def backup_listed(spark, sf):
+    return snapshot.named(relation(spark, sf, "backups"))
+
+
+@query(
+    "backup_create",
+    f"""{with_relations("person_redirect")} SELECT concat('merge_', 1707868800, '_abCD1234') AS backup_id, CAST(1 AS BIGINT) AS user_id, CAST(primary_id AS varchar) AS main, CAST(list(dup_id ORDER BY dup_id) AS varchar) AS duplicates
+FROM person_redirect GROUP BY primary_id""",
+)
+def backup_create(spark, sf):
+    from datetime import timezone
+
+    persons = relation(spark, sf, "persons").select("entity_id", "title", "email")
+    made = snapshot.create(persons, relation(spark, sf, "attrs"), terms(spark, sf), relation(spark, sf, "person_redirect"), 1, datetime(2024, 2, 14, tzinfo=timezone.utc), "abCD1234")
+    doc = F.from_json("payload", "primary_id long, duplicate_ids array<long>")
+    return made.select("backup_id", "user_id", doc["primary_id"].cast("string").alias("main"), F.concat(F.lit("["), F.array_join(doc["duplicate_ids"].cast("array<string>"), ", "), F.lit("]")).alias("duplicates"))
+
+
+@query("revert_roundtrip", f"{with_relations('references')} SELECT attr_id, entity_id, key, value FROM \"references\"")
+def revert_roundtrip(spark, sf):
+    """Rewrites all references, then puts back the saved rows of the entities that were touched."""
+    before, redirect = relation(spark, sf, "references"), relation(spark, sf, "redirect")
+    touched = scan.referencing(before, redirect.select(F.col("dup_id").alias("id")))
+    saved = before.join(touched, "entity_id", "left_semi")
+    return snapshot.overlay(merge.rewrite_references(before, redirect), saved, touched, "entity_id").select("attr_id", "entity_id", "key", "value")
