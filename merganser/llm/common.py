@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts of about this many bytes are held in one working batch of a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +71,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BA
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back at the end of a task: the same worker process may serve another operator next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
 
 
 def crc32_text(column: str) -> str:

@@ -15,6 +15,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
+#: Bytes that are hashed at once.
+SPAN = 1 << 20
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = 1 << max(16, int(n).bit_length())
@@ -41,7 +45,18 @@ def classes(space: bytes, *others: bytes) -> np.ndarray:
 
 
 def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for each pair; equal bytes hash equal wherever they stand."""
+    """Hashes of data[start:end] for each pair, in order; equal bytes hash equal wherever they stand.
+
+    Taken in spans of about SPAN bytes, so that memory is bounded however long a text is.
+    """
+    if len(data) > 2 * SPAN and len(starts) > 1:
+        out, i = np.empty(len(starts), U), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SPAN)))
+            low = int(starts[i])
+            out[i:j] = hash_slices(data[low : int(ends[j - 1])], starts[i:j] - low, ends[i:j] - low)
+            i = j
+        return out
     power, inverse = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=sums[1:])

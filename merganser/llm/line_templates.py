@@ -20,53 +20,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merganser.llm.common import Workspace
+
 FIELD = "<*>"
 
 
 def masked(line):
-    """Tokens of a line; those with a digit are variable."""
-    return F.transform(F.split(F.trim(line), "\\s+"), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    """A line with single spaces, and the variable field in place of each token with a digit."""
+    line = F.trim(line)
+    odd = F.contains(line, F.lit("  "))
+    for blank in "\t\r\x0b\f":
+        odd = odd | F.contains(line, F.lit(blank))
+    line = F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", FIELD)).otherwise(line)
+
+
+def once(c):
+    """c as a row of its own: nothing above computes it a second time."""
+    return F.explode(F.array(c))
+
 
+def tokens(line):
+    """How many tokens a masked line has."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
-def leaf(tokens, depth: int):
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
 
+def parsed(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int) -> DataFrame:
+    """(id, line, leaf): the masked form of each distinct line of each document that has enough tokens."""
+    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n"))).alias("raw"))
+    long = lines.select("id", once(masked(F.col("raw"))).alias("line")).select("id", "line", once(tokens(F.col("line"))).alias("n")).filter(F.col("n") >= min_tokens)
+    return long.select("id", "line", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"))
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 10, min_tokens: int = 5, constant: float = 0.6) -> DataFrame:
-    """(line, template, n_docs): the hash of each masked line to drop, its template, and in how many documents that recurs."""
-    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n")).alias("lines"))
-    parsed = text.select("id", F.transform("lines", masked).alias("lines"))
-    long = parsed.select("id", F.array_distinct(F.filter("lines", lambda t: F.size(t) >= min_tokens)).alias("lines"))
-    leaves = long.select(F.explode(F.array_distinct(F.transform("lines", lambda t: leaf(t, depth)))).alias("leaf"))
-    busy = leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    lines = long.select("id", F.explode("lines").alias("tokens")).withColumn("leaf", leaf(F.col("tokens"), depth)).join(busy, "leaf")
-    distinct = lines.groupBy("leaf", "tokens").agg(F.count("*").alias("n_docs"))
-    fields = distinct.select("leaf", F.xxhash64("tokens").alias("line"), "n_docs", F.posexplode("tokens").alias("at", "token"))
+
+def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
+    """(line, template, n_docs): the hash of each masked line to drop, its template, and in how many documents that recurs.
+
+    facts: (leaf) of all lines; lines: (line, leaf) of all lines.
+    """
+    busy = facts.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    distinct = lines.select("line", "leaf").join(busy, "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n_docs"))
+    fields = distinct.select("leaf", F.xxhash64("line").alias("line"), "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     support = fields.groupBy("leaf", "at", "token").agg(F.sum("n_docs").alias("support"))
     general = fields.join(support, ["leaf", "at", "token"]).withColumn("field", F.when((F.col("support") >= min_docs) & (F.col("token") != FIELD), F.col("token")).otherwise(FIELD))
-    templates = general.groupBy("leaf", "line", "n_docs").agg(F.array_sort(F.collect_list(F.struct("at", "field"))).alias("f"))
-    templates = templates.select("leaf", "line", "n_docs", F.col("f.field").alias("fields"))
+    templates = general.groupBy("leaf", "line", "n_docs").agg(F.array_sort(F.collect_list(F.struct("at", "field")))["field"].alias("fields"))
     enough = templates.filter(F.size(F.filter("fields", lambda t: t != FIELD)) >= constant * F.size("fields"))
     counts = enough.groupBy("leaf", "fields").agg(F.sum("n_docs").alias("total")).filter(F.col("total") >= min_docs)
     return enough.join(counts, ["leaf", "fields"]).select("line", F.array_join("fields", " ").alias("template"), F.col("total").alias("n_docs"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **how) -> DataFrame:
-    """id, text without the lines of recurring templates, n_lines, n_dropped; and the columns of ``carry``."""
-    known = recurring(docs, id_col, text_col, **how).select(F.col("line").alias("known"))
-    min_tokens = how.get("min_tokens", 5)
-    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.array_distinct(F.split(F.col(f"`{text_col}`"), "\n")).alias("lines"))
-    hashes = text.select("id", F.array_distinct(F.transform(F.filter(F.transform("lines", masked), lambda t: F.size(t) >= min_tokens), lambda t: F.xxhash64(t))).alias("h"))
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), depth: int = 3, min_docs: int = 10, min_tokens: int = 5, constant: float = 0.6, work: Workspace | None = None) -> DataFrame:
+    """id, text without the lines of recurring templates, n_lines, n_dropped; and the columns of ``carry``.
+
+    The templates themselves are left in the workspace's table ``known``.
+    """
+    work = work or Workspace(docs.sparkSession, "line-templates")
+    lines = parsed(docs, id_col, text_col, min_tokens, depth)
+    facts = work.write(lines.select("id", "leaf", F.xxhash64("line").alias("h")), "facts")
+    known = work.write(recurring(facts.select("leaf"), lines, min_docs, constant), "known").select(F.col("line").alias("known")).distinct()
     # each document's lines to drop: a set of hashes no larger than the document
-    found = hashes.select("id", F.explode("h").alias("line")).join(known, F.col("line") == F.col("known"), "left_semi").groupBy("id").agg(F.collect_set("line").alias("drop"))
-    found = found.withColumnRenamed("id", "__id")
-    out = docs.join(found, F.col(f"`{id_col}`") == F.col("__id"), "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    kept = F.filter(lines, lambda line: F.col("drop").isNull() | (F.size(masked(line)) < min_tokens) | ~F.array_contains("drop", F.xxhash64(masked(line))))
-    return out.select(
-        F.col(f"`{id_col}`"),
-        F.array_join(kept, "\n").alias(text_col),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias("n_dropped"),
-        *[F.col(f"`{c}`") for c in carry if c not in (id_col, text_col)],
+    found = facts.join(known, F.col("h") == F.col("known"), "left_semi").groupBy("id").agg(F.collect_set("h").alias("drop"))
+    # carried columns get plain names meanwhile, so that none can clash
+    carry = [c for c in carry if c not in (id_col, text_col)]
+    names = [f"c{k}" for k in range(len(carry))]
+    base = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
+    out = base.join(found, F.col("key") == F.col("id"), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("drop", F.xxhash64(masked(line))))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    some = out.select("key", "text", n_lines.alias("n"), F.when(F.col("drop").isNotNull(), kept).alias("kept"), *names)
+    return some.select(
+        F.col("key").alias(id_col),
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long").alias("n_dropped"),
+        *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)],
     )
