@@ -1 +1 @@
-
+"""Streaming forms of operators whose state is small."""
