@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merganser.llm.common import Workspace
+from merganser.llm.common import Workspace, bound_batches
 from merganser.llm.decontaminate import decontaminate
 from merganser.llm.exact_dedup import exact_dedup
 from merganser.llm.language_id import UNDETERMINED, language_id, train
@@ -51,11 +51,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def guarded(stage):
+    """The stage over columns with plain names: whatever else the documents carry cannot clash with what it adds."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        names = docs.columns
+        plain = [c if c in ("doc_id", "text", "lang") else f"column_{k}" for k, c in enumerate(names)]
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*names)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_equal_texts),
-    ("ngram_jaccard_join", drop_near_texts),
-    ("decontamination", drop_contaminated),
+    ("language_id", guarded(identify_language)),
+    ("exact_dedup", guarded(drop_equal_texts)),
+    ("ngram_jaccard_join", guarded(drop_near_texts)),
+    ("decontamination", guarded(drop_contaminated)),
     ("best_fit_packing", pack),
 ]
 #: SQL expresses neither the network nor the packing.

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,11 +35,38 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets how many rows go to a Python worker at once, if the session leaves that at its default of 10,000.
+
+    Texts are long: the default would hold tens of megabytes in each of the buffers between the processes.
+    """
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: it goes to them by Spark's own file server, unless they have it anyway."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    known = {Path(p).resolve() for p in [".", *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if root in known or getattr(context, "_merganser_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="merganser-")
+    with zipfile.ZipFile(f"{folder}/merganser.zip", "w") as out:
+        for file in sorted((root / "merganser").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(f"{folder}/merganser.zip")
+    context._merganser_shipped = True
+
+
 class Workspace:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -55,6 +85,7 @@ class Workspace:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

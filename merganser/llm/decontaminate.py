@@ -29,7 +29,7 @@ from merganser.llm.common import pieces
 from merganser.llm.hashing import U, classes, runs, tokens
 
 TABLE = classes(bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122)))
-ADDED = "__words long, __spans binary, __items array<string>"
+ADDED = "__words long, __spans binary, __items array<string>, __hit long"
 #: Bits of the table that turns most shingles away before the search.
 SIEVE = 20
 
@@ -133,6 +133,15 @@ def _counted(text_col: str, shared):
     return run
 
 
+def _hits(spans: bytes | None) -> int:
+    """Words inside any span."""
+    end = hit = 0
+    for start, size in sorted(np.frombuffer(spans or b"", "<i8").reshape(-1, 2).tolist()):
+        hit += max(0, start + size - max(start, end))
+        end = max(end, start + size)
+    return hit
+
+
 def _matched(text_col: str, shared, more: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
@@ -154,26 +163,13 @@ def _matched(text_col: str, shared, more: bool):
                 before = {n: batch.column(names.index(n)).to_pylist() for n in ("__spans", "__items")}
                 spans = [(a or b"") + (b or b"") or None for a, b in zip(before["__spans"], spans, strict=True)]
                 items = [sorted({*a, *b}) for a, b in zip(before["__items"], items, strict=True)]
-                names, columns = names[:-3], columns[:-3]
-            added = [pa.array(np.diff(bounds).astype(np.int64)), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, *added], [*names, "__words", "__spans", "__items"])
+                names, columns = names[:-4], columns[:-4]
+            added = [pa.array(np.diff(bounds).astype(np.int64)), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(list(map(_hits, spans)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *added], [*names, "__words", "__spans", "__items", "__hit"])
 
     return run
 
 
-def _hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words inside any span."""
-    for batch in batches:
-        out = []
-        for spans in batch.column(batch.schema.get_field_index("__spans")).to_pylist():
-            end = hit = 0
-            for start, size in sorted(np.frombuffer(spans or b"", "<i8").reshape(-1, 2).tolist()):
-                hit += max(0, start + size - max(start, end))
-                end = max(end, start + size)
-            out.append(hit)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "__hit"])
-
-
 def _schema(df: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
 
@@ -205,8 +201,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             pending, size = [], 0
         pending.append((row[0], row[1]))
         size += n
-    out = match(out)
-    return out.mapInArrow(_hit, carried + ADDED + ", __hit long")
+    return match(out)
 
 
 def contaminated(least: int = 20):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.common import Workspace
+from merganser.llm.common import Workspace, pieces
 
 #: Deleted before texts are compared.
 SPACE = b" \t\n\v\f\r"
@@ -38,7 +38,7 @@ def normalise(text: str | None) -> bytes:
 
 def _keyed(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             norms = [normalise(t) for t in texts]
             added = [
@@ -81,7 +81,7 @@ def _grouped(text_col: str, id_col: str, carry: list[str]):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*names, "__keep_id", "__size", "__sha", "__part", "__edge", "__first", "__norm", "__points"])
 
         ready: list[tuple] = []
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             types = types or [batch.schema.field(n).type for n in names]
             at = {n: batch.column(batch.schema.get_field_index(n)) for n in {*names, text_col, "__sha", "__points"}}
             ids, texts, shas, points = (at[n].to_pylist() for n in (id_col, text_col, "__sha", "__points"))
@@ -92,7 +92,7 @@ def _grouped(text_col: str, id_col: str, carry: list[str]):
                 if head is not None:
                     ready += close(False)
                 rows, head = [row_id], (shas[i], normalise(texts[i]), points[i], tuple(at[n][i].as_py() for n in carry))
-            if len(ready) >= 2000:
+            if len(ready) >= 500:
                 yield batch_of(ready)
                 ready = []
         if head is not None:
@@ -132,13 +132,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     )
     joined = rows.join(F.broadcast(ends), (rows["__edge"]) & (rows["__part"] == ends["e_part"]) & (rows["__sha"] == ends["e_sha"]), "left")
     here = F.col("e_part").isNull()
+    stays = F.col("__first") & (here | (F.col("e_best") == F.col("__part")))
     return joined.select(
         F.col(f"`{id_col}`"),
         F.when(here, F.col("__keep_id")).otherwise(F.col("e_keep")).alias("keep_id"),
         F.when(here, F.col("__size")).otherwise(F.col("size")).alias("group_size"),
-        (F.col("__first") & (here | (F.col("e_best") == F.col("__part")))).alias("kept"),
+        stays.alias("kept"),
         F.col("__sha").alias("text_sha256"),
-        *[F.col(f"`{c}`") for c in carry],
+        *[F.when(stays, F.col(f"`{c}`")).alias(c) for c in carry],
     )
 
 

@@ -93,7 +93,7 @@ class Layer:
 
 
 class LanguageModel:
-    def __init__(self, sample: list[tuple[bytes, str]], per_language: int = 1500, epochs: int = 8, batch: int = 256, rate: float = 0.02, seed: int = 11):
+    def __init__(self, sample: list[tuple[bytes, str]], per_language: int = 1500, per_document: int = 16, epochs: int = 8, batch: int = 256, rate: float = 0.02, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.languages = sorted({lang for _, lang in sample})
         self.layers = [Layer(rng), Layer(rng)]
@@ -102,8 +102,15 @@ class LanguageModel:
         windows, labels = [], []
         for k, lang in enumerate(self.languages):
             own, used = cut([t for t, x in sample if x == lang])
-            own = own[used >= WINDOW // 2]
-            own = own[rng.permutation(len(own))[:per_language]]
+            doc = np.repeat(np.arange(sum(x == lang for _, x in sample)), [-(-len(t) // WINDOW) for t, x in sample if x == lang])
+            order = rng.permutation(len(own))
+            order = order[np.argsort(doc[order], kind="stable")]
+            rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+            own, used = own[order[rank < per_document]], used[order[rank < per_document]]
+            if (used >= WINDOW // 2).sum() >= per_language // 10:
+                own = own[used >= WINDOW // 2]  # enough text to leave the shorter ends out
+            if len(own):  # as many of each language: rare ones repeat theirs
+                own = own[rng.permutation(len(own))[:per_language] if len(own) >= per_language else rng.integers(0, len(own), per_language)]
             windows.append(own)
             labels.append(np.full(len(own), k))
         if n:
