@@ -112,6 +112,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+_MASKED = r"regexp_replace(regexp_replace(trim(raw, ' '), '[ \t\x0B\f\r]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g')"
+
+
+def _license_sql(threshold: float = 0.8) -> str:
+    from merganser.llm.licenses import LICENCE_FILE, TEMPLATES, WORD, vectors
+
+    units, idf, other = vectors(TEMPLATES)
+    template = ", ".join(f"({k}, '{TEMPLATES[k][0]}', '{w}', {x!r}::DOUBLE, {idf[w]!r}::DOUBLE)" for k, v in enumerate(units) for w, x in v.items())
+    return rf"""
+WITH template(k, license, word, x, idf) AS (VALUES {template}),
+files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, lower(coalesce(text, '')) AS text FROM documents),
+lines AS (SELECT doc_id, len(regexp_split_to_array(text, '[^a-z0-9]+')) AS size, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM files),
+words AS (SELECT doc_id, size, i, regexp_extract_all(line, '{WORD}') AS w FROM lines),
+each AS (SELECT doc_id, size, i, len(w) AS n, unnest(w) AS word FROM words),
+y AS (SELECT doc_id, size, i, n, word, count(*) * coalesce((SELECT max(idf) FROM template t WHERE t.word = each.word), {other!r}::DOUBLE) AS y FROM each GROUP BY doc_id, size, i, n, word),
+norms AS (SELECT doc_id, i, sqrt(sum(y * y)) AS norm FROM y GROUP BY doc_id, i),
+dots AS (SELECT doc_id, i, size, n, k, license, sum(x * y) AS dot FROM y JOIN template USING (word) GROUP BY doc_id, i, size, n, k, license),
+scored AS (SELECT doc_id, license, n, size, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, i) WHERE round(dot / norm, 6) >= {threshold}),
+best AS (SELECT doc_id, license, score, 2 * n >= size AS alone FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, n DESC, size) = 1),
+named AS (SELECT f.doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name, license, score, alone FROM files f LEFT JOIN best b ON b.doc_id = f.doc_id),
+licensed AS (SELECT dir AS above, license AS of_ FROM named WHERE license IS NOT NULL AND (alone OR regexp_matches(name, '{LICENCE_FILE}')) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+up AS (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM named WHERE license IS NULL)),
+near AS (SELECT dir, above AS from_, of_ FROM (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS above FROM up) JOIN licensed USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY k DESC) = 1)
+SELECT doc_id, coalesce(license, of_) AS license, score, CASE WHEN license IS NOT NULL THEN 'own' WHEN of_ IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN license IS NULL THEN from_ END AS inherited_from
+FROM named LEFT JOIN near USING (dir)
+"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -152,4 +180,22 @@ SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(
  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """,
+    "op3_line_templates": rf"""
+WITH raw AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents),
+m AS (SELECT doc_id, raw, {_MASKED} AS line FROM raw),
+l AS (SELECT doc_id, raw, line, string_split(line, ' ') AS t FROM m WHERE len(string_split(line, ' ')) >= 5),
+d AS (SELECT line, t, len(t) AS n, t[1:3] AS head, count(*) AS n_docs FROM l GROUP BY line, t),
+f AS (SELECT line, n, head, n_docs, unnest(range(1, n + 1)) AS at_, unnest(t) AS token FROM d),
+s AS (SELECT n, head, at_, token, sum(n_docs) AS support FROM f GROUP BY n, head, at_, token),
+g AS (SELECT line, n, head, n_docs, list(CASE WHEN support >= 10 AND f.token <> '<*>' THEN f.token ELSE '<*>' END ORDER BY at_) AS fields
+ FROM f JOIN s USING (n, head, at_, token) GROUP BY line, n, head, n_docs),
+e AS (SELECT * FROM g WHERE len(list_filter(fields, lambda x: x <> '<*>')) >= 0.6 * n),
+k AS (SELECT e.line FROM e JOIN (SELECT n, head, fields FROM e GROUP BY n, head, fields HAVING sum(n_docs) >= 10) USING (n, head, fields)),
+drops AS (SELECT DISTINCT doc_id, raw FROM l WHERE line IN (SELECT line FROM k)),
+every AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS raw FROM documents),
+c AS (SELECT doc_id, count(*) AS n_lines, count(drops.raw) AS n_dropped, coalesce(string_agg(every.raw, chr(10) ORDER BY i) FILTER (WHERE drops.raw IS NULL), '') AS kept
+ FROM every LEFT JOIN drops USING (doc_id, raw) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256 FROM documents LEFT JOIN c USING (doc_id)
+""",
+    "op5_license_scan": _license_sql(),
 }

@@ -1,0 +1,228 @@
+"""Exact dedup, n-gram join, line templates, licences against brute force, with awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from merganser.llm import licenses, line_templates
+from merganser.llm.components import connected_components
+from merganser.llm.common import Workspace
+from merganser.llm.exact_dedup import exact_dedup
+from merganser.llm.ngram_join import divide_skip, jaccard_components, linked
+
+DOCS = "doc_id long, text string"
+
+
+def random_texts(seed, n=160):
+    rng = random.Random(seed)
+    bases = [" ".join(rng.choice("abcdefghij") + rng.choice("klmno") for _ in range(rng.choice([3, 6, 30, 60]))) for _ in range(12)]
+    out = [None, "", " \t\n", "x", "é", None, "", "x" * 200_000, "w " * 30_000]
+    while len(out) < n:
+        words = rng.choice(bases).split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 8])):
+            words[rng.randrange(len(words))] = rng.choice(["new", "word", "A B", "ä\n"])
+        text = rng.choice([" ", "  ", "\n"]).join(words)
+        out.append(rng.choice([text, text.upper()]))
+    return out
+
+
+def test_exact_dedup_against_brute_force(spark):
+    texts = random_texts(1)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "x"), (3, "x"), (None, "x"), (7, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"kept": F.lit(1), "keep_id": F.lit("k"), "__sha": F.lit(2), "__size": F.lit(3)}).repartition(5)
+    got = exact_dedup(df).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append((-len(t or ""), i is None, i or 0, i))
+    want = Counter()
+    for norm, members in groups.items():
+        members.sort()
+        for k, m in enumerate(members):
+            want[m[3], members[0][3], len(members), k == 0, hashlib.sha256(norm.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, got)) == want
+
+
+def test_exact_dedup_carries_kept_rows_and_splits_hot_groups(spark):
+    rows = [(i, "same text" if i % 3 else f"text {i}", f"p{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, payload string").repartition(6)
+    out = exact_dedup(df, carry=("text", "payload"))
+    assert out.filter("kept").count() == 1001 and {r.payload for r in out.filter("kept and group_size > 1").collect()} == {"p1"}
+    assert out.filter("not kept").select("payload").distinct().collect()[0][0] is None
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert exact_dedup(empty).count() == 0
+    assert jaccard_components(empty).count() == 0
+    assert line_templates.drop_recurring_lines(empty).count() == 0
+    assert licenses.license_scan(empty).count() == 0
+
+
+def shingle_set(text, n=5):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
+
+
+def components(ids, links):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_ngram_join_against_brute_force(spark, seed):
+    texts = random_texts(seed, 220)
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = components(range(len(sets)), links)
+    df = spark.createDataFrame([*enumerate(texts), (None, "a b c d e f")], DOCS).withColumns({"n": F.lit(1), "class": F.lit(2), "shared": F.lit(3)}).repartition(4)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()}
+    assert got == {(i, len(s), want[i]) for i, s in enumerate(sets)} | {(None, 2, None)}
+
+
+def test_blocks_in_chunks_lose_no_link(spark, monkeypatch):
+    import merganser.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "BLOCK", 400)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        words[rng.randrange(60)] = f"n{rng.random()}"
+        texts.append(" ".join(words))
+    assert {r.component_id for r in jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()} == {0}
+
+
+def test_divide_skip_counts_occurrences():
+    rng = random.Random(4)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randint(0, 12))) for _ in range(rng.randint(1, 12))]
+        t = rng.randint(1, 6)
+        counts = Counter(x for values in lists for x in values)
+        assert divide_skip(lists, t) == {x: n for x, n in counts.items() if n >= t}
+
+
+def test_leaders_find_links_between_members():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(60):
+        base = list(range(40))
+        sets = []
+        for _ in range(25):
+            own = set(base)
+            for _ in range(rng.randint(0, 9)):
+                own.discard(rng.choice(base))
+                own.add(rng.randint(100, 130))
+            sets.append(np.array(sorted(own), np.uint64))
+        want = components(range(25), [(i, j) for i in range(25) for j in range(i) if 100 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 75 * len({*sets[i].tolist()} | {*sets[j].tolist()})])
+        got = dict(linked(list(range(25)), [len(s) for s in sets], sets, 75))
+        assert {i: got.get(i, i) for i in range(25)} == want
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
+    work = Workspace(spark, "test")
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), work).collect()}
+    nodes = {x for e in edges for x in e}
+    assert {i: got.get(i, i) for i in nodes} == components(nodes, edges)
+
+
+def mask(line):
+    line = re.sub(r"\s+", " ", line.strip(" "))
+    return re.sub(r"\S*[0-9]\S*", "<*>", line)
+
+
+def brute_templates(docs, depth, min_docs, min_tokens, constant):
+    counts = Counter()
+    for _, text in docs:
+        for line in set((text or "").split("\n")) if text is not None else ():
+            m = mask(line)
+            if m.count(" ") + 1 >= min_tokens:
+                counts[m] += 1
+    support = Counter()
+    leaf = lambda m: (m.count(" "), *m.split(" ")[:depth])
+    for m, n in counts.items():
+        for at, token in enumerate(m.split(" ")):
+            support[leaf(m), at, token] += n
+    fields = {m: tuple(t if support[leaf(m), at, t] >= min_docs and t != "<*>" else "<*>" for at, t in enumerate(m.split(" "))) for m in counts}
+    total = Counter()
+    for m, n in counts.items():
+        if sum(t != "<*>" for t in fields[m]) >= constant * len(fields[m]):
+            total[leaf(m), fields[m]] += n
+    return {m for m in counts if total[leaf(m), fields[m]] >= min_docs}
+
+
+def test_line_templates_against_brute_force(spark):
+    rng = random.Random(10)
+    lines = ["user 17 logged in from host 3", "user alice logged in from host b", "the quick brown fox jumps over it", "short", "", "  spaced   out words in a line ", "a\tb c d e f"]
+    docs = [(i, "\n".join(rng.choice([*lines, f"user {i} logged in from host {i}", f"the quick brown fox jumps over {rng.random()}", " ".join(rng.choice("abc") for _ in range(6))]) for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    docs += [(100, None), (101, ""), (3, docs[4][1]), (None, "the quick brown fox jumps over it"), (102, ("word " * 20_000).strip())]
+    df = spark.createDataFrame(docs, DOCS).withColumns({"drop": F.lit(1), "id": F.lit(2), "kept": F.lit(3)}).repartition(3)
+    how = {"depth": 2, "min_docs": 4, "constant": 0.6}
+    drop = brute_templates(docs, 2, 4, 5, 0.6)
+    assert drop
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_templates.drop_recurring_lines(df, carry=("drop", "id"), min_tokens=5, **how).collect())
+    want = Counter()
+    by_id = defaultdict(set)
+    for i, text in docs:
+        by_id[i] |= {mask(x) for x in (text or "").split("\n")}
+    for i, text in docs:
+        every = text.split("\n") if text is not None else []
+        kept = [x for x in every if not (i is not None and mask(x) in drop)]
+        want[i, None if text is None else "\n".join(kept), len(every), len(every) - len(kept)] += 1
+    assert got == want
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(12)
+    lines = [t for _, t in licenses.TEMPLATES] + ["Released under the BSD-3-Clause license", "this is not a license at all, just words about some work", "under the public table", "LICENSED UNDER CC BY-NC 4.0", "", "mit dem Rad"]
+    docs = [(i, rng.choice(["dir/a", "dir/a/b", "dir/c", "x"]) + f"/f{i}", "\n".join(rng.choice(lines) for _ in range(rng.choice([0, 1, 1, 3]))) if rng.random() < 0.5 else "nothing here " * 30) for i in range(50)]
+    docs += [(100, "dir/LICENSE", "words\n" * 50 + "Released under the MIT License."), (101, None, "plain"), (102, "y/z/f", None), (103, "dir/c/d/e/f", "")]
+    df = spark.createDataFrame(docs, "doc_id long, path string, text string").withColumns({"dir": F.lit(1), "license": F.lit("x"), "id": F.lit(0), "score": F.lit(1)})
+    got = {r.doc_id: (r.license, r.score, r.origin, r.inherited_from) for r in licenses.license_scan(df, path=F.col("path")).collect()}
+
+    units, idf, other = licenses.vectors(licenses.TEMPLATES)
+    found = {}
+    for i, _, text in docs:
+        options = []
+        for line in (text or "").lower().split("\n"):
+            words = re.findall(licenses.WORD, line)
+            y = {w: n * idf.get(w, other) for w, n in Counter(words).items()}
+            norm = math.sqrt(sum(v * v for v in y.values()))
+            for k, u in enumerate(units):
+                score = round(sum(u.get(w, 0) * v for w, v in y.items()) / norm, 6) if norm else 0
+                if score >= 0.8:
+                    options.append((-score, licenses.TEMPLATES[k][0], -len(words)))
+        if options:
+            s, name, n = min(options)
+            found[i] = (name, -s, 2 * -n >= len(re.split("[^a-z0-9]+", (text or "").lower())))
+    folders = {}
+    for i, path, _ in docs:
+        if i in found and path and (found[i][2] or re.search(licenses.LICENCE_FILE, path.rpartition("/")[2])):
+            folder = path.rpartition("/")[0]
+            folders[folder] = min(folders.get(folder, (9, "")), (-found[i][1], found[i][0]))
+    for i, path, _ in docs:
+        if i in found:
+            want = (found[i][0], pytest.approx(found[i][1], abs=2e-6), "own", None)
+        else:
+            parts = path.rpartition("/")[0].split("/") if path else []
+            above = ["/".join(parts[:k]) for k in range(len(parts), 0, -1)]
+            near = next((a for a in above if a in folders), None)
+            want = (folders[near][1], None, "inherited", near) if near else (None, None, "none", None)
+        assert got[i] == want, (i, path)
