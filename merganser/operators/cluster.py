@@ -18,8 +18,8 @@ def leaders(pairs: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("ord_a").alias("ord")).unionByName(edges.select(F.col("ord_b").alias("ord"))).distinct()
     state = cut(nodes.withColumn("leader", F.lit(None).cast("long")))
     while state.filter("leader is null").limit(1).count():
-        earlier = edges.join(state.select(F.col("ord").alias("ord_a"), F.col("leader").alias("of")), "ord_a")
-        seen = earlier.groupBy("ord_b").agg(
+        labelled = edges.join(state.select(F.col("ord").alias("ord_a"), F.col("leader").alias("of")), "ord_a")
+        seen = labelled.groupBy("ord_b").agg(
             F.min(F.when(F.col("of") == F.col("ord_a"), F.col("ord_a"))).alias("joins"),
             F.min(F.when(F.col("of").isNull(), F.col("ord_a"))).alias("waits"),
         )
@@ -27,6 +27,10 @@ def leaders(pairs: DataFrame) -> DataFrame:
         # a leader that may still turn up earlier than the one found has to be waited for
         settled = F.when(F.col("waits").isNotNull() & (F.col("joins").isNull() | (F.col("waits") < F.col("joins"))), None).otherwise(F.coalesce("joins", "ord"))
         state = cut(now.select("ord", F.coalesce("leader", settled).alias("leader")))
+        # what is decided asks no more, and what was taken answers no more
+        open_ = state.filter("leader is null").select(F.col("ord").alias("ord_b"))
+        taken = state.filter("leader <> ord").select(F.col("ord").alias("ord_a"))
+        edges = cut(edges.join(open_, "ord_b", "left_semi").join(taken, "ord_a", "left_anti"))
     return state
 
 
@@ -35,6 +39,7 @@ def group_duplicates(pairs: DataFrame) -> DataFrame:
 
     The group's certainty is the highest of its leader's pairs, its scenario that of the first of these.
     """
+    pairs = cut(pairs)
     led = leaders(pairs)
     members = pairs.join(led.withColumnRenamed("ord", "ord_b"), "ord_b").filter(F.col("leader") == F.col("ord_a"))
     best = members.groupBy(F.col("ord_a").alias("group_ord")).agg(F.max("certainty").alias("certainty"), F.max_by("scenario", F.struct("certainty", (-F.col("ord_b")).alias("o"))).alias("scenario"))
