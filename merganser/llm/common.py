@@ -24,15 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests, a
     single-process session) a folder of this machine is made and set for the session.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="merganser-")
-    spark.sparkContext.setCheckpointDir(made)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="merganser-"))
+    return context.getCheckpointDir()
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made on the driver from a bounded sample of labelled rows: one is trained on windows of
-ordinary texts, the content of the other is the pieces (beginnings of words) that many toxic texts, after many different
-words, and few ordinary ones hold. Whole texts are cut into
-windows, under two alignments; each window is compressed once with the ordinary dictionary and once with the toxic
-dictionary in front of it, so the difference of the two lengths is what toxic text saves. Literals stay raw and
-matches have five bytes at least, which keeps chance out of the difference; every window starts with the same bytes of
-the dictionary, so that no window falls back to an uncompressed block. A document's differences (mean, largest, sum,
-share of windows that save) give its score by a logistic calibration, fitted on texts that the dictionaries of the
-calibration round had not seen.
-
-Defined results: null and empty texts are one empty window and get a low score like any other clean text. Labels that are null
+Two zstandard dictionaries are made on the driver from a bounded sample of labelled rows: one is trained on ordinary
+texts, the content of the other is the pieces (beginnings of words) that many toxic texts, after many different words, and
+few ordinary ones hold. Whole texts are cut into windows, one word with the space before it each, in lower case. A window is
+compressed once with the ordinary dictionary and once with the toxic one added to it; the difference of the two
+lengths is what toxic text saves. Windows are that short because chance matches in longer ones save as much as a
+toxic word does. Literals stay raw and matches have five bytes at least. Every window stands between the same bytes of the
+dictionary, so that no block is left uncompressed, and others that match nothing, since the matcher does not look at the last
+eight; it is measured behind three beginnings of different lengths, which shows fractions of a byte. Ordinary words that
+save nevertheless are added to the ordinary dictionary. Equal windows of a batch are compressed once, and a bounded
+cache keeps their savings. A document's savings (by 100 words, largest, sum, number and share of windows that save) give its score by
+a logistic calibration, fitted on texts that the dictionaries of the calibration round had not seen.
+
+Defined results: null and empty texts have no windows and get a low score like any other clean text. Labels that are null
 are not learnt from; without both labels in the sample every score is the share of toxic labels. Repeated rows score
 alike. Other columns are not read.
 """
@@ -26,10 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merganser.llm.common import crc32_text
+from merganser.llm.hashing import hash_slices
 from merganser.llm.quality import labelled_sample, score_with
 
 WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-WINDOW, ALIGNMENTS, ORDINARY_BYTES, PAD = 256, (0, 128), 3072, 96
+ORDINARY_BYTES, HARD_BYTES, CACHE = 3072, 1536, 300_000
+#: Lengths of the dictionary's end that windows begin with, the least savings that count, and what windows end with.
+PADS, LEAST, TAIL = (96, 95, 93), 1.5, bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12])
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 MATCHING = {"strategy": zstandard.STRATEGY_FAST, "min_match": 5, "target_length": 1, "window_log": 17, "hash_log": 16, "chain_log": 14, "search_log": 4}
 
 
@@ -84,9 +91,31 @@ def _trained(samples: list[bytes], size: int, fallback: bytes) -> bytes:
         return fallback[-size:]
 
 
-def windows(text: bytes, shift: int = 0) -> list[bytes]:
-    first = [text[:shift]] if shift and text else []
-    return first + [text[i : i + WINDOW] for i in range(shift, len(text), WINDOW)] or [b""]
+def windows(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct windows; which of them stands at each place of the texts, in order; and the text of each place."""
+    import pandas as pd
+
+    raw = b"\n".join(texts).lower() + b"\n"
+    data = np.frombuffer(raw, np.uint8)
+    letter = LETTER[data]
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    edges = np.concatenate([[0], edge, [len(data)]])
+    solid = letter[edges[:-1]]
+    starts, ends = edges[:-1][solid], edges[1:][solid]
+    keys, found = pd.factorize(hash_slices(data, starts, ends))
+    where = np.zeros(len(found), np.int64)
+    where[keys[::-1]] = np.arange(len(keys))[::-1]
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return [b" " + raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], keys, np.searchsorted(bounds, starts, "right") - 1
+
+
+def _at_thirds(piece: bytes) -> bytes:
+    return piece.ljust(-(-len(piece) // 3) * 3, b"\n")
+
+
+def _filled(content: bytes) -> bytes:
+    """To a length that keeps what stands behind it at the same places of the index."""
+    return content.rjust(-(-len(content) // 48) * 48, b"\n")
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -98,31 +127,64 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 class Dictionaries:
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        cut = [w for t in ordinary for w in windows(t)]
-        self.ordinary = _trained(cut, 8 * ORDINARY_BYTES, b"".join(cut))[-ORDINARY_BYTES:] or b" " * PAD
-        picked = telling(toxic, ordinary)
-        found = b"".join(reversed(picked))  # the most telling pieces last: nearest to the window
-        # the matcher indexes every third byte: both dictionaries have to index the same ordinary bytes
-        self.toxic = found.rjust(-(-len(found) // 48) * 48, b"\n")
-        self.pad = self.ordinary[-PAD:]
-        self._made = None
+        toxic, ordinary = ([t.lower() for t in texts] for texts in (toxic, ordinary))
+        cut = [t[i : i + 512] for t in ordinary for i in range(0, len(t), 512)]
+        start = _trained(cut, 8 * ORDINARY_BYTES, b"".join(cut))[-ORDINARY_BYTES:].rjust(ORDINARY_BYTES, b"\n")
+        # the most telling pieces last: nearest to the window; each begins where the matcher indexes
+        self.toxic = _filled(b"".join(_at_thirds(w) for w in reversed(telling(toxic, ordinary))))
+        counts = Counter(w for t in ordinary for w in {b" " + x for x in WORD.findall(t)})
+        common = [w for w, n in counts.items() if n > 1]
+        self._use(start, common)
+        if self.toxic:
+            hard = sorted((-counts[w], w) for w, d in zip(common, self._of(common), strict=True) if d > 1)
+            room, kept = HARD_BYTES, []
+            for _, w in hard:
+                room -= len(w)
+                if room < 0:
+                    break
+                kept.append(w)
+            self._use(_filled(b"".join(map(_at_thirds, reversed(kept)))) + start, common)
+
+    def _use(self, ordinary: bytes, common: list[bytes]) -> None:
+        """Savings are counted from the median over ordinary words."""
+        self.ordinary, self._made, self._saved, self.base = ordinary, None, {}, 0.0
+        if common:
+            self.base = float(np.median(self._of(common[:2000])))
 
     def __getstate__(self):
-        return self.__dict__ | {"_made": None}
+        return self.__dict__ | {"_made": None, "_saved": {}}
 
-    def savings(self, text: bytes) -> np.ndarray:
-        """(mean per 100 bytes, largest, sum, share) of the bytes that the toxic dictionary saves."""
+    def _of(self, words: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each of these windows."""
         if self._made is None:
-            self._made = _compressor(self.toxic + self.ordinary), _compressor(self.ordinary)
+            # the matcher indexes every third byte; both have to index the same ordinary bytes
+            self._made = _compressor(self.ordinary + self.toxic), _compressor(b"\n" * len(self.toxic) + self.ordinary)
+        if len(self._saved) > CACHE:
+            self._saved = {}
         with_toxic, plain = (c.compress for c in self._made)
-        pad, out = self.pad, []
-        for shift in ALIGNMENTS:
-            for window in windows(text, shift):
-                window = pad + window
-                out.append(len(plain(window)) - len(with_toxic(window)))
-        d = np.array(out, float)
-        total = d.sum() / len(ALIGNMENTS)
-        return np.array([total / max(60, len(text)) * 100, min(d.max(), 30), np.log1p(max(total, 0)), (d >= 2).mean()])
+        pads = [self.ordinary[-n:] for n in PADS]
+        saved, out = self._saved, []
+        for word in words:
+            d = saved.get(word)
+            if d is None:
+                d = 0
+                for p in pads:
+                    window = p + word + TAIL
+                    d += len(plain(window)) - len(with_toxic(window))
+                saved[word] = d
+            out.append(d)
+        return np.array(out, float) / len(PADS) - self.base
+
+    def savings(self, texts: list[bytes]) -> np.ndarray:
+        """A row per text: by 100 words, largest, sum, number and share of windows that save."""
+        words, keys, owner = windows(texts)
+        d = self._of(words)[keys] if len(keys) else np.zeros(0)
+        d[d < LEAST] = 0  # less is chance
+        n = np.bincount(owner, minlength=len(texts))
+        total, count = np.bincount(owner, d, len(texts)), np.bincount(owner, d > 0, len(texts))
+        largest = np.zeros(len(texts))
+        np.maximum.at(largest, owner[d > 0], d[d > 0])
+        return np.column_stack([total / np.maximum(n, 10) * 100, np.minimum(largest, 10), np.log1p(total), np.log1p(count), count / np.maximum(n, 10)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 3000) -> np.ndarray:
@@ -139,11 +201,10 @@ class ToxicityModel:
         y = np.array([label for _, label in sample], float)
         self.prior, self.weights = float(y.mean()) if len(y) else 0.0, None
         if 0 < self.prior < 1:
-            rows = np.empty((len(sample), 4))
+            rows = np.empty((len(sample), 5))
             for k in (0, 1):
                 d = self._dictionaries([s for i, s in enumerate(sample) if i % 2 != k])
-                for i in range(k, len(sample), 2):
-                    rows[i] = d.savings(sample[i][0])
+                rows[k::2] = d.savings([t for t, _ in sample[k::2]])
             self.mean, self.scale = rows.mean(0), rows.std(0) + 1e-6
             self.weights = _logistic(np.column_stack([(rows - self.mean) / self.scale, np.ones(len(y))]), y)
             self.dictionaries = self._dictionaries(sample)
@@ -155,7 +216,7 @@ class ToxicityModel:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        x = np.array([self.dictionaries.savings(t) for t in texts])
+        x = self.dictionaries.savings(texts)
         return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
