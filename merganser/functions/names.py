@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A first name, and the names that are read as it. Where a name stands in several rows the first row
@@ -165,15 +165,25 @@ def ordered(c: Column) -> Column:
     return F.when(at > 0, F.concat(trimmed(F.substr(c, at + 1)), F.lit(" "), trimmed(F.substr(c, F.lit(1), at - 1)))).otherwise(c)
 
 
-def parse_name(c: Column) -> Column:
-    """struct<first, last, middle>; a single word is a first name."""
-    parts = F.split(F.lower(fold(ordered(F.coalesce(c, F.lit(""))))), " ")
-    many = F.size(parts) > 1
-    return F.struct(
+def apart(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a further column that is computed once, however often it is used: the optimizer does not merge it into those uses.
+
+    Large expressions that are merged outgrow the limit of compiled methods.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def parse_names(df: DataFrame, title: str) -> DataFrame:
+    """df with first, last, middle; a single word is a first name, and a null no name at all."""
+    df = apart(df, "__ordered", ordered(F.coalesce(F.col(f"`{title}`"), F.lit(""))))
+    df = apart(df, "__parts", F.split(F.lower(fold(F.col("__ordered"))), " "))
+    parts, many = F.col("__parts"), F.size("__parts") > 1
+    return df.select(
+        "*",
         parts[0].alias("first"),
         F.when(many, F.element_at(parts, -1)).otherwise("").alias("last"),
         F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 2, F.size(parts) - 2), " ")).otherwise("").alias("middle"),
-    )
+    ).drop("__ordered", "__parts")
 
 
 def norm_surname(c: Column) -> Column:
@@ -214,9 +224,11 @@ def initial(first: Column) -> Column:
     return F.when(short, F.regexp_replace(first, r"\.+$", "")).when(F.octet_length(first) == 1, first).otherwise("")
 
 
-def deletions(c: Column) -> Column:
-    """c in bytes, and what one deletion (from three bytes) or two (from four) leave of it: strings within reach share one."""
-    s = in_bytes(c)
+def deletions(s: Column) -> Column:
+    """s, and what one deletion (from three bytes) or two (from four) leave of it: strings within reach share one.
+
+    s: a column of in_bytes().
+    """
     less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
     one, n = less(s), F.length(s)
     return F.when(n >= 4, F.array_distinct(F.concat(F.array(s), one, F.flatten(F.transform(one, less))))).when(n >= 3, F.array_distinct(F.concat(F.array(s), one))).otherwise(F.array(s))

@@ -8,60 +8,74 @@ joined middle name), or if one is the other reversed, or if both are single word
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.functions.names import alias_table, canonical, deletions, initial, norm_surname, parse_name, typo, variants
+from merganser.functions.names import alias_table, apart, canonical, deletions, in_bytes, initial, norm_surname, parse_names, typo, variants
 
 NAME = ("first", "middle", "last")
 
 
 def with_names(entities: DataFrame, title: str = "title") -> DataFrame:
     """entities with first, last, middle, and ``norm_last``."""
-    n = entities.withColumn("__n", parse_name(F.col(title)))
-    return n.select(*[F.col(f"`{c}`") for c in entities.columns], "__n.first", "__n.last", "__n.middle").withColumn("norm_last", norm_surname(F.col("last")))
+    return apart(parse_names(entities, title), "norm_last", norm_surname(F.col("last")))
 
 
-def compare(a: str, b: str) -> Column:
-    """struct<certainty, scenario> or null, of columns ``a.*`` and ``b.*`` (first, middle, last, norm_last, variants); a comes first."""
+def with_variants(names: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """names with ``variants``: the forms of the first name, each with the name that it is read as; and ``norm_first``."""
+    named = apart(names, "__v", variants(F.col("first")))
+    named = apart(named, "variants", F.transform("__v", lambda v: F.struct(v.alias("v"), canonical(v, aliases).alias("c")))).drop("__v")
+    return apart(named, "norm_first", norm_surname(F.col("first")))
+
+
+def compare(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with certainty and scenario, null if no rule applies.
+
+    a, b: structs of first, middle, last, norm_last, norm_first, variants; a is the earlier entity's.
+    """
     c = lambda side, name: F.col(f"{side}.{name}")
     (fa, fb), (la, lb), (na, nb), (ma, mb) = ([c(s, n) for s in (a, b)] for n in ("first", "last", "norm_last", "middle"))
-    same = na == nb
-    near = ~same & typo(na, nb)
     parts = lambda x: F.split(x, r"[-\s]")
     inside = lambda whole, part: (F.size(parts(whole)) > 1) & F.array_contains(parts(whole), part)
-    compound = ~same & ~near & (inside(na, nb) | inside(nb, na))
-    reverse = ((fa == lb) & (la == fb)) | ((norm_surname(fa) == nb) & (na == norm_surname(fb)))
-    # the first pair of variants, in order, that are the same name
-    pairs = F.flatten(F.transform(c(a, "variants"), lambda x: F.transform(c(b, "variants"), lambda y: F.struct((x["v"] == y["v"]).alias("equal"), ((x["v"] == y["v"]) | (x["c"] == y["c"])).alias("alias")))))
-    hit = F.get(F.filter(pairs, lambda p: p["alias"]), 0)
     ia, ib = initial(fa), initial(fb)
-    initials = ((ia != "") & fb.startswith(ia)) | ((ib != "") & fa.startswith(ib))
+    # the first pair of variants, in order, that are the same name
+    crossed = F.flatten(F.transform(c(a, "variants"), lambda x: F.transform(c(b, "variants"), lambda y: F.struct((x["v"] == y["v"]).alias("equal"), ((x["v"] == y["v"]) | (x["c"] == y["c"])).alias("alias")))))
+    p = apart(pairs, "__typo", typo(na, nb))
+    p = apart(p, "__part", inside(na, nb) | inside(nb, na))
+    p = apart(p, "__hit", F.get(F.filter(crossed, lambda v: v["alias"]), 0))
+    p = apart(p, "__first", typo(fa, fb))
+    p = apart(p, "__initials", ((ia != "") & fb.startswith(ia)) | ((ib != "") & fa.startswith(ib)))
+    p = p.withColumn("__same", na == nb).withColumn("__exact", fa == fb)
+    reverse = ((fa == lb) & (la == fb)) | ((c(a, "norm_first") == nb) & (na == c(b, "norm_first")))
     joined = ((ma != "") & (F.concat(fa, ma) == fb)) | ((mb != "") & (F.concat(fb, mb) == fa))
+    same, hit = F.col("__same"), F.col("__hit")
+    near = ~same & F.col("__typo")
+    compound = ~same & ~F.col("__typo") & F.col("__part")
     result = lambda certainty, scenario: F.struct(F.lit(certainty).alias("certainty"), F.lit(scenario).alias("scenario"))
     nothing = F.lit(None).cast("struct<certainty int, scenario string>")
-    single = (la == "") | (lb == "")
-    return (
-        F.when(single, F.when((fa == fb) & (la == "") & (lb == ""), result(100, "exact")).otherwise(nothing))
-        .when((fa == fb) & (la == lb), result(100, "exact"))
-        .when((fa == fb) & same, result(95, "normalization"))
-        .when(~same & ~near & ~compound, F.when(reverse, result(50, "reversal")).otherwise(nothing))
+    verdict = (
+        F.when((la == "") | (lb == ""), F.when(F.col("__exact") & (la == "") & (lb == ""), result(100, "exact")).otherwise(nothing))
+        .when(F.col("__exact") & (la == lb), result(100, "exact"))
+        .when(F.col("__exact") & same, result(95, "normalization"))
+        .when(~same & ~F.col("__typo") & ~F.col("__part"), F.when(reverse, result(50, "reversal")).otherwise(nothing))
         .when(hit.isNotNull() & same & hit["equal"], result(90, "french_compound"))
         .when(hit.isNotNull() & same, result(70, "nickname"))
         .when(hit.isNotNull() & near, result(60, "nickname+typo"))
         .when(hit.isNotNull() & compound, result(60, "nickname+compound"))
-        .when(same & typo(fa, fb), result(65, "typo"))
-        .when(compound & typo(fa, fb), result(50, "typo"))
-        .when(initials, result(50, "initial"))
+        .when(same & F.col("__first"), result(65, "typo"))
+        .when(compound & F.col("__first"), result(50, "typo"))
+        .when(F.col("__initials"), result(50, "initial"))
         .when(same & joined, result(55, "middle_name"))
         .otherwise(nothing)
     )
+    p = apart(p, "__verdict", verdict)
+    return p.select(*[F.col(f"`{x}`") for x in pairs.columns], "__verdict.certainty", "__verdict.scenario")
 
 
 def related_surnames(names: DataFrame) -> DataFrame:
     """(sa, sb) of normalised surnames that are the same, a typing error apart, or part of one another; both directions."""
     surnames = names.filter("last <> ''").select(F.col("norm_last").alias("s")).distinct()
-    holed = surnames.select("s", F.explode(deletions(F.col("s"))).alias("k"))
+    holed = apart(surnames, "bytes", in_bytes(F.col("s"))).select("s", F.explode(deletions(F.col("bytes"))).alias("k"))
     near = holed.alias("x").join(holed.alias("y"), "k").select(F.col("x.s").alias("sa"), F.col("y.s").alias("sb")).distinct()
     near = near.filter((F.col("sa") == F.col("sb")) | typo(F.col("sa"), F.col("sb")))
     parts = surnames.select(F.col("s").alias("sa"), F.explode(F.filter(F.split("s", "-"), lambda p: F.size(F.split(F.col("s"), "-")) > 1)).alias("sb"))
@@ -78,32 +92,33 @@ def first_keys(names: DataFrame) -> DataFrame:
     keys = F.concat(
         some("a", F.array_distinct(F.transform("variants", lambda v: v["c"]))),
         some("a", F.array_distinct(F.transform("variants", lambda v: v["v"]))),
-        some("d", deletions(first)),
+        some("d", F.col("deleted")),
         one("i", F.substr(first, F.lit(1), F.lit(1)), is_initial),
         one("m", first, F.lit(False)),
         F.when(F.col("middle") != "", one("m", F.concat("first", "middle"), F.lit(True))).otherwise(F.array().cast("array<struct<key string, asks boolean>>")),
     )
-    return names.filter("last <> ''").select("name", "norm_last", F.explode(F.array_distinct(keys)).alias("k")).select("name", "norm_last", "k.key", "k.asks")
+    named = apart(names.filter("last <> ''"), "bytes", in_bytes(first))
+    return apart(named, "deleted", deletions(F.col("bytes"))).select("name", "norm_last", F.explode(F.array_distinct(keys)).alias("k")).select("name", "norm_last", "k.key", "k.asks")
 
 
 def name_pairs(names: DataFrame) -> DataFrame:
     """(a, b, certainty, scenario) of all ordered pairs of different or equal parsed names that match."""
-    slim = names.select("name", "first", "last", "norm_last")
+    slim = names.select("name", "first", "last", "norm_last", "norm_first")
     keys = first_keys(names)
     related = related_surnames(names)
     x, y = keys.alias("x"), keys.alias("y")
     close = x.join(related, F.col("x.norm_last") == F.col("sa")).join(y, (F.col("y.norm_last") == F.col("sb")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.asks") | F.col("y.asks")))
     x, y = slim.filter("last <> ''").alias("x"), slim.filter("last <> ''").alias("y")
     raw = x.join(y, (F.col("x.first") == F.col("y.last")) & (F.col("x.last") == F.col("y.first")))
-    normal = x.join(y, (norm_surname(F.col("x.first")) == F.col("y.norm_last")) & (F.col("x.norm_last") == norm_surname(F.col("y.first"))))
+    normal = x.join(y, (F.col("x.norm_first") == F.col("y.norm_last")) & (F.col("x.norm_last") == F.col("y.norm_first")))
     equal = slim.select(F.col("name").alias("a"), F.col("name").alias("b"))
     single = slim.filter("last = ''")
     alone = single.alias("x").join(single.alias("y"), F.col("x.first") == F.col("y.first"))
     both = [F.col("x.name").alias("a"), F.col("y.name").alias("b")]
     candidates = close.select(*both).unionByName(raw.select(*both)).unionByName(normal.select(*both)).unionByName(alone.select(*both)).unionByName(equal).distinct()
-    info = names.select("name", F.struct("first", "middle", "last", "norm_last", "variants").alias("n"))
+    info = names.select("name", F.struct("first", "middle", "last", "norm_last", "norm_first", "variants").alias("n"))
     full = candidates.join(info.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(info.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
-    return full.withColumn("m", compare("na", "nb")).filter("m is not null").select("a", "b", "m.certainty", "m.scenario")
+    return compare(full, "na", "nb").filter("certainty is not null").select("a", "b", "certainty", "scenario")
 
 
 def find_pairs(entities: DataFrame, entity_id: str = "entity_id", ord_col: str = "ord", title: str = "title", aliases: dict[str, str] | None = None) -> DataFrame:
@@ -111,8 +126,7 @@ def find_pairs(entities: DataFrame, entity_id: str = "entity_id", ord_col: str =
     aliases = aliases or alias_table()
     parsed = with_names(entities.select(F.col(f"`{entity_id}`").alias("id"), F.col(f"`{ord_col}`").alias("ord"), F.col(f"`{title}`").alias("title")))
     parsed = parsed.withColumn("name", F.concat_ws("\x01", *NAME))
-    names = parsed.select("name", *NAME, "norm_last").distinct()
-    names = names.withColumn("v", variants(F.col("first"))).withColumn("variants", F.transform("v", lambda v: F.struct(v.alias("v"), canonical(v, aliases).alias("c")))).drop("v")
+    names = with_variants(parsed.select("name", *NAME, "norm_last").distinct(), aliases)
     who = parsed.select("id", "ord", "name")
     pairs = name_pairs(names)
     a = pairs.join(who.select(F.col("id").alias("id_a"), F.col("ord").alias("ord_a"), F.col("name").alias("a")), "a")

@@ -51,9 +51,8 @@ GOLDEN = [
 def compared(spark, pairs):
     """Every pair through the cascade, without blocking."""
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    side = lambda c: F.struct(*[F.col(f"{c}n.{x}").alias(x) for x in ("first", "middle", "last")], names.norm_surname(F.col(f"{c}n.last")).alias("norm_last"), F.transform(names.variants(F.col(f"{c}n.first")), lambda v: F.struct(v.alias("v"), names.canonical(v).alias("c"))).alias("variants"))
-    parsed = rows.withColumn("an", names.parse_name(F.col("a"))).withColumn("bn", names.parse_name(F.col("b")))
-    found = parsed.select("i", side("a").alias("x"), side("b").alias("y")).select("i", match.compare("x", "y").alias("m")).select("i", "m.certainty", "m.scenario")
+    side = lambda c: match.with_variants(match.with_names(rows.select("i", F.col(c).alias("title")))).select("i", F.struct("first", "middle", "last", "norm_last", "norm_first", "variants").alias(c))
+    found = match.compare(side("a").join(side("b"), "i"), "a", "b")
     return [(r.certainty, r.scenario) for r in found.orderBy("i").collect()]
 
 
