@@ -14,8 +14,9 @@ A document is the set of its distinct runs of ``n`` words. Two documents link wh
    reaches a lower overlap T with the leader itself. The leaders that reach T are found in the inverted lists as
    DivideSkip does it: the short lists are merged by a heap, and the long ones are only probed by binary search, for the
    leaders that the short ones left within reach. Members are compared where they could connect two components.
-4. A block of more shingles than a task should hold is dealt into chunks, with a task for each pair of chunks, and the
-   links of its tasks are connected.
+4. A block of more shingles than a task should hold is dealt into chunks that are searched one by one. Then only leaders
+   are searched together; members of two leaders are compared only if these are still unconnected and near enough for their
+   members to link, again by the triangle inequality.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing, not even each other. A
 document of fewer than n words has its whole sequence as only shingle. Rows that repeat an id are one node with several
@@ -42,7 +43,7 @@ TABLE = classes(b" \t\n\v\f\r")
 #: Shingles of one batch of documents; documents in it fit two bytes.
 BATCH, BATCH_DOCS = 1_500_000, 60_000
 #: Shingles in a task of step 3.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 PARTS = "bucket int, batch long, a binary, b binary, c binary, d binary, e binary"
 DOCS = "doc_id long, n long, class binary, shared binary, prefix binary"
@@ -219,31 +220,45 @@ def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
     return out
 
 
-def linked(reps: list[int], sizes: list[int], shared: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(rep, least rep it is connected with) for all reps of a block that link, by T-occurrence search over leaders."""
-    order = sorted(range(len(reps)), key=lambda k: (sizes[k], reps[k]))  # small first; numbers in the lists ascend
-    reps, sizes, shared = [reps[k] for k in order], [sizes[k] for k in order], [shared[k] for k in order]
-    root = list(range(len(reps)))
+def link(size_a: int, size_b: int, overlap: int, percent: int) -> bool:
+    return 100 * overlap >= percent * (size_a + size_b - overlap)
 
-    def find(i: int) -> int:
+
+class Union:
+    """Connected places of a list; the root of each has the least rep."""
+
+    def __init__(self, reps: list[int]):
+        self.reps, self.root = reps, list(range(len(reps)))
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    def union(i: int, j: int) -> None:
-        i, j = find(i), find(j)
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
         if i != j:
-            low, high = (i, j) if reps[i] < reps[j] else (j, i)
-            root[high] = low
+            low, high = (i, j) if self.reps[i] < self.reps[j] else (j, i)
+            self.root[high] = low
 
-    def link(i: int, j: int, overlap: int) -> bool:
-        return 100 * overlap >= percent * (sizes[i] + sizes[j] - overlap)
 
+def by_size(reps: list[int], sizes: list[int], shared: list[np.ndarray]) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """Small first; numbers in the inverted lists then ascend."""
+    order = sorted(range(len(reps)), key=lambda k: (sizes[k], reps[k]))
+    return [reps[k] for k in order], [sizes[k] for k in order], [shared[k] for k in order]
+
+
+def grouped(reps: list[int], sizes: list[int], shared: list[np.ndarray], percent: int) -> list[tuple[int, int, int]]:
+    """(rep, least rep it is connected with, its leader) of all reps of a block, by T-occurrence search over leaders."""
+    reps, sizes, shared = by_size(reps, sizes, shared)
+    sets = Union(reps)
     # a link with a member is at most 1 - percent/100 from it, and it at most as much from its leader
     reach = max(1, 2 * percent - 100)
     index: dict[int, list[int]] = {}
     members: dict[int, list[tuple[int, float]]] = {}
+    leader = list(range(len(reps)))
     for i in range(len(reps)):
         own = shared[i].tolist()
         near = divide_skip([index[h] for h in own if h in index], max(1, needed(sizes[i], reach)))
@@ -252,55 +267,157 @@ def linked(reps: list[int], sizes: list[int], shared: list[np.ndarray], percent:
         for p, overlap in near.items():
             j = overlap / (sizes[i] + sizes[p] - overlap)
             distance[p] = 1 - j
-            if link(i, p, overlap):
-                union(i, p)
+            if link(sizes[i], sizes[p], overlap, percent):
+                sets.join(i, p)
                 if j > best:
                     best, best_at = j, p
         for p, d in distance.items():
-            if find(p) == find(i):
+            if sets.find(p) == sets.find(i):
                 continue
             for m, dm in members[p]:
-                if abs(d - dm) <= 1 - percent / 100 + 1e-9 and link(i, m, len(np.intersect1d(shared[i], shared[m], assume_unique=True))):
-                    union(i, m)
+                if abs(d - dm) <= 1 - percent / 100 + 1e-9 and link(sizes[i], sizes[m], len(np.intersect1d(shared[i], shared[m], assume_unique=True)), percent):
+                    sets.join(i, m)
                     break
         if best_at >= 0:
             members[best_at].append((i, 1 - best))
+            leader[i] = best_at
         else:
             members[i] = []
             for h in own:
                 index.setdefault(h, []).append(i)
-    return [(reps[i], reps[find(i)]) for i in range(len(reps)) if find(i) != i]
+    return [(reps[i], reps[sets.find(i)], reps[leader[i]]) for i in range(len(reps))]
 
 
-def _blocks(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Goes through rows sorted by task: (block, i, j, rep, n, shared); one task's rows are held at a time."""
+def near_leaders(reps: list[int], sizes: list[int], shared: list[np.ndarray], percent: int) -> list[tuple[int, int, bool]]:
+    """(rep, rep, linked) of leaders: enough links to connect those that links connect, and all pairs of others that are as
+    near as leaders of two linked members can be."""
+    reps, sizes, shared = by_size(reps, sizes, shared)
+    sets = Union(reps)
+    reach = max(1, 3 * percent - 200)
+    index: dict[int, list[int]] = {}
+    out, open_ = [], []
+    for i in range(len(reps)):
+        own = shared[i].tolist()
+        for p, overlap in divide_skip([index[h] for h in own if h in index], max(1, needed(sizes[i], reach))).items():
+            if sets.find(p) == sets.find(i):
+                continue
+            if link(sizes[i], sizes[p], overlap, percent):
+                sets.join(i, p)
+                out.append((reps[p], reps[i], True))
+            elif link(sizes[i], sizes[p], overlap, reach):
+                open_.append((p, i))
+        for h in own:
+            index.setdefault(h, []).append(i)
+    return out + [(reps[p], reps[i], False) for p, i in open_ if sets.find(p) != sets.find(i)]
+
+
+def any_link(sizes: list[int], shared: list[np.ndarray], side: list[bool], percent: int) -> bool:
+    """Does a set of one side link with one of the other?"""
+    index: dict[int, list[int]] = {}
+    for i in range(len(sizes)):
+        if side[i]:
+            for h in shared[i].tolist():
+                index.setdefault(h, []).append(i)
+    for i in range(len(sizes)):
+        if not side[i]:
+            found = divide_skip([index[h] for h in shared[i].tolist() if h in index], max(1, needed(sizes[i], percent)))
+            if any(link(sizes[i], sizes[p], overlap, percent) for p, overlap in found.items()):
+                return True
+    return False
 
-        def links(held: list[tuple]) -> list[tuple]:
-            return linked([r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[2], U) for r in held], percent)
 
-        def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _by_task(keys: int, work, names: list[str], kinds: list[pa.DataType]):
+    """Goes through rows sorted by task, the first ``keys`` columns; one task's rows are held at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, ready = None, [], []
         for batch in batches:
-            for block, i, j, rep, n, shared in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != (block, i, j):
-                    if len(held) > 1:
-                        ready += links(held)
-                    key, held = (block, i, j), []
-                held.append((rep, n, shared))
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != row[:keys]:
+                    ready += work(key, held) if held else []
+                    key, held = row[:keys], []
+                held.append(row[keys:])
             if len(ready) > 5000:
-                yield batch_of(ready)
+                yield _table(ready, names, kinds).combine_chunks().to_batches()[0]
                 ready = []
-        if len(held) > 1:
-            ready += links(held)
+        ready += work(key, held) if held else []
         if ready:
-            yield batch_of(ready)
+            yield _table(ready, names, kinds).combine_chunks().to_batches()[0]
 
     return run
 
 
+def _arrays(held: list[tuple]) -> tuple[list[int], list[int], list[np.ndarray]]:
+    return [r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[2], U) for r in held]
+
+
+def _groups(percent: int):
+    def work(key: tuple, held: list[tuple]) -> list[tuple]:
+        """key: block, chunk, whether there are others. Of a block that is whole only the links are told."""
+        return [(key[0], key[2], *row) for row in grouped(*_arrays(held), percent) if key[2] or row[0] != row[1]]
+
+    return _by_task(3, work, ["block", "large", "rep", "root", "leader"], [pa.int64(), pa.bool_(), *[pa.int64()] * 3])
+
+
+def _near(percent: int):
+    return _by_task(3, lambda key, held: near_leaders(*_arrays(held), percent), ["a", "b", "linked"], [pa.int64(), pa.int64(), pa.bool_()])
+
+
+def _across(percent: int):
+    def work(key: tuple, held: list[tuple]) -> list[tuple]:
+        _, sizes, shared = _arrays(held)
+        return [(key[0], key[1])] if any_link(sizes, shared, [r[3] for r in held], percent) else []
+
+    return _by_task(4, work, ["a", "b"], [pa.int64(), pa.int64()])
+
+
+def _tasks(df: DataFrame, *keys: str) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def _chunks(column: str = "shared"):
+    """Into how many parts a group has to be dealt so that two of them fit a task."""
+    return F.ceil(F.sum(F.length(column) / 8) / (BLOCK // 2))
+
+
+def _large_blocks(found: DataFrame, placed: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(a, b): links that connect what the chunks of large blocks left apart.
+
+    Leaders of all chunks are searched together; if they outgrow a task, too, in pairs of chunks. Where leaders stay unconnected but
+    are near enough for members to link, the members are compared across, dealt out by size.
+    """
+    everyone = found.filter("large").select("rep", "leader").join(placed.select("block", "rep", "n", "shared"), "rep")
+    everyone = work.write(everyone, "large")
+    leads = everyone.filter("rep = leader").drop("leader")
+    load = leads.groupBy("block").agg(_chunks().alias("chunks")).withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
+    dealt = (
+        leads.join(load, "block")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        .select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "shared")
+    )
+    near = work.write(_tasks(dealt, "block", "i", "j").mapInArrow(_near(percent), "a long, b long, linked boolean").distinct(), "near")
+    links = found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(near.filter("linked").select("a", "b"))
+    roots = connected_components(links, work, "leaders")
+    ra, rb = (roots.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    apart = near.filter("not linked").join(ra, F.col("a") == F.col("na"), "left").join(rb, F.col("b") == F.col("nb"), "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    apart = work.write(apart, "apart")
+    if not apart.limit(1).count():
+        return links
+    parts = everyone.groupBy("leader").agg(_chunks().alias("parts"))
+    pa_, pb = (parts.select(F.col("leader").alias(x), F.greatest("parts", F.lit(1)).alias(f"p{x}")) for x in "ab")
+    sized = apart.join(pa_, "a").join(pb, "b")
+    side = lambda x, own, other: (
+        sized.join(everyone.drop("block"), F.col(x) == F.col("leader"))
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col(f"p{x}")))
+        .withColumn("other", F.explode(F.expr(f"sequence(0, p{'b' if x == 'a' else 'a'} - 1)")))
+        .select("a", "b", F.col(own).alias("i"), F.col(other).alias("j"), "rep", "n", "shared", F.lit(x == "a").alias("first"))
+    )
+    rows = side("a", "own", "other").unionByName(side("b", "other", "own"))
+    return links.unionByName(_tasks(rows, "a", "b", "i", "j").mapInArrow(_across(percent), "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id that is reachable by links) for every row of docs."""
     spark = docs.sparkSession
@@ -317,20 +434,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = postings.join(hubs, "shingle").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     blocks = connected_components(near, work, "blocks")
     placed = groups.join(blocks, groups["rep"] == blocks["node"], "left").select(F.coalesce("root", "rep").alias("block"), "rep", "n", "shared")
-    load = placed.groupBy("block").agg(F.count("*").alias("k"), F.ceil(F.sum(F.length("shared") / 8) / (BLOCK // 2)).alias("chunks")).filter("k > 1").drop("k")
+    load = placed.groupBy("block").agg(F.count("*").alias("k"), _chunks().alias("chunks")).filter("k > 1").drop("k")
     load = work.write(load.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks"))), "load")
-    dealt = (
-        placed.join(load, "block")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "shared")
-    )
-    tasks = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    links = work.write(tasks.mapInArrow(_blocks(percent), "a long, b long"), "links")
-    if load.filter("chunks > 1").limit(1).count():  # tasks of one block each connected a part
-        linked_reps = connected_components(links, work, "linked")
+    dealt = placed.join(load, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), (F.col("chunks") > 1).alias("large"), "rep", "n", "shared")
+    found = work.write(_tasks(dealt, "block", "chunk", "large").mapInArrow(_groups(percent), "block long, large boolean, rep long, root long, leader long"), "found")
+    if load.filter("chunks > 1").limit(1).count():
+        linked_reps = connected_components(_large_blocks(found, placed, percent, work), work, "linked")
     else:
-        linked_reps = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        linked_reps = found.select(F.col("rep").alias("node"), "root")
     named = groups.select("class", "rep").join(linked_reps, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("of"), F.coalesce("root", "rep").alias("root"))
     found = every.join(named, every["class"] == named["of"], "left")
     rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

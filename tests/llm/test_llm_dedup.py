@@ -13,7 +13,7 @@ from merganser.llm import licenses, line_templates
 from merganser.llm.components import connected_components
 from merganser.llm.common import Workspace
 from merganser.llm.exact_dedup import exact_dedup
-from merganser.llm.ngram_join import divide_skip, jaccard_components, linked
+from merganser.llm.ngram_join import any_link, divide_skip, grouped, jaccard_components, near_leaders
 
 DOCS = "doc_id long, text string"
 
@@ -93,18 +93,24 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert got == {(i, len(s), want[i]) for i, s in enumerate(sets)} | {(None, 2, None)}
 
 
-def test_blocks_in_chunks_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("seed, block", [(1, 400), (2, 3000), (3, 800)])
+def test_blocks_in_chunks_lose_no_link(spark, monkeypatch, seed, block):
     import merganser.llm.ngram_join as module
 
-    monkeypatch.setattr(module, "BLOCK", 400)
-    rng = random.Random(9)
+    monkeypatch.setattr(module, "BLOCK", block)
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(60)]
     texts = []
-    for _ in range(60):
+    for k in range(120):
         words = list(base)
-        words[rng.randrange(60)] = f"n{rng.random()}"
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            words[rng.randrange(60)] = rng.choice(["x", "y", f"n{k}"])
         texts.append(" ".join(words))
-    assert {r.component_id for r in jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()} == {0}
+    sets = [shingle_set(t) for t in texts]
+    want = components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == want
+    assert seed == 1 or len(set(want.values())) > 1
 
 
 def test_divide_skip_counts_occurrences():
@@ -130,8 +136,19 @@ def test_leaders_find_links_between_members():
                 own.add(rng.randint(100, 130))
             sets.append(np.array(sorted(own), np.uint64))
         want = components(range(25), [(i, j) for i in range(25) for j in range(i) if 100 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 75 * len({*sets[i].tolist()} | {*sets[j].tolist()})])
-        got = dict(linked(list(range(25)), [len(s) for s in sets], sets, 75))
-        assert {i: got.get(i, i) for i in range(25)} == want
+        sizes = [len(s) for s in sets]
+        rows = grouped(list(range(25)), sizes, sets, 75)
+        assert {i: root for i, root, _ in rows} == want
+        leaders = {i: lead for i, _, lead in rows}
+        assert all(leaders[x] == x for x in leaders.values())
+        jaccard = lambda i, j: len({*sets[i].tolist()} & {*sets[j].tolist()}) / len({*sets[i].tolist()} | {*sets[j].tolist()})
+        assert all(jaccard(i, x) >= 0.75 or i == x for i, x in leaders.items())
+        near = near_leaders(list(range(25)), sizes, sets, 75)
+        linked = components(range(25), [(a, b) for a, b, yes in near if yes])
+        assert linked == want
+        assert {tuple(sorted((a, b))) for a, b, yes in near if not yes} == {(j, i) for i in range(25) for j in range(i) if want[i] != want[j] and jaccard(i, j) >= 0.25}
+        half = [k % 2 == 0 for k in range(25)]
+        assert any_link(sizes, sets, half, 75) == any(jaccard(i, j) >= 0.75 for i in range(25) for j in range(25) if half[i] and not half[j])
 
 
 def test_components(spark):
