@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merganser.llm.common import pieces
-from merganser.llm.tokens import encoder
+from merganser.llm.tokens import AT_ONCE, encoder
 
 OUT = "piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -67,7 +67,7 @@ def _packed(id_col: str, text_col: str, vocabulary: str, spaces: str, end_id: in
         part = TaskContext.get().partitionId()
         bins = BoundedBestFit(length, open_bins, part << 36)
         enc, end, width = encoder(vocabulary, spaces), end_id.to_bytes(4, "little"), 4 * length
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, AT_ONCE):
             ids = batch.column(batch.schema.get_field_index(id_col))
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             rows, piece, size, data, seq, offset = [], [], [], [], [], []

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merganser.llm.common import Workspace, pieces
-from merganser.llm.tokens import encoder
+from merganser.llm.tokens import AT_ONCE, encoder
 
 #: Fixed by the public seekable format and the skippable frames of zstandard.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC = 0x184D2A5E, 0x184D2A51, 0x8F92EAB1
@@ -151,7 +151,7 @@ def _written(id_col: str, text_col: str, vocabulary: str, spaces: str, end_id: i
         enc, end = encoder(vocabulary, spaces), end_id.to_bytes(4, "little")
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else 4
         writer = path = stream = None
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, AT_ONCE):
             if writer is None:
                 store, path = filesystem(f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.tok")
                 store.create_dir(path.rpartition("/")[0], recursive=True)

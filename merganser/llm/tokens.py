@@ -6,7 +6,8 @@ text; the library encodes each distinct segment that the cache lacks. Cutting, h
 * byte-level BPE puts a space in front of the word that follows it. Cuts before a space, around a line feed, and between
   an ASCII letter or digit and one full stop or comma that ends a word are exact where no white space has other white
   space beside it and none begins or ends the text; other texts are encoded whole.
-* the word BPE drops white space and lower-cases, so cuts at spaces and line feeds are exact everywhere.
+* the word BPE drops white space and lower-cases, so cuts at spaces and line feeds are exact everywhere, and those before
+  such a full stop or comma, too.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from merganser.llm.hashing import hash_slices
 
 #: Segments of the newer generation that a worker keeps with their ids; then it becomes the older one, which is dropped
 #: in turn. A bound on memory: at most twice as many are held, and none that are longer than LONGEST bytes.
-CACHE = 300_000
+CACHE = 400_000
 LONGEST = 64
 
 _BESIDE = re.compile(r"\s\s|\A\s|\s\Z")
+_BLANKS, _BLANKS_AND_BAR = re.compile(r"\s"), re.compile(r"[\s|]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _WORD = np.zeros(256, bool)
@@ -56,6 +58,27 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment. Ordinary ones are encoded in rows, between separators that neither vocabulary merges with
+        anything: a row costs the library half as much as its segments one by one."""
+        separator, forbidden = ("\n", _BLANKS) if self.kept else (" | ", _BLANKS_AND_BAR)
+        (mark,) = self.tokenizer.encode(separator, add_special_tokens=False).ids
+        out: list[bytes | None] = [None] * len(segments)
+        # a leading space belongs to the segment
+        plain = [i for i, s in enumerate(segments) if len(s) > 1 and not forbidden.search(s, s[0] == " ")]
+        rows = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast([separator.join([segments[i] for i in r]) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == mark).tolist()
+            if len(at) == len(row) - 1:
+                raw = ids.tobytes()
+                for i, a, b in zip(row, [0, *[k + 1 for k in at]], [*at, len(ids)], strict=True):
+                    out[i] = raw[4 * a : 4 * b]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.whole([segments[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def _cuts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the segments of texts that are separated by line feeds; a separator is one, too, if kept."""
         feed, blank = data == 10, data == 32
@@ -64,7 +87,10 @@ class Encoder:
             edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
             edges = np.concatenate([[0], edge, [len(data)]])
             solid = ~gap[edges[:-1]]
-            return edges[:-1][solid], edges[1:][solid]
+            starts, ends = edges[:-1][solid], edges[1:][solid]
+            stop = (ends - starts > 1) & _STOP[data[ends - 1]] & _WORD[data[ends - 2]]
+            order = np.argsort(np.concatenate([starts, ends[stop] - 1]), kind="stable")
+            return np.concatenate([starts, ends[stop] - 1])[order], np.concatenate([ends - stop, ends[stop]])[order]
         start = feed | blank
         start[0] = True
         start[1:] |= feed[:-1]
@@ -86,7 +112,7 @@ class Encoder:
                     unknown.append(i)
                 else:
                     cache[s] = out[i] = ids
-        for i, ids in zip(unknown, self.whole([segments[i].decode() for i in unknown]), strict=True):
+        for i, ids in zip(unknown, self.apart([segments[i].decode() for i in unknown]), strict=True):
             out[i] = ids
             if len(segments[i]) <= LONGEST:
                 cache[segments[i]] = ids
@@ -146,6 +172,9 @@ class Encoder:
         return result
 
 
+#: Bytes of text that encoders take at once: distinct segments are looked up once in each.
+AT_ONCE = 8 << 20
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
