@@ -8,7 +8,9 @@ everywhere.
 
 Only the hashes of leaves are counted over all lines. Lines in leaves of too few documents can belong to no recurring
 template and go no further; the others are first reduced to (leaf, masked line, documents), so a line that a third of all
-documents share is one row from then on. Supports and recurrences count pairs of document and distinct line.
+documents share is one row from then on. Supports and recurrences count distinct ids: where an id has several lines of one
+leaf (numbered rows, log files), which is looked up apart, it is taken off the sums again except once. Rows without an id
+count as one document.
 
 Defined results: a null text counts as empty and stays null; an empty text has one empty line, which stays. Line feeds
 between lines that stay are kept. Rows that repeat an id are cleaned together, each by the same decisions, and count as one
@@ -52,19 +54,37 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth:
     return long.select("id", "line", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"))
 
 
-def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
+def several(facts: DataFrame, work: Workspace) -> DataFrame | None:
+    """(id, leaf, line, c): the masked lines, and how often, of ids that have several lines of a leaf; None if there are none."""
+    pairs = work.write(facts.groupBy("id", "leaf").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("of"), F.col("leaf").alias("in_leaf")), "pairs")
+    if not pairs.limit(1).count():
+        return None
+    own = facts.join(pairs, F.col("id").eqNullSafe(F.col("of")) & (F.col("leaf") == F.col("in_leaf")), "left_semi")
+    return work.write(own.groupBy("id", "leaf", F.col("h").alias("line")).agg(F.count("*").alias("c")), "several")
+
+
+def documents_of(rows: DataFrame, own: DataFrame | None, *key: str) -> DataFrame:
+    """Distinct ids of each key: the sum of rows' n_docs, less what an id with several lines adds beyond one."""
+    counts = rows.select(*key, "n_docs")
+    if own is not None:
+        beyond = rows.drop("n_docs").join(own, ["leaf", "line"]).groupBy("id", *key).agg((1 - F.sum("c")).alias("n_docs")).filter("n_docs < 0")
+        counts = counts.unionByName(beyond.select(*key, "n_docs"))
+    return counts.groupBy(*key).agg(F.sum("n_docs").alias("total"))
+
+
+def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float, own: DataFrame | None) -> DataFrame:
     """(line, template, n_docs): the hash of each masked line to drop, its template, and in how many documents that recurs.
 
-    facts: (leaf) of all lines; lines: (line, leaf) of all lines.
+    facts: (leaf) of all lines; lines: (line, leaf) of all lines; own: what several() finds.
     """
     busy = facts.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     distinct = lines.select("line", "leaf").join(busy, "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n_docs"))
     fields = distinct.select("leaf", F.xxhash64("line").alias("line"), "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    support = fields.groupBy("leaf", "at", "token").agg(F.sum("n_docs").alias("support"))
+    support = documents_of(fields, own, "leaf", "at", "token").withColumnRenamed("total", "support")
     general = fields.join(support, ["leaf", "at", "token"]).withColumn("field", F.when((F.col("support") >= min_docs) & (F.col("token") != FIELD), F.col("token")).otherwise(FIELD))
     templates = general.groupBy("leaf", "line", "n_docs").agg(F.array_sort(F.collect_list(F.struct("at", "field")))["field"].alias("fields"))
     enough = templates.filter(F.size(F.filter("fields", lambda t: t != FIELD)) >= constant * F.size("fields"))
-    counts = enough.groupBy("leaf", "fields").agg(F.sum("n_docs").alias("total")).filter(F.col("total") >= min_docs)
+    counts = documents_of(enough, own, "leaf", "fields").filter(F.col("total") >= min_docs)
     return enough.join(counts, ["leaf", "fields"]).select("line", F.array_join("fields", " ").alias("template"), F.col("total").alias("n_docs"))
 
 
@@ -76,7 +96,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     work = work or Workspace(docs.sparkSession, "line-templates")
     lines = parsed(docs, id_col, text_col, min_tokens, depth)
     facts = work.write(lines.select("id", "leaf", F.xxhash64("line").alias("h")), "facts")
-    known = work.write(recurring(facts.select("leaf"), lines, min_docs, constant), "known").select(F.col("line").alias("known")).distinct()
+    known = work.write(recurring(facts.select("leaf"), lines, min_docs, constant, several(facts, work)), "known").select(F.col("line").alias("known")).distinct()
     # each document's lines to drop: a set of hashes no larger than the document
     found = facts.join(known, F.col("h") == F.col("known"), "left_semi").groupBy("id").agg(F.collect_set("h").alias("drop"))
     # carried columns get plain names meanwhile, so that none can clash

@@ -206,6 +206,18 @@ def test_line_templates_against_brute_force(spark):
     assert got == want
 
 
+def test_line_templates_count_documents_not_lines(spark):
+    log = "\n".join(f"user {name} logged in from host {name}" for name in "abcdefghijkl") + "\n" + "\n".join(f"row {k} of the table{' ' * (k % 3 + 1)}here" for k in range(12))
+    rows = [(0, log), *[(1, f"job nightly{'abcdefghijkl'[k]} was started by cron") for k in range(12)]]
+    out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS), depth=1).collect()
+    assert {r.n_dropped for r in out} == {0}
+    shared = [(k, f"user {'abcdefghijkl'[k]} logged in from host {k}\nuser {k} logged in from host {k}") for k in range(12)]
+    out = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(spark.createDataFrame([*shared[:9], (90, log)], DOCS), depth=1).collect()}
+    assert out == {**dict.fromkeys(range(9), 2), 90: 12}  # ten documents have the line
+    out = line_templates.drop_recurring_lines(spark.createDataFrame([*shared[:8], (90, log)], DOCS), depth=1).collect()
+    assert {r.n_dropped for r in out} == {0}  # nine have it, in 28 lines
+
+
 def test_licences_against_brute_force(spark):
     rng = random.Random(12)
     lines = [t for _, t in licenses.TEMPLATES] + ["Released under the BSD-3-Clause license", "this is not a license at all, just words about some work", "under the public table", "LICENSED UNDER CC BY-NC 4.0", "", "mit dem Rad"]
