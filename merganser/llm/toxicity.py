@@ -32,7 +32,9 @@ from merganser.llm.hashing import hash_slices
 from merganser.llm.quality import labelled_sample, score_with
 
 WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-ORDINARY_BYTES, HARD_BYTES, CACHE = 3072, 1536, 300_000
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES, CACHE = 3072, 1536, 32_768, 300_000
+#: After so many different words a piece is no copy, however many texts hold it.
+CONTEXTS = 12
 #: Lengths of the dictionary's end that windows begin with, the least savings that count, and what windows end with.
 PADS, LEAST, TAIL = (96, 95, 93), 1.5, bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12])
 LETTER = np.zeros(256, bool)
@@ -50,7 +52,7 @@ def beginnings(text: bytes) -> set[bytes]:
     return out
 
 
-def telling(toxic: list[bytes], ordinary: list[bytes], most: int = 60, least: float = 5.0) -> list[bytes]:
+def telling(toxic: list[bytes], ordinary: list[bytes], room: int = TOXIC_BYTES, least: float = 5.0) -> list[bytes]:
     """Beginnings whose share among toxic texts exceeds the one among ordinary texts by most standard errors."""
     a, b = Counter(), Counter()
     for texts, counts in ((toxic, a), (ordinary, b)):
@@ -65,7 +67,8 @@ def telling(toxic: list[bytes], ordinary: list[bytes], most: int = 60, least: fl
             if z > least and (b[piece] <= n / 4 or z >= 8) and len(piece) > 4:
                 ranked.append((-z, piece, n))
     ranked.sort()
-    # copies of one text repeat a piece after the same word; a telling piece follows many different ones
+    # copies of one text repeat a piece after the same word; a telling piece follows many different ones. Different
+    # words before it saturate while texts grow in number: of a frequent piece a fixed number of them is asked
     before: dict[bytes, set[bytes]] = {piece: set() for _, piece, _ in ranked}
     for text in toxic:
         last = b""
@@ -74,12 +77,15 @@ def telling(toxic: list[bytes], ordinary: list[bytes], most: int = 60, least: fl
                 if (b" " + word)[:k] in before:
                     before[(b" " + word)[:k]].add(last)
             last = word
-    ranked = [r for r in ranked if len(before[r[1]]) >= 0.8 * r[2]]
+    ranked = [r for r in ranked if len(before[r[1]]) >= min(0.8 * r[2], CONTEXTS)]
     out = []
     for _, piece, n in ranked:
         # a longer piece of about the same texts says more, and one that only extends a better one says nothing new
         longer = any(m >= 0.9 * n and len(other) > len(piece) and other.startswith(piece) for _, other, m in ranked)
-        if len(out) < most and not longer and not any(piece.startswith(o) or o.startswith(piece) for o in out):
+        if not longer and not any(piece.startswith(o) or o.startswith(piece) for o in out):
+            room -= len(_at_thirds(piece))
+            if room < 0:
+                break
             out.append(piece)
     return out
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merganser.llm.language_id import HIDDEN, LanguageModel, language_id, train
 from merganser.llm.quality import QualityModel, features, quality_scores
-from merganser.llm.toxicity import ToxicityModel, toxicity_scores, windows
+from merganser.llm.toxicity import ToxicityModel, telling, toxicity_scores, windows
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -95,6 +95,17 @@ def test_windows_are_all_words():
     assert ToxicityModel([])([b""]).tolist() == [0.0]
 
 
+def test_frequent_and_many_toxic_stems_are_all_told():
+    word = lambda k: bytes(97 + k // 26**j % 26 for j in (2, 1, 0))
+    ordinary = [b"plain " + word(k) + b" words" for k in range(600)]
+    frequent = [word(k % 150) + b" vilest" for k in range(300)]  # after 150 different words
+    copies = [b"once copied"] * 300
+    assert telling(frequent + copies, ordinary) == [b" vilest"]
+    stems = [b"z" + word(k) + b"qx" for k in range(100)]
+    many = [word(n) + b" " + stem for stem in stems for n in range(30)]
+    assert len(telling(many, ordinary * 10)) == 100
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     model = LanguageModel([(b"a" * 200, "x"), (b"b" * 200, "y")], epochs=0)
