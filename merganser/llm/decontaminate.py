@@ -5,15 +5,18 @@ runs of ``window`` words, or all its words if they are fewer. Each window is a s
 containment of the whole window one shingle is the necessary prefix, and the rarest is taken: one pass over all
 documents counts how many documents hold each benchmark shingle. A second pass joins the documents' shingles to those
 prefixes, drops candidates that would begin before the document or end after it (length and position), and compares
-the words of the window one by one. Words that any occurrence covers are hit.
+the words of the window one by one, first by hash, then byte by byte. Words that any occurrence covers are hit.
 
-The benchmark's windows are broadcast in blocks of at most ``block`` windows; a larger benchmark takes one more pass
-for each block, and each pass adds its hits to what the document already carries. Documents are never shuffled.
+The benchmark's windows are broadcast in blocks that begin at no more than ``block`` words, whatever the items are: a long item
+is cut into stretches that overlap by a window less one word. A larger benchmark takes one more pass for each block, and
+each pass adds its hits to what the document already carries. A block's tables are built once a worker. Documents are never
+shuffled.
 
 Defined results: null and empty texts have no words, no hits, and are not contaminated; items without words have no
-windows; equal windows of several items count for each of them; items that repeat an id count once. Repeated documents
-are judged one by one. An empty benchmark or table is no special case. All columns of the documents are carried, and
-added ones start with ``__``.
+windows; equal windows of several items count for each of them; items that repeat an id count once. Items without an id hit
+like others and count as one item, whose id is a null in the list. Repeated documents are judged one by one. An empty
+benchmark or table is no special case. All columns of the documents are carried, and added ones start with ``__``; a column
+of the documents that has the name of an added one is left out by ``contamination`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merganser.llm.common import pieces
-from merganser.llm.hashing import U, classes, runs, tokens
+from merganser.llm.hashing import U, classes, distinct, equal_slices, hash_slices, runs, spans
 
 TABLE = classes(bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122)))
 ADDED = "__words long, __spans binary, __items array<string>, __hit long"
@@ -34,8 +37,12 @@ ADDED = "__words long, __spans binary, __items array<string>, __hit long"
 SIEVE = 20
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return tokens([(t or "").encode().lower() for t in texts], TABLE)
+class Words:
+    """The words of a batch of texts: their bytes, places and hashes, and the number of words before each text and in all."""
+
+    def __init__(self, texts: list[str | None]):
+        self.data, self.starts, self.ends, self.bounds = spans([(t or "").encode().lower() for t in texts], TABLE)
+        self.hashes = hash_slices(self.data, self.starts, self.ends)
 
 
 class Sieved:
@@ -56,26 +63,38 @@ class Sieved:
 
 
 class Windows:
-    """A block of benchmark windows: their words' hashes, their items, and the shingles they can be found by."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int, shingle: int):
-        hashes, bounds = words([t for _, t in items])
-        found: dict[bytes, set[str]] = {}
+    """A block of benchmark windows: their words, their items, and the shingles they can be found by."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int, shingle: int):
+        """items: (id, words joined by spaces), no more than a stretch of words each."""
+        words = Words([t.decode() for _, t in items])
+        self.data, self.starts, self.ends, self.hashes = words.data, words.starts, words.ends, words.hashes
+        codes = distinct(self.data, self.starts, self.ends)[0]
+        found: dict[bytes, int] = {}
+        first, size, names = [], [], []
         for i, (item, _) in enumerate(items):
-            own = hashes[bounds[i] : bounds[i + 1]]
-            size = min(window, len(own))
-            for k in range(len(own) - size + 1 if size else 0):
-                found.setdefault(own[k : k + size].tobytes(), set()).add(item)
-        self.hashes = [np.frombuffer(w, U) for w in found]
-        self.items = [sorted(x) for x in found.values()]
-        self.shingle = shingle
-        #: all (hash, window, offset, length) of shingles
-        rows = []
-        for w, own in enumerate(self.hashes):
-            n = min(shingle, len(own))
-            rows += [(int(h), w, k, n) for k, h in enumerate(runs(own, n))]
-        self.h = np.array([r[0] for r in rows], U)
-        self.window, self.offset, self.length = (np.array([r[j] for r in rows], np.int64) for j in (1, 2, 3))
+            begin, end = int(words.bounds[i]), int(words.bounds[i + 1])
+            n = min(window, end - begin)
+            for k in range(begin, end - n + 1 if n else begin):
+                w = found.setdefault(codes[k : k + n].tobytes(), len(first))
+                if w == len(first):
+                    first.append(k)
+                    size.append(n)
+                    names.append(set())
+                names[w].add(item)
+        self.first, self.size = np.array(first, np.int64), np.array(size, np.int64)
+        self.items = [_sorted(x) for x in names]
+        #: (hash, window, offset, length) of every shingle
+        n = np.minimum(self.size, shingle)
+        each = self.size - n + 1
+        self.window = np.repeat(np.arange(len(first)), each)
+        self.offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        self.length = n[self.window]
+        self.h = np.zeros(len(self.window), U)
+        for m in np.unique(self.length):
+            own = self.length == m
+            self.h[own] = runs(self.hashes, int(m))[self.first[self.window[own]] + self.offset[own]]
+        self._tables: list[tuple] | None = None
 
     def prefixes(self, counts: dict[int, int]) -> None:
         """Keeps the rarest shingle of each window; ties go to the smaller hash, so that windows share it."""
@@ -84,31 +103,46 @@ class Windows:
         by = first[np.argsort(self.h[first], kind="stable")]
         self.h, self.window, self.offset, self.length = (x[by] for x in (self.h, self.window, self.offset, self.length))
 
-    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self) -> list[tuple]:
+        """For each length of shingles: what turns most hashes away, and the windows of each; built once a worker."""
+        if self._tables is None:
+            self._tables = []
+            for n in np.unique(self.length).tolist():
+                own = self.length == n
+                sieve, h = Sieved(self.h[own]), self.h[own]
+                left, right = (np.searchsorted(h, sieve.keys, side) for side in ("left", "right"))
+                self._tables.append((n, sieve, self.window[own], self.offset[own], left, right))
+        return self._tables
+
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first word, window) of every occurrence in the texts with these words."""
         starts, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for n in np.unique(self.length):
-            own = self.length == n
-            h, window, offset = self.h[own], self.window[own], self.offset[own]
-            sieve = Sieved(h)
-            at, k = sieve.find(runs(hashes, int(n)))
-            left, right = (np.searchsorted(h, sieve.keys[k], side) for side in ("left", "right"))
-            each = right - left
-            row = np.repeat(left - np.cumsum(each) + each, each) + np.arange(each.sum())
+        hashes, bounds = words.hashes, words.bounds
+        for n, sieve, window, offset, left, right in self.tables():
+            at, k = sieve.find(runs(hashes, n))
+            each = right[k] - left[k]
+            row = np.repeat(left[k] - np.cumsum(each) + each, each) + np.arange(each.sum())
             start, w = np.repeat(at, each) - offset[row], window[row]
-            sizes = np.array([len(x) for x in self.hashes], np.int64)[w]
             text = np.searchsorted(bounds, np.repeat(at, each), "right") - 1
-            fits = (start >= bounds[text]) & (start + sizes <= bounds[text + 1])
+            fits = (start >= bounds[text]) & (start + self.size[w] <= bounds[text + 1])
             start, w = start[fits], w[fits]
-            for j in range(max(map(len, self.hashes), default=0)):  # word by word
-                wide = np.array([x[j] if j < len(x) else 0 for x in self.hashes], U)[w]
-                short = np.array([j >= len(x) for x in self.hashes], bool)[w]
-                same = short | (hashes[np.minimum(start + j, len(hashes) - 1)] == wide)
+            for j in range(int(self.size.max(initial=0))):  # word by word
+                more = self.size[w] > j
+                same = ~more
+                same[more] = hashes[start[more] + j] == self.hashes[self.first[w[more]] + j]
                 start, w = start[same], w[same]
-            starts.append(start)
-            found.append(w)
+            same = self._same_bytes(words, start, w)
+            starts.append(start[same])
+            found.append(w[same])
         return np.concatenate(starts), np.concatenate(found)
 
+    def _same_bytes(self, words: Words, start: np.ndarray, w: np.ndarray) -> np.ndarray:
+        size = self.size[w]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        a, b = np.repeat(start, size) + step, np.repeat(self.first[w], size) + step
+        same = equal_slices(words.data, words.starts[a], words.ends[a] - words.starts[a], self.data, self.starts[b], self.ends[b] - self.starts[b])
+        return np.bincount(np.repeat(np.arange(len(w)), size), ~same, len(w)) == 0
+
 
 def _counted(text_col: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +153,8 @@ def _counted(text_col: str, shared):
                 h, length = shared.value
                 sieves = {int(n): Sieved(h[length == n]) for n in np.unique(length)}
                 total = {n: np.zeros(len(s.keys), np.int64) for n, s in sieves.items()}
-            hashes, bounds = words(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            words = Words(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            hashes, bounds = words.hashes, words.bounds
             for n, sieve in sieves.items():
                 at, k = sieve.find(runs(hashes, n))
                 text = np.searchsorted(bounds, at, "right") - 1
@@ -133,6 +168,10 @@ def _counted(text_col: str, shared):
     return run
 
 
+def _sorted(items: set) -> list:
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 def _hits(spans: bytes | None) -> int:
     """Words inside any span."""
     end = hit = 0
@@ -146,8 +185,9 @@ def _matched(text_col: str, shared, more: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             block: Windows = shared.value
-            hashes, bounds = words(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            starts, windows = block.find(hashes, bounds)
+            words = Words(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            bounds = words.bounds
+            starts, windows = block.find(words)
             text = np.searchsorted(bounds, starts, "right") - 1
             order = np.lexsort((starts, text))
             starts, windows, text = starts[order], windows[order], text[order]
@@ -155,14 +195,13 @@ def _matched(text_col: str, shared, more: bool):
             spans, items = [None] * batch.num_rows, [[] for _ in range(batch.num_rows)]
             for i in np.unique(text):
                 own = slice(rows[i], rows[i + 1])
-                size = [len(block.hashes[w]) for w in windows[own]]
-                spans[i] = np.column_stack([starts[own] - bounds[i], size]).astype("<i8").tobytes()
-                items[i] = sorted({x for w in np.unique(windows[own]) for x in block.items[w]})
+                spans[i] = np.column_stack([starts[own] - bounds[i], block.size[windows[own]]]).astype("<i8").tobytes()
+                items[i] = _sorted({x for w in np.unique(windows[own]) for x in block.items[w]})
             names, columns = batch.schema.names, batch.columns
             if more:  # what earlier blocks found
                 before = {n: batch.column(names.index(n)).to_pylist() for n in ("__spans", "__items")}
                 spans = [(a or b"") + (b or b"") or None for a, b in zip(before["__spans"], spans, strict=True)]
-                items = [sorted({*a, *b}) for a, b in zip(before["__items"], items, strict=True)]
+                items = [_sorted({*a, *b}) for a, b in zip(before["__items"], items, strict=True)]
                 names, columns = names[:-4], columns[:-4]
             added = [pa.array(np.diff(bounds).astype(np.int64)), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(list(map(_hits, spans)), pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *added], [*names, "__words", "__spans", "__items", "__hit"])
@@ -174,16 +213,35 @@ def _schema(df: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
 
 
+def stretches(items, block: int, window: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Blocks of (item id, words joined by spaces) at which no more than ``block`` windows begin; each item's windows stand in
+    some stretch of it."""
+    held: list[tuple[str | None, bytes]] = []
+    size = 0
+    for item, text in items:
+        words = Words([text])
+        own = [words.data[a:b].tobytes() for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
+        begin = 0
+        while begin < len(own):
+            if size >= block:
+                yield held
+                held, size = [], 0
+            n = min(max(1, len(own) - begin - window + 1), block - size)
+            held.append((item, b" ".join(own[begin : begin + n + window - 1])))
+            size, begin = size + n, begin + n
+            if begin + window > len(own):
+                break
+    yield held
+
+
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 5, block: int = 200_000) -> DataFrame:
     """docs with ``__words``, ``__spans`` (pairs of first word and size), ``__items`` and ``__hit`` (words inside a span)."""
     spark = docs.sparkSession
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("__words", "__spans", "__items", "__hit")])
     text = docs.select(F.col(f"`{text_col}`").alias("text"))
-    source = items.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{item_text}`")).dropna(subset=[item_id])
+    source = items.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{item_text}`"))
     out, carried = docs, _schema(docs)
-    pending: list[tuple[str, str]] = []
-    size, done = 0, 0
-
-    def match(out: DataFrame) -> DataFrame:
+    for done, pending in enumerate(stretches(source.toLocalIterator(), block, window)):
         windows = Windows(pending, window, shingle)
         counts = {}
         if len(windows.h):
@@ -191,17 +249,8 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             rows = text.mapInArrow(_counted("text", shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
             counts = dict(rows.collect())  # at most a row per shingle of the block
         windows.prefixes(counts)
-        return out.mapInArrow(_matched(text_col, spark.sparkContext.broadcast(windows), done > 0), carried + ADDED)
-
-    for row in source.toLocalIterator():
-        n = len((row[1] or "").split()) + 1
-        if pending and size + n > block:
-            out = match(out)
-            done += 1
-            pending, size = [], 0
-        pending.append((row[0], row[1]))
-        size += n
-    return match(out)
+        out = out.mapInArrow(_matched(text_col, spark.sparkContext.broadcast(windows), done > 0), carried + ADDED)
+    return out
 
 
 def contaminated(least: int = 20):
@@ -209,6 +258,8 @@ def contaminated(least: int = 20):
     return (F.col("__hit") > 0) & (least * F.col("__hit") >= F.col("__words"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The documents that are not contaminated, with the columns they had."""
-    return contamination(docs, items, **how).filter(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = docs.toDF(*["text" if c == text_col else f"c{k}" for k, c in enumerate(docs.columns)])
+    clean = contamination(plain, items, text_col="text", **how).filter(~contaminated())
+    return clean.select(*plain.columns).toDF(*docs.columns)

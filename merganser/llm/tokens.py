@@ -8,6 +8,9 @@ text; the library encodes each distinct segment that the cache lacks. Cutting, h
   space beside it and none begins or ends the text; other texts are encoded whole.
 * the word BPE drops white space and lower-cases, so cuts at spaces and line feeds are exact everywhere, and those before
   such a full stop or comma, too.
+
+A text that contains an added token of the vocabulary (such as the end of a text) is encoded whole: the library's default
+takes it for that token.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from array import array
 
 import numpy as np
 
-from merganser.llm.hashing import hash_slices
+from merganser.llm.hashing import distinct
 
 #: Segments of the newer generation that a worker keeps with their ids; then it becomes the older one, which is dropped
 #: in turn. A bound on memory: at most twice as many are held, and none that are longer than LONGEST bytes.
@@ -50,7 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        #: The library takes these for one id wherever they stand: a text that has one is encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept = spaces == "kept"
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -131,8 +135,6 @@ class Encoder:
         return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import pandas as pd
-
         if not texts:
             return []
         encoded = [t.encode() for t in texts]
@@ -147,15 +149,17 @@ class Encoder:
         else:
             data = _LOWER[data]
             raw = data.tobytes()
+        folded = raw.lower()
+        for content in self.added:
+            if content.lower().encode() in folded:
+                odd |= [content.lower() in t.lower() for t in texts]
         starts, ends = self._cuts(data)
         owner = np.searchsorted(bounds, starts, "right") - 1
         use = ~odd[owner]
         if self.kept:
             use &= starts != bounds[1:][owner] - 1  # separators
         starts, ends, owner = starts[use], ends[use], owner[use]
-        keys, first = pd.factorize(hash_slices(data, starts, ends))
-        where = np.zeros(len(first), np.int64)
-        where[keys[::-1]] = np.arange(len(keys))[::-1]
+        keys, where = distinct(data, starts, ends)
         ids = self._ids([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
         flat = np.frombuffer(b"".join(ids), "<u4")
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merganser.llm.common import crc32_text
-from merganser.llm.hashing import hash_slices
+from merganser.llm.hashing import distinct
 from merganser.llm.quality import labelled_sample, score_with
 
 WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -99,8 +99,6 @@ def _trained(samples: list[bytes], size: int, fallback: bytes) -> bytes:
 
 def windows(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct windows; which of them stands at each place of the texts, in order; and the text of each place."""
-    import pandas as pd
-
     raw = b"\n".join(texts).lower() + b"\n"
     data = np.frombuffer(raw, np.uint8)
     letter = LETTER[data]
@@ -108,9 +106,7 @@ def windows(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     edges = np.concatenate([[0], edge, [len(data)]])
     solid = letter[edges[:-1]]
     starts, ends = edges[:-1][solid], edges[1:][solid]
-    keys, found = pd.factorize(hash_slices(data, starts, ends))
-    where = np.zeros(len(found), np.int64)
-    where[keys[::-1]] = np.arange(len(keys))[::-1]
+    keys, where = distinct(data, starts, ends)
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     return [b" " + raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], keys, np.searchsorted(bounds, starts, "right") - 1
 

@@ -93,6 +93,15 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert got == {(i, len(s), want[i]) for i, s in enumerate(sets)} | {(None, 2, None)}
 
 
+def test_ngram_join_tells_twins_apart(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    texts = [word, word.translate({97: 98, 98: 97}), word]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 @pytest.mark.parametrize("seed, block", [(1, 400), (2, 3000), (3, 800)])
 def test_blocks_in_chunks_lose_no_link(spark, monkeypatch, seed, block):
     import merganser.llm.ngram_join as module

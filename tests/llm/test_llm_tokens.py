@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from merganser.llm import hashing
 from merganser.llm.common import Workspace
 from merganser.llm.decontaminate import contaminated, contamination, decontaminate
 from merganser.llm.packing import BoundedBestFit, pack_best_fit
@@ -20,6 +22,45 @@ DOCS = "doc_id long, text string"
 ODD = ["a", "B", "é", " ", "  ", "\n", ".", ",", "'s", "1", "%", "\t", " ", "’", "\0", "word", "\r\n", "日", "<|endoftext|>", "é", "!?", " "]
 
 
+def twins(size=1024):
+    """Two words that every polynomial hash modulo a power of two takes for one: a Thue-Morse word and its complement."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("path, spaces", [(BYTES, "kept"), (WORDS, "dropped")])
+def test_encoder_tells_twins_and_added_tokens_apart(path, spaces):
+    from tokenizers import Tokenizer
+
+    a, b = twins()
+    enc, library = Encoder(path, spaces), Tokenizer.from_file(path)
+    texts = [f"{a} {b}", b, a, f"x {b}. {a}, y", "one two<|endoftext|>three four", "<|startoftext|>a b", "<|EndOfText|> c", " ".join(twins(2048))]
+    assert [list(np.frombuffer(i, "<u4")) for i in enc.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_slices_are_told_apart_by_their_bytes():
+    rng = random.Random(4)
+    words = [w.encode() for w in twins() * 2] + [bytes(rng.choice(b"ab\0") for _ in range(rng.choice([0, 1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 70]))) for _ in range(2000)]
+    ends = np.cumsum([len(w) for w in words])
+    starts, data = ends - [len(w) for w in words], np.frombuffer(b"".join(words), np.uint8)
+    codes, where = hashing.distinct(data, starts, ends)
+    for got in (codes, hashing.hash_slices(data, starts, ends)):
+        assert len(set(zip(words, got.tolist(), strict=True))) == len(set(words)) == len(set(got.tolist()))
+    assert codes[where].tolist() == list(range(len(where)))
+    other = rng.sample(range(len(words)), len(words))
+    same = hashing.equal_slices(data, starts, ends - starts, data, starts[other], (ends - starts)[other])
+    assert same.tolist() == [words[i] == words[j] for i, j in enumerate(other)]
+
+
+def test_unequal_slices_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(hashing, "_chained", lambda lanes, starts, sizes: np.zeros(len(starts), np.uint64))
+    data = np.frombuffer(b"aaaaaaaabbbbbbbbaaaaaaaa", np.uint8)
+    codes, _ = hashing.distinct(data, np.array([0, 8, 16]), np.array([8, 16, 24]))
+    assert codes[0] == codes[2] != codes[1]
+
+
 @pytest.mark.parametrize("path, spaces", [(BYTES, "kept"), (WORDS, "dropped")])
 def test_encoder_equals_the_library(path, spaces):
     rng = random.Random(1)
@@ -138,15 +179,15 @@ def test_contamination_against_brute_force(spark, block):
     rng = random.Random(5)
     vocab = ["aa", "BB", "c1", "é", "dd", "ee"]
     text = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice(vocab) for _ in range(n))
-    items = [(f"i{k}", text(rng.choice([1, 2, 3, 6, 9]))) for k in range(12)] + [("i0", "aa aa"), ("none", "?!"), ("null", None), (None, "aa")]
-    docs = [(i, text(rng.choice([0, 1, 4, 40, 90]))) for i in range(120)] + [(500, None), (501, ""), (3, "aa bb"), (502, "zz " * 30_000)]
+    items = [(f"i{k}", text(rng.choice([1, 2, 3, 6, 9, 40]))) for k in range(14)] + [(None, text(7)), ("twin", f"w {twins()[0]}"), (None, f"w {twins()[0]}"), ("i0", "aa aa"), ("none", "?!"), ("null", None), (None, "aa")]
+    docs = [(i, text(rng.choice([0, 1, 4, 40, 90]))) for i in range(120)] + [(500, None), (501, ""), (3, "aa bb"), (503, f"w {twins()[0]} w {twins()[1]}"), (504, f"w {twins()[1]}"), (502, "zz " * 30_000)]
     got = contamination(
         spark.createDataFrame(docs, DOCS).withColumns({"n": F.lit(1), "h": F.lit(2), "item_id": F.lit(3)}).repartition(3), spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1)), window=6, shingle=3, block=block
     ).select("doc_id", "text", "__words", "__hit", "__items", contaminated().alias("bad"))
     windows = {}
     for item, t in items:
         w = words_of(t)
-        for k in range(max(1, len(w) - 5) if w and item else 0):
+        for k in range(max(1, len(w) - 5) if w else 0):
             windows.setdefault(tuple(w[k : k + 6]), set()).add(item)
     want = Counter()
     for i, t in docs:
@@ -156,8 +197,26 @@ def test_contamination_against_brute_force(spark, block):
                 if w[k : k + len(window)] == list(window):
                     hit.update(range(k, k + len(window)))
                     found |= names
-        want[i, t, len(w), len(hit), tuple(sorted(found)), len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
-    assert Counter((r[0], r[1], r[2], r[3], tuple(r[4]), r[5]) for r in got.collect()) == want
+        want[i, t, len(w), len(hit), tuple(sorted(found, key=str)), len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
+    assert Counter((r[0], r[1], r[2], r[3], tuple(sorted(r[4], key=str)), r[5]) for r in got.collect()) == want
+
+
+def test_a_large_benchmark_in_blocks(spark):
+    """A million windows: items of all lengths, the longest larger than a block."""
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(5000)]
+    long = [rng.choice(vocab) for _ in range(700_000)]
+    items = [("long", " ".join(long)), *[(f"i{k}", " ".join(rng.choice(vocab) for _ in range(60))) for k in range(7_000)]]
+    docs = [(1, "zz " + " ".join(long[399_990:400_010]) + " zz"), (2, " ".join(long[5:17])), (3, items[7][1]), (4, " ".join(long[-13:]))]
+    out = contamination(spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(items, "item_id string, text string"), block=400_000)
+    assert {r.doc_id: (r["__hit"], r["__items"]) for r in out.collect()} == {1: (20, ["long"]), 2: (0, []), 3: (60, ["i6"]), 4: (13, ["long"])}
+
+
+def test_contamination_of_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x")], DOCS).withColumns({"__hit": F.lit("h"), "__WORDS": F.lit("w"), "c0": F.lit(1)})
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    assert [r["__hit"] for r in contamination(docs, items).orderBy("doc_id").collect()] == [3, 0]
+    assert [tuple(r) for r in decontaminate(docs, items).collect()] == [(2, "x", "h", "w", 1)]
 
 
 def test_contamination_of_nothing(spark):
