@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merganser.llm.common import crc32_text, pieces
+from merganser.llm.quality import SAMPLE_BYTES, bounded
 
 WINDOW, HIDDEN, UNDETERMINED = 64, 8, "und"
 #: Windows that are read at once.
@@ -193,13 +194,16 @@ class LanguageModel:
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0).tolist()
 
 
-def train(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model of at most ``sample`` documents outside the fold ``held_out``, those with the smallest hash of the id."""
+def train(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = 2000, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """A model of at most ``sample`` documents and ``sample_bytes`` of text outside the fold ``held_out``.
+
+    One row for each id, those with the smallest hashes of their ids first; of rows that repeat an id the least (text, language).
+    """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    usable = source.filter(f"id is not null and lang is not null and lang <> '{UNDETERMINED}' and {crc32_text('id')} % {folds} != {held_out}")
-    pick = usable.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
-    rows = usable.join(F.broadcast(pick), "id").limit(4 * sample).collect()  # at most `sample` ids
-    return LanguageModel([(r.text.encode(), r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang, r.text or "")) if r.text])
+    usable = source.filter(f"id is not null and lang is not null and text <> '' and lang <> '{UNDETERMINED}' and {crc32_text('id')} % {folds} != {held_out}")
+    pick = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = usable.join(F.broadcast(pick), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("m"))  # at most `sample` ids
+    return LanguageModel(bounded(rows.select("id", "m.text", F.col("m.lang").alias("label")), sample_bytes))
 
 
 def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

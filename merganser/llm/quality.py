@@ -81,17 +81,42 @@ def score(texts: list[bytes], weights: np.ndarray, bits: int, gain: float) -> np
     return 1 / (1 + np.exp(-np.clip(gain * total / np.maximum(count, 1) + weights[-1], -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, sample: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """At most ``sample`` rows (text, label) outside the fold ``out``: those with the smallest hash of the id."""
+#: The most bytes of text that a model is fitted on.
+SAMPLE_BYTES = 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, sample: int, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """At most ``sample`` rows (text, label) and ``sample_bytes`` of text outside the fold ``out``.
+
+    One row for each id, those with the smallest hashes of their ids first; a text that does not fit any more is passed over.
+    Of labels, or texts, that repeat an id the least is taken.
+    """
     pick = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
         .filter(f"id is not null and label is not null and {crc32_text('id')} % {folds} != {out}")
-        .orderBy(F.xxhash64("id"), "id", "label")
+        .groupBy("id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
     # at most `sample` rows of two numbers: a proven bound
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(pick), "id").select("text", "label", "id")
-    return [((t or "").encode(), y) for t, y, _ in sorted(rows.collect(), key=lambda r: (r[2], r[1], r[0] or ""))]
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(pick), "id")
+    return bounded(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")), sample_bytes)
+
+
+def bounded(rows: DataFrame, most: int) -> list[tuple[bytes, object]]:
+    """(text, label) of rows (id, text, label), by the hash of the id, as far as ``most`` bytes of text go."""
+    out, room = [], most
+    sizes = rows.select("id", F.xxhash64("id").alias("h"), F.octet_length("text").alias("n")).collect()
+    some = []
+    for r in sorted(sizes, key=lambda r: (r.h, r.id)):
+        if r.n <= room:
+            room -= r.n
+            some.append((r.id,))
+    if some:
+        ids = rows.sparkSession.createDataFrame(some, rows.select("id").schema)
+        out = rows.join(F.broadcast(ids), "id").select("id", F.xxhash64("id").alias("h"), "text", "label").collect()
+    return [(r.text.encode(), r.label) for r in sorted(out, key=lambda r: (r.h, r.id))]
 
 
 def score_with(df: DataFrame, scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,9 +142,9 @@ class QualityModel:
         return score(texts, self.weights, self.bits, self.gain)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3, sample: int = 6000, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score, predicted for every row of docs."""
-    model = QualityModel(labelled_sample(docs, labels, "quality", folds, held_out, sample, id_col, text_col))
+    model = QualityModel(labelled_sample(docs, labels, "quality", folds, held_out, sample, id_col, text_col, sample_bytes))
     scored = score_with(docs, model, id_col, text_col)
     return scored.select(
         F.col(f"`{id_col}`"),

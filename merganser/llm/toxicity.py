@@ -1,26 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made on the driver from a bounded sample of labelled rows: one is trained on ordinary
-texts, the content of the other is the pieces (beginnings of words) that many toxic texts, after many different words, and
-few ordinary ones hold. Whole texts are cut into windows, one word with the space before it each, in lower case. A window is
-compressed once with the ordinary dictionary and once with the toxic one added to it; the difference of the two
-lengths is what toxic text saves. Windows are that short because chance matches in longer ones save as much as a
-toxic word does. Literals stay raw and matches have five bytes at least. Every window stands between the same bytes of the
-dictionary, so that no block is left uncompressed, and others that match nothing, since the matcher does not look at the last
-eight; it is measured behind three beginnings of different lengths, which shows fractions of a byte. Ordinary words that
-save nevertheless are added to the ordinary dictionary. Equal windows of a batch are compressed once, and a bounded
-cache keeps their savings. A document's savings (by 100 words, largest, sum, number and share of windows that save) give its score by
-a logistic calibration, fitted on texts that the dictionaries of the calibration round had not seen.
+Two zstandard dictionaries are trained on the driver, by the library's own trainer, from a bounded sample of labelled rows: one on
+toxic texts, one on ordinary ones. A sample of the trainer is the distinct words of a text, in order, so that a text that
+repeats itself counts once. The ordinary dictionary is trained in two rounds: first on whole texts, then on those of
+their windows that the first pair takes for toxic, which chance matches bring about; both parts are kept. Both
+dictionaries are filled to the same length, and the toxic part lies farthest from the window, so that a match there is
+never the cheaper one merely for being near.
+
+Whole texts are cut into windows, one word between spaces, in lower case. A window is compressed with each dictionary, by
+the optimal parser and with literals left raw; the difference of the two lengths is what the toxic dictionary saves. So short
+a window cannot be compressed by itself: each is put between CONTEXT, with which both dictionaries end, and TAIL, in whose
+place the matcher does not look. Savings are compared with LEVELS: how many distinct windows of a text reach each one, by
+themselves and by 100, and the largest saving give the document's score by a logistic calibration, fitted on texts that the
+dictionaries of the calibration round had not seen. Windows are distinct within a text, and equal windows of a batch are
+compressed once; a bounded cache keeps their savings.
+
+Sizes, levels and the rounds were chosen by inner folds of the training rows.
 
 Defined results: null and empty texts have no windows and get a low score like any other clean text. Labels that are null
 are not learnt from; without both labels in the sample every score is the share of toxic labels. Repeated rows score
-alike. Other columns are not read.
+alike; of rows that repeat an id one is learnt from. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import zstandard
@@ -29,76 +33,37 @@ from pyspark.sql import functions as F
 
 from merganser.llm.common import crc32_text
 from merganser.llm.hashing import distinct
-from merganser.llm.quality import labelled_sample, score_with
-
+from merganser.llm.quality import SAMPLE_BYTES, labelled_sample, score_with
+
+#: Bytes of each dictionary part, bytes of the segments that the trainer looks for, and of the pieces it counts.
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES, SEGMENT, PIECE = 262_144, 131_072, 32_768, 16, 6
+#: Savings (bytes) that are counted; a window of the first round's ordinary texts that saves HARD is learnt once more.
+LEVELS, HARD = (1, 2, 3, 4, 5), 1
+#: What windows stand between, and the number of windows whose savings a worker keeps.
+CONTEXT, TAIL, CACHE = bytes(range(128, 224)), bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12]), 300_000
 WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES, CACHE = 3072, 1536, 32_768, 300_000
-#: After so many different words a piece is no copy, however many texts hold it.
-CONTEXTS = 12
-#: Lengths of the dictionary's end that windows begin with, the least savings that count, and what windows end with.
-PADS, LEAST, TAIL = (96, 95, 93), 1.5, bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12])
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-MATCHING = {"strategy": zstandard.STRATEGY_FAST, "min_match": 5, "target_length": 1, "window_log": 17, "hash_log": 16, "chain_log": 14, "search_log": 4}
-
-
-def beginnings(text: bytes) -> set[bytes]:
-    """Beginnings of four bytes and more of the text's words, each with a space in front."""
-    out = set()
-    for word in set(WORD.findall(text)):
-        word = b" " + word
-        out.update(word[:k] for k in range(4, min(9, len(word))))
-        out.add(word)
-    return out
-
-
-def telling(toxic: list[bytes], ordinary: list[bytes], room: int = TOXIC_BYTES, least: float = 5.0) -> list[bytes]:
-    """Beginnings whose share among toxic texts exceeds the one among ordinary texts by most standard errors."""
-    a, b = Counter(), Counter()
-    for texts, counts in ((toxic, a), (ordinary, b)):
-        for text in texts:
-            counts.update(beginnings(text))
-    na, nb = max(1, len(toxic)), max(1, len(ordinary))
-    ranked = []
-    for piece, n in a.items():
-        if n >= 5:
-            p = (n + b[piece]) / (na + nb)
-            z = (n / na - b[piece] / nb) / (p * (1 - p) * (1 / na + 1 / nb) + 1e-12) ** 0.5
-            if z > least and (b[piece] <= n / 4 or z >= 8) and len(piece) > 4:
-                ranked.append((-z, piece, n))
-    ranked.sort()
-    # copies of one text repeat a piece after the same word; a telling piece follows many different ones. Different
-    # words before it saturate while texts grow in number: of a frequent piece a fixed number of them is asked
-    before: dict[bytes, set[bytes]] = {piece: set() for _, piece, _ in ranked}
-    for text in toxic:
-        last = b""
-        for word in WORD.findall(text):
-            for k in range(5, len(word) + 2):
-                if (b" " + word)[:k] in before:
-                    before[(b" " + word)[:k]].add(last)
-            last = word
-    ranked = [r for r in ranked if len(before[r[1]]) >= min(0.8 * r[2], CONTEXTS)]
-    out = []
-    for _, piece, n in ranked:
-        # a longer piece of about the same texts says more, and one that only extends a better one says nothing new
-        longer = any(m >= 0.9 * n and len(other) > len(piece) and other.startswith(piece) for _, other, m in ranked)
-        if not longer and not any(piece.startswith(o) or o.startswith(piece) for o in out):
-            room -= len(_at_thirds(piece))
-            if room < 0:
-                break
-            out.append(piece)
-    return out
-
-
-def _trained(samples: list[bytes], size: int, fallback: bytes) -> bytes:
+MATCHING = {"strategy": zstandard.STRATEGY_BTULTRA2, "min_match": 3, "target_length": 64, "window_log": 20, "hash_log": 19, "chain_log": 20, "search_log": 6}
+
+
+def vocabulary(text: bytes) -> list[bytes]:
+    """The distinct words of a text in lower case, in order."""
+    return list(dict.fromkeys(WORD.findall(text)))
+
+
+def trained(samples: list[list[bytes]], size: int) -> bytes:
+    """A dictionary trained on the words of each sample; their last words themselves if they are too few to train on."""
+    joined = [b" " + b" ".join(s) + b" " for s in samples if s]
+    joined = [j for j in joined if len(j) >= 8]
     try:
-        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        return fallback[-size:]
+        return zstandard.train_dictionary(size, joined, k=SEGMENT, d=PIECE).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(joined)[-size:]
 
 
 def windows(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct windows; which of them stands at each place of the texts, in order; and the text of each place."""
+    """The distinct windows of all texts; and (window, text), once each, in no order."""
     raw = b"\n".join(texts).lower() + b"\n"
     data = np.frombuffer(raw, np.uint8)
     letter = LETTER[data]
@@ -108,19 +73,12 @@ def windows(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     starts, ends = edges[:-1][solid], edges[1:][solid]
     keys, where = distinct(data, starts, ends)
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return [b" " + raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], keys, np.searchsorted(bounds, starts, "right") - 1
+    owner = np.searchsorted(bounds, starts, "right") - 1
+    pairs = np.unique(owner * np.int64(max(1, len(where))) + keys)
+    return [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], pairs % max(1, len(where)), pairs // max(1, len(where))
 
 
-def _at_thirds(piece: bytes) -> bytes:
-    return piece.ljust(-(-len(piece) // 3) * 3, b"\n")
-
-
-def _filled(content: bytes) -> bytes:
-    """To a length that keeps what stands behind it at the same places of the index."""
-    return content.rjust(-(-len(content) // 48) * 48, b"\n")
-
-
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **MATCHING)
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=parameters)
@@ -129,64 +87,47 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 class Dictionaries:
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        toxic, ordinary = ([t.lower() for t in texts] for texts in (toxic, ordinary))
-        cut = [t[i : i + 512] for t in ordinary for i in range(0, len(t), 512)]
-        start = _trained(cut, 8 * ORDINARY_BYTES, b"".join(cut))[-ORDINARY_BYTES:].rjust(ORDINARY_BYTES, b"\n")
-        # the most telling pieces last: nearest to the window; each begins where the matcher indexes
-        self.toxic = _filled(b"".join(_at_thirds(w) for w in reversed(telling(toxic, ordinary))))
-        counts = Counter(w for t in ordinary for w in {b" " + x for x in WORD.findall(t)})
-        common = [w for w, n in counts.items() if n > 1]
-        self._use(start, common)
-        if self.toxic:
-            hard = sorted((-counts[w], w) for w, d in zip(common, self._of(common), strict=True) if d > 1)
-            room, kept = HARD_BYTES, []
-            for _, w in hard:
-                room -= len(w)
-                if room < 0:
-                    break
-                kept.append(w)
-            self._use(_filled(b"".join(map(_at_thirds, reversed(kept)))) + start, common)
-
-    def _use(self, ordinary: bytes, common: list[bytes]) -> None:
-        """Savings are counted from the median over ordinary words."""
-        self.ordinary, self._made, self._saved, self.base = ordinary, None, {}, 0.0
-        if common:
-            self.base = float(np.median(self._of(common[:2000])))
+        toxic, ordinary = ([vocabulary(t.lower()) for t in texts] for texts in (toxic, ordinary))
+        first = trained(ordinary, ORDINARY_BYTES)
+        self._use(trained(toxic, TOXIC_BYTES), first)
+        hard = [[w for w, d in zip(s, self.of(s), strict=True) if d >= HARD] for s in ordinary]
+        self._use(self.toxic, first + trained(hard, HARD_BYTES))
+
+    def _use(self, toxic: bytes, ordinary: bytes) -> None:
+        self.toxic, self.ordinary, self._made, self._saved = toxic, ordinary, None, {}
 
     def __getstate__(self):
         return self.__dict__ | {"_made": None, "_saved": {}}
 
-    def _of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves in each of these windows."""
         if self._made is None:
-            # the matcher indexes every third byte; both have to index the same ordinary bytes
-            self._made = _compressor(self.ordinary + self.toxic), _compressor(b"\n" * len(self.toxic) + self.ordinary)
+            size = max(len(self.toxic), len(self.ordinary))
+            self._made = tuple(compressor(c.ljust(size, b"\n") + CONTEXT).compress for c in (self.toxic, self.ordinary))
         if len(self._saved) > CACHE:
             self._saved = {}
-        with_toxic, plain = (c.compress for c in self._made)
-        pads = [self.ordinary[-n:] for n in PADS]
+        toxic, ordinary = self._made
         saved, out = self._saved, []
         for word in words:
             d = saved.get(word)
             if d is None:
-                d = 0
-                for p in pads:
-                    window = p + word + TAIL
-                    d += len(plain(window)) - len(with_toxic(window))
-                saved[word] = d
+                window = b"".join((CONTEXT, b" ", word, b" ", TAIL))
+                d = saved[word] = len(ordinary(window)) - len(toxic(window))
             out.append(d)
-        return np.array(out, float) / len(PADS) - self.base
+        return np.array(out, np.int64)
 
-    def savings(self, texts: list[bytes]) -> np.ndarray:
-        """A row per text: by 100 words, largest, sum, number and share of windows that save."""
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """A row per text: how many distinct windows reach each level, in number and by 100, and the largest saving."""
         words, keys, owner = windows(texts)
-        d = self._of(words)[keys] if len(keys) else np.zeros(0)
-        d[d < LEAST] = 0  # less is chance
-        n = np.bincount(owner, minlength=len(texts))
-        total, count = np.bincount(owner, d, len(texts)), np.bincount(owner, d > 0, len(texts))
+        d = self.of(words)[keys] if len(keys) else np.zeros(0, np.int64)
+        n = np.maximum(np.bincount(owner, minlength=len(texts)), 10)
+        columns = []
+        for level in LEVELS:
+            count = np.bincount(owner[d >= level], minlength=len(texts))
+            columns += [np.log1p(count), np.minimum(100 * count / n, 10)]
         largest = np.zeros(len(texts))
-        np.maximum.at(largest, owner[d > 0], d[d > 0])
-        return np.column_stack([total / np.maximum(n, 10) * 100, np.minimum(largest, 10), np.log1p(total), np.log1p(count), count / np.maximum(n, 10)])
+        np.maximum.at(largest, owner, np.clip(d, 0, 10))
+        return np.column_stack([*columns, largest])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 3000) -> np.ndarray:
@@ -203,10 +144,11 @@ class ToxicityModel:
         y = np.array([label for _, label in sample], float)
         self.prior, self.weights = float(y.mean()) if len(y) else 0.0, None
         if 0 < self.prior < 1:
-            rows = np.empty((len(sample), 5))
+            rows = np.empty((len(sample), 2 * len(LEVELS) + 1))
+            fold = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 2  # half of each label
             for k in (0, 1):
-                d = self._dictionaries([s for i, s in enumerate(sample) if i % 2 != k])
-                rows[k::2] = d.savings([t for t, _ in sample[k::2]])
+                own = np.flatnonzero(fold == k)
+                rows[own] = self._dictionaries([s for s, f in zip(sample, fold, strict=True) if f != k]).features([sample[i][0] for i in own])
             self.mean, self.scale = rows.mean(0), rows.std(0) + 1e-6
             self.weights = _logistic(np.column_stack([(rows - self.mean) / self.scale, np.ones(len(y))]), y)
             self.dictionaries = self._dictionaries(sample)
@@ -218,13 +160,13 @@ class ToxicityModel:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        x = self.dictionaries.savings(texts)
+        x = self.dictionaries.features(texts)
         return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, sample: int = 6000, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score, predicted for every row of docs."""
-    model = ToxicityModel(labelled_sample(docs, labels, "toxic", folds, held_out, sample, id_col, text_col))
+    model = ToxicityModel(labelled_sample(docs, labels, "toxic", folds, held_out, sample, id_col, text_col, sample_bytes))
     return score_with(docs, model, id_col, text_col).select(
         F.col(f"`{id_col}`"),
         F.coalesce(F.expr(crc32_text(f"`{id_col}`")) % folds == held_out, F.lit(False)).alias("held_out"),
