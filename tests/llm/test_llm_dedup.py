@@ -174,43 +174,47 @@ def mask(line):
     return re.sub(r"\S*[0-9]\S*", "<*>", line)
 
 
-def brute_templates(docs, depth, min_docs, min_tokens, constant):
-    counts = Counter()
-    for _, text in docs:
-        for line in set((text or "").split("\n")) if text is not None else ():
-            m = mask(line)
-            if m.count(" ") + 1 >= min_tokens:
-                counts[m] += 1
-    support = Counter()
+def brute_templates(docs, depth, min_docs, min_tokens, constant, long_tokens):
+    """{masked line: the id that keeps it, or None}; ids are counted, rows without one as one document."""
+    where = defaultdict(set)
+    for i, text in docs:
+        for line in (text or "").split("\n") if text is not None else ():
+            if mask(line).count(" ") + 1 >= min_tokens:
+                where[mask(line)].add(i)
     leaf = lambda m: (m.count(" "), *m.split(" ")[:depth])
-    for m, n in counts.items():
+    need = lambda m: 2 if m.count(" ") + 1 >= long_tokens else min_docs
+    support = defaultdict(set)
+    for m, ids in where.items():
         for at, token in enumerate(m.split(" ")):
-            support[leaf(m), at, token] += n
-    fields = {m: tuple(t if support[leaf(m), at, t] >= min_docs and t != "<*>" else "<*>" for at, t in enumerate(m.split(" "))) for m in counts}
-    total = Counter()
-    for m, n in counts.items():
+            support[leaf(m), at, token] |= ids
+    fields = {m: tuple(t if len(support[leaf(m), at, t]) >= need(m) and t != "<*>" else "<*>" for at, t in enumerate(m.split(" "))) for m in where}
+    total = defaultdict(set)
+    for m, ids in where.items():
         if sum(t != "<*>" for t in fields[m]) >= constant * len(fields[m]):
-            total[leaf(m), fields[m]] += n
-    return {m for m in counts if total[leaf(m), fields[m]] >= min_docs}
+            total[leaf(m), fields[m]] |= ids
+    out = {}
+    for m in where:
+        ids = total[leaf(m), fields[m]]
+        if len(ids) >= need(m):
+            out[m] = None if len(ids) >= min_docs else min(i for i in ids if i is not None)
+    return out
 
 
 def test_line_templates_against_brute_force(spark):
     rng = random.Random(10)
     lines = ["user 17 logged in from host 3", "user alice logged in from host b", "the quick brown fox jumps over it", "short", "", "  spaced   out words in a line ", "a\tb c d e f"]
-    docs = [(i, "\n".join(rng.choice([*lines, f"user {i} logged in from host {i}", f"the quick brown fox jumps over {rng.random()}", " ".join(rng.choice("abc") for _ in range(6))]) for _ in range(rng.randint(0, 6)))) for i in range(60)]
-    docs += [(100, None), (101, ""), (3, docs[4][1]), (None, "the quick brown fox jumps over it"), (102, ("word " * 20_000).strip())]
+    passages = [" ".join(f"p{'abcdefgh'[k]}{'xyz'[j % 3]} w{'klmn'[j % 4]}" for j in range(6)) for k in range(8)]
+    docs = [(i, "\n".join(rng.choice([*lines, *passages, f"user {i} logged in from host {i}", f"the quick brown fox jumps over {rng.random()}", " ".join(rng.choice("abc") for _ in range(6))]) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    docs += [(100, None), (101, ""), (3, docs[4][1]), (None, "the quick brown fox jumps over it"), (102, ("word " * 20_000).strip()), (104, f"{passages[0]} once"), (103, f"{passages[0]} once\nshort"), (None, f"{passages[0]} twice"), (105, f"{passages[0]} twice")]
     df = spark.createDataFrame(docs, DOCS).withColumns({"drop": F.lit(1), "id": F.lit(2), "kept": F.lit(3)}).repartition(3)
-    how = {"depth": 2, "min_docs": 4, "constant": 0.6}
-    drop = brute_templates(docs, 2, 4, 5, 0.6)
-    assert drop
+    how = {"depth": 2, "min_docs": 4, "constant": 0.6, "long_tokens": 12}
+    drop = brute_templates(docs, 2, 4, 5, 0.6, 12)
+    assert None in drop.values() and set(drop.values()) >= {103, 105}
     got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_templates.drop_recurring_lines(df, carry=("drop", "id"), min_tokens=5, **how).collect())
     want = Counter()
-    by_id = defaultdict(set)
-    for i, text in docs:
-        by_id[i] |= {mask(x) for x in (text or "").split("\n")}
     for i, text in docs:
         every = text.split("\n") if text is not None else []
-        kept = [x for x in every if not (i is not None and mask(x) in drop)]
+        kept = [x for x in every if not (i is not None and mask(x) in drop and (drop[mask(x)] is None or drop[mask(x)] != i))]
         want[i, None if text is None else "\n".join(kept), len(every), len(every) - len(kept)] += 1
     assert got == want
 
