@@ -12,21 +12,26 @@ A document is the set of its distinct runs of ``n`` words. Two documents link wh
 3. In each block, T-occurrence search. The index holds leaders: a class joins the first leader it links with, else it
    becomes one. By the triangle inequality of the Jaccard distance, a class that links with a member of a leader
    reaches a lower overlap T with the leader itself. The leaders that reach T are found in the inverted lists as
-   DivideSkip does it: the short lists are merged by a heap, and the long ones are only probed by binary search, for the
-   leaders that the short ones left within reach. Members are compared where they could connect two components.
-4. A block of more shingles than a task should hold is dealt into chunks that are searched one by one. Then only leaders
+   DivideSkip does it: the short lists are merged, by a heap or, if they are many and full, by one sort of all their entries,
+   and the long ones are only probed by binary search, for the leaders that the short ones left within reach. Members are
+   compared where they could connect two components.
+4. A block of more shingles or classes than a task should hold is dealt into chunks that are searched one by one. Then only leaders
    are searched together; members of two leaders are compared only if these are still unconnected and near enough for their
    members to link, again by the triangle inequality.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing, not even each other. A
 document of fewer than n words has its whole sequence as only shingle. Rows that repeat an id are one node with several
-sets. Null ids give a row of their own, without a component, and take no part. An empty table gives an empty result. Other columns are
-not read. Shingles are compared by 64-bit hashes.
+sets, which connects all that these link with. Null ids give a row of their own, without a component, and take no part. An empty table gives an empty result. Other columns are
+not read. Shingles are compared by 64-bit hashes of sequences of word hashes (see ``hashing``), sets by 128 bits.
+
+Batches are cut by the order of rows, so an input behind a shuffle, which a lost executor may bring in another order, is
+written to the shared folder first.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,15 +40,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.common import Workspace, pieces
+from merganser.llm.common import Workspace, pieces, settled
 from merganser.llm.components import connected_components
 from merganser.llm.hashing import U, classes, mix, shingles, tokens
 
 TABLE = classes(b" \t\n\v\f\r")
 #: Shingles of one batch of documents; documents in it fit two bytes.
 BATCH, BATCH_DOCS = 1_500_000, 60_000
-#: Shingles in a task of step 3.
-BLOCK = 1_000_000
+#: Shingles, and classes, in a task of step 3.
+BLOCK, BLOCK_CLASSES = 1_000_000, 1_000
+#: Entries of short lists from which one sort merges them faster than a heap; and how much dearer than merging an entry it is
+#: to probe a list, by which DivideSkip chooses what lists are long.
+HEAP, PROBE = 500, 0.5
 
 PARTS = "bucket int, batch long, a binary, b binary, c binary, d binary, e binary"
 DOCS = "doc_id long, n long, class binary, shared binary, prefix binary"
@@ -103,7 +111,8 @@ def _dealt(n: int, buckets: int):
             distinct, count = np.unique(every[many], return_counts=True)
             single, who = every[~many], owner[~many]
             s_at, m_at = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (single, distinct))
-            out = [(name % buckets, name, np.array(ids, "<i8").tobytes(), sizes.astype("<u4").tobytes(), names.tobytes(), _pack(every[many]), owner[many].tobytes())]
+            # hashed: the names of all tasks end in zeros
+            out = [(int(mix(np.array([name], U))[0] % U(buckets)), name, np.array(ids, "<i8").tobytes(), sizes.astype("<u4").tobytes(), names.tobytes(), _pack(every[many]), owner[many].tobytes())]
             for k in range(buckets):
                 s, m = slice(s_at[k], s_at[k + 1]), slice(m_at[k], m_at[k + 1])
                 if s.start < s.stop or m.start < m.stop:
@@ -187,14 +196,16 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))], ["shingle", "rep"])
 
 
-def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
-    """Occurrences of every number that at least t of the ascending lists hold (t > 0)."""
+def divide_skip(lists: list, t: int) -> dict[int, int]:
+    """Occurrences of every number that at least t of the ascending lists (or arrays of "i") hold (t > 0)."""
     lists = sorted(lists, key=len)
     if len(lists) < t:
         return {}
     # the more lists are probed, the fewer occurrences the merge may ask for
-    aside = min(t - 1, int(t / (0.01 * np.log(max(2, len(lists[-1]))) + 1))) if lists else 0
+    aside = min(t - 1, int(t / (PROBE * np.log(max(2, len(lists[-1]))) + 1))) if lists else 0
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    if sum(map(len, short)) > HEAP:
+        return _sorted_skip(short, long, t)
     out: dict[int, int] = {}
     last, n = None, 0
     for x in heapq.merge(*short):
@@ -220,6 +231,22 @@ def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
     return out
 
 
+def _sorted_skip(short: list, long: list, t: int) -> dict[int, int]:
+    """The same of many entries: numbers that the short lists leave within reach are looked up in all long ones at once."""
+    found, n = np.unique(np.concatenate([np.asarray(x, np.int32) for x in short]), return_counts=True)
+    for k in range(len(long) + 1):
+        within = n + len(long) - k >= t
+        if not within.all():
+            found, n = found[within], n[within]
+        if k == len(long) or not len(found):
+            break
+        values = np.asarray(long[k], np.int32)
+        at = np.searchsorted(values, found)
+        at[at == len(values)] = 0
+        n = n + (values[at] == found)
+    return dict(zip(found.tolist(), n.tolist(), strict=True))
+
+
 def link(size_a: int, size_b: int, overlap: int, percent: int) -> bool:
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
@@ -256,7 +283,7 @@ def grouped(reps: list[int], sizes: list[int], shared: list[np.ndarray], percent
     sets = Union(reps)
     # a link with a member is at most 1 - percent/100 from it, and it at most as much from its leader
     reach = max(1, 2 * percent - 100)
-    index: dict[int, list[int]] = {}
+    index: dict[int, array] = {}
     members: dict[int, list[tuple[int, float]]] = {}
     leader = list(range(len(reps)))
     for i in range(len(reps)):
@@ -284,7 +311,7 @@ def grouped(reps: list[int], sizes: list[int], shared: list[np.ndarray], percent
         else:
             members[i] = []
             for h in own:
-                index.setdefault(h, []).append(i)
+                index.setdefault(h, array("i")).append(i)
     return [(reps[i], reps[sets.find(i)], reps[leader[i]]) for i in range(len(reps))]
 
 
@@ -294,7 +321,7 @@ def near_leaders(reps: list[int], sizes: list[int], shared: list[np.ndarray], pe
     reps, sizes, shared = by_size(reps, sizes, shared)
     sets = Union(reps)
     reach = max(1, 3 * percent - 200)
-    index: dict[int, list[int]] = {}
+    index: dict[int, array] = {}
     out, open_ = [], []
     for i in range(len(reps)):
         own = shared[i].tolist()
@@ -307,17 +334,17 @@ def near_leaders(reps: list[int], sizes: list[int], shared: list[np.ndarray], pe
             elif link(sizes[i], sizes[p], overlap, reach):
                 open_.append((p, i))
         for h in own:
-            index.setdefault(h, []).append(i)
+            index.setdefault(h, array("i")).append(i)
     return out + [(reps[p], reps[i], False) for p, i in open_ if sets.find(p) != sets.find(i)]
 
 
 def any_link(sizes: list[int], shared: list[np.ndarray], side: list[bool], percent: int) -> bool:
     """Does a set of one side link with one of the other?"""
-    index: dict[int, list[int]] = {}
+    index: dict[int, array] = {}
     for i in range(len(sizes)):
         if side[i]:
             for h in shared[i].tolist():
-                index.setdefault(h, []).append(i)
+                index.setdefault(h, array("i")).append(i)
     for i in range(len(sizes)):
         if not side[i]:
             found = divide_skip([index[h] for h in shared[i].tolist() if h in index], max(1, needed(sizes[i], percent)))
@@ -378,7 +405,7 @@ def _tasks(df: DataFrame, *keys: str) -> DataFrame:
 
 def _chunks(column: str = "shared"):
     """Into how many parts a group has to be dealt so that two of them fit a task."""
-    return F.ceil(F.sum(F.length(column) / 8) / (BLOCK // 2))
+    return F.greatest(F.ceil(F.sum(F.length(column) / 8) / (BLOCK // 2)), F.ceil(F.count("*") / (BLOCK_CLASSES // 2)))
 
 
 def _large_blocks(found: DataFrame, placed: DataFrame, percent: int, work: Workspace) -> DataFrame:
@@ -423,6 +450,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     work = work or Workspace(spark, "ngram-join")
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    slim = settled(slim, work, "input")
     real = slim.filter("doc_id is not null")
     buckets = max(16, 4 * real.rdd.getNumPartitions())
     counted = real.mapInArrow(_dealt(n, buckets), PARTS).groupBy("bucket").applyInArrow(_counted, "batch long, part boolean, a binary, b binary, c binary, d binary, e binary")
@@ -442,9 +470,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         linked_reps = connected_components(_large_blocks(found, placed, percent, work), work, "linked")
     else:
         linked_reps = found.select(F.col("rep").alias("node"), "root")
+    several = every.groupBy("doc_id").agg(F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y")).filter("x <> y").select(F.col("doc_id").alias("of"))
+    several = work.write(several, "several")
+    if several.limit(1).count():  # one node with several sets: its own, and those of their classes
+        own = every.filter("shared is not null").join(several, F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", F.col("class").alias("c"))
+        own = own.join(groups.select("class", "rep"), F.col("c") == F.col("class")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        linked_reps = connected_components(linked_reps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(own), work, "nodes")
     named = groups.select("class", "rep").join(linked_reps, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("of"), F.coalesce("root", "rep").alias("root"))
-    found = every.join(named, every["class"] == named["of"], "left")
-    rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    found = every.join(named, every["class"] == named["of"], "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    if several.limit(1).count():  # rows of such an id whose sets link with nothing
+        nodes = linked_reps.select(F.col("node").alias("own"), F.col("root").alias("own_root"))
+        found = found.join(nodes, F.col("doc_id") == F.col("own"), "left").select("doc_id", "n", F.least("root", F.coalesce("own_root", "root")).alias("root"))
+    rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
     return rows.unionByName(_without_id(slim, n))
 
 
