@@ -4,8 +4,9 @@ A line is parsed by a tree of fixed depth: the number of its tokens, then its le
 variable field. In each leaf the tokens of a place that too few documents share become variable fields, too, and what is
 left of the line is its template. A template is recurring if its lines stand in ``min_docs`` documents and at least
 ``constant`` of its fields are constant; lines of recurring templates that have ``min_tokens`` tokens are dropped,
-everywhere. A passage, a line of ``long_tokens`` tokens or more, is recurring from two documents on; while it stands in fewer
-than ``min_docs`` documents the one with the least id keeps it, so that copies of a text don't empty each other.
+everywhere. A passage, a line of ``long_tokens`` tokens or more, recurs by itself from two documents on that have the same masked
+line; unless its template is dropped anyway the document with the least id keeps it, so that copies of a text don't empty
+each other.
 
 Everything is counted on hashes: first by (leaf, line), so a line that a third of all documents share is a row per map task
 and then one row; leaves of too few documents can hold no recurring template, and their lines go no further. The text
@@ -68,34 +69,31 @@ def documents_of(rows: DataFrame, own: DataFrame | None, *key: str) -> DataFrame
     """Distinct ids of each key: the sum of rows' n_docs, less what an id with several lines adds beyond one."""
     counts = rows.select(*key, "n_docs")
     if own is not None:
-        beyond = rows.drop("n_docs", "first").join(own, ["leaf", "line"]).groupBy("id", *key).agg((1 - F.sum("c")).alias("n_docs")).filter("n_docs < 0")
+        beyond = rows.drop("n_docs").join(own, ["leaf", "line"]).groupBy("id", *key).agg((1 - F.sum("c")).alias("n_docs")).filter("n_docs < 0")
         counts = counts.unionByName(beyond.select(*key, "n_docs"))
     return counts.groupBy(*key).agg(F.sum("n_docs").alias("total"))
 
 
 def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float, long_tokens: int, own: DataFrame | None) -> DataFrame:
-    """(line, template, n_docs, keeper): the hash of each masked line to drop, its template, in how many documents that recurs,
-    and the id that keeps it, if any.
+    """(line, template, n_docs, keeper): the hash of each masked line to drop, its template and in how many documents that recurs;
+    of passages the id that keeps it instead.
 
     facts: (id, leaf, h, n) of all lines; lines: (id, h, line) of all lines; own: what several() finds.
     """
-    need = lambda n: F.when(n >= long_tokens, 2).otherwise(min_docs)
-    counts = facts.groupBy("leaf", "h", "n").agg(F.count("*").alias("n_docs"), F.min("id").alias("rep"))
-    busy = counts.groupBy("leaf", "n").agg(F.sum("n_docs").alias("all_docs")).filter(F.col("all_docs") >= need(F.col("n"))).select("leaf")
+    counts = facts.groupBy("leaf", "h", "n").agg(F.count("*").alias("n_docs"), F.count("id").alias("named"), F.min("id").alias("rep"), F.max("id").alias("other"))
+    busy = counts.groupBy("leaf").agg(F.sum("n_docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs).select("leaf")
     wanted = counts.join(busy, "leaf").select(F.col("rep").alias("id"), "h", "leaf", "n_docs")
     distinct = lines.select("id", "h", "line").join(wanted, ["id", "h"]).distinct()
-    fields = distinct.select("leaf", F.col("h").alias("line"), "n_docs", F.col("id").alias("first"), F.posexplode(F.split("line", " ")).alias("at", "token"))
+    fields = distinct.select("leaf", F.col("h").alias("line"), "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     support = documents_of(fields, own, "leaf", "at", "token").withColumnRenamed("total", "support")
-    # the tokens of a leaf's lines are as many
-    sizes = facts.select("leaf", "n").distinct().withColumn("need", need(F.col("n"))).drop("n")
-    general = fields.join(support, ["leaf", "at", "token"]).select("leaf", "line", "n_docs", "first", "at", F.when(F.col("token") != FIELD, F.col("token")).alias("token"), "support")
-    grouped = general.groupBy("leaf", "line", "n_docs", "first").agg(F.array_sort(F.collect_list(F.struct("at", "token", "support"))).alias("f")).join(sizes, "leaf")
-    templates = grouped.withColumn("fields", F.transform("f", lambda x: F.when(x["support"] >= F.col("need"), F.coalesce(x["token"], F.lit(FIELD))).otherwise(FIELD)))
-    enough = templates.filter(F.size(F.filter("fields", lambda t: t != FIELD)) >= constant * F.size("fields")).select("leaf", "line", "n_docs", "first", "need", "fields")
-    totals = documents_of(enough, own, "leaf", "fields")
-    firsts = enough.groupBy("leaf", "fields").agg(F.min("first").alias("keeper"))
-    found = enough.drop("first").join(totals, ["leaf", "fields"]).join(firsts, ["leaf", "fields"]).filter(F.col("total") >= F.col("need"))
-    return found.select("line", F.array_join("fields", " ").alias("template"), F.col("total").alias("n_docs"), F.when(F.col("total") < min_docs, F.col("keeper")).alias("keeper"))
+    general = fields.join(support, ["leaf", "at", "token"]).withColumn("field", F.when((F.col("support") >= min_docs) & (F.col("token") != FIELD), F.col("token")).otherwise(FIELD))
+    templates = general.groupBy("leaf", "line", "n_docs").agg(F.array_sort(F.collect_list(F.struct("at", "field")))["field"].alias("fields"))
+    enough = templates.filter(F.size(F.filter("fields", lambda t: t != FIELD)) >= constant * F.size("fields"))
+    totals = documents_of(enough, own, "leaf", "fields").filter(F.col("total") >= min_docs)
+    found = enough.join(totals, ["leaf", "fields"]).select("line", F.array_join("fields", " ").alias("template"), F.col("total").alias("n_docs"), F.lit(None).cast(facts.schema["id"].dataType).alias("keeper"))
+    twice = (F.col("rep") != F.col("other")) | ((F.col("named") > 0) & (F.col("named") < F.col("n_docs")))
+    passages = counts.filter((F.col("n") >= long_tokens) & twice).select(F.col("h").alias("line"), F.lit(None).cast("string").alias("template"), "n_docs", F.col("rep").alias("keeper"))
+    return found.unionByName(passages)
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), depth: int = 3, min_docs: int = 10, min_tokens: int = 5, constant: float = 0.6, long_tokens: int = 50, work: Workspace | None = None) -> DataFrame:
@@ -108,8 +106,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     facts = work.write(lines.select("id", "leaf", "h", "n"), "facts")
     known = work.write(recurring(facts, lines, min_docs, constant, long_tokens, several(facts, work)), "known")
     # each document's lines to drop: a set of hashes no larger than the document
-    known = known.groupBy(F.col("line").alias("known")).agg(F.min("keeper").alias("keeper"))
-    found = facts.join(known, F.col("h") == F.col("known")).filter("keeper is null or not (id <=> keeper)").groupBy("id").agg(F.collect_set("h").alias("drop"))
+    known = known.groupBy(F.col("line").alias("known")).agg(F.min("keeper").alias("keeper"), F.bool_or(F.col("keeper").isNull()).alias("all"))
+    found = facts.join(known, F.col("h") == F.col("known")).filter("all or not (id <=> keeper)").groupBy("id").agg(F.collect_set("h").alias("drop"))
     # carried columns get plain names meanwhile, so that none can clash
     carry = [c for c in carry if c not in (id_col, text_col)]
     names = [f"c{k}" for k in range(len(carry))]

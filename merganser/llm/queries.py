@@ -184,13 +184,14 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 WITH raw AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents),
 m AS (SELECT doc_id, raw, {_MASKED} AS line FROM raw),
 l AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS t FROM m WHERE len(string_split(line, ' ')) >= 5),
-f AS (SELECT doc_id, line, len(t) AS n, t[1:3] AS head, at_, t[at_] AS token, CASE WHEN len(t) >= 50 THEN 2 ELSE 10 END AS need FROM l, unnest(range(1, len(t) + 1)) AS u(at_)),
+f AS (SELECT doc_id, line, len(t) AS n, t[1:3] AS head, at_, t[at_] AS token FROM l, unnest(range(1, len(t) + 1)) AS u(at_)),
 s AS (SELECT n, head, at_, token, count(DISTINCT doc_id) AS support FROM f GROUP BY n, head, at_, token),
-g AS (SELECT line, n, head, need, list(CASE WHEN support >= need AND token <> '<*>' THEN token ELSE '<*>' END ORDER BY at_) AS fields
- FROM (SELECT DISTINCT line, n, head, at_, token, need FROM f) JOIN s USING (n, head, at_, token) GROUP BY line, n, head, need),
+g AS (SELECT line, n, head, list(CASE WHEN support >= 10 AND token <> '<*>' THEN token ELSE '<*>' END ORDER BY at_) AS fields
+ FROM (SELECT DISTINCT line, n, head, at_, token FROM f) JOIN s USING (n, head, at_, token) GROUP BY line, n, head),
 e AS (SELECT * FROM g WHERE len(list_filter(fields, lambda x: x <> '<*>')) >= 0.6 * n),
-k AS (SELECT n, head, fields, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS keeper FROM e JOIN l USING (line) GROUP BY n, head, fields, need HAVING count(DISTINCT doc_id) >= need),
-drops AS (SELECT DISTINCT doc_id, raw FROM m JOIN e USING (line) JOIN k USING (n, head, fields) WHERE n_docs >= 10 OR doc_id <> keeper),
+k AS (SELECT n, head, fields FROM e JOIN l USING (line) GROUP BY n, head, fields HAVING count(DISTINCT doc_id) >= 10),
+passages AS (SELECT line, min(doc_id) AS keeper FROM l WHERE len(t) >= 50 GROUP BY line HAVING count(DISTINCT doc_id) >= 2),
+drops AS (SELECT doc_id, raw FROM m JOIN e USING (line) JOIN k USING (n, head, fields) UNION SELECT doc_id, raw FROM m JOIN passages USING (line) WHERE doc_id <> keeper),
 every AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS raw FROM documents),
 c AS (SELECT doc_id, count(*) AS n_lines, count(drops.raw) AS n_dropped, coalesce(string_agg(every.raw, chr(10) ORDER BY i) FILTER (WHERE drops.raw IS NULL), '') AS kept
  FROM every LEFT JOIN drops USING (doc_id, raw) GROUP BY doc_id)

@@ -93,6 +93,15 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert got == {(i, len(s), want[i]) for i, s in enumerate(sets)} | {(None, 2, None)}
 
 
+def test_ngram_join_connects_the_texts_of_one_id(spark):
+    texts = {"A": "a b c d e f g h", "B": "k l m n o p q r", "C": "s t u v w x y z", "": ""}
+    rows = [(5, "A"), (7, "A"), (5, "B"), (3, "B"), (9, "C"), (8, "C"), (8, ""), (4, ""), (20, "C"), (20, ""), (21, "A")]
+    df = spark.createDataFrame([(i, texts[t]) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df.repartition(3)).collect())
+    roots = {5: 3, 7: 3, 3: 3, 21: 3, 9: 8, 8: 8, 20: 8, 4: 4}
+    assert got == Counter((i, 4 if t else 0, roots[i]) for i, t in rows)
+
+
 def test_ngram_join_tells_twins_apart(spark):
     word = "a"
     while len(word) < 1024:
@@ -107,6 +116,8 @@ def test_blocks_in_chunks_lose_no_link(spark, monkeypatch, seed, block):
     import merganser.llm.ngram_join as module
 
     monkeypatch.setattr(module, "BLOCK", block)
+    monkeypatch.setattr(module, "BLOCK_CLASSES", 60)
+    monkeypatch.setattr(module, "HEAP", 20)
     rng = random.Random(seed)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -122,11 +133,14 @@ def test_blocks_in_chunks_lose_no_link(spark, monkeypatch, seed, block):
     assert seed == 1 or len(set(want.values())) > 1
 
 
-def test_divide_skip_counts_occurrences():
+def test_divide_skip_counts_occurrences(monkeypatch):
+    import merganser.llm.ngram_join as module
+
     rng = random.Random(4)
     for _ in range(200):
         lists = [sorted(rng.sample(range(30), rng.randint(0, 12))) for _ in range(rng.randint(1, 12))]
         t = rng.randint(1, 6)
+        monkeypatch.setattr(module, "HEAP", rng.choice([0, 500]))
         counts = Counter(x for values in lists for x in values)
         assert divide_skip(lists, t) == {x: n for x, n in counts.items() if n >= t}
 
@@ -182,21 +196,21 @@ def brute_templates(docs, depth, min_docs, min_tokens, constant, long_tokens):
             if mask(line).count(" ") + 1 >= min_tokens:
                 where[mask(line)].add(i)
     leaf = lambda m: (m.count(" "), *m.split(" ")[:depth])
-    need = lambda m: 2 if m.count(" ") + 1 >= long_tokens else min_docs
     support = defaultdict(set)
     for m, ids in where.items():
         for at, token in enumerate(m.split(" ")):
             support[leaf(m), at, token] |= ids
-    fields = {m: tuple(t if len(support[leaf(m), at, t]) >= need(m) and t != "<*>" else "<*>" for at, t in enumerate(m.split(" "))) for m in where}
+    fields = {m: tuple(t if len(support[leaf(m), at, t]) >= min_docs and t != "<*>" else "<*>" for at, t in enumerate(m.split(" "))) for m in where}
     total = defaultdict(set)
     for m, ids in where.items():
         if sum(t != "<*>" for t in fields[m]) >= constant * len(fields[m]):
             total[leaf(m), fields[m]] |= ids
     out = {}
-    for m in where:
-        ids = total[leaf(m), fields[m]]
-        if len(ids) >= need(m):
-            out[m] = None if len(ids) >= min_docs else min(i for i in ids if i is not None)
+    for m, ids in where.items():
+        if len(total[leaf(m), fields[m]]) >= min_docs:
+            out[m] = None
+        elif len(ids) >= 2 and m.count(" ") + 1 >= long_tokens:
+            out[m] = min(i for i in ids if i is not None)
     return out
 
 
@@ -205,7 +219,7 @@ def test_line_templates_against_brute_force(spark):
     lines = ["user 17 logged in from host 3", "user alice logged in from host b", "the quick brown fox jumps over it", "short", "", "  spaced   out words in a line ", "a\tb c d e f"]
     passages = [" ".join(f"p{'abcdefgh'[k]}{'xyz'[j % 3]} w{'klmn'[j % 4]}" for j in range(6)) for k in range(8)]
     docs = [(i, "\n".join(rng.choice([*lines, *passages, f"user {i} logged in from host {i}", f"the quick brown fox jumps over {rng.random()}", " ".join(rng.choice("abc") for _ in range(6))]) for _ in range(rng.randint(0, 4)))) for i in range(60)]
-    docs += [(100, None), (101, ""), (3, docs[4][1]), (None, "the quick brown fox jumps over it"), (102, ("word " * 20_000).strip()), (104, f"{passages[0]} once"), (103, f"{passages[0]} once\nshort"), (None, f"{passages[0]} twice"), (105, f"{passages[0]} twice")]
+    docs += [(100, None), (101, ""), (3, docs[4][1]), (None, "the quick brown fox jumps over it"), (102, ("word " * 20_000).strip()), (104, f"{passages[0]} once"), (103, f"{passages[0]} once\nshort"), (None, f"zz {passages[0]} twice"), (105, f"zz {passages[0]} twice")]
     df = spark.createDataFrame(docs, DOCS).withColumns({"drop": F.lit(1), "id": F.lit(2), "kept": F.lit(3)}).repartition(3)
     how = {"depth": 2, "min_docs": 4, "constant": 0.6, "long_tokens": 12}
     drop = brute_templates(docs, 2, 4, 5, 0.6, 12)
