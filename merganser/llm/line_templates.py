@@ -74,7 +74,7 @@ def documents_of(rows: DataFrame, own: DataFrame | None, *key: str) -> DataFrame
     return counts.groupBy(*key).agg(F.sum("n_docs").alias("total"))
 
 
-def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float, long_tokens: int, own: DataFrame | None) -> DataFrame:
+def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float, long_tokens: int, own: DataFrame | None, work: Workspace) -> DataFrame:
     """(line, template, n_docs, keeper): the hash of each masked line to drop, its template and in how many documents that recurs;
     of passages the id that keeps it instead.
 
@@ -83,7 +83,8 @@ def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float
     counts = facts.groupBy("leaf", "h", "n").agg(F.count("*").alias("n_docs"), F.count("id").alias("named"), F.min("id").alias("rep"), F.max("id").alias("other"))
     busy = counts.groupBy("leaf").agg(F.sum("n_docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs).select("leaf")
     wanted = counts.join(busy, "leaf").select(F.col("rep").alias("id"), "h", "leaf", "n_docs")
-    distinct = lines.select("id", "h", "line").join(wanted, ["id", "h"]).distinct()
+    # read three times below
+    distinct = work.write(lines.select("id", "h", "line").join(wanted, ["id", "h"]).select("leaf", "h", "line", "n_docs").distinct(), "candidates")
     fields = distinct.select("leaf", F.col("h").alias("line"), "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     support = documents_of(fields, own, "leaf", "at", "token").withColumnRenamed("total", "support")
     general = fields.join(support, ["leaf", "at", "token"]).withColumn("field", F.when((F.col("support") >= min_docs) & (F.col("token") != FIELD), F.col("token")).otherwise(FIELD))
@@ -104,7 +105,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     work = work or Workspace(docs.sparkSession, "line-templates")
     lines = parsed(docs, id_col, text_col, min_tokens, depth)
     facts = work.write(lines.select("id", "leaf", "h", "n"), "facts")
-    known = work.write(recurring(facts, lines, min_docs, constant, long_tokens, several(facts, work)), "known")
+    known = work.write(recurring(facts, lines, min_docs, constant, long_tokens, several(facts, work), work), "known")
     # each document's lines to drop: a set of hashes no larger than the document
     known = known.groupBy(F.col("line").alias("known")).agg(F.min("keeper").alias("keeper"), F.bool_or(F.col("keeper").isNull()).alias("all"))
     found = facts.join(known, F.col("h") == F.col("known")).filter("all or not (id <=> keeper)").groupBy("id").agg(F.collect_set("h").alias("drop"))
