@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merganser.operators import match
 from merganser.operators.lineage import cut
 
 
@@ -12,7 +13,8 @@ def leaders(pairs: DataFrame) -> DataFrame:
     """(ord, leader): every entity that has a pair, with the one that leads its group; leaders lead themselves.
 
     Decided in rounds of joins: an entity without an earlier undecided match leads, unless an earlier leader matches it; it
-    then joins the earliest such leader. The result equals that of going through the entities one by one.
+    then joins the earliest such leader. The result equals that of going through the entities one by one; rounds are as many as
+    the longest chain of entities that wait for each other.
     """
     edges = cut(pairs.select("ord_a", "ord_b").distinct())
     nodes = edges.select(F.col("ord_a").alias("ord")).unionByName(edges.select(F.col("ord_b").alias("ord"))).distinct()
@@ -34,6 +36,33 @@ def leaders(pairs: DataFrame) -> DataFrame:
     return state
 
 
+def group_entities(entities: DataFrame, entity_id: str = "entity_id", ord_col: str = "ord", title: str = "title", aliases: dict[str, str] | None = None) -> DataFrame:
+    """What group_duplicates gives for all pairs of these entities, without making pairs of entities.
+
+    Entities of one parsed name match each other and have the same neighbours, so whoever takes the earliest of them takes
+    all: names are grouped, each with its least ``ord`` (no two entities share one), and entities join them once.
+    """
+    who, pairs = match.name_matches(entities, entity_id, ord_col, title, aliases)
+    who = cut(who)
+    heads = cut(who.groupBy("name").agg(F.min("ord").alias("head")))
+    ha, hb = (heads.select(F.col("name").alias(x), F.col("head").alias(f"ord_{x}")) for x in "ab")
+    near = cut(pairs.filter("a <> b").join(ha, "a").join(hb, "b").filter("ord_a < ord_b").select("ord_a", "ord_b", "certainty", "scenario"))
+    led = leaders(near).withColumnRenamed("ord", "head")
+    named = heads.join(led, "head", "left").select("name", "head", F.coalesce("leader", "head").alias("group_ord"))
+    members = who.join(named, "name").select("group_ord", F.col("id").alias("entity_id"), "ord", "head")
+    # pairs of the leader: with the first of each name that it took, and with the next of its own name
+    taken = near.join(led.select(F.col("head").alias("ord_b"), "leader"), "ord_b").filter(F.col("leader") == F.col("ord_a")).select(F.col("ord_a").alias("group_ord"), "ord_b", "certainty", "scenario")
+    same = members.filter("head = group_ord and ord > group_ord").groupBy("group_ord").agg(F.min("ord").alias("ord_b")).select("group_ord", "ord_b", F.lit(100).alias("certainty"), F.lit("exact").alias("scenario"))
+    best = taken.unionByName(same).groupBy("group_ord").agg(F.max("certainty").alias("certainty"), F.max_by("scenario", F.struct("certainty", (-F.col("ord_b")).alias("o"))).alias("scenario"))
+    return members.join(best, "group_ord").select("group_ord", "entity_id", "ord", "certainty", "scenario")
+
+
+def group_titles(groups: DataFrame, entities: DataFrame) -> DataFrame:
+    """(group_ord, name): a group is called as its first entity is."""
+    seeds = groups.filter("ord = group_ord").select("group_ord", "entity_id")
+    return seeds.join(entities.select("entity_id", F.col("title").alias("name")), "entity_id").select("group_ord", "name")
+
+
 def group_duplicates(pairs: DataFrame) -> DataFrame:
     """(group_ord, entity_id, ord, certainty, scenario): members of groups of two and more, with the group's best pair.
 

@@ -121,14 +121,17 @@ def name_pairs(names: DataFrame) -> DataFrame:
     return compare(full, "na", "nb").filter("certainty is not null").select("a", "b", "certainty", "scenario")
 
 
-def find_pairs(entities: DataFrame, entity_id: str = "entity_id", ord_col: str = "ord", title: str = "title", aliases: dict[str, str] | None = None) -> DataFrame:
-    """(id_a, id_b, ord_a, ord_b, certainty, scenario) of all matching pairs, the earlier one first."""
-    aliases = aliases or alias_table()
+def name_matches(entities: DataFrame, entity_id: str = "entity_id", ord_col: str = "ord", title: str = "title", aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, ord, name) of all entities; and (a, b, certainty, scenario) of all ordered pairs of their names that match."""
     parsed = with_names(entities.select(F.col(f"`{entity_id}`").alias("id"), F.col(f"`{ord_col}`").alias("ord"), F.col(f"`{title}`").alias("title")))
     parsed = parsed.withColumn("name", F.concat_ws("\x01", *NAME))
-    names = with_variants(parsed.select("name", *NAME, "norm_last").distinct(), aliases)
-    who = parsed.select("id", "ord", "name")
-    pairs = name_pairs(names)
+    names = with_variants(parsed.select("name", *NAME, "norm_last").distinct(), aliases or alias_table())
+    return parsed.select("id", "ord", "name"), name_pairs(names)
+
+
+def find_pairs(entities: DataFrame, entity_id: str = "entity_id", ord_col: str = "ord", title: str = "title", aliases: dict[str, str] | None = None) -> DataFrame:
+    """(id_a, id_b, ord_a, ord_b, certainty, scenario) of all matching pairs, the earlier one first."""
+    who, pairs = name_matches(entities, entity_id, ord_col, title, aliases)
     a = pairs.join(who.select(F.col("id").alias("id_a"), F.col("ord").alias("ord_a"), F.col("name").alias("a")), "a")
     both = a.join(who.select(F.col("id").alias("id_b"), F.col("ord").alias("ord_b"), F.col("name").alias("b")), "b")
     return both.filter("ord_a < ord_b").select("id_a", "id_b", "ord_a", "ord_b", "certainty", "scenario")

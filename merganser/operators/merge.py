@@ -63,30 +63,36 @@ def merge_boxscore(boxscore: DataFrame, redirect: DataFrame) -> DataFrame:
         F.min(F.struct("pos", F.col("value").alias("v")))["v"].alias("any"),
         F.sum(F.when(text != "", amount)).alias("total"),
         F.count("*").alias("n"),
+        F.min("pos").alias("pos"),
     )
     adds = ~F.col("stat").isin(*KEPT_STATS) & number(F.col("first")).isNotNull() & (F.col("n") > 1)
     whole = F.col("total") == F.floor("total")
     summed = F.when(whole, F.col("total").cast("long").cast("string")).otherwise(F.col("total").cast("string"))
-    return grouped.select("event_id", "team", "player_id", "stat", F.when(adds, summed).otherwise(F.coalesce("first", "any")).alias("value"))
+    return grouped.select("event_id", "team", "player_id", "stat", F.when(adds, summed).otherwise(F.coalesce("first", "any")).alias("value"), "pos")
 
 
 def merge_timeline(timeline: DataFrame, redirect: DataFrame) -> DataFrame:
-    """timeline: event_id, team, player_id, perf_key, minutes. Colliding lists become one ascending list without repeats."""
+    """timeline: event_id, team, player_id, perf_key, minutes. Colliding lists become one ascending list without repeats.
+
+    A list that meets no other one stays as it is, order and repeats included; null is no list.
+    """
     rows = redirected(timeline, "player_id", redirect)
-    return rows.groupBy("event_id", "team", "player_id", "perf_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("minutes")))).alias("minutes"))
+    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list("minutes"))))
+    grouped = rows.groupBy("event_id", "team", "player_id", "perf_key").agg(F.count("minutes").alias("n"), F.first("minutes", ignorenulls=True).alias("one"), united.alias("all"))
+    return grouped.select("event_id", "team", "player_id", "perf_key", F.when(F.col("n") > 1, F.col("all")).otherwise(F.col("one")).alias("minutes"))
 
 
 def merge_positions(rows: DataFrame, redirect: DataFrame, scalar: bool) -> DataFrame:
     """rows: event_id, player_id, value, pos. Of colliding rows the first stays, or, of scalars, the last."""
     moved = redirected(rows, "player_id", redirect)
     pick = F.max_by if scalar else F.min_by
-    return moved.groupBy("event_id", "player_id").agg(pick("value", "pos").alias("value"))
+    return moved.groupBy("event_id", "player_id").agg(pick("value", "pos").alias("value"), F.min("pos").alias("pos"))
 
 
 def rewrite_roster(roster: DataFrame, redirect: DataFrame) -> DataFrame:
     """roster: list_id, player_id, value, pos: the first of colliding rows stays."""
     moved = redirected(roster, "player_id", redirect)
-    return moved.groupBy("list_id", "player_id").agg(F.min_by("value", "pos").alias("value"))
+    return moved.groupBy("list_id", "player_id").agg(F.min_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
 
 
 def as_id(c: Column) -> Column:
@@ -97,24 +103,53 @@ def as_id(c: Column) -> Column:
 def rewrite_leaves(leaves: DataFrame, redirect: DataFrame) -> DataFrame:
     """leaves: entity_id, path array<string>, pos, value: every key and scalar that reads as a duplicate's id, at any depth.
 
-    Whatever such a number meant, it is replaced; of leaves that then share a path the first stays.
+    Whatever such a number meant, it is replaced. Keys of one array that are then equal collide, whatever is below them: of
+    arrays the first stays whole; otherwise the last one written does. Duplicates of one primary are rewritten one after
+    the other, in the order of ``dup_id``; ``pos`` is the order of leaves in the document.
     """
+    order = [F.col(f"`{c}`") for c in leaves.columns]
     r = redirect.select("dup_id", F.col("primary_id").cast("string").alias("to"))
-    nodes = leaves.select("entity_id", "pos", F.posexplode(F.concat("path", F.array("value"))).alias("at", "node"))
-    moved = nodes.join(r, as_id(F.col("node")) == F.col("dup_id"), "left").withColumn("node", F.coalesce("to", "node"))
-    built = moved.groupBy("entity_id", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "node")))["node"].alias("nodes"))
+    depth = F.size("path")
+    prefix = F.transform(F.sequence(F.lit(1), depth), lambda i: F.slice("path", F.lit(1), i))
+    nodes = leaves.select("entity_id", "pos", F.posexplode(F.concat(prefix, F.array(F.concat("path", F.array("value"))))).alias("at", "node"), depth.alias("depth"))
+    nodes = nodes.withColumn("key", F.element_at("node", -1)).join(r, as_id(F.col("key")) == F.col("dup_id"), "left").withColumn("new", F.coalesce("to", "key"))
+    # children of one array, each once: where it stands first, and whether it is an array itself
+    child = nodes.filter("at < depth").groupBy("entity_id", F.slice("node", F.lit(1), F.size("node") - 1).alias("parent"), "new", "key").agg(
+        F.min("dup_id").alias("dup"), F.min("pos").alias("pos"), (F.max("depth") > F.max("at") + 1).alias("array")
+    )
+    rank = F.struct(F.col("dup").isNotNull().alias("moved"), "dup", "pos", "array", "key")
+    meet = child.groupBy("entity_id", "parent", "new").agg(F.array_sort(F.collect_list(rank)).alias("each")).filter(F.size("each") > 1)
+    winner = F.aggregate(
+        F.slice("each", F.lit(2), F.size("each")),
+        F.get("each", 0),
+        lambda a, b: F.when(F.when(a["array"] & b["array"], b["pos"] < a["pos"]).otherwise(b["pos"] > a["pos"]), _with_pos(b, F.least(a["pos"], b["pos"]))).otherwise(_with_pos(a, F.least(a["pos"], b["pos"]))),
+    )
+    lost = meet.select("entity_id", "parent", F.explode("each").alias("x"), winner["key"].alias("won")).filter("x.key <> won").select("entity_id", F.concat("parent", F.array("x.key")).alias("node"))
+    gone = nodes.filter("at < depth").join(lost, ["entity_id", "node"], "left_semi").select("entity_id", "pos").distinct()
+    built = nodes.join(gone, ["entity_id", "pos"], "left_anti").groupBy("entity_id", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "new")))["new"].alias("nodes"))
     split = built.select("entity_id", "pos", F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("path"), F.element_at("nodes", -1).alias("value"))
-    return split.groupBy("entity_id", "path").agg(F.min("pos").alias("pos"), F.min_by("value", "pos").alias("value"))
+    return split.select(*order) if {c.lower() for c in leaves.columns} == {"entity_id", "pos", "path", "value"} else split
+
+
+def _with_pos(x: Column, pos: Column) -> Column:
+    return F.struct(x["moved"].alias("moved"), x["dup"].alias("dup"), pos.alias("pos"), x["array"].alias("array"), x["key"].alias("key"))
 
 
 def deep_merge(leaves: DataFrame, redirect: DataFrame) -> DataFrame:
     """leaves: entity_id, path, value. A primary takes those of its duplicates' leaves that it lacks; duplicates go.
 
-    Keys meet key by key at every depth, and where both have a value the primary's stays, then the earlier duplicate's.
+    Keys meet key by key at every depth. What a key is, a value or an array, is decided by the primary, then by the earlier
+    duplicate, and what a later one has of the other kind goes with all that is below it; of two values the earlier stays.
+    A null is no value: anything that is not null stands before it.
     """
     r = redirect.select("dup_id", "primary_id")
-    moved = leaves.join(r, leaves["entity_id"] == r["dup_id"], "left").select(F.coalesce("primary_id", "entity_id").alias("entity_id"), "path", "value", F.struct(F.col("dup_id").isNotNull().alias("d"), "dup_id").alias("rank"))
-    return moved.groupBy("entity_id", "path").agg(F.min_by("value", "rank").alias("value"))
+    rank = F.struct(F.col("value").isNull().alias("empty"), F.col("dup_id").isNotNull().alias("d"), "dup_id")
+    moved = leaves.join(r, leaves["entity_id"] == r["dup_id"], "left").select(F.coalesce("primary_id", "entity_id").alias("entity_id"), "path", "value", rank.alias("rank"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.struct(F.slice("path", F.lit(1), i).alias("node"), (i < F.size("path")).alias("array")))
+    each = moved.select("entity_id", "path", "rank", F.explode(prefixes).alias("p")).select("entity_id", "path", "rank", "p.node", "p.array")
+    first = each.groupBy("entity_id", "node").agg(F.min_by("array", "rank").alias("is_array"))
+    wrong = each.join(first, ["entity_id", "node"]).filter("array <> is_array").select("entity_id", "path").distinct()
+    return moved.join(wrong, ["entity_id", "path"], "left_anti").groupBy("entity_id", "path").agg(F.min_by("value", "rank").alias("value"))
 
 
 def merge_lists(lists: DataFrame, redirect: DataFrame) -> DataFrame:
@@ -166,14 +201,14 @@ def validate(requests: DataFrame, entities: DataFrame, most: int = MOST) -> Data
     known = entities.filter("kind = 'player' and status = 'publish'").select(F.col("entity_id").alias("known")).distinct()
     r = requests.withColumn("clean", clean)
     have = r.select("request_id", F.explode("clean").alias("known")).join(known, "known", "left_semi").groupBy("request_id").agg(F.count("*").alias("n"))
-    main = r.select("request_id", F.col("primary_id").alias("known")).join(known, "known", "left_semi").select("request_id", F.lit(True).alias("main"))
+    main = r.select("request_id", F.abs("primary_id").alias("known")).join(known, "known", "left_semi").select("request_id", F.lit(True).alias("main"))
     full = r.join(have, "request_id", "left").join(main, "request_id", "left")
     outcome = (
         F.when(F.col("duplicates").isNull(), MESSAGES["format"])
         .when(F.coalesce(F.abs("primary_id"), F.lit(0)) == 0, MESSAGES["selection"])
         .when(F.size("clean") == 0, MESSAGES["selection"])
         .when(F.size("clean") > most, MESSAGES["maximum"])
-        .when(F.array_contains("clean", F.col("primary_id")), MESSAGES["primary_duplicate"])
+        .when(F.array_contains("clean", F.abs("primary_id")), MESSAGES["primary_duplicate"])
         .when(F.col("main").isNull(), MESSAGES["primary_missing"])
         .when(F.coalesce("n", F.lit(0)) < F.size("clean"), MESSAGES["duplicate_missing"])
         .otherwise("ok")

@@ -50,6 +50,41 @@ def valid_names(attrs: DataFrame, key: str, names: DataFrame) -> DataFrame:
     return rows.join(n, F.col("n").cast("long") == F.col("of")).select("entity_id", F.col("title").alias("name"), F.col("attr_id").alias("pos"))
 
 
+def cell(items: Column, whole: bool = False) -> Column:
+    """The items of a cell of the preview, all of them if ``whole``; None if there are none."""
+    return F.when(F.size(items) == 0, "None").otherwise(F.array_join(items, ", ") if whole else shown(items))
+
+
+def frame(attrs: DataFrame, terms: DataFrame, references: DataFrame, teams: DataFrame, redirect: DataFrame, current_key: str = "sp_current_team", past_key: str = "sp_past_team") -> DataFrame:
+    """(primary_id, data_type, current, incoming, result): a row of each kind for each primary, empty ones too.
+
+    Kinds: the current team (the last value that is a number and names a team), past teams, each taxonomy, and the number
+    of rows that name the player in events.
+    """
+    mains = redirect.select("primary_id").distinct()
+    last = valid_names(attrs, current_key, teams).groupBy("entity_id").agg(F.max_by("name", "pos").alias("name")).withColumn("pos", F.lit(0).cast("long"))
+    past = valid_names(attrs, past_key, teams).select("entity_id", "name", "pos")
+    kinds = terms.select("taxonomy").distinct()
+    named = terms.select("entity_id", "taxonomy", "name", F.lit(0).cast("long").alias("pos"))
+    values = last.select("entity_id", F.lit("Current Team").alias("data_type"), "name", "pos").unionByName(past.withColumn("data_type", F.lit("Past Team(s)"))).unionByName(named.withColumnRenamed("taxonomy", "data_type"))
+    r = redirect.select("dup_id", "primary_id")
+    own = values.join(mains, values["entity_id"] == mains["primary_id"]).withColumn("dup_id", F.lit(None).cast("long"))
+    theirs = values.join(r, values["entity_id"] == r["dup_id"])
+    ordered = lambda c: F.array_distinct(F.array_sort(F.collect_list(F.when(c, F.struct("dup_id", "pos", "name"))))["name"])
+    columns = ["primary_id", "data_type", "dup_id", "pos", "name"]
+    lists = own.select(*columns).unionByName(theirs.select(*columns)).groupBy("primary_id", "data_type").agg(ordered(F.col("dup_id").isNull()).alias("c"), ordered(F.col("dup_id").isNotNull()).alias("i"))
+    # the taxonomies are one row
+    every = mains.withColumn("data_type", F.explode(F.array(F.lit("Current Team"), F.lit("Past Team(s)")))).unionByName(mains.withColumn("__one", F.lit(1)).join(F.broadcast(kinds.agg(F.collect_set("taxonomy").alias("k"), F.lit(1).alias("__one"))), "__one").select("primary_id", F.explode("k").alias("data_type")))
+    full = every.join(lists, ["primary_id", "data_type"], "left").select("primary_id", "data_type", *[F.coalesce(x, F.array().cast("array<string>")).alias(x) for x in "ci"])
+    team = F.col("data_type") == "Current Team"
+    both = F.array_union("c", "i")
+    cells = [F.when(team, cell(x, whole=True)).otherwise(cell(x)).alias(n) for x, n in ((F.col("c"), "current"), (F.col("i"), "incoming"), (both, "result"))]
+    counts = preview_counts(references.filter("key = 'sp_player'").select(F.col("value").try_cast("long").alias("entity_id")), redirect)
+    number_cell = lambda c: F.when(F.col(c) == 0, "None").otherwise(F.col(c).cast("string")).alias(c)
+    events = counts.select("primary_id", F.lit("Events").alias("data_type"), number_cell("current"), number_cell("incoming"), F.col("result").cast("string").alias("result"))
+    return full.select("primary_id", "data_type", *cells).unionByName(events)
+
+
 def titled(ids: DataFrame, entities: DataFrame) -> DataFrame:
     """ids (id) with their titles, or a placeholder."""
     return ids.join(entities.select(F.col("entity_id").alias("id"), "title"), "id", "left").select("id", F.coalesce("title", F.lit("Unknown Player")).alias("title"))

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merganser.functions import names
-from merganser.operators import cluster, enrich, match, merge, preview, scan, snapshot
+from merganser.operators import cluster, enrich, match, merge, preview, scan, snapshot, whole
+from merganser.operators.lineage import cut
 from merganser.plans import name_sql
 from merganser.sources.fixtures import relation, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 NOW = "2024-02-14 00:00:00"
+STAMP = datetime(2024, 2, 14, tzinfo=timezone.utc)
 
 
 def query(name: str, sql: str | None = None):
@@ -96,7 +99,7 @@ adjusted AS (SELECT group_ord, members, certainty, scenario, CAST(CASE WHEN np >
 
 
 def groups(spark, sf) -> DataFrame:
-    return cluster.group_duplicates(pairs(spark, sf))
+    return cluster.group_entities(relation(spark, sf, "persons"))
 
 
 def adjusted(spark, sf, found: DataFrame) -> DataFrame:
@@ -108,6 +111,11 @@ def duplicate_groups(spark, sf):
     return groups(spark, sf).select("group_ord", "entity_id", "certainty", "scenario")
 
 
+@query("group_titles", f"{_GROUPS} SELECT DISTINCT group_ord, title AS name FROM members JOIN persons ON persons.ord = group_ord")
+def group_titles(spark, sf):
+    return cluster.group_titles(groups(spark, sf), relation(spark, sf, "persons"))
+
+
 @query("groups_adjusted", f"{_GROUPS}, {_DETAILS} SELECT * FROM adjusted")
 def groups_adjusted(spark, sf):
     return adjusted(spark, sf, groups(spark, sf))
@@ -137,30 +145,41 @@ def group_members_ranked(spark, sf):
 
 
 def entities(spark, sf) -> DataFrame:
-    return relation(spark, sf, "persons").select("entity_id", F.lit("player").alias("kind"), F.lit("publish").alias("status"), "title", F.expr("date_add(date'2020-01-01', cast(entity_id % 1000 as int))").alias("created_at"))
+    return relation(spark, sf, "entities").withColumn("created_at", F.expr("date_add(date'2020-01-01', day)"))
 
 
-_MADE = "CAST(DATE '2020-01-01' + CAST(entity_id % 1000 AS INTEGER) AS DATE)"
+_PUBLISHED = f"{with_relations('entities')}, pub AS (SELECT * FROM entities WHERE kind = 'player' AND status = 'publish')"
 
 
-@query("candidate_scan", f"{with_relations('persons')} SELECT entity_id, title FROM persons ORDER BY {_MADE} DESC, entity_id LIMIT 2000")
+@query("candidate_scan", f"{_PUBLISHED} SELECT entity_id, title FROM pub ORDER BY day DESC, entity_id LIMIT 2000")
 def candidate_scan(spark, sf):
     return scan.candidates(entities(spark, sf)).select("entity_id", "title")
 
 
-@query("picker_scan", f"{with_relations('persons')} SELECT entity_id, concat(title, ' (ID: ', entity_id, ')') AS label FROM persons ORDER BY title, entity_id LIMIT 500")
+@query("candidate_scan_capped", f"{_PUBLISHED} SELECT entity_id, title FROM pub ORDER BY day DESC, entity_id LIMIT 100")
+def candidate_scan_capped(spark, sf):
+    return scan.candidates(entities(spark, sf), limit=100).select("entity_id", "title")
+
+
+@query("picker_scan", f"{_PUBLISHED} SELECT entity_id, concat(title, ' (ID: ', entity_id, ')') AS label FROM pub ORDER BY title, entity_id LIMIT 500")
 def picker_scan(spark, sf):
     return scan.picker(entities(spark, sf))
 
 
 @query(
     "label_search",
-    f"{with_relations('persons')} SELECT entity_id, concat(title, ' (ID: ', entity_id, ')', ' - ', team) AS label FROM persons WHERE contains(lower(title), 'smi') ORDER BY title, entity_id LIMIT 20",
+    f"{with_relations('entities', 'persons')} SELECT entity_id, concat(e.title, ' (ID: ', entity_id, ')', ' - ', team) AS label FROM entities e JOIN persons USING (entity_id) WHERE kind = 'player' AND status = 'publish' AND contains(lower(e.title), 'smi') ORDER BY e.title, entity_id LIMIT 20",
 )
 def label_search(spark, sf):
     return scan.search(entities(spark, sf), "Smi", relation(spark, sf, "persons").select("entity_id", F.col("team").alias("group")))
 
 
+@query("title_lookup", f"{with_relations('persons')}, w AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0) SELECT id, coalesce(title, 'Unknown Player') AS title FROM w LEFT JOIN persons ON entity_id = id")
+def title_lookup(spark, sf):
+    wanted = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"))
+    return preview.titled(wanted, relation(spark, sf, "persons"))
+
+
 _ATTRS = with_relations("attrs")
 
 
@@ -179,19 +198,16 @@ def attribute_lookup(spark, sf):
     return scan.attribute(relation(spark, sf, "attrs"), "sp_team").select("entity_id", F.array_join("all_values", "|").alias("all_values"), "single")
 
 
-@query(
-    "term_names",
-    """WITH t AS (SELECT DISTINCT o_custkey AS entity_id, o_orderpriority AS name FROM orders) SELECT entity_id, string_agg(name, ', ' ORDER BY name) AS names FROM t GROUP BY entity_id""",
-)
+@query("term_names", f"{with_relations('terms')}, t AS (SELECT DISTINCT entity_id, term FROM terms WHERE taxonomy = 'priority') SELECT entity_id, string_agg(term, ', ' ORDER BY term) AS names FROM t GROUP BY entity_id")
 def term_names(spark, sf):
     return scan.term_names(terms(spark, sf).withColumnRenamed("term", "name"), "priority")
 
 
 def terms(spark, sf) -> DataFrame:
-    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("entity_id"), F.lit("priority").alias("taxonomy"), F.col("o_orderpriority").alias("term"))
+    return relation(spark, sf, "terms")
 
 
-@query("taxonomy_discovery", "SELECT DISTINCT 'priority' AS taxonomy FROM orders")
+@query("taxonomy_discovery", f"{with_relations('terms')} SELECT DISTINCT taxonomy FROM terms")
 def taxonomy_discovery(spark, sf):
     return scan.taxonomies(terms(spark, sf))
 
@@ -261,9 +277,9 @@ def preview_values(spark, sf):
 _CUSTOMERS = with_relations("attrs", "person_redirect")
 
 
-@query("term_union", f"WITH r AS ({with_relations('person_redirect')} SELECT * FROM person_redirect) SELECT DISTINCT coalesce(primary_id, o_custkey) AS entity_id, o_orderpriority AS term FROM orders LEFT JOIN r ON dup_id = o_custkey")
+@query("term_union", f"{with_relations('person_redirect', 'terms')} SELECT DISTINCT coalesce(primary_id, entity_id) AS entity_id, taxonomy, term FROM terms LEFT JOIN person_redirect ON dup_id = entity_id")
 def term_union(spark, sf):
-    return merge.union_terms(terms(spark, sf), relation(spark, sf, "person_redirect")).select("entity_id", "term")
+    return merge.union_terms(terms(spark, sf), relation(spark, sf, "person_redirect"))
 
 
 @query(
@@ -298,21 +314,26 @@ _BOX = with_relations("boxscore", "redirect")
 FROM boxscore LEFT JOIN redirect ON dup_id = player_id GROUP BY ALL""",
 )
 def boxscore_merge(spark, sf):
-    return merge.merge_boxscore(relation(spark, sf, "boxscore"), relation(spark, sf, "redirect"))
+    return merge.merge_boxscore(relation(spark, sf, "boxscore"), relation(spark, sf, "redirect")).drop("pos")
 
 
-@query(
-    "timeline_merge",
-    f"""{with_relations("redirect")}, m AS (SELECT DISTINCT l_orderkey AS event_id, l_returnflag AS team, coalesce(primary_id, l_suppkey) AS player_id, l_linenumber AS x FROM lineitem LEFT JOIN redirect ON dup_id = l_suppkey)
-SELECT event_id, team, player_id, 'goals' AS perf_key, string_agg(x, ',' ORDER BY x) AS minutes FROM m GROUP BY event_id, team, player_id""",
-)
+_MINUTES = """owners AS (SELECT event_id, team, coalesce(primary_id, player_id) AS player, count(DISTINCT player_id) AS n, min(player_id) AS one FROM timeline LEFT JOIN redirect ON dup_id = player_id GROUP BY ALL),
+minutes AS (SELECT o.event_id, o.team, o.player AS player_id, CASE WHEN n = 1 THEN (SELECT string_agg(minute, ',' ORDER BY at_ DESC) FROM timeline t WHERE t.event_id = o.event_id AND t.team = o.team AND t.player_id = o.one)
+  ELSE (SELECT string_agg(DISTINCT minute, ',' ORDER BY minute) FROM timeline t LEFT JOIN redirect r ON r.dup_id = t.player_id WHERE t.event_id = o.event_id AND t.team = o.team AND coalesce(r.primary_id, t.player_id) = o.player) END AS minutes FROM owners o)"""
+
+
+@query("timeline_merge", f"{with_relations('timeline', 'redirect')}, {_MINUTES} SELECT event_id, team, player_id, 'goals' AS perf_key, minutes FROM minutes")
 def timeline_merge(spark, sf):
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    timeline = lines.groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_returnflag").alias("team"), F.col("l_suppkey").alias("player_id")).agg(F.collect_list("l_linenumber").alias("minutes"))
-    merged = merge.merge_timeline(timeline.withColumn("perf_key", F.lit("goals")), relation(spark, sf, "redirect"))
+    merged = merge.merge_timeline(timeline(spark, sf), relation(spark, sf, "redirect"))
     return merged.withColumn("minutes", F.array_join(F.col("minutes").cast("array<string>"), ","))
 
 
+def timeline(spark, sf) -> DataFrame:
+    """Minutes from the last to the first line, repeats included."""
+    rows = relation(spark, sf, "timeline").groupBy("event_id", "team", "player_id").agg(F.sort_array(F.collect_list(F.struct("at_", "minute")), asc=False)["minute"].alias("minutes"))
+    return rows.withColumn("perf_key", F.lit("goals")).select("event_id", "team", "player_id", "perf_key", "minutes")
+
+
 def _positions(spark, sf) -> DataFrame:
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     return lines.groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("player_id")).agg(F.max(F.col("l_quantity").cast("long")).alias("value"), (F.min("l_linenumber") * 10000000 + F.col("l_suppkey")).alias("pos"))
@@ -324,41 +345,56 @@ m AS (SELECT event_id, coalesce(primary_id, player_id) AS player_id, value, pos
 
 @query("order_merge", f"{_POSITIONS} SELECT event_id, player_id, max_by(value, pos) AS value FROM m GROUP BY event_id, player_id")
 def order_merge(spark, sf):
-    return merge.merge_positions(_positions(spark, sf), relation(spark, sf, "redirect"), scalar=True)
+    return merge.merge_positions(_positions(spark, sf), relation(spark, sf, "redirect"), scalar=True).drop("pos")
 
 
 @query("roster_rewrite", f"{_POSITIONS} SELECT event_id AS list_id, player_id, min_by(value, pos) AS value FROM m GROUP BY event_id, player_id")
 def roster_rewrite(spark, sf):
-    return merge.rewrite_roster(_positions(spark, sf).withColumnRenamed("event_id", "list_id"), relation(spark, sf, "redirect"))
+    return merge.rewrite_roster(_positions(spark, sf).withColumnRenamed("event_id", "list_id"), relation(spark, sf, "redirect")).drop("pos")
 
 
 _LEAVES = with_relations("leaves", "redirect")
 
 
-@query(
-    "deep_merge_leaves",
-    f"""{_LEAVES}, d AS (SELECT primary_id AS entity_id, k1, k2, value FROM leaves JOIN redirect ON entity_id = dup_id), p AS (SELECT * FROM leaves WHERE entity_id NOT IN (SELECT dup_id FROM redirect))
-SELECT coalesce(p.entity_id, d.entity_id) AS entity_id, coalesce(p.k1, d.k1) AS k1, coalesce(p.k2, d.k2) AS k2, coalesce(p.value, d.value) AS value FROM p FULL OUTER JOIN d ON p.entity_id = d.entity_id AND p.k1 = d.k1 AND p.k2 = d.k2""",
-)
+_DEEP = """taken AS (SELECT primary_id AS entity_id, k1, k2, value FROM leaves JOIN redirect ON entity_id = dup_id),
+deep AS (SELECT entity_id, k1, k2, value FROM leaves WHERE entity_id NOT IN (SELECT dup_id FROM redirect)
+ UNION ALL SELECT entity_id, k1, k2, value FROM taken t WHERE NOT EXISTS (SELECT 1 FROM leaves p WHERE p.entity_id = t.entity_id AND p.k1 = t.k1 AND (p.k2 = t.k2 OR (p.k2 IS NULL) <> (t.k2 IS NULL) OR (p.k2 IS NULL AND t.k2 IS NULL))))"""
+
+
+@query("deep_merge_leaves", f"{_LEAVES}, {_DEEP} SELECT entity_id, k1, k2, value FROM deep")
 def deep_merge_leaves(spark, sf):
-    leaves = relation(spark, sf, "leaves").select("entity_id", F.array("k1", "k2").alias("path"), "value")
-    return merge.deep_merge(leaves, relation(spark, sf, "redirect")).select("entity_id", F.col("path")[0].alias("k1"), F.col("path")[1].alias("k2"), "value")
+    leaves = relation(spark, sf, "leaves").select("entity_id", F.array_compact(F.array("k1", "k2")).alias("path"), "value")
+    return merge.deep_merge(leaves, relation(spark, sf, "redirect")).select("entity_id", F.get("path", 0).alias("k1"), F.get("path", 1).alias("k2"), "value")
+
+
+_REWRITTEN = """s AS (SELECT event_id, team, player_id, coalesce(a.primary_id, player_id) AS player, coalesce(CAST(b.primary_id AS varchar), value) AS value, pos
+ FROM {0} LEFT JOIN redirect a ON a.dup_id = player_id LEFT JOIN redirect b ON b.dup_id = CAST(value AS BIGINT))"""
 
 
 @query(
-    "structural_rewrite",
-    f"""{with_relations("boxscore", "redirect")}, s AS (SELECT event_id, coalesce(CAST(a.primary_id AS varchar), CAST(player_id AS varchar)) AS player, coalesce(CAST(b.primary_id AS varchar), value) AS value, player_id * 1000 + pos AS pos, team
- FROM boxscore LEFT JOIN redirect a ON a.dup_id = player_id LEFT JOIN redirect b ON b.dup_id = CAST(value AS BIGINT))
-SELECT event_id, team, player, min_by(value, pos) AS value FROM s GROUP BY event_id, team, player""",
+    "structural_rewrite",  # of colliding values the one that was written last
+    f"{with_relations('boxscore', 'redirect')}, {_REWRITTEN.format('boxscore')} SELECT event_id, team, CAST(player AS varchar) AS player, max_by(value, pos) AS value FROM s GROUP BY event_id, team, player",
 )
 def structural_rewrite(spark, sf):
     box = relation(spark, sf, "boxscore")
-    leaves = box.select(F.col("event_id").alias("entity_id"), F.array("team", F.col("player_id").cast("string")).alias("path"), (F.col("player_id") * 1000 + F.col("pos")).alias("pos"), "value")
-    # order within one event; leaves of one event and position are told apart by it
-    out = merge.rewrite_leaves(leaves.withColumn("pos", F.struct("pos", "path")), relation(spark, sf, "redirect"))
+    leaves = box.select(F.col("event_id").alias("entity_id"), F.array("team", F.col("player_id").cast("string")).alias("path"), "pos", "value")
+    out = merge.rewrite_leaves(leaves, relation(spark, sf, "redirect"))
     return out.select(F.col("entity_id").alias("event_id"), F.col("path")[0].alias("team"), F.col("path")[1].alias("player"), "value")
 
 
+@query(
+    "structural_rewrite_arrays",  # of colliding arrays the first, whole
+    f"""{with_relations("boxscore", "redirect")}, {_REWRITTEN.format("boxscore")}, f AS (SELECT event_id, team, player, min_by(player_id, pos) AS one FROM s GROUP BY event_id, team, player)
+SELECT event_id, team, CAST(player AS varchar) AS player, CASE one % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS key, value FROM s JOIN f USING (event_id, team, player) WHERE player_id = one""",
+)
+def structural_rewrite_arrays(spark, sf):
+    box = relation(spark, sf, "boxscore")
+    key = F.when(F.col("player_id") % 2 == 0, "even").otherwise("odd")
+    leaves = box.select(F.col("event_id").alias("entity_id"), F.array(F.col("team"), F.col("player_id").cast("string"), key).alias("path"), "pos", "value")
+    out = merge.rewrite_leaves(leaves, relation(spark, sf, "redirect"))
+    return out.select(F.col("entity_id").alias("event_id"), F.col("path")[0].alias("team"), F.col("path")[1].alias("player"), F.col("path")[2].alias("key"), "value")
+
+
 @query("survivors", f"{with_relations('persons', 'person_redirect')} SELECT entity_id, title FROM persons WHERE entity_id NOT IN (SELECT dup_id FROM person_redirect)")
 def survivors(spark, sf):
     return merge.survivors(relation(spark, sf, "persons"), relation(spark, sf, "person_redirect")).select("entity_id", "title")
@@ -375,19 +411,21 @@ def image_fill(spark, sf):
     return merge.fill_images(images, relation(spark, sf, "person_redirect"))
 
 
-#: (request, primary, duplicates)
-REQUESTS = [(1, 1, [2, 3]), (2, 1, [2, 2, 0]), (3, 0, [2]), (4, 1, []), (5, 1, [0]), (6, 1, list(range(2, 13))), (7, 1, [1, 2]), (8, 99, [2]), (9, 21, [2]), (10, 1, [21]), (11, 1, [2, 99]), (12, 1, None)]
-
-
 @query(
     "merge_validation",
-    """SELECT * FROM (VALUES (1, 1, '2,3', 'ok'), (2, 1, '2', 'ok'), (3, 0, '2', 'invalid selection'), (4, 1, '', 'invalid selection'), (5, 1, '', 'invalid selection'), (6, 1, '2,3,4,5,6,7,8,9,10,11,12', 'maximum exceeded'),
-(7, 1, '1,2', 'primary is duplicate'), (8, 99, '2', 'primary missing'), (9, 21, '2', 'primary missing'), (10, 1, '21', 'duplicate missing'), (11, 1, '2,99', 'duplicate missing'), (12, 1, NULL, 'invalid format')) AS t(request_id, primary_id, duplicates, outcome)""",
+    f"""{with_relations("requests", "entities")}, pub AS (SELECT entity_id FROM entities WHERE kind = 'player' AND status = 'publish'),
+x AS (SELECT request_id, primary_id, dups, CASE WHEN dups IS NULL THEN NULL WHEN dups = '' THEN [] ELSE list_transform(string_split(dups, ','), lambda d: CAST(d AS BIGINT)) END AS l FROM requests),
+e AS (SELECT request_id, abs(d) AS d, min(i) AS i FROM (SELECT request_id, unnest(l) AS d, unnest(range(1, len(l) + 1)) AS i FROM x) WHERE d <> 0 GROUP BY request_id, abs(d)),
+c AS (SELECT request_id, string_agg(d, ',' ORDER BY i) AS text, count(*) AS n, count(CASE WHEN d IN (SELECT entity_id FROM pub) THEN 1 END) AS known, list(d) AS ds FROM e GROUP BY request_id)
+SELECT x.request_id, x.primary_id, CASE WHEN dups IS NULL THEN NULL ELSE coalesce(text, '') END AS duplicates,
+ CASE WHEN dups IS NULL THEN 'invalid format' WHEN x.primary_id = 0 THEN 'invalid selection' WHEN n IS NULL THEN 'invalid selection' WHEN n > 10 THEN 'maximum exceeded' WHEN list_contains(ds, abs(x.primary_id)) THEN 'primary is duplicate'
+  WHEN abs(x.primary_id) NOT IN (SELECT entity_id FROM pub) THEN 'primary missing' WHEN known < n THEN 'duplicate missing' ELSE 'ok' END AS outcome
+FROM x LEFT JOIN c USING (request_id)""",
 )
 def merge_validation(spark, sf):
-    known = spark.range(1, 22).select(F.col("id").alias("entity_id"), F.lit("player").alias("kind"), F.when(F.col("id") == 21, "draft").otherwise("publish").alias("status"))
-    requests = spark.createDataFrame(REQUESTS, "request_id int, primary_id int, duplicates array<int>")
-    return merge.validate(requests, known).withColumn("duplicates", F.array_join(F.col("duplicates").cast("array<string>"), ","))
+    listed = F.when(F.col("dups") == "", F.array().cast("array<bigint>")).otherwise(F.split("dups", ",").cast("array<bigint>"))
+    requests = relation(spark, sf, "requests").select("request_id", "primary_id", F.when(F.col("dups").isNotNull(), listed).alias("duplicates"))
+    return merge.validate(requests, entities(spark, sf)).withColumn("duplicates", F.array_join(F.col("duplicates").cast("array<string>"), ","))
 
 
 # backups
@@ -410,9 +448,20 @@ def backup_loadable(spark, sf):
     return snapshot.loadable(relation(spark, sf, "backups")).select("backup_id", "user_id", "status")
 
 
-@query("backup_last_of_user", f"{_BACKUPS} SELECT user_id, max_by(backup_id, (created_at, backup_id)) AS backup_id FROM backups GROUP BY user_id")
-def backup_last_of_user(spark, sf):
-    return relation(spark, sf, "backups").groupBy("user_id").agg(F.max_by("backup_id", F.struct("created_at", "backup_id")).alias("backup_id"))
+@query(
+    "backup_pick",  # a user's last one, none if it is reverted or malformed; then one that was asked for
+    f"""{_BACKUPS}, ok AS (SELECT * FROM backups WHERE regexp_matches(backup_id, '{snapshot.BACKUP_ID}') AND coalesce(status, 'active') <> 'reverted'),
+users AS (SELECT DISTINCT user_id FROM backups WHERE user_id < 8), last AS (SELECT user_id, max_by(backup_id, (created_at, backup_id)) AS backup_id FROM backups GROUP BY user_id)
+SELECT 'last' AS how, backup_id, user_id FROM last JOIN users USING (user_id) WHERE backup_id IN (SELECT backup_id FROM ok)
+UNION ALL SELECT 'asked', backup_id, user_id FROM ok WHERE backup_id = (SELECT min(backup_id) FROM ok) AND user_id = (SELECT user_id FROM ok ORDER BY backup_id LIMIT 1)""",
+)
+def backup_pick(spark, sf):
+    backups = relation(spark, sf, "backups")
+    last = [snapshot.pick(backups, user) for user in range(8)]
+    first = snapshot.loadable(backups).orderBy("backup_id").select("user_id", "backup_id").first()
+    out = [df.select(F.lit("last").alias("how"), "backup_id", "user_id") for df in last]
+    out += [snapshot.pick(backups, first.user_id, first.backup_id).select(F.lit("asked").alias("how"), "backup_id", "user_id")] if first else []
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("backup_mark_reverted", f"{_BACKUPS} SELECT backup_id, CASE WHEN status = 'active' THEN 'reverted' ELSE status END AS status FROM backups")
@@ -434,24 +483,163 @@ def backup_listed(spark, sf):
     return snapshot.named(relation(spark, sf, "backups"))
 
 
+SALT = 123_456_789_012
+_BACKUP_ID = "concat('merge_1707868800_', " + ", ".join(f"substr('{snapshot.ALPHABET}', CAST((n // {62**k}) % 62 AS INTEGER) + 1, 1)" for k in range(7, -1, -1)) + ")"
+
+
 @query(
     "backup_create",
-    f"""{with_relations("person_redirect")} SELECT concat('merge_', 1707868800, '_abCD1234') AS backup_id, CAST(1 AS BIGINT) AS user_id, CAST(primary_id AS varchar) AS main, CAST(list(dup_id ORDER BY dup_id) AS varchar) AS duplicates
-FROM person_redirect GROUP BY primary_id""",
+    f"""{with_relations("person_redirect", "persons", "attrs", "terms")}, g AS (SELECT primary_id AS main, dup_id AS entity_id FROM person_redirect UNION ALL SELECT DISTINCT primary_id, primary_id FROM person_redirect),
+i AS (SELECT DISTINCT primary_id AS main, (primary_id * 32749 + {SALT}) % {62**8} AS n FROM person_redirect),
+a AS (SELECT main, count(*) AS attrs, CAST(sum(attr_id) AS BIGINT) AS attr_ids FROM g JOIN attrs USING (entity_id) GROUP BY main), t AS (SELECT main, count(*) AS terms FROM g JOIN terms USING (entity_id) GROUP BY main),
+e AS (SELECT main, string_agg(title, '|' ORDER BY entity_id) AS titles FROM g JOIN persons USING (entity_id) GROUP BY main)
+SELECT {_BACKUP_ID} AS backup_id, CAST(1 AS BIGINT) AS user_id, CAST(main AS varchar) AS main, CAST(main + 1 AS varchar) AS duplicates, titles, coalesce(attrs, 0) AS attrs, coalesce(attr_ids, 0) AS attr_ids, coalesce(terms, 0) AS terms
+FROM i JOIN e USING (main) LEFT JOIN a USING (main) LEFT JOIN t USING (main)""",
 )
 def backup_create(spark, sf):
-    from datetime import timezone
-
     persons = relation(spark, sf, "persons").select("entity_id", "title", "email")
-    made = snapshot.create(persons, relation(spark, sf, "attrs"), terms(spark, sf), relation(spark, sf, "person_redirect"), 1, datetime(2024, 2, 14, tzinfo=timezone.utc), "abCD1234")
-    doc = F.from_json("payload", "primary_id long, duplicate_ids array<long>")
-    return made.select("backup_id", "user_id", doc["primary_id"].cast("string").alias("main"), F.concat(F.lit("["), F.array_join(doc["duplicate_ids"].cast("array<string>"), ", "), F.lit("]")).alias("duplicates"))
-
-
-@query("revert_roundtrip", f"{with_relations('references')} SELECT attr_id, entity_id, key, value FROM \"references\"")
-def revert_roundtrip(spark, sf):
-    """Rewrites all references, then puts back the saved rows of the entities that were touched."""
-    before, redirect = relation(spark, sf, "references"), relation(spark, sf, "redirect")
-    touched = scan.referencing(before, redirect.select(F.col("dup_id").alias("id")))
-    saved = before.join(touched, "entity_id", "left_semi")
-    return snapshot.overlay(merge.rewrite_references(before, redirect), saved, touched, "entity_id").select("attr_id", "entity_id", "key", "value")
+    made = snapshot.create(persons, relation(spark, sf, "attrs"), terms(spark, sf), relation(spark, sf, "person_redirect"), 1, STAMP, SALT)
+    doc = F.from_json("payload", "primary_id long, duplicate_ids array<long>, entities array<struct<entity_id: long, title: string>>, attrs array<struct<attr_id: long>>, terms array<struct<term: string>>")
+    made = made.select("backup_id", "user_id", doc.alias("d"))
+    return made.select(
+        "backup_id",
+        "user_id",
+        F.col("d.primary_id").cast("string").alias("main"),
+        F.array_join(F.col("d.duplicate_ids").cast("array<string>"), ",").alias("duplicates"),
+        F.array_join("d.entities.title", "|").alias("titles"),
+        F.when(F.col("d.attrs").isNull(), 0).otherwise(F.size("d.attrs")).cast("long").alias("attrs"),
+        F.coalesce(F.aggregate("d.attrs.attr_id", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("attr_ids"),
+        F.when(F.col("d.terms").isNull(), 0).otherwise(F.size("d.terms")).cast("long").alias("terms"),
+    )
+
+
+# whole merges
+
+
+def merge_tables(spark, sf) -> dict[str, DataFrame]:
+    """Suppliers as players, orders as events; references are rows of events, attributes rows of players."""
+    get = lambda name: relation(spark, sf, name)
+    nested = get("leaves").select("entity_id", F.lit("sp_statistics").alias("key"), F.array_compact(F.array("k1", "k2")).alias("path"), "value")
+    return {
+        "entities": get("players"),
+        "terms": get("player_terms"),
+        "attrs": get("player_attrs"),
+        "nested": nested,
+        "images": get("images"),
+        "references": get("references"),
+        "boxscore": get("boxscore"),
+        "timeline": timeline(spark, sf),
+        "positions": get("positions"),
+        "rosters": get("rosters"),
+    }
+
+
+def digest(tables: dict[str, DataFrame]) -> DataFrame:
+    """(part, row) of all tables: each row as text."""
+    text = lambda df, c: F.array_join(F.col(c).cast("array<string>"), ",") if df.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
+    rows = [df.select(F.lit(name).alias("part"), F.concat_ws("|", *[F.coalesce(text(df, c), F.lit("~")) for c in sorted(df.columns)]).alias("row")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_WHOLE = with_relations("players", "player_terms", "player_attrs", "leaves", "images", "references", "boxscore", "timeline", "positions", "rosters", "redirect")
+#: Every table as text, its columns in the order of their names.
+_TEXT = {
+    "entities": ("players", "entity_id, kind, status, title"),
+    "terms": ("player_terms", "entity_id, taxonomy, term"),
+    "attrs": ("player_attrs", "attr_id, entity_id, key, value"),
+    "nested": ("leaves", "entity_id, 'sp_statistics', concat_ws(',', k1, k2), value"),
+    "images": ("images", "entity_id, image"),
+    "references": ('"references"', "attr_id, entity_id, key, value"),
+    "boxscore": ("boxscore", "event_id, player_id, pos, stat, team, value"),
+    "timeline": ("(SELECT event_id, team, player_id, string_agg(minute, ',' ORDER BY at_ DESC) AS minutes FROM timeline GROUP BY ALL)", "event_id, minutes, 'goals', player_id, team"),
+    "positions": ("positions", "event_id, player_id, pos, value"),
+    "rosters": ("rosters", "list_id, player_id, pos, value"),
+}
+
+
+def _as_text(part: str, source: str | None = None, where: str = "true") -> str:
+    table, columns = _TEXT[part]
+    return f"SELECT '{part}' AS part, concat_ws('|', {columns}) AS row FROM {source or table} WHERE {where}"
+
+
+_MERGED = f"""{_WHOLE}, {_DEEP}, {_MINUTES},
+ev AS (SELECT DISTINCT entity_id AS event_id FROM "references" WHERE key = 'sp_player' AND value IN (SELECT CAST(dup_id AS varchar) FROM redirect)),
+li AS (SELECT DISTINCT list_id FROM rosters WHERE player_id IN (SELECT dup_id FROM redirect)),
+new_attrs AS (SELECT attr_id, entity_id, key, value FROM player_attrs WHERE entity_id NOT IN (SELECT dup_id FROM redirect)
+ UNION ALL SELECT attr_id, primary_id, key, value FROM player_attrs a JOIN redirect ON entity_id = dup_id WHERE starts_with(key, 'sp_') AND key <> 'sp_number' AND NOT EXISTS (SELECT 1 FROM player_attrs o WHERE o.entity_id = primary_id AND o.key = a.key AND o.value = a.value)),
+marked AS (SELECT *, key IN ('sp_team', 'sp_past_team') AND entity_id IN (SELECT primary_id FROM redirect) AND (SELECT count(*) > count(DISTINCT value) FROM new_attrs b WHERE b.entity_id = n.entity_id AND b.key = n.key) AS repeats, row_number() OVER (PARTITION BY entity_id, key, value ORDER BY attr_id) AS nth FROM new_attrs n),
+new_refs AS (SELECT attr_id, entity_id, key, CASE WHEN key <> 'sp_other' THEN coalesce(CAST(primary_id AS varchar), value) ELSE value END AS value FROM "references" LEFT JOIN redirect ON value = CAST(dup_id AS varchar)),
+new_box AS (SELECT event_id, coalesce(primary_id, player_id) AS player_id, min(pos) AS pos, stat, team, CAST(CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS varchar) AS value FROM boxscore LEFT JOIN redirect ON dup_id = player_id WHERE event_id IN (FROM ev) GROUP BY ALL),
+new_pos AS (SELECT event_id, coalesce(primary_id, player_id) AS player_id, min(pos) AS pos, min_by(value, pos) AS value FROM positions LEFT JOIN redirect ON dup_id = player_id WHERE event_id IN (FROM ev) GROUP BY ALL),
+new_ros AS (SELECT list_id, coalesce(primary_id, player_id) AS player_id, min(pos) AS pos, min_by(value, pos) AS value FROM rosters LEFT JOIN redirect ON dup_id = player_id WHERE list_id IN (FROM li) GROUP BY ALL),
+pics AS (SELECT coalesce(primary_id, entity_id) AS entity_id, first(image ORDER BY dup_id NULLS FIRST) AS image FROM images LEFT JOIN redirect ON dup_id = entity_id WHERE image <> '' GROUP BY ALL)"""
+
+
+@query(
+    "merge_all",
+    f"""{_MERGED} {_as_text("entities", where="entity_id NOT IN (SELECT dup_id FROM redirect)")}
+UNION ALL {_as_text("terms", "(SELECT DISTINCT coalesce(primary_id, entity_id) AS entity_id, taxonomy, term FROM player_terms LEFT JOIN redirect ON dup_id = entity_id)")}
+UNION ALL {_as_text("attrs", "marked", "NOT repeats OR (nth = 1 AND value NOT IN ('', '0'))")}
+UNION ALL {_as_text("nested", "deep")}
+UNION ALL {_as_text("images", "pics")}
+UNION ALL {_as_text("references", "new_refs")}
+UNION ALL {_as_text("boxscore", "new_box")} UNION ALL {_as_text("boxscore", where="event_id NOT IN (FROM ev)")}
+UNION ALL {_as_text("timeline", "minutes", "event_id IN (FROM ev)")} UNION ALL {_as_text("timeline", where="event_id NOT IN (FROM ev)")}
+UNION ALL {_as_text("positions", "new_pos")} UNION ALL {_as_text("positions", where="event_id NOT IN (FROM ev)")}
+UNION ALL {_as_text("rosters", "new_ros")} UNION ALL {_as_text("rosters", where="list_id NOT IN (FROM li)")}""",
+)
+def merge_all(spark, sf):
+    return digest(whole.merge_all(merge_tables(spark, sf), relation(spark, sf, "redirect")))
+
+
+@query(
+    "revert_from_backup",
+    f"""{_MERGED} {_as_text("entities")}
+UNION ALL {_as_text("terms")}
+UNION ALL SELECT 'terms', concat_ws('|', primary_id, taxonomy, term) FROM player_terms d JOIN redirect ON dup_id = entity_id WHERE NOT EXISTS (SELECT 1 FROM player_terms p WHERE p.entity_id = primary_id AND p.taxonomy = d.taxonomy)
+UNION ALL {_as_text("attrs", where="starts_with(key, 'sp_') OR entity_id NOT IN (SELECT dup_id FROM redirect)")}
+UNION ALL {_as_text("nested")}
+UNION ALL {_as_text("images", "pics")}
+UNION ALL {_as_text("references", '(SELECT n.attr_id, n.entity_id, n.key, CASE WHEN EXISTS (SELECT 1 FROM "references" p WHERE p.entity_id = o.entity_id AND p.key = \'sp_player\' AND p.value = o.value) THEN o.value ELSE n.value END AS value FROM new_refs n JOIN "references" o USING (attr_id))')}
+UNION ALL {_as_text("boxscore", "(SELECT event_id, player_id, pos, stat, team, CASE WHEN event_id IN (FROM ev) THEN value ELSE concat(value, '!') END AS value FROM boxscore)")}
+UNION ALL {_as_text("timeline")} UNION ALL {_as_text("positions")} UNION ALL {_as_text("rosters")}""",
+)
+def revert_from_backup(spark, sf):
+    """Stores backups, merges, edits every box score meanwhile, and reverts from what was stored: edits of events that the merge
+    touched go, others stay."""
+    tables, redirect = merge_tables(spark, sf), relation(spark, sf, "redirect")
+    stored = cut(whole.backup_all(tables, redirect, 1, STAMP, SALT))
+    now = whole.merge_all(tables, redirect)
+    now["boxscore"] = now["boxscore"].withColumn("value", F.concat("value", F.lit("!")))
+    return digest(whole.revert_all(now, stored, 1)[0])
+
+
+# the whole preview
+
+
+_FRAME = f"""{with_relations("player_attrs", "player_terms", "references", "teams", "redirect")},
+named AS (SELECT a.entity_id, key, attr_id, title FROM player_attrs a JOIN teams t ON t.entity_id = TRY_CAST(value AS BIGINT) WHERE value NOT IN ('', '0')),
+v AS (SELECT 'Current Team' AS data_type, entity_id, max_by(title, attr_id) AS name, 0 AS pos FROM named WHERE key = 'sp_team' GROUP BY entity_id
+ UNION ALL SELECT 'Past Team(s)', entity_id, title, attr_id FROM named WHERE key = 'sp_past_team'
+ UNION ALL SELECT taxonomy, entity_id, term, row_number() OVER (PARTITION BY taxonomy, entity_id ORDER BY term) FROM player_terms),
+f AS (SELECT data_type, r.primary_id, d, name, min((o, pos)) AS k FROM (SELECT DISTINCT primary_id FROM redirect) r JOIN (SELECT data_type, entity_id AS main, false AS d, name, 0 AS o, pos FROM v UNION ALL SELECT data_type, primary_id, true, name, dup_id, pos FROM v JOIN redirect ON dup_id = entity_id) x ON x.main = r.primary_id GROUP BY ALL),
+u AS (SELECT data_type, primary_id, name, min((d, k)) AS k FROM f GROUP BY ALL),
+l AS (SELECT data_type, primary_id, coalesce(list(name ORDER BY k) FILTER (WHERE NOT d), []) AS c, coalesce(list(name ORDER BY k) FILTER (WHERE d), []) AS i FROM f GROUP BY ALL),
+m AS (SELECT data_type, primary_id, list(name ORDER BY k) AS r FROM u GROUP BY ALL),
+kinds AS (SELECT 'Current Team' AS data_type UNION ALL SELECT 'Past Team(s)' UNION ALL SELECT DISTINCT taxonomy FROM player_terms),
+frame AS (SELECT p.primary_id, k.data_type, coalesce(c, []) AS c, coalesce(i, []) AS i, coalesce(r, []) AS r FROM (SELECT DISTINCT primary_id FROM redirect) p CROSS JOIN kinds k LEFT JOIN l USING (data_type, primary_id) LEFT JOIN m USING (data_type, primary_id)),
+n AS (SELECT CAST(value AS BIGINT) AS id, count(*) AS n FROM "references" WHERE key = 'sp_player' GROUP BY value),
+c AS (SELECT primary_id, coalesce(max(p.n), 0) AS cur, CAST(sum(coalesce(d.n, 0)) AS BIGINT) AS inc FROM redirect LEFT JOIN n p ON p.id = primary_id LEFT JOIN n d ON d.id = dup_id GROUP BY primary_id)"""
+
+
+def _cell(c: str) -> str:
+    return f"CASE WHEN len({c}) = 0 THEN 'None' WHEN data_type = 'Current Team' OR len({c}) <= 3 THEN array_to_string({c}, ', ') ELSE concat(array_to_string({c}[1:2], ', '), ' +', len({c}) - 2, ' more') END"
+
+
+@query(
+    "preview_frame",
+    f"""{_FRAME} SELECT primary_id, data_type, {_cell("c")} AS current, {_cell("i")} AS incoming, {_cell("r")} AS result FROM frame
+UNION ALL SELECT primary_id, 'Events', CASE cur WHEN 0 THEN 'None' ELSE CAST(cur AS varchar) END, CASE inc WHEN 0 THEN 'None' ELSE CAST(inc AS varchar) END, CAST(cur + inc AS varchar) FROM c""",
+)
+def preview_frame(spark, sf):
+    return preview.frame(relation(spark, sf, "player_attrs"), relation(spark, sf, "player_terms").withColumnRenamed("term", "name"), relation(spark, sf, "references"), relation(spark, sf, "teams"), relation(spark, sf, "redirect"), current_key="sp_team")

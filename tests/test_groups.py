@@ -70,3 +70,34 @@ def test_tiers(spark):
 def test_no_pairs(spark):
     empty = spark.createDataFrame([], "id_a long, id_b long, ord_a long, ord_b long, certainty int, scenario string")
     assert cluster.group_duplicates(empty).count() == 0
+
+
+def test_grouping_over_names_equals_grouping_over_pairs(spark):
+    rng = random.Random(5)
+    firsts, lasts = ["John", "J.", "Jon", "Jean Pierre", "Jeanpierre", "Mike", "Michael", "Smith"], ["Smith", "Smyth", "Smith-Jones", "Jones", "John", ""]
+    for seed in range(2):
+        titles = [f"{rng.choice(firsts)} {rng.choice(lasts)}".strip() for _ in range(120)] + ["", ""]
+        entities = spark.createDataFrame([(1000 - i, i * 3 + seed, t) for i, t in enumerate(titles)], "entity_id long, ord long, title string")
+        over_names = sorted(map(tuple, cluster.group_entities(entities).select("group_ord", "entity_id", "ord", "certainty", "scenario").collect()))
+        over_pairs = sorted(map(tuple, cluster.group_duplicates(match.find_pairs(entities)).select("group_ord", "entity_id", "ord", "certainty", "scenario").collect()))
+        assert over_names == over_pairs and over_names
+    assert cluster.group_entities(entities.limit(0)).count() == 0
+
+
+def test_ranks_of_a_large_group(spark):
+    rng = random.Random(6)
+    rows = [(g, k * 10 + g, k * 10 + g) for g, n in ((0, 3000), (1, 2), (2, 40)) for k in range(n)]
+    groups = spark.createDataFrame(rows, "group_ord long, entity_id long, ord long")
+    counts = {r[1]: rng.randint(1, 5) for r in rows if rng.random() < 0.8}
+    adjusted = spark.createDataFrame([(0, 95), (1, 70), (2, 50)], "group_ord long, adjusted int")
+    got = {r.entity_id: (r["rank"], r.events, r.group_events, r.tier, r.survivor) for r in enrich.ranked_members(groups, spark.createDataFrame(list(counts.items()), "entity_id long, events long"), adjusted).collect()}
+    for g, tier in ((0, "High"), (1, "Medium"), (2, "Low")):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-counts.get(r[1], 0), r[2]))
+        total = sum(counts.get(r[1], 0) for r in own)
+        for k, r in enumerate(own):
+            assert got[r[1]] == (k + 1, counts.get(r[1], 0), total, tier, k == 0)
+
+
+def test_a_group_is_called_as_its_first_entity(spark):
+    entities = spark.createDataFrame([(7, 1, "Mike Scott"), (8, 2, "Michael Scott"), (9, 0, "Other One")], "entity_id long, ord long, title string")
+    assert [tuple(r) for r in cluster.group_titles(cluster.group_entities(entities), entities).collect()] == [(1, "Mike Scott")]
