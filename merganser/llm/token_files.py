@@ -175,7 +175,19 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, work: Workspa
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc", F.xxhash64("text"), "text"]
     placed = slim.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    return work.write(placed.mapInArrow(_written("doc", "text", vocabulary, spaces, end_id, folder, frame_ids), MANIFEST), "manifest")
+    manifest = work.write(placed.mapInArrow(_written("doc", "text", vocabulary, spaces, end_id, folder, frame_ids), MANIFEST), "manifest")
+    _swept(folder, {r.path for r in manifest.select("path").collect()})  # a row per shard
+    return manifest
+
+
+def _swept(folder: str, named: set[str]) -> None:
+    """Deletes files of attempts that the manifest doesn't name: failed or repeated ones."""
+    from pyarrow import fs
+
+    store, at = filesystem(folder)
+    for info in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if info.path not in named:
+            store.delete_file(info.path)
 
 
 def _read(wanted: tuple[int, ...] | None):
