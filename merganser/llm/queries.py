@@ -50,7 +50,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merganser.llm.licenses import license_scan
 
     docs = documents(spark, sf_dir)
-    return license_scan(docs, path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    # the table has no paths: each document is a folder of its own, so no statement spreads to unrelated documents
+    return license_scan(docs, path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"), F.lit("text")))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,7 @@ def _license_sql(threshold: float = 0.8) -> str:
     template = ", ".join(f"({k}, '{TEMPLATES[k][0]}', '{w}', {x!r}::DOUBLE, {idf[w]!r}::DOUBLE)" for k, v in enumerate(units) for w, x in v.items())
     return rf"""
 WITH template(k, license, word, x, idf) AS (VALUES {template}),
-files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, lower(coalesce(text, '')) AS text FROM documents),
+files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id, 'text') AS path, lower(coalesce(text, '')) AS text FROM documents),
 lines AS (SELECT doc_id, len(regexp_split_to_array(text, '[^a-z0-9]+')) AS size, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM files),
 words AS (SELECT doc_id, size, i, regexp_extract_all(line, '{WORD}') AS w FROM lines),
 each AS (SELECT doc_id, size, i, len(w) AS n, unnest(w) AS word FROM words),
