@@ -47,8 +47,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences to train on: each piece with its token ids."""
     packed = pack_best_fit(docs, vocabulary("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
 
 
 def guarded(stage):
@@ -76,7 +77,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
+        mark = len(Workspace.opened)
         docs = work.write(stage(spark, docs, sf_dir), name)
+        for used in Workspace.opened[mark:]:  # the stage's output is written: its working tables are not read any more
+            used.drop()
+        del Workspace.opened[mark:]
+        if before:
+            work.drop(before)
+        before = name
     return docs

@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sets how many rows go to a Python worker at once, if the session leaves that at its default of 10,000.
 
-    Texts are long: the default would hold tens of megabytes in each of the buffers between the processes.
+    Texts are long: the default would hold tens of megabytes in each of the buffers between the processes. Results are
+    computed later, so the setting stays; a session that has one of its own keeps it.
     """
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -46,13 +47,13 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package: it goes to them by Spark's own file server, unless they have it anyway."""
-    root = Path(__file__).resolve().parents[2]
+    """Lets Python workers on other machines import this package: it goes to them by Spark's own file server."""
     context = spark.sparkContext
-    known = {Path(p).resolve() for p in [".", *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
-    if root in known or getattr(context, "_merganser_shipped", False):
+    alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if getattr(context, "_merganser_shipped", False) or (alone and _importable()):
         return
-    folder = tempfile.mkdtemp(prefix="merganser-")
+    root = Path(__file__).resolve().parents[2]
+    folder = tempfile.mkdtemp(prefix="merganser-")  # the driver serves it from there
     with zipfile.ZipFile(f"{folder}/merganser.zip", "w") as out:
         for file in sorted((root / "merganser").rglob("*.py")):
             out.write(file, file.relative_to(root))
@@ -60,13 +61,26 @@ def ship(spark: SparkSession) -> None:
     context._merganser_shipped = True
 
 
+def _importable() -> bool:
+    """Do workers that this machine starts find the package? They have the working folder and PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    return root in {Path(p).resolve() for p in [".", *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+
+
 class Workspace:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors.
+
+    They are not removed by the operators, since results read them; whoever has used or written a result may drop what was
+    opened for it (``Workspace.opened`` lists all, in order).
+    """
+
+    opened: list[Workspace] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Workspace.opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -6,8 +6,8 @@ read each window forwards and backwards, every position gets a probability for e
 probabilities are the means over its positions. The model has a fixed size; scoring reads each row once, without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text if there was
-nothing to learn from. Repeated rows are labelled alike. Very long texts are labelled whole. Other columns are carried by the
-stage and not read.
+nothing to learn from. Repeated rows are labelled alike. Very long texts are labelled whole. Other columns are carried and
+not read.
 """
 
 from __future__ import annotations
@@ -207,8 +207,9 @@ def train(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = 2000
 
 
 def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with ``__lang`` and ``__lang_score``."""
+    """docs with ``__lang`` and ``__lang_score``; columns of these names that docs has are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("__lang", "__lang_score")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):

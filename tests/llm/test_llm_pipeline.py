@@ -28,11 +28,21 @@ def test_stages(spark, tmp_path):
         if k < 4:
             assert out.columns == docs.columns
     assert kept == [[-1, 1, 2, 3, 4, 7, 8, 8], [-1, 1, 3, 4, 7, 8], [-1, 1, 3, 7, 8], [-1, 1, 3, 8], [-1, 1, 3, 8]]
-    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(out.columns)
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"} == set(out.columns)
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(map(str, whole.select("doc_id", "length", "ids_crc32").collect())) == sorted(map(str, out.select("doc_id", "length", "ids_crc32").collect()))
 
 
+def test_the_pipeline_leaves_only_its_result(spark, tmp_path):
+    spark.createDataFrame([(i, f"some words of text number {i} " * 9, "en", "s", 9) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b", "x y z")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = {os.path.join(f, name) for f in os.listdir(shared) for name in os.listdir(os.path.join(shared, f))}
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert {os.path.join(f, name) for f in os.listdir(shared) for name in os.listdir(os.path.join(shared, f))} - before == {next(os.path.join(f, "best_fit_packing") for f in os.listdir(shared) if f.startswith("pipeline") and os.path.join(f, "best_fit_packing") not in before)}
+    assert out.count() > 0 and all(len(r.ids) == 4 * r.length for r in out.collect())
+
+
 def test_stages_over_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
