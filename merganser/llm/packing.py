@@ -3,8 +3,9 @@
 A document's ids and its end id are cut into pieces of ``length`` ids; only the last may be shorter. Whole pieces are
 sequences of their own. The others are packed online in each partition by bounded-space best-fit: at most
 ``open_bins`` sequences are open, a bitset over free space finds the one with the least room that is enough, and when
-none has room and all places are taken the fullest closes first. Memory is bounded by the open bins, nothing is
-shuffled, and a task that runs again packs its rows the same way.
+none has room and all places are taken the fullest closes first. The pieces of one batch of texts, a bounded look ahead, are
+placed longest first. Memory is bounded by the open bins and the batch, and nothing is shuffled. Sequences are numbered
+by partition, so only what a partition leaves open at its end is not filled.
 
 Defined results: a null text counts as empty and is the end id alone. Rows that repeat an id are packed one by one.
 Null ids are kept. An empty table gives no pieces. Other columns are not read, so their names cannot clash.
@@ -70,19 +71,18 @@ def _packed(id_col: str, text_col: str, vocabulary: str, spaces: str, end_id: in
         for batch in pieces(batches, text_col, AT_ONCE):
             ids = batch.column(batch.schema.get_field_index(id_col))
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            rows, piece, size, data, seq, offset = [], [], [], [], [], []
+            rows, piece, size, data = [], [], [], []
             for i, got in enumerate(enc.encode(texts)):
                 got += end
                 for k in range(0, len(got), width):
                     cut = got[k : k + width]
-                    n = len(cut) // 4
-                    s, o = bins.place(n)
                     rows.append(i)
                     piece.append(k // width)
-                    size.append(n)
+                    size.append(len(cut) // 4)
                     data.append(cut)
-                    seq.append(s)
-                    offset.append(o)
+            seq, offset = [0] * len(size), [0] * len(size)
+            for k in sorted(range(len(size)), key=size.__getitem__, reverse=True):
+                seq[k], offset[k] = bins.place(size[k])
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array([p * length for p in piece], pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())],
                 [id_col, "piece", "start", "length", "ids", "sequence_id", "offset"],

@@ -170,6 +170,43 @@ def test_best_fit_is_bounded_and_tight():
     assert [closing.place(n) for n in (6, 7, 9, 3, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]  # the fullest closed: 3 would have filled it
 
 
+def naive_best_fit(sizes, length, most):
+    """Goes through all open bins for each piece; of equal ones the last that was filled counts."""
+    bins, made, out = [], 0, []
+    for stamp, n in enumerate(sizes):
+        room = [b for b in bins if b["free"] >= n]
+        if room:
+            b = min(room, key=lambda b: (b["free"], -b["stamp"]))
+        else:
+            if len(bins) == most:
+                bins.remove(min(bins, key=lambda b: (b["free"], -b["stamp"])))
+            b = {"free": length, "id": made}
+            made += 1
+            bins.append(b)
+        out.append((b["id"], length - b["free"]))
+        b["free"] -= n
+        b["stamp"] = stamp
+        if not b["free"]:
+            bins.remove(b)
+    return out
+
+
+@pytest.mark.parametrize("seed, length, most", [(1, 20, 3), (2, 2048, 16), (3, 7, 1), (4, 2048, 1024)])
+def test_best_fit_against_a_plain_search(seed, length, most):
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randint(1, length), rng.randint(1, max(1, length // 4)), length]) for _ in range(3000)]
+    packer = BoundedBestFit(length, most)
+    assert [packer.place(n) for n in sizes] == naive_best_fit(sizes, length, most)
+
+
+def test_packing_is_dense(spark):
+    """One task leaves less than two sequences in a hundred beyond the least possible number."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "word " * rng.randint(1, 200)) for i in range(2000)], DOCS).coalesce(1)
+    got = pack_best_fit(docs, WORDS, length=256).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(got) <= 1.02 * sum(r.n for r in got) / 256
+
+
 def words_of(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
