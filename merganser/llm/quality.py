@@ -44,7 +44,7 @@ def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader with L1 and L2 terms; the last weight is the bias."""
 
-    def __init__(self, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05, gain: float = 20.0):
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05, gain: float = 20.0):
         self.bits, self.alpha, self.beta, self.l1, self.l2, self.gain = bits, alpha, beta, l1, l2, gain
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
