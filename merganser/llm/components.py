@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins on node ids; rounds are written to the shared folder, which cuts lineage.
-Edges are never collected; a node with very many edges is only a skewed join key, which adaptive execution splits.
+Edges are never collected. Nodes with very many edges don't meet in one join key: such hubs are few, as the number of edges
+bounds them, so they are broadcast to their edges, which stay where they are.
 """
 
 from __future__ import annotations
@@ -12,16 +13,32 @@ from pyspark.sql import functions as F
 from merganser.llm.common import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node is a hub from so many edges on; and at most so many nodes are hubs, whatever the number of edges.
+HUB, HUBS = 10_000, 100_000
+
+
+def _with_least(edges: DataFrame, heavy: int | None) -> DataFrame:
+    """(a, b, m): edges with the least neighbour of a, or a itself. heavy: None if all edges are fewer than a hub's."""
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")).withColumnRenamed("a", "node")
+    if heavy is None:
+        return edges.join(least, F.col("a") == F.col("node")).select("a", "b", "m")
+    hubs = least.filter(F.col("n") > heavy)  # at most the number of edges / heavy rows of three numbers
+    some = least.filter(F.col("n") <= heavy)
+    of_hubs = edges.join(F.broadcast(hubs), F.col("a") == F.col("node"))
+    others = edges.join(F.broadcast(hubs.select(F.col("node").alias("hub"))), F.col("a") == F.col("hub"), "left_anti").join(some, F.col("a") == F.col("node"))
+    return others.select("a", "b", "m").unionByName(of_hubs.select("a", "b", "m"))
+
+
+def _large_star(edges: DataFrame, heavy: int | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("m", "a").alias("m"))
-    return both.join(least, both["a"] == least["node"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, heavy).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least.withColumnRenamed("a", "node"), F.col("a") == F.col("node"))
-    return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+def _small_star(edges: DataFrame, heavy: int | None) -> DataFrame:
+    """edges: a > b."""
+    joined = _with_least(edges, heavy)
+    least = edges.groupBy("a").agg(F.min("b").alias("b"))
+    return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least)
 
 
 def connected_components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
@@ -36,5 +53,6 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "compone
         if n == 0 or (n, check) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before, k = (n, check), k + 1
-        now = work.write(_small_star(_large_star(now).distinct()).distinct(), f"{name}-{k}")
+        heavy = max(HUB, 2 * n // HUBS) if 2 * n > HUB else None
+        now = work.write(_small_star(_large_star(now, heavy).distinct(), heavy).distinct(), f"{name}-{k}")
         work.drop(f"{name}-{k - 1}")

@@ -174,9 +174,13 @@ def test_leaders_find_links_between_members():
         assert any_link(sizes, sets, half, 75) == any(jaccard(i, j) >= 0.75 for i in range(25) for j in range(25) if half[i] and not half[j])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [10_000, 2])
+def test_components(spark, monkeypatch, hub):
+    import merganser.llm.components as module
+
+    monkeypatch.setattr(module, "HUB", hub)
     rng = random.Random(6)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 540)]
     work = Workspace(spark, "test")
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), work).collect()}
     nodes = {x for e in edges for x in e}
