@@ -14,7 +14,7 @@ from merganser.llm.common import Workspace
 
 
 #: A node is a hub from so many edges on; and at most so many nodes are hubs, whatever the number of edges.
-HUB, HUBS = 10_000, 100_000
+HUB, HUBS = 1_000_000, 100_000
 
 
 def _with_least(edges: DataFrame, heavy: int | None) -> DataFrame:
