@@ -609,7 +609,7 @@ def revert_from_backup(spark, sf):
     touched go, others stay."""
     tables, redirect = merge_tables(spark, sf), relation(spark, sf, "redirect")
     stored = cut(whole.backup_all(tables, redirect, 1, STAMP, SALT))
-    now = whole.merge_all(tables, redirect)
+    now = {name: cut(df) for name, df in whole.merge_all(tables, redirect).items()}
     now["boxscore"] = now["boxscore"].withColumn("value", F.concat("value", F.lit("!")))
     return digest(whole.revert_all(now, stored, 1)[0])
 
