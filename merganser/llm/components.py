@@ -15,6 +15,8 @@ from merganser.llm.common import Workspace
 
 #: A node is a hub from so many edges on; and at most so many nodes are hubs, whatever the number of edges.
 HUB, HUBS = 1_000_000, 100_000
+#: Edges of one file of a round.
+EDGES = 500_000
 
 
 def _with_least(edges: DataFrame, heavy: int | None) -> DataFrame:
@@ -54,5 +56,6 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "compone
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before, k = (n, check), k + 1
         heavy = max(HUB, 2 * n // HUBS) if 2 * n > HUB else None
-        now = work.write(_small_star(_large_star(now, heavy).distinct(), heavy).distinct(), f"{name}-{k}")
+        # rounds do not add edges: few of them need no more files
+        now = work.write(_small_star(_large_star(now, heavy).distinct(), heavy).distinct().coalesce(1 + n // EDGES), f"{name}-{k}")
         work.drop(f"{name}-{k - 1}")

@@ -409,7 +409,7 @@ def _chunks(column: str = "shared"):
 
 
 def _large_blocks(found: DataFrame, placed: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """(a, b): links that connect what the chunks of large blocks left apart.
+    """(node, root) of all linked classes, with the links that connect what the chunks of large blocks left apart.
 
     Leaders of all chunks are searched together; if they outgrow a task, too, in pairs of chunks. Where leaders stay unconnected but
     are near enough for members to link, the members are compared across, dealt out by size.
@@ -431,7 +431,7 @@ def _large_blocks(found: DataFrame, placed: DataFrame, percent: int, work: Works
     apart = near.filter("not linked").join(ra, F.col("a") == F.col("na"), "left").join(rb, F.col("b") == F.col("nb"), "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     apart = work.write(apart, "apart")
     if not apart.limit(1).count():
-        return links
+        return roots
     parts = everyone.groupBy("leader").agg(_chunks().alias("parts"))
     pa_, pb = (parts.select(F.col("leader").alias(x), F.greatest("parts", F.lit(1)).alias(f"p{x}")) for x in "ab")
     sized = apart.join(pa_, "a").join(pb, "b")
@@ -442,7 +442,8 @@ def _large_blocks(found: DataFrame, placed: DataFrame, percent: int, work: Works
         .select("a", "b", F.col(own).alias("i"), F.col(other).alias("j"), "rep", "n", "shared", F.lit(x == "a").alias("first"))
     )
     rows = side("a", "own", "other").unionByName(side("b", "other", "own"))
-    return links.unionByName(_tasks(rows, "a", "b", "i", "j").mapInArrow(_across(percent), "a long, b long"))
+    across = _tasks(rows, "a", "b", "i", "j").mapInArrow(_across(percent), "a long, b long")
+    return connected_components(links.unionByName(across), work, "linked")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, work: Workspace | None = None) -> DataFrame:
@@ -467,7 +468,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = placed.join(load, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), (F.col("chunks") > 1).alias("large"), "rep", "n", "shared")
     found = work.write(_tasks(dealt, "block", "chunk", "large").mapInArrow(_groups(percent), "block long, large boolean, rep long, root long, leader long"), "found")
     if load.filter("chunks > 1").limit(1).count():
-        linked_reps = connected_components(_large_blocks(found, placed, percent, work), work, "linked")
+        linked_reps = _large_blocks(found, placed, percent, work)
     else:
         linked_reps = found.select(F.col("rep").alias("node"), "root")
     several = every.groupBy("doc_id").agg(F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y")).filter("x <> y").select(F.col("doc_id").alias("of"))
