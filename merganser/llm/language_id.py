@@ -200,9 +200,9 @@ def train(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = 2000
     One row for each id, those with the smallest hashes of their ids first; of rows that repeat an id the least (text, language).
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    usable = source.filter(f"id is not null and lang is not null and text <> '' and lang <> '{UNDETERMINED}' and {crc32_text('id')} % {folds} != {held_out}")
+    usable = source.filter(f"id is not null and lang is not null and lang <> '{UNDETERMINED}' and {crc32_text('id')} % {folds} != {held_out}")
     pick = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = usable.join(F.broadcast(pick), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("m"))  # at most `sample` ids
+    rows = usable.join(F.broadcast(pick), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("m")).filter("m.text <> ''")  # at most `sample` ids
     return LanguageModel(bounded(rows.select("id", "m.text", F.col("m.lang").alias("label")), sample_bytes))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.common import crc32_text, pieces
+from merganser.llm.common import Workspace, crc32_text, pieces
 from merganser.llm.hashing import U, classes, mix, tokens
 
 TABLE = classes(b" \t\n\v\f\r", bytes(c for c in range(33, 127) if not chr(c).isalnum()))
@@ -105,17 +105,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def bounded(rows: DataFrame, most: int) -> list[tuple[bytes, object]]:
-    """(text, label) of rows (id, text, label), by the hash of the id, as far as ``most`` bytes of text go."""
-    out, room = [], most
-    sizes = rows.select("id", F.xxhash64("id").alias("h"), F.octet_length("text").alias("n")).collect()
-    some = []
-    for r in sorted(sizes, key=lambda r: (r.h, r.id)):
+    """(text, label) of rows (id, text, label), by the hash of the id, as far as ``most`` bytes of text go.
+
+    rows are those of a sample: they are written once, then looked at for their sizes.
+    """
+    work = Workspace(rows.sparkSession, "sample")
+    rows = work.write(rows.withColumn("h", F.xxhash64("id")), "rows")
+    room, some = most, []
+    for r in sorted(rows.select("id", "h", F.octet_length("text").alias("n")).collect(), key=lambda r: (r.h, r.id)):
         if r.n <= room:
             room -= r.n
             some.append((r.id,))
+    out = []
     if some:
         ids = rows.sparkSession.createDataFrame(some, rows.select("id").schema)
-        out = rows.join(F.broadcast(ids), "id").select("id", F.xxhash64("id").alias("h"), "text", "label").collect()
+        out = rows.join(F.broadcast(ids), "id").select("id", "h", "text", "label").collect()
+    work.drop()
     return [(r.text.encode(), r.label) for r in sorted(out, key=lambda r: (r.h, r.id))]
 
 
