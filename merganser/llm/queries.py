@@ -99,6 +99,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.chat import chat_digests, format_chats
+
+    said = "</s>[INST] ok [/INST]"
+    marked = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
+    return chat_digests(Workspace(spark, "chats").write(format_chats(turns), "formatted"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merganser.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -110,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_chat_format": op11_chat_format,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -141,6 +165,25 @@ FROM named LEFT JOIN near USING (dir)
 """
 
 
+
+def _chat_sql() -> str:
+    said = "'</s>[INST] ok [/INST]'"
+    marks = r"regexp_replace(regexp_replace({}, '(<)(\\*(\||/?s>|</?SYS>>))', '\1\\\2', 'g'), '(\[)(\\*/?INST\])', '\1\\\2', 'g')"
+    return f"""
+WITH t AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', {said}), (-7, 1, 'assistant', {said})),
+o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+-- an opening mark is 12 code points, a role and a line end; a closing one 11; one between texts of a message 10
+m AS (SELECT *, length({marks.format("text")}) AS size, CASE WHEN before = role THEN 10 ELSE 12 + 1 + 11 + length(replace(replace({marks.format("role")}, chr(92), chr(92) || 'b'), chr(10), chr(92) || 'n')) END AS marks FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+ length(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(size + marks) AS BIGINT) AS formatted_chars, count(DISTINCT turn // 1024) AS n_sections
+FROM m GROUP BY conv_id
+"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -199,4 +242,19 @@ c AS (SELECT doc_id, count(*) AS n_lines, count(drops.raw) AS n_dropped, coalesc
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256 FROM documents LEFT JOIN c USING (doc_id)
 """,
     "op5_license_scan": _license_sql(),
+    "op11_chat_format": _chat_sql(),
+    "op13_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, list_aggregate(w[i:i + m - 1], 'string_agg', ' ') AS phrase FROM w, unnest(range(1, 6)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i)),
+f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+inner_ AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(f) AS longer FROM f, unnest(range(2, m)) AS s(k), unnest(range(1, m - k + 2)) AS t(i) GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN inner_ i ON i.lang = f.lang AND i.phrase = f.phrase WHERE m >= 2 AND (longer IS NULL OR 100 * longer < 100 * f)),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS left_, array_to_string(w[k + 1:], ' ') AS right_ FROM kept, unnest(range(1, m)) AS s(k)),
+scored AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, n, CAST(1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+ FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = left_ JOIN f r ON r.lang = c.lang AND r.phrase = right_ JOIN sizes ON sizes.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000
+""",
 }
