@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,23 @@ BREAKS = frozenset(b".,;:!?\n\v\f\r")
 SHARD, OPEN = 1 << 20, 1 << 22
 #: Positions of a block, and blocks that are ANDed at once.
 BITS, AT_ONCE = 16, 1 << 16
+#: Rows of frequent words or pairs that a join may broadcast.
+BROADCAST = 500_000
 UNKNOWN = "und"
 SHARDS = "shard long, lang string, words array<string>, counts array<int>, context int, ids binary"
 OF_SHARD = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("context", pa.int32()), ("ids", pa.binary())])
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Byte by byte plane, so that the upper bytes, nearly all alike, take no room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 class _Numbers(dict):
     """Words numbered in the order of their first occurrence; what breaks pieces is -1."""
 
@@ -66,7 +80,7 @@ class _Shard:
         own = ids[self.context :]
         counts = np.bincount(own[own >= 0], minlength=len(self.numbers.words)).astype(np.int32)
         words = [w.decode("utf-8", "replace") for w in self.numbers.words]
-        row = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((number, self.lang, words, counts, self.context, ids.tobytes()), OF_SHARD.types, strict=True)], schema=OF_SHARD)
+        row = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((number, self.lang, words, counts, self.context, _packed(ids)), OF_SHARD.types, strict=True)], schema=OF_SHARD)
         tail = []
         for w in reversed(self.ids[-(self.longest - 1) :]):
             if w < 0:
@@ -160,81 +174,89 @@ class Bitmaps:
         total = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
         return key // n_words, key % n_words, total  # 0: in the context only, but a longer phrase may begin there
 
-    def phrases(self, follow: dict[int, np.ndarray], n_words: int, longest: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """(words, popcount) of phrases of three words and more, all of whose pairs are in ``follow``, depth-first."""
-        allowed = np.zeros(n_words, bool)
-        roots = np.searchsorted(self.word, np.arange(n_words + 1))
-        for first in sorted(follow):
-            at = slice(roots[first], roots[first + 1])
-            stack = [((first,), self.block[at], self.mask[at])]
-            while stack:
-                phrase, block, mask = stack.pop()
-                after = follow.get(phrase[-1])
-                if after is None:
+    def phrases(self, follow: np.ndarray, n_words: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word numbers, a row a phrase, and popcounts) of phrases of three words and more, all of whose pairs a * n_words + b
+        are in ``follow``, which is sorted. Phrases grow depth-first, many neighbours in the tree at a time."""
+        stack = [(np.arange(n_words, dtype=np.int32)[:, None], self.word, self.block, self.mask)]
+        while stack:
+            phrase, tag, block, mask = stack.pop()
+            if len(tag) > AT_ONCE:  # those of the second half wait, whole bitmaps only
+                at = int(np.searchsorted(tag, tag[len(tag) // 2]))
+                at = at or int(np.searchsorted(tag, tag[0], "right"))
+                if at < len(tag):
+                    stack += [(phrase, tag[at:], block[at:], mask[at:]), (phrase, tag[:at], block[:at], mask[:at])]
                     continue
-                _, word, block, mask = self.extended(np.zeros(len(block), np.int8), block, mask)
-                allowed[after] = True
-                kept = np.flatnonzero(allowed[word])
-                allowed[after] = False
-                kept = kept[np.argsort(word[kept], kind="stable")]
-                word, block, mask = word[kept], block[kept], mask[kept]
-                if len(phrase) >= 2 and len(word):
-                    starts = np.flatnonzero(np.append(True, np.diff(word) != 0))
-                    for w, n in zip(word[starts].tolist(), np.add.reduceat(np.bitwise_count(mask & self.own(block)), starts, dtype=np.int64).tolist(), strict=True):
-                        if n:
-                            yield (*phrase, w), n
-                if len(phrase) + 1 < longest:
-                    ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word)) if len(word) else []
-                    start = 0
-                    for end in ends:
-                        stack.append(((*phrase, int(word[start])), block[start:end], mask[start:end]))
-                        start = end
+            tag, word, block, mask = self.extended(tag, block, mask)
+            key = phrase[tag, -1].astype(np.int64) * n_words + word
+            kept = np.flatnonzero(follow[np.minimum(np.searchsorted(follow, key), len(follow) - 1)] == key)
+            key = tag[kept].astype(np.int64) * n_words + word[kept]
+            order = np.argsort(key, kind="stable")
+            key, kept = key[order], kept[order]
+            block, mask = block[kept], mask[kept]
+            starts = np.flatnonzero(np.append(True, np.diff(key) != 0)[: len(key)])
+            if not len(starts):
+                continue
+            longer = np.concatenate([phrase[key[starts] // n_words], (key[starts] % n_words).astype(np.int32)[:, None]], 1)
+            if longer.shape[1] >= 3:
+                n = np.add.reduceat(np.bitwise_count(mask & self.own(block)), starts, dtype=np.int64)
+                yield longer[n > 0], n[n > 0]
+            if longer.shape[1] < longest:
+                stack.append((longer, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key)))), block, mask))
 
 
 def _shard_row(table: pa.Table) -> tuple[int, str, pa.Array, np.ndarray, int]:
     row = table.slice(0, 1).combine_chunks()
     words = row.column("words").chunk(0).flatten()
-    return row["shard"][0].as_py(), row["lang"][0].as_py(), words, np.frombuffer(row["ids"][0].as_py(), np.int32), row["context"][0].as_py()
+    return row["shard"][0].as_py(), row["lang"][0].as_py(), words, _unpacked(row["ids"][0].as_py()), row["context"][0].as_py()
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    shard, lang, words, ids, context = _shard_row(table)
-    keep = np.zeros(len(words), bool)
-    keep[np.array(table["frequent"][0].as_py())] = True
-    a, b, n = Bitmaps(ids, keep, context).pairs(len(words))
-    first, second = words.take(pa.array(a)), words.take(pa.array(b))
-    return pa.table({"shard": pa.array([shard] * len(a), pa.int64()), "lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "first": first, "second": second, "n": pa.array(n, pa.int64())})
+    shard, _, words, ids, context = _shard_row(table)
+    numbers = np.full(len(words), -1, np.int64)
+    frequent = table["frequent"].combine_chunks().flatten()
+    numbers[frequent.field("w").to_numpy()] = frequent.field("id").to_numpy()
+    a, b, n = Bitmaps(ids, numbers >= 0, context).pairs(len(words))
+    return pa.table({"shard": pa.array([shard] * len(a), pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "first": numbers[a], "second": numbers[b], "n": pa.array(n, pa.int32())})
 
 
 def _longer(longest: int):
     def run(table: pa.Table) -> pa.Table:
         _, lang, words, ids, context = _shard_row(table)
-        follow: dict[int, list[int]] = {}
+        pairs = table["frequent"].combine_chunks().flatten()
+        a, b = (pairs.field(c).to_numpy().astype(np.int64) for c in "ab")
         keep = np.zeros(len(words), bool)
-        for p in table["frequent"][0].as_py():
-            follow.setdefault(p["a"], []).append(p["b"])
-            keep[[p["a"], p["b"]]] = True
-        texts = {int(w): words[int(w)].as_py() for w in np.flatnonzero(keep)}
-        found = list(Bitmaps(ids, keep, context).phrases({a: np.array(b) for a, b in follow.items()}, len(words), longest))
-        return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array([" ".join(texts[w] for w in p) for p, _ in found], pa.string()), "n": pa.array([n for _, n in found], pa.int64())})
+        keep[a] = keep[b] = True
+        texts, counts = [], []
+        for phrase, n in Bitmaps(ids, keep, context).phrases(np.sort(a * len(words) + b), len(words), longest):
+            texts.append(pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in phrase.T), " "))
+            counts.append(pa.array(n))
+        text, count = pa.chunked_array(texts, pa.string()).combine_chunks(), pa.chunked_array(counts, pa.int64()).combine_chunks()
+        return pa.table({"lang": pa.array([lang] * len(text), pa.string()), "phrase": text, "n": count})
 
     return run
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has at most BROADCAST rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, n) with n all word occurrences, and (lang, phrase, size, f) of all phrases of 1 to ``longest`` words with f >= least."""
     slim = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     shards = work.write(slim.mapInArrow(_sharded(longest, shard, max(OPEN, shard)), SHARDS), "shards")
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("w", "at")).select("shard", "lang", "w", F.col("at.words").alias("word"), F.col("at.counts").alias("n"))
     sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    words = work.write(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "words")
-    of_shard = local.join(words.select("lang", "word"), ["lang", "word"]).groupBy("shard").agg(F.collect_list("w").alias("frequent"))
-    pairs = work.write(shards.join(of_shard, "shard").groupBy("shard").applyInArrow(_pairs, "shard long, lang string, a int, b int, first string, second string, n long"), "local-pairs")
-    two = work.write(pairs.groupBy("lang", "first", "second").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "pairs")
-    follow = pairs.join(two.select("lang", "first", "second"), ["lang", "first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("frequent"))
+    words = work.write(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "words")
+    of_shard = local.join(_bounded(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("w", "id")).alias("frequent"))
+    pairs = work.write(shards.join(of_shard, "shard").groupBy("shard").applyInArrow(_pairs, "shard long, a int, b int, first long, second long, n int"), "local-pairs")
+    two = work.write(pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "pairs")
+    follow = pairs.join(_bounded(two.select("first", "second")), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("frequent"))
     longer = shards.join(follow, "shard").groupBy("shard").applyInArrow(_longer(longest), "lang string, phrase string, n long")
     more = longer.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    every = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(two.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), "f")).unionByName(more)
+    named = lambda side: words.select("lang", F.col("id").alias(side), F.col("word").alias(f"{side}_word"))
+    two = two.join(named("first"), "first").join(named("second").drop("lang"), "second").select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "f")
+    every = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(two).unionByName(more)
     return work.write(sizes, "sizes"), work.write(every.withColumn("size", F.size(F.split("phrase", " "))), "phrases")
 
 
