@@ -8,7 +8,7 @@ grow depth-first. Popcounts are summed over the shards.
 
 A phrase can only be frequent if its words and its pairs are, so three passes over the shards follow each other: words, pairs of frequent
 words, and longer phrases all of whose pairs are frequent. What is frequent reaches a shard by joins with what that shard
-holds; nothing of the corpus is collected or broadcast by hand. A piece that is longer than a shard goes on in the
+holds; at most 500,000 frequent pairs are broadcast, more are joined like the words. A piece that is longer than a shard goes on in the
 next one, which repeats its last words as context: phrases that end in the context are not counted again.
 
 Defined results: a null text is empty, a null language is ``und``; rows without an id and repeated rows count like
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,34 +203,40 @@ class Bitmaps:
                 stack.append((longer, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key)))), block, mask))
 
 
-def _shard_row(table: pa.Table) -> tuple[int, str, pa.Array, np.ndarray, int]:
+def _opened(table: pa.Table) -> tuple[Bitmaps, np.ndarray]:
+    """A shard's bitmaps of frequent words, and the number in the whole corpus of each word of the shard (-1: not frequent)."""
     row = table.slice(0, 1).combine_chunks()
-    words = row.column("words").chunk(0).flatten()
-    return row["shard"][0].as_py(), row["lang"][0].as_py(), words, _unpacked(row["ids"][0].as_py()), row["context"][0].as_py()
+    numbers = np.full(row["n_words"][0].as_py(), -1, np.int64)
+    frequent = row["frequent"].chunk(0).flatten()
+    numbers[frequent.field("w").to_numpy()] = frequent.field("id").to_numpy()
+    return Bitmaps(_unpacked(row["ids"][0].as_py()), numbers >= 0, row["context"][0].as_py()), numbers
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    shard, _, words, ids, context = _shard_row(table)
-    numbers = np.full(len(words), -1, np.int64)
-    frequent = table["frequent"].combine_chunks().flatten()
-    numbers[frequent.field("w").to_numpy()] = frequent.field("id").to_numpy()
-    a, b, n = Bitmaps(ids, numbers >= 0, context).pairs(len(words))
-    return pa.table({"shard": pa.array([shard] * len(a), pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "first": numbers[a], "second": numbers[b], "n": pa.array(n, pa.int32())})
+    maps, numbers = _opened(table)
+    a, b, n = maps.pairs(len(numbers))
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(a), pa.int64()), "first": numbers[a], "second": numbers[b], "n": pa.array(n, pa.int32())})
+
 
+def _longer(longest: int, pairs):
+    """pairs: the frequent ones, broadcast, or None if the shard brings its own."""
 
-def _longer(longest: int):
     def run(table: pa.Table) -> pa.Table:
-        _, lang, words, ids, context = _shard_row(table)
-        pairs = table["frequent"].combine_chunks().flatten()
-        a, b = (pairs.field(c).to_numpy().astype(np.int64) for c in "ab")
-        keep = np.zeros(len(words), bool)
-        keep[a] = keep[b] = True
-        texts, counts = [], []
-        for phrase, n in Bitmaps(ids, keep, context).phrases(np.sort(a * len(words) + b), len(words), longest):
-            texts.append(pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in phrase.T), " "))
+        maps, numbers = _opened(table)
+        if pairs is None:
+            own = table["follow"].combine_chunks().flatten()
+            first, second = own.field("first").to_numpy(), own.field("second").to_numpy()
+        else:
+            first, second = pairs.value
+        order = np.argsort(numbers)
+        local = [order[np.minimum(np.searchsorted(numbers, x, sorter=order), len(order) - 1)] for x in (first, second)]
+        here = (numbers[local[0]] == first) & (numbers[local[1]] == second)
+        follow = np.sort(local[0][here].astype(np.int64) * len(numbers) + local[1][here])
+        phrases, counts = [], []
+        for phrase, n in maps.phrases(follow, len(numbers), longest) if len(follow) else ():
+            phrases.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * phrase.shape[1], pa.int32()), pa.array(numbers[phrase].ravel())))
             counts.append(pa.array(n))
-        text, count = pa.chunked_array(texts, pa.string()).combine_chunks(), pa.chunked_array(counts, pa.int64()).combine_chunks()
-        return pa.table({"lang": pa.array([lang] * len(text), pa.string()), "phrase": text, "n": count})
+        return pa.table({"ids": pa.chunked_array(phrases, pa.list_(pa.int64())), "n": pa.chunked_array(counts, pa.int64())})
 
     return run
 
@@ -249,14 +254,19 @@ def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest:
     sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = work.write(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "words")
     of_shard = local.join(_bounded(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("w", "id")).alias("frequent"))
-    pairs = work.write(shards.join(of_shard, "shard").groupBy("shard").applyInArrow(_pairs, "shard long, a int, b int, first long, second long, n int"), "local-pairs")
+    opened = shards.select("shard", "context", "ids", F.size("words").alias("n_words")).join(work.write(of_shard, "frequent"), "shard")
+    pairs = opened.groupBy("shard").applyInArrow(_pairs, "shard long, first long, second long, n int")
     two = work.write(pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "pairs")
-    follow = pairs.join(_bounded(two.select("first", "second")), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("frequent"))
-    longer = shards.join(follow, "shard").groupBy("shard").applyInArrow(_longer(longest), "lang string, phrase string, n long")
-    more = longer.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    named = lambda side: words.select("lang", F.col("id").alias(side), F.col("word").alias(f"{side}_word"))
-    two = two.join(named("first"), "first").join(named("second").drop("lang"), "second").select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "f")
-    every = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(two).unionByName(more)
+    if two.count() <= BROADCAST:
+        found = two.select("first", "second").toArrow()
+        everywhere = df.sparkSession.sparkContext.broadcast((found["first"].to_numpy(), found["second"].to_numpy()))
+    else:
+        everywhere, follow = None, pairs.join(two.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("follow"))
+        opened = opened.join(follow, "shard")
+    longer = opened.groupBy("shard").applyInArrow(_longer(longest, everywhere), "ids array<long>, n long").groupBy("ids").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    more = work.write(longer.unionByName(two.select(F.array("first", "second").alias("ids"), "f")), "numbered")
+    named = more.select("ids", "f", F.posexplode("ids").alias("i", "id")).join(_bounded(words.select("lang", "word", "id")), "id").groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("at"))
+    every = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(named.select("lang", F.array_join("at.word", " ").alias("phrase"), "f"))
     return work.write(sizes, "sizes"), work.write(every.withColumn("size", F.size(F.split("phrase", " "))), "phrases")
 
 

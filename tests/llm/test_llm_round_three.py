@@ -167,7 +167,9 @@ def plain_collocations(rows, most, least):
     return sorted(out)
 
 
-def test_collocations_against_counting(spark):
+def test_collocations_against_counting(spark, monkeypatch):
+    from merganser.llm import collocations as module
+
     rng = random.Random(5)
     words = ["the", "The", "of", "ÄRGER", "naïve", "a", "b", "<s>", "don't", "x" * 40, "日本", "\\"]
     word = lambda: words[min(int(rng.expovariate(0.5)), len(words) - 1)]
@@ -179,6 +181,8 @@ def test_collocations_against_counting(spark):
     assert len({r[0] for r in want}) >= 4 and any(len(r[2].split()) == 5 for r in want)
     for shard in (1 << 20, 100, 7):
         assert sorted(tuple(r) for r in collocations(df, most=40, least=12, shard=shard).collect()) == want
+    monkeypatch.setattr(module, "BROADCAST", 0)
+    assert sorted(tuple(r) for r in collocations(df, most=40, least=12, shard=100).collect()) == want
     assert collocations(df.limit(0)).count() == 0
     assert collocations(spark.createDataFrame([(None, None), ("en", ".")], "lang string, text string"), least=1).count() == 0
 
