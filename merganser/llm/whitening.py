@@ -98,7 +98,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(TaskContext.get().partitionId(), found)
 
 
-def _merged(key, table: pa.Table) -> pa.Table:
+def _merged(table: pa.Table) -> pa.Table:
     out = None
     for r in table.sort_by("part").to_pylist():
         now = Summary(r["n"], [int(v) for v in r["sums"]], np.array(r["s"]), np.frombuffer(r["vt"]).reshape(len(r["s"]), r["d"]))
