@@ -98,12 +98,15 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(TaskContext.get().partitionId(), found)
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    out = None
-    for r in table.sort_by("part").to_pylist():
-        now = Summary(r["n"], [int(v) for v in r["sums"]], np.array(r["s"]), np.frombuffer(r["vt"]).reshape(len(r["s"]), r["d"]))
-        out = out.merge(now) if out else now
-    return pa.Table.from_batches([_row(r["part"] // FANOUT, {r["d"]: out})])
+def _merged(fanout: int):
+    def run(table: pa.Table) -> pa.Table:
+        out = None
+        for r in table.sort_by("part").to_pylist():
+            now = Summary(r["n"], [int(v) for v in r["sums"]], np.array(r["s"]), np.frombuffer(r["vt"]).reshape(len(r["s"]), r["d"]))
+            out = out.merge(now) if out else now
+        return pa.Table.from_batches([_row(r["part"] // fanout, {r["d"]: out})])
+
+    return run
 
 
 @dataclass
@@ -153,13 +156,13 @@ def _products(models: dict[int, Model]):
     return run
 
 
-def fit(vectors: DataFrame, k: int, work: Workspace) -> dict[int, Model]:
+def fit(vectors: DataFrame, k: int, work: Workspace, fanout: int = FANOUT) -> dict[int, Model]:
     """vectors: x. The models over the distinct vectors, one for each dimension; they measure their own error."""
     distinct = work.write(vectors.filter(F.size("x") > 0).distinct(), "fit")
     level, now = 0, work.write(distinct.mapInArrow(_summaries, SUMMARY), "merged-0")
     while now.agg(F.max("part")).first()[0]:
         level += 1
-        now = work.write(now.groupBy("d", F.expr(f"part div {FANOUT}").alias("above")).applyInArrow(_merged, SUMMARY), f"merged-{level}")
+        now = work.write(now.groupBy("d", F.expr(f"part div {fanout}").alias("above")).applyInArrow(_merged(fanout), SUMMARY), f"merged-{level}")
     models = {}
     for r in now.collect():  # one row a dimension
         models[r.d] = Model.of(Summary(r.n, [int(v) for v in r.sums], np.array(r.s), np.frombuffer(r.vt).reshape(len(r.s), r.d)), r.d, k)
@@ -197,13 +200,13 @@ def _whitened(models: dict[int, Model], id_col: str):
     return run
 
 
-def whiten(df: DataFrame, k: int = 4, id_col: str = "vec_id", vec_col: str = "embedding", work: Workspace | None = None) -> DataFrame:
+def whiten(df: DataFrame, k: int = 4, id_col: str = "vec_id", vec_col: str = "embedding", work: Workspace | None = None, fanout: int = FANOUT) -> DataFrame:
     """One row per remaining row and component: id_col, component, n, deviation, whitened, explained, identity_error, dimensions."""
     work = work or Workspace(df.sparkSession, "whitening")
     sound = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < LARGEST)
     vector = F.transform(F.col(f"`{vec_col}`"), lambda e: e.cast("double"))
     slim = df.select(F.col(f"`{id_col}`"), vector.alias("v")).filter(F.col("v").isNotNull() & F.forall("v", lambda e: F.coalesce(sound(e), F.lit(False))))
     rows = slim.select(F.col(f"`{id_col}`"), F.transform("v", lambda e: F.floor(e * SCALE)).alias("x"))
-    models = fit(rows.select("x"), k, work)
+    models = fit(rows.select("x"), k, work, fanout)
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(_whitened(models, id_col), f"`{id_col}` {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double, dimensions int")

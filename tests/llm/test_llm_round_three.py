@@ -84,7 +84,7 @@ def plain_whitening(vectors, k=4):
     return len(x), x.astype(int).sum(0).tolist(), e[::-1][:k], c[:, ::-1].T[:k], np.trace(v)
 
 
-def test_whitening_against_numpy(spark, monkeypatch):
+def test_whitening_against_numpy(spark):
     rng = np.random.default_rng(3)
     mixed = rng.normal(size=(6, 6))
     vectors = (rng.normal(size=(900, 6)) @ mixed + 3).astype(np.float32).tolist()
@@ -94,9 +94,8 @@ def test_whitening_against_numpy(spark, monkeypatch):
     other = [(5000 + i, [float(i), float(i * i % 7)]) for i in range(20)]
     df = spark.createDataFrame(rows + other, "vec_id long, embedding array<float>").withColumns({"x": F.lit(1), "n": F.lit("y"), "v": F.lit(2), "d": F.lit(1)}).repartition(19)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that several summaries merge
-    monkeypatch.setattr(whitening, "FANOUT", 2)
     try:
-        got = whitening.whiten(df).collect()
+        got = whitening.whiten(df, fanout=2).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for d, part in ((6, [r for r in rows if r[1] in vectors]), (2, other)):
