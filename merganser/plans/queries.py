@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merganser.functions import names
-from merganser.operators import cluster, enrich, match, merge, preview, scan, snapshot, whole
-from merganser.operators.lineage import cut
+from merganser.operators import cluster, enrich, incremental, match, merge, preview, scan, snapshot, whole
+from merganser.operators.lineage import cut, shared_folder
 from merganser.plans import name_sql
 from merganser.sources.fixtures import relation, with_relations
 
@@ -575,9 +575,7 @@ new_ros AS (SELECT list_id, coalesce(primary_id, player_id) AS player_id, min(po
 pics AS (SELECT coalesce(primary_id, entity_id) AS entity_id, first(image ORDER BY dup_id NULLS FIRST) AS image FROM images LEFT JOIN redirect ON dup_id = entity_id WHERE image <> '' GROUP BY ALL)"""
 
 
-@query(
-    "merge_all",
-    f"""{_MERGED} {_as_text("entities", where="entity_id NOT IN (SELECT dup_id FROM redirect)")}
+_MERGE_ALL = f"""{_MERGED} {_as_text("entities", where="entity_id NOT IN (SELECT dup_id FROM redirect)")}
 UNION ALL {_as_text("terms", "(SELECT DISTINCT coalesce(primary_id, entity_id) AS entity_id, taxonomy, term FROM player_terms LEFT JOIN redirect ON dup_id = entity_id)")}
 UNION ALL {_as_text("attrs", "marked", "NOT repeats OR (nth = 1 AND value NOT IN ('', '0'))")}
 UNION ALL {_as_text("nested", "deep")}
@@ -586,15 +584,23 @@ UNION ALL {_as_text("references", "new_refs")}
 UNION ALL {_as_text("boxscore", "new_box")} UNION ALL {_as_text("boxscore", where="event_id NOT IN (FROM ev)")}
 UNION ALL {_as_text("timeline", "minutes", "event_id IN (FROM ev)")} UNION ALL {_as_text("timeline", where="event_id NOT IN (FROM ev)")}
 UNION ALL {_as_text("positions", "new_pos")} UNION ALL {_as_text("positions", where="event_id NOT IN (FROM ev)")}
-UNION ALL {_as_text("rosters", "new_ros")} UNION ALL {_as_text("rosters", where="list_id NOT IN (FROM li)")}""",
-)
+UNION ALL {_as_text("rosters", "new_ros")} UNION ALL {_as_text("rosters", where="list_id NOT IN (FROM li)")}"""
+
+
+@query("merge_all", _MERGE_ALL)
 def merge_all(spark, sf):
     return digest(whole.merge_all(merge_tables(spark, sf), relation(spark, sf, "redirect")))
 
 
-@query(
-    "revert_from_backup",
-    f"""{_MERGED} {_as_text("entities")}
+@query("merge_incremental", _MERGE_ALL)
+def merge_incremental(spark, sf):
+    """The same merge over tables in buckets: those it touches are rewritten, with paged backups in the same version."""
+    store = incremental.open_store(spark, shared_folder(spark, "merge"), 16)
+    incremental.load(store, merge_tables(spark, sf))
+    return digest(incremental.current(store, incremental.merge_incremental(store, relation(spark, sf, "redirect"), 1, STAMP, SALT)))
+
+
+_REVERTED = f"""{_MERGED} {_as_text("entities")}
 UNION ALL {_as_text("terms")}
 UNION ALL SELECT 'terms', concat_ws('|', primary_id, taxonomy, term) FROM player_terms d JOIN redirect ON dup_id = entity_id WHERE NOT EXISTS (SELECT 1 FROM player_terms p WHERE p.entity_id = primary_id AND p.taxonomy = d.taxonomy)
 UNION ALL {_as_text("attrs", where="starts_with(key, 'sp_') OR entity_id NOT IN (SELECT dup_id FROM redirect)")}
@@ -602,8 +608,10 @@ UNION ALL {_as_text("nested")}
 UNION ALL {_as_text("images", "pics")}
 UNION ALL {_as_text("references", '(SELECT n.attr_id, n.entity_id, n.key, CASE WHEN EXISTS (SELECT 1 FROM "references" p WHERE p.entity_id = o.entity_id AND p.key = \'sp_player\' AND p.value = o.value) THEN o.value ELSE n.value END AS value FROM new_refs n JOIN "references" o USING (attr_id))')}
 UNION ALL {_as_text("boxscore", "(SELECT event_id, player_id, pos, stat, team, CASE WHEN event_id IN (FROM ev) THEN value ELSE concat(value, '!') END AS value FROM boxscore)")}
-UNION ALL {_as_text("timeline")} UNION ALL {_as_text("positions")} UNION ALL {_as_text("rosters")}""",
-)
+UNION ALL {_as_text("timeline")} UNION ALL {_as_text("positions")} UNION ALL {_as_text("rosters")}"""
+
+
+@query("revert_from_backup", _REVERTED)
 def revert_from_backup(spark, sf):
     """Stores backups, merges, edits every box score meanwhile, and reverts from what was stored: edits of events that the merge
     touched go, others stay."""
@@ -614,6 +622,17 @@ def revert_from_backup(spark, sf):
     return digest(whole.revert_all(now, stored, 1)[0])
 
 
+@query("revert_incremental", _REVERTED)
+def revert_incremental(spark, sf):
+    """The same story over tables in buckets: each step is a version, and the revert reads pages."""
+    store = incremental.open_store(spark, shared_folder(spark, "revert"), 16)
+    incremental.load(store, merge_tables(spark, sf))
+    merged = incremental.merge_incremental(store, relation(spark, sf, "redirect"), 1, STAMP, SALT)
+    with store.lease() as lease:
+        store.publish(lease, merged, {"boxscore": (store.read(merged, "boxscore").withColumn("value", F.concat("value", F.lit("!"))), None)})
+    return digest(incremental.current(store, incremental.revert_incremental(store, 1)))
+
+
 # the whole preview
 
 
