@@ -43,9 +43,24 @@ def rewrite_references(attrs: DataFrame, redirect: DataFrame, keys: tuple[str, .
     return out.select(*[F.coalesce("__primary", "value").alias("value") if c == "value" else F.col(f"`{c}`") for c in attrs.columns])
 
 
+#: What the host takes for a number, and the digits with which it writes one.
+NUMBER = r"^[ \t\n\r\x0B\f]*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ \t\n\r\x0B\f]*$"
+DIGITS = 14
+
+
 def number(c: Column) -> Column:
-    """A text as a number, or null."""
-    return c.try_cast("double")
+    """A text as a number, or null. ``5d``, ``NaN``, ``0x1`` and words are none."""
+    return F.nullif(F.regexp_extract(c, NUMBER, 1), F.lit("")).try_cast("double")
+
+
+def as_text(x: Column) -> Column:
+    """A number as the host writes it: 14 digits, no zeros at the end, an exponent where it is below -4 or above 13."""
+    rounded = F.format_string(f"%.{DIGITS - 1}e", x)
+    exponent = F.regexp_extract(rounded, r"e([+-]\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(rounded.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+    mantissa = F.regexp_replace(F.regexp_extract(rounded, r"^(.*)e", 1), r"0+$", "")
+    power = F.concat(F.when(F.endswith(mantissa, F.lit(".")), F.concat(mantissa, F.lit("0"))).otherwise(mantissa), F.lit("E"), F.regexp_replace(F.regexp_extract(rounded, r"e([+-]\d+)$", 1), r"^([+-])0+(?=\d)", "$1"))
+    return F.when(x == 0, "0").when((exponent < -4) | (exponent >= DIGITS), power).otherwise(F.when(F.contains(rounded.try_cast("decimal(38,20)").cast("string"), F.lit(".")), plain).otherwise(rounded.try_cast("decimal(38,0)").cast("string")))
 
 
 def merge_boxscore(boxscore: DataFrame, redirect: DataFrame) -> DataFrame:
@@ -66,9 +81,7 @@ def merge_boxscore(boxscore: DataFrame, redirect: DataFrame) -> DataFrame:
         F.min("pos").alias("pos"),
     )
     adds = ~F.col("stat").isin(*KEPT_STATS) & number(F.col("first")).isNotNull() & (F.col("n") > 1)
-    whole = F.col("total") == F.floor("total")
-    summed = F.when(whole, F.col("total").cast("long").cast("string")).otherwise(F.col("total").cast("string"))
-    return grouped.select("event_id", "team", "player_id", "stat", F.when(adds, summed).otherwise(F.coalesce("first", "any")).alias("value"), "pos")
+    return grouped.select("event_id", "team", "player_id", "stat", F.when(adds, as_text(F.col("total"))).otherwise(F.coalesce("first", "any")).alias("value"), "pos")
 
 
 def merge_timeline(timeline: DataFrame, redirect: DataFrame) -> DataFrame:
@@ -184,6 +197,67 @@ def distinct_values(attrs: DataFrame, keys: tuple[str, ...] = DISTINCT_KEYS) ->
     return rows.select("entity_id", "key", F.when(F.size(once) < F.size("v"), F.filter(once, valid)).otherwise(F.col("v")).alias("all_values"))
 
 
+#: Duplicates whose steps one array holds: ids of one block of so many numbers.
+STEPS = 4096
+
+
+def fold_distinct(attrs: DataFrame, redirect: DataFrame, keys: tuple[str, ...] = DISTINCT_KEYS, steps: int = STEPS) -> DataFrame:
+    """Rows of multi-valued keys that primaries end up with: the columns of ``attrs``, entity_id being the primary.
+
+    Duplicates come one after the other, in the order of ``dup_id``. Each adds the values that the primary lacks, as often as it has
+    them; then, if anything is there twice, all values stay once, but empty ones and zeros go. So a value stays in its first
+    row, unless it is empty or zero: whether one of these is there in the end depends on every step. A step is a function of
+    four states (is there an empty value, is there a zero), so steps are put together in blocks of ids, then the blocks:
+    no array holds more than a block's duplicates or a primary's blocks. A null value counts as empty.
+    """
+    r = redirect.select("dup_id", "primary_id")
+    mains = r.groupBy(F.col("primary_id").alias("main")).agg(F.min("dup_id").alias("first"))
+    rows = attrs.filter(F.col("key").isin(*keys)).select(*attrs.columns)
+    own = rows.join(mains, rows["entity_id"] == mains["main"]).select("main", F.lit(None).cast("long").alias("dup"), *rows.columns)
+    given = rows.join(r, rows["entity_id"] == r["dup_id"]).select(F.col("primary_id").alias("main"), F.col("dup_id").alias("dup"), *rows.columns)
+    every = own.unionByName(given).withColumn("v", F.coalesce("value", F.lit("")))
+    # of each value: the first row, who brought it, and whether it came twice
+    at = F.struct(F.col("dup").isNotNull().alias("given"), "dup", "attr_id")
+    per = every.groupBy("main", "key", "v", "dup").agg(F.count("*").alias("n"), F.min("attr_id").alias("attr_id"))
+    firsts = per.groupBy("main", "key", "v").agg(F.min(F.struct(at, "n")).alias("f")).select("main", "key", "v", "f.n", F.col("f.col1.dup").alias("dup"), F.col("f.col1.attr_id").alias("attr_id"))
+    plain = ~F.col("v").isin("", "0")
+    kept = firsts.filter(plain).select("main", "key", "attr_id")
+    # the steps: does anything but empty values and zeros come twice, and how often do these two come
+    twice = firsts.filter(plain & (F.col("n") > 1) & F.col("dup").isNotNull()).select("main", "key", "dup", F.lit(True).alias("repeats"))
+    inside = per.filter("dup is null").groupBy("main", "key").agg((F.max("n") > 1).alias("again"), *[F.min(F.when(F.col("v") == z, F.col("attr_id"))).alias(c) for z, c in (("", "e"), ("0", "o"))])
+    again = inside.filter("again").join(mains, "main").select("main", "key", F.col("first").alias("dup"), F.lit(True).alias("repeats"))
+    odd = per.filter(~plain & F.col("dup").isNotNull()).groupBy("main", "key", "dup").agg(*[x for z, c in (("", "e"), ("0", "o")) for x in (F.sum(F.when(F.col("v") == z, F.col("n")).otherwise(0)).alias(f"n{c}"), F.min(F.when(F.col("v") == z, F.col("attr_id"))).alias(f"id{c}"))], F.lit(False).alias("repeats"))
+    more = twice.unionByName(again).select("main", "key", "dup", *[F.lit(0).cast("long").alias(c) for c in ("ne", "no")], *[F.lit(None).cast("long").alias(c) for c in ("ide", "ido")], "repeats")
+    each = odd.select(*more.columns).unionByName(more).groupBy("main", "key", "dup").agg(F.sum("ne").alias("ne"), F.sum("no").alias("no"), F.max("ide").alias("ide"), F.max("ido").alias("ido"), F.max("repeats").alias("repeats"))
+
+    def state(e, ide, o, ido) -> Column:
+        return F.struct(e.alias("e"), ide.alias("ide"), o.alias("o"), ido.alias("ido"))
+
+    def step(s: Column, x: Column) -> Column:
+        clears = x["repeats"] | (~s["e"] & (x["ne"] > 1)) | (~s["o"] & (x["no"] > 1))
+        none = F.lit(None).cast("long")
+        added = state(s["e"] | (x["ne"] > 0), F.when(s["e"], s["ide"]).otherwise(x["ide"]), s["o"] | (x["no"] > 0), F.when(s["o"], s["ido"]).otherwise(x["ido"]))
+        return F.when(clears, state(F.lit(False), none, F.lit(False), none)).otherwise(added)
+
+    # from each of the four states; an id that is null is the one that was there before
+    starts = F.array(*[state(F.lit(e), F.lit(None).cast("long"), F.lit(o), F.lit(None).cast("long")) for e in (False, True) for o in (False, True)])
+    ordered = F.array_sort(F.collect_list(F.struct("dup", "ne", "no", "ide", "ido", "repeats")))
+    blocks = each.groupBy("main", "key", F.expr(f"dup div {steps}").alias("block")).agg(ordered.alias("steps"))
+    blocks = blocks.select("main", "key", "block", F.transform(starts, lambda s: F.aggregate("steps", s, step)).alias("ends"))
+
+    def through(s: Column, b: Column) -> Column:
+        end = F.get(b["ends"], s["e"].cast("int") * 2 + s["o"].cast("int"))
+        keep = lambda here, before: F.when(end[here], F.coalesce(end[before], s[before]))
+        return state(end["e"], keep("e", "ide"), end["o"], keep("o", "ido"))
+
+    held = blocks.groupBy("main", "key").agg(F.array_sort(F.collect_list(F.struct("block", "ends"))).alias("blocks"))
+    began = state(F.col("e").isNotNull(), F.col("e"), F.col("o").isNotNull(), F.col("o"))
+    last = inside.join(held, ["main", "key"], "full").select("main", "key", F.aggregate(F.coalesce("blocks", F.array().cast(held.schema["blocks"].dataType)), began, through).alias("s"))
+    kept = kept.unionByName(last.select("main", "key", F.explode(F.array("s.ide", "s.ido")).alias("attr_id")).filter("attr_id is not null"))
+    out = every.join(kept, ["main", "key", "attr_id"])
+    return out.select(*[F.col("main").alias(c) if c == "entity_id" else F.col(f"`{c}`") for c in attrs.columns])
+
+
 def fill_images(images: DataFrame, redirect: DataFrame) -> DataFrame:
     """images: entity_id, image. A primary without one takes its first duplicate's."""
     r = redirect.select("dup_id", "primary_id")

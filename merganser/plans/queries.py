@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merganser.functions import names
-from merganser.operators import cluster, enrich, incremental, match, merge, preview, scan, snapshot, whole
+from merganser.operators import cluster, enrich, incremental, match, merge, preview, redirects, scan, snapshot, whole
 from merganser.operators.lineage import cut, shared_folder
 from merganser.plans import name_sql
 from merganser.sources.fixtures import relation, with_relations
@@ -633,6 +633,38 @@ def revert_incremental(spark, sf):
     return digest(incremental.current(store, incremental.revert_incremental(store, 1)))
 
 
+# several duplicates of one primary
+
+
+@query(
+    "redirect_chains",
+    f"""{with_relations("links")}, l AS (SELECT dup_id, min(primary_id) AS at_, count(DISTINCT primary_id) > 1 AS fork FROM links WHERE dup_id <> primary_id GROUP BY dup_id),
+w(dup_id, at_, hops) AS (SELECT dup_id, at_, 1 FROM l UNION ALL SELECT w.dup_id, l.at_, hops + 1 FROM w JOIN l ON l.dup_id = w.at_ WHERE hops < 130),
+e AS (SELECT dup_id, at_, hops FROM w WHERE at_ NOT IN (SELECT dup_id FROM l))
+SELECT l.dup_id, e.at_ AS primary_id, CAST(e.hops AS BIGINT) AS hops, CASE WHEN e.hops IS NULL THEN 'cycle' WHEN fork THEN 'fork' ELSE 'ok' END AS outcome FROM l LEFT JOIN e ON e.dup_id = l.dup_id""",
+)
+def redirect_chains(spark, sf):
+    return redirects.resolve(relation(spark, sf, "links"))[0]
+
+
+@query(
+    "attribute_fold",
+    f"""{with_relations("player_attrs", "redirect_many")}, keys AS (SELECT DISTINCT key FROM player_attrs WHERE starts_with(key, 'sp_') AND key <> 'sp_number'),
+steps AS (SELECT primary_id, dup_id, row_number() OVER (PARTITION BY primary_id, key ORDER BY dup_id) AS i, key, coalesce((SELECT list(value) FROM player_attrs a WHERE a.entity_id = dup_id AND a.key = keys.key), []) AS given FROM redirect_many, keys),
+f(primary_id, key, i, v) AS (
+ SELECT DISTINCT primary_id, key, 0, coalesce((SELECT list(value) FROM player_attrs a WHERE a.entity_id = primary_id AND a.key = s.key), []) FROM steps s
+ UNION ALL SELECT primary_id, key, i, CASE WHEN key IN ('sp_team', 'sp_past_team') AND len(list_distinct(all_)) < len(all_) THEN list_filter(list_distinct(all_), lambda x: x NOT IN ('', '0')) ELSE all_ END
+ FROM (SELECT f.primary_id, f.key, s.i, f.v || list_filter(given, lambda x: NOT list_contains(f.v, x)) AS all_ FROM f JOIN steps s ON s.primary_id = f.primary_id AND s.key = f.key AND s.i = f.i + 1))
+SELECT primary_id AS entity_id, key, array_to_string(list_sort(v), '|') AS all_values FROM f WHERE i = (SELECT max(i) FROM steps s WHERE s.primary_id = f.primary_id) AND len(v) > 0""",
+)
+def attribute_fold(spark, sf):
+    """Attributes of primaries of up to four duplicates, each of which is merged and followed by the removal of repeats."""
+    redirect = relation(spark, sf, "redirect_many")
+    rows = whole.merge_attributes(relation(spark, sf, "player_attrs"), redirect).join(redirect.select(F.col("primary_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    rows = rows.filter(F.col("key").startswith("sp_") & (F.col("key") != "sp_number"))
+    return rows.groupBy("entity_id", "key").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("all_values"))
+
+
 # the whole preview
 
 

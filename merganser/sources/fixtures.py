@@ -41,6 +41,12 @@ FROM customer
     "participation": "SELECT o_orderkey AS event_id, o_custkey AS entity_id FROM orders",
     "redirect": """
 SELECT s_suppkey AS dup_id, s_suppkey - h AS primary_id FROM supplier CROSS JOIN (SELECT CAST(floor(COUNT(*) / 2) AS BIGINT) AS h FROM supplier) AS half WHERE s_suppkey >= h AND s_suppkey - h < h
+""",
+    "redirect_many": "SELECT s_suppkey AS dup_id, s_suppkey - s_suppkey % 5 AS primary_id FROM supplier WHERE s_suppkey % 5 > 0",
+    "links": """
+SELECT c_custkey AS dup_id, CASE WHEN c_custkey % 64 = 0 THEN c_custkey + 63 ELSE c_custkey - 1 END AS primary_id FROM customer WHERE c_custkey % 64 > 0 OR CAST(floor(c_custkey / 64) AS int) % 7 = 3
+UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 64 = 17 AND CAST(floor(c_custkey / 64) AS int) % 5 = 1
+UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 64 = 0
 """,
     "boxscore": """
 SELECT l_orderkey AS event_id, l_returnflag AS team, l_suppkey AS player_id, 'qty' AS stat,
