@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merganser.functions import names
-from merganser.operators import cluster, enrich, incremental, match, merge, preview, redirects, scan, snapshot, whole
+from merganser.operators import cluster, documents, enrich, incremental, match, merge, preview, redirects, scan, snapshot, whole
 from merganser.operators.lineage import cut, shared_folder
 from merganser.plans import name_sql
 from merganser.sources.fixtures import relation, with_relations
@@ -665,6 +665,32 @@ def attribute_fold(spark, sf):
     return rows.groupBy("entity_id", "key").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("all_values"))
 
 
+def career_documents(spark, sf) -> DataFrame:
+    """A document for each supplier: of each flag a map of lists by status and a number, or a text where a map is expected."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), F.concat(F.lit("p"), (F.col("l_partkey") % 23).cast("string")).alias("item"))
+    lines = lines.filter("(entity_id + ascii(f)) % 3 > 0 and (entity_id + ascii(s)) % 4 > 0")
+    lists = lines.groupBy("entity_id", "f", "s").agg(F.sort_array(F.collect_set("item")).alias("items"), F.count("*").alias("n"))
+    inner = lists.groupBy("entity_id", "f").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"'), "s", F.lit('":'), F.to_json("items")))), ",").alias("lists"), F.sum("n").alias("n"))
+    text = F.when((F.col("entity_id") % 5 == 0) & (F.col("f") == "R"), F.lit('"x"')).otherwise(F.concat(F.lit("{"), "lists", F.lit(',"n":'), F.col("n").cast("string"), F.lit("}")))
+    fields = F.sort_array(F.collect_list(F.concat(F.lit('"'), "f", F.lit('":'), text)))
+    return inner.groupBy("entity_id").agg(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("doc")).select("entity_id", F.lit("sp_statistics").alias("key"), "doc")
+
+
+@query(
+    "document_merge",
+    f"""{with_relations("redirect_many")}, lines AS (SELECT l_suppkey AS e, l_returnflag AS f, l_linestatus AS s, concat('p', l_partkey % 23) AS item FROM lineitem WHERE (l_suppkey + ascii(l_returnflag)) % 3 > 0 AND (l_suppkey + ascii(l_linestatus)) % 4 > 0),
+x AS (SELECT coalesce(primary_id, e) AS m, CASE WHEN dup_id IS NULL THEN -1 ELSE dup_id END AS d, f, s, item, e % 5 = 0 AND f = 'R' AS flat FROM lines LEFT JOIN redirect_many ON dup_id = e),
+kinds AS (SELECT m, f, min(d) AS d, arg_min(flat, d) AS flat FROM x GROUP BY m, f),
+items AS (SELECT m, f, s, item, min(x.d) AS d FROM x JOIN kinds k USING (m, f) WHERE NOT x.flat AND NOT k.flat GROUP BY m, f, s, item),
+inner_ AS (SELECT m, f, s, concat('"', s, '":["', string_agg(item, '","' ORDER BY d, item), '"]') AS t, min(d) AS d FROM items GROUP BY m, f, s
+ UNION ALL SELECT m, f, 'n', concat('"n":', (SELECT count(*) FROM x WHERE x.m = k.m AND x.f = k.f AND x.d = k.d)), d FROM kinds k WHERE NOT flat),
+outer_ AS (SELECT m, f, k.d, concat('"', f, '":', CASE WHEN k.flat THEN '"x"' ELSE concat('{{', (SELECT string_agg(t, ',' ORDER BY i.d, s) FROM inner_ i WHERE i.m = k.m AND i.f = k.f), '}}') END) AS t FROM kinds k)
+SELECT m AS entity_id, 'sp_statistics' AS key, concat('{{', string_agg(t, ',' ORDER BY d, f), '}}') AS doc FROM outer_ GROUP BY m""",
+)
+def document_merge(spark, sf):
+    return documents.merge_documents(career_documents(spark, sf), relation(spark, sf, "redirect_many"))
+
+
 # the whole preview
 
 
