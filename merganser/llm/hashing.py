@@ -49,9 +49,9 @@ def _lane(lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> n
     return lanes[starts + 8 * k] & _KEEP[np.minimum(sizes - 8 * k, 8)]
 
 
-def _chained(lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _chained(lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: int = 0) -> np.ndarray:
     """Hashes of slices of 8 to LONG bytes."""
-    h = mix(_lane(lanes, starts, sizes, 0) ^ (sizes.astype(U) * _SALT))
+    h = mix(_lane(lanes, starts, sizes, 0) ^ (sizes.astype(U) * _SALT) ^ U(key))
     more, k = np.flatnonzero(sizes > 8), 1
     while len(more):
         h[more] = mix(h[more] * U(0xD1342543DE82EF95) + _lane(lanes, starts[more], sizes[more], k))
@@ -112,16 +112,19 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return codes, where
 
 
-def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for each pair, in order; equal bytes hash equal wherever they stand."""
+def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """Hashes of data[start:end] for each pair, in order; equal bytes hash equal wherever they stand.
+
+    Whoever knows the key (64 bits) can find texts whose hashes collide; one that is drawn for each run is known to nobody.
+    """
     starts, sizes = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
     lanes, out = _lanes(data), np.empty(len(starts), U)
     short, long = sizes < 8, sizes > LONG
     middle = ~short & ~long
-    out[short] = mix((_lane(lanes, starts[short], sizes[short], 0) | (sizes[short].astype(U) << U(56))) ^ _SALT)
-    out[middle] = _chained(lanes, starts[middle], sizes[middle])
+    out[short] = mix((_lane(lanes, starts[short], sizes[short], 0) | (sizes[short].astype(U) << U(56))) ^ _SALT ^ U(key))
+    out[middle] = _chained(lanes, starts[middle], sizes[middle], key)
     if long.any():
-        digests = [blake2b(data[s : s + n].tobytes(), digest_size=8, key=_KEY).digest() for s, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
+        digests = [blake2b(data[s : s + n].tobytes(), digest_size=8, key=_KEY + key.to_bytes(8, "little")).digest() for s, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
         out[long] = np.frombuffer(b"".join(digests), "<u8")
     return out
 
@@ -141,10 +144,10 @@ def spans(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, starts, ends, np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
 
 
-def tokens(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes], table: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs that spans() finds; and the number of runs before each text and in all."""
     data, starts, ends, bounds = spans(texts, table)
-    return hash_slices(data, starts, ends), bounds
+    return hash_slices(data, starts, ends, key), bounds
 
 
 _STEP = 0xD1342543DE82EF95

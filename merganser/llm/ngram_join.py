@@ -22,7 +22,11 @@ A document is the set of its distinct runs of ``n`` words. Two documents link wh
 Defined results: null texts, and texts without words, have an empty set and link with nothing, not even each other. A
 document of fewer than n words has its whole sequence as only shingle. Rows that repeat an id are one node with several
 sets, which connects all that these link with. Null ids give a row of their own, without a component, and take no part. An empty table gives an empty result. Other columns are
-not read. Shingles are compared by 64-bit hashes of sequences of word hashes (see ``hashing``), sets by 128 bits.
+not read.
+
+Shingles are compared by 64-bit hashes under a key that is drawn for each run, so that no texts can be made to collide. A document with one
+shingle links with equal ones only: these are told by 128 bits of the shingle's bytes, under the key, and are never searched. A
+larger set links falsely only if two of its shingles collide at once with two of one other set.
 
 Batches are cut by the order of rows, so an input behind a shuffle, which a lost executor may bring in another order, is
 written to the shared folder first.
@@ -31,9 +35,13 @@ written to the shared folder first.
 from __future__ import annotations
 
 import heapq
+import re
+import secrets
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +53,7 @@ from merganser.llm.components import connected_components
 from merganser.llm.hashing import U, classes, mix, shingles, tokens
 
 TABLE = classes(b" \t\n\v\f\r")
+WORD = re.compile(rb"[^ \t\n\v\f\r]+")
 #: Shingles of one batch of documents; documents in it fit two bytes.
 BATCH, BATCH_DOCS = 1_500_000, 60_000
 #: Shingles, and classes, in a task of step 3.
@@ -57,9 +66,9 @@ PARTS = "bucket int, batch long, a binary, b binary, c binary, d binary, e binar
 DOCS = "doc_id long, n long, class binary, shared binary, prefix binary"
 
 
-def sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+def sets(texts: list[str | None], n: int, key: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    hashes, bounds = tokens([(t or "").encode().lower() for t in texts], TABLE)
+    hashes, bounds = tokens([(t or "").encode().lower() for t in texts], TABLE, key)
     found, edges = shingles(hashes, bounds, n)
     out = []
     for i in range(len(texts)):
@@ -68,6 +77,12 @@ def sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
+def only_shingle(text: str, n: int, key: int) -> bytes:
+    """128 bits of the bytes of a text's first shingle, which is its only one."""
+    words = (m[0] for m in islice(WORD.finditer(text.encode().lower()), n))
+    return blake2b(b" ".join(words), digest_size=16, key=key.to_bytes(8, "little")).digest()
+
+
 def needed(n: int, percent: int) -> int:
     """The least overlap with any set that a set of n can link with."""
     return -(-n * percent // 100)
@@ -84,7 +99,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U).ravel(), dtype=U)
 
 
-def _dealt(n: int, buckets: int):
+def _dealt(n: int, buckets: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -92,6 +107,7 @@ def _dealt(n: int, buckets: int):
         name = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         held: list[np.ndarray] = []
+        single: dict[int, bytes] = {}
         total = 0
         edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(U)
 
@@ -104,30 +120,35 @@ def _dealt(n: int, buckets: int):
             for k, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
                 sums = np.concatenate([[U(0)], np.cumsum(mix(every ^ U(salt)), dtype=U)])
                 names[:, k] = mix(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(U))
+            for i, name_of in single.items():
+                names[i] = np.frombuffer(name_of, U)
             order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
             again = every[1:] == every[:-1]
             many = np.concatenate([[False], again]) | np.concatenate([again, [False]]) if len(every) else np.zeros(0, bool)
             distinct, count = np.unique(every[many], return_counts=True)
-            single, who = every[~many], owner[~many]
-            s_at, m_at = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (single, distinct))
+            alone, who = every[~many], owner[~many]
+            s_at, m_at = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (alone, distinct))
             # hashed: the names of all tasks end in zeros
             out = [(int(mix(np.array([name], U))[0] % U(buckets)), name, np.array(ids, "<i8").tobytes(), sizes.astype("<u4").tobytes(), names.tobytes(), _pack(every[many]), owner[many].tobytes())]
             for k in range(buckets):
                 s, m = slice(s_at[k], s_at[k + 1]), slice(m_at[k], m_at[k + 1])
                 if s.start < s.stop or m.start < m.stop:
-                    out.append((k, name, _pack(single[s]), who[s].tobytes(), _pack(distinct[m]), count[m].astype("<u4").tobytes(), None))
+                    out.append((k, name, _pack(alone[s]), who[s].tobytes(), _pack(distinct[m]), count[m].astype("<u4").tobytes(), None))
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "batch", *"abcde"])
 
         for batch in pieces(batches):
-            for doc, own in zip(batch.column(0).to_pylist(), sets(batch.column(1).to_pylist(), n), strict=True):
+            texts = batch.column(1).to_pylist()
+            for doc, text, own in zip(batch.column(0).to_pylist(), texts, sets(texts, n, key), strict=True):
+                if len(own) == 1:
+                    single[len(ids)] = only_shingle(text, n, key)
                 ids.append(doc)
                 held.append(own)
                 total += len(own)
                 if total >= BATCH or len(ids) >= BATCH_DOCS:
                     yield rows()
-                    ids, held, total, name = [], [], 0, name + 1
+                    ids, held, single, total, name = [], [], {}, 0, name + 1
         if ids:
             yield rows()
 
@@ -183,6 +204,8 @@ def _assembled(percent: int):
             size, shared = int(sizes[i]), h[bounds[i] : bounds[i + 1]]
             prefix = len(shared) - needed(size, percent) + 1  # rarest first, and none is rarer than those not shared
             some = size > 0 and prefix > 0
+            if size == 1:  # links with equal sets only, and these are in its class
+                shared = shared[:0]
             out.append((int(ids[i]), size, names[i].tobytes(), np.sort(shared).tobytes() if some else None, shared[:prefix].tobytes() if some else None))
         return _table(out, ["doc_id", "n", "class", "shared", "prefix"], [pa.int64(), pa.int64(), *[pa.binary()] * 3])
 
@@ -446,15 +469,16 @@ def _large_blocks(found: DataFrame, placed: DataFrame, percent: int, work: Works
     return connected_components(links.unionByName(across), work, "linked")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, work: Workspace | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, work: Workspace | None = None, key: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id that is reachable by links) for every row of docs."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "ngram-join")
+    key = secrets.randbits(64) if key is None else key
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     slim = settled(slim, work, "input")
     real = slim.filter("doc_id is not null")
     buckets = max(16, 4 * real.rdd.getNumPartitions())
-    counted = real.mapInArrow(_dealt(n, buckets), PARTS).groupBy("bucket").applyInArrow(_counted, "batch long, part boolean, a binary, b binary, c binary, d binary, e binary")
+    counted = real.mapInArrow(_dealt(n, buckets, key), PARTS).groupBy("bucket").applyInArrow(_counted, "batch long, part boolean, a binary, b binary, c binary, d binary, e binary")
     every = work.write(counted.groupBy("batch").applyInArrow(_assembled(percent), DOCS), "sets")
     groups = work.write(every.filter("shared is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix")), "classes")
 

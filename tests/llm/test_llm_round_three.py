@@ -204,3 +204,19 @@ def test_scores_are_exact_beyond_64_bits(spark):
     finally:
         module.frequent_phrases = before
     assert got.score == 1000 * f * 9_007_199_254_740_993 // ((f + 7) * (f + 11))
+
+
+def test_shingles_that_a_public_hash_takes_for_equal_stay_apart(spark):
+    from merganser.llm import ngram_join
+    from merganser.llm.hashing import shingles, tokens
+
+    pair = ["quality matters", ":)74f+> knsxmej"]  # equal sums of word hashes without a key
+    hashes, bounds = tokens([p.encode() for p in pair], ngram_join.TABLE)
+    found, _ = shingles(hashes, bounds, 5)
+    assert found[0] == found[1]
+    rows = [(1, pair[0]), (2, pair[1]), (3, "QUALITY\tmatters "), (4, "a a a a a a a a"), (5, "a a a a a"), (6, "a a a a"), (7, None), (8, "")]
+    rows += [(10 + k, f"{p} " + " ".join(f"w{j}" for j in range(4))) for k, p in enumerate(pair)]
+    for key in (None, 0):
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), key=key).collect()}
+        assert [got[i] for i in range(1, 9)] == [1, 2, 1, 4, 4, 6, 7, 8]
+        assert key == 0 or (got[10], got[11]) == (10, 11)
