@@ -12,7 +12,7 @@ Everything is counted on hashes: first by (leaf, line), so a line that a third o
 and then one row; leaves of too few documents can hold no recurring template, and their lines go no further. The text
 of each other line is fetched from one document that has it, by a join on (id, line), which no line or leaf can make
 hot. Supports and recurrences count distinct ids: where an id has several lines of one leaf (numbered rows, log files), which
-is looked up apart, it is taken off the sums again except once. Rows without an id count as one document.
+is looked up apart, it is taken off the sums again except once. Rows without an id count as one document, and are cleaned row by row.
 
 Defined results: a null text counts as empty and stays null; an empty text has one empty line, which stays. Line feeds
 between lines that stay are kept. Rows that repeat an id are cleaned together, each by the same decisions, and count as one
@@ -84,7 +84,9 @@ def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float
     busy = counts.groupBy("leaf").agg(F.sum("n_docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs).select("leaf")
     wanted = counts.join(busy, "leaf").select(F.col("rep").alias("id"), "h", "leaf", "n_docs")
     # read three times below
-    distinct = work.write(lines.select("id", "h", "line").join(wanted, ["id", "h"]).select("leaf", "h", "line", "n_docs").distinct(), "candidates")
+    named = lines.select("id", "h", "line").join(wanted, ["id", "h"]).select("leaf", "h", "line", "n_docs")
+    nameless = lines.filter("id is null").select("h", "line").join(wanted.filter("id is null").drop("id"), "h").select("leaf", "h", "line", "n_docs")
+    distinct = work.write(named.unionByName(nameless).distinct(), "candidates")
     fields = distinct.select("leaf", F.col("h").alias("line"), "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     support = documents_of(fields, own, "leaf", "at", "token").withColumnRenamed("total", "support")
     general = fields.join(support, ["leaf", "at", "token"]).withColumn("field", F.when((F.col("support") >= min_docs) & (F.col("token") != FIELD), F.col("token")).otherwise(FIELD))
@@ -97,6 +99,15 @@ def recurring(facts: DataFrame, lines: DataFrame, min_docs: int, constant: float
     return found.unionByName(passages)
 
 
+def _without_id(base: DataFrame, known: DataFrame, n_lines, names: list[str], work: Workspace) -> DataFrame:
+    """Rows without an id, each cleaned by itself: its lines meet the known ones one by one, and what is left is put together again."""
+    rows = work.write(base.withColumn("row", F.monotonically_increasing_id()), "without-id")
+    lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("i", "raw")).withColumn("h", F.xxhash64(masked(F.col("raw"))))
+    left = lines.join(known.select("known"), F.col("h") == F.col("known"), "left_anti").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "raw")))["raw"].alias("kept"))
+    kept = F.when(F.col("text").isNotNull(), F.coalesce("kept", F.array().cast("array<string>")))
+    return rows.join(left, "row", "left").select("key", "text", n_lines.alias("n"), kept.alias("kept"), *names)
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), depth: int = 3, min_docs: int = 10, min_tokens: int = 5, constant: float = 0.6, long_tokens: int = 50, work: Workspace | None = None) -> DataFrame:
     """id, text without the lines of recurring templates, n_lines, n_dropped; and the columns of ``carry``.
 
@@ -108,15 +119,16 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = work.write(recurring(facts, lines, min_docs, constant, long_tokens, several(facts, work), work), "known")
     # each document's lines to drop: a set of hashes no larger than the document
     known = known.groupBy(F.col("line").alias("known")).agg(F.min("keeper").alias("keeper"), F.bool_or(F.col("keeper").isNull()).alias("all"))
-    found = facts.join(known, F.col("h") == F.col("known")).filter("all or not (id <=> keeper)").groupBy("id").agg(F.collect_set("h").alias("drop"))
+    found = facts.join(known, F.col("h") == F.col("known")).filter("id is not null and (all or id <> keeper)").groupBy("id").agg(F.collect_set("h").alias("drop"))
     # carried columns get plain names meanwhile, so that none can clash
     carry = [c for c in carry if c not in (id_col, text_col)]
     names = [f"c{k}" for k in range(len(carry))]
     base = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
-    out = base.join(found, F.col("key") == F.col("id"), "left")
+    out = base.filter("key is not null").join(found, F.col("key") == F.col("id"), "left")
     kept = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("drop", F.xxhash64(masked(line))))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     some = out.select("key", "text", n_lines.alias("n"), F.when(F.col("drop").isNotNull(), kept).alias("kept"), *names)
+    some = some.unionByName(_without_id(base.filter("key is null"), known, n_lines, names, work))
     return some.select(
         F.col("key").alias(id_col),
         F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col),
