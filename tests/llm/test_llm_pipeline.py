@@ -53,18 +53,18 @@ def test_stages_over_an_empty_table(spark, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op6_ngram_jaccard_join", "op7_decontamination"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op6_ngram_jaccard_join", "op7_decontamination", "op11_chat_format", "op13_collocations"])
 def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from merganser.llm.queries import ORACLE
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rows = QUERIES[name](spark, sf)
     want = con.sql(ORACLE[name])
