@@ -4,7 +4,9 @@ Documents are cut into shards of one language. A shard is a line of positions, o
 between pieces, so no phrase crosses a piece. A word's bitmap is compressed: only blocks of 16 positions that hold a bit
 are kept, as (block, mask). Moving a phrase's bitmap by one position and ANDing it with the bitmaps of the words in the
 same blocks gives the bitmaps of all its extensions, and their popcounts are how often they occur in the shard; phrases
-grow depth-first. Popcounts are summed over the shards.
+grow depth-first. Popcounts are summed over the shards: a shard gives one row for each first word, with the other words and the
+popcounts in arrays side by side, and these rows, not one for each phrase, are shuffled by that word; they are unpacked and summed where
+they arrive. A word with more than 4 million occurrences is dealt by its phrases, so no group is larger than a few times that.
 
 A phrase can only be frequent if its words and its pairs are, so three passes over the shards follow each other: words, pairs of frequent
 words, and longer phrases all of whose pairs are frequent. What is frequent reaches a shard by joins with what that shard
@@ -39,6 +41,10 @@ SHARD, OPEN = 1 << 20, 1 << 22
 BITS, AT_ONCE = 16, 1 << 16
 #: Rows of frequent words or pairs that a join may broadcast.
 BROADCAST = 500_000
+#: Occurrences of a first word that one group of its phrases may hold.
+DEAL = 1 << 22
+#: Odd multiplier that mixes the words of a phrase.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 SHARDS = "shard long, lang string, words array<string>, counts array<int>, context int, ids binary"
 OF_SHARD = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("context", pa.int32()), ("ids", pa.binary())])
@@ -203,26 +209,47 @@ class Bitmaps:
                 stack.append((longer, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key)))), block, mask))
 
 
-def _opened(table: pa.Table) -> tuple[Bitmaps, np.ndarray]:
-    """A shard's bitmaps of frequent words, and the number in the whole corpus of each word of the shard (-1: not frequent)."""
+def _opened(table: pa.Table) -> tuple[Bitmaps, np.ndarray, np.ndarray]:
+    """A shard's bitmaps of frequent words; the number in the whole corpus of each word of the shard (-1: not frequent), and its deals."""
     row = table.slice(0, 1).combine_chunks()
     numbers = np.full(row["n_words"][0].as_py(), -1, np.int64)
+    deals = np.ones(len(numbers), np.uint64)
     frequent = row["frequent"].chunk(0).flatten()
-    numbers[frequent.field("w").to_numpy()] = frequent.field("id").to_numpy()
-    return Bitmaps(_unpacked(row["ids"][0].as_py()), numbers >= 0, row["context"][0].as_py()), numbers
-
+    at = frequent.field("w").to_numpy()
+    numbers[at], deals[at] = frequent.field("id").to_numpy(), frequent.field("deals").to_numpy()
+    return Bitmaps(_unpacked(row["ids"][0].as_py()), numbers >= 0, row["context"][0].as_py()), numbers, deals
+
+
+def _by_first(words: list[np.ndarray], deals: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Table:
+    """Phrases, a column for each of their words, as rows of one first word and deal: the other words and n in sorted arrays."""
+    mixed = np.zeros(len(n), np.uint64)
+    for column in words[1:]:
+        mixed = (mixed ^ column.astype(np.uint64)) * MIX
+        mixed ^= mixed >> np.uint64(32)
+    deal = (mixed % deals).astype(np.int32)
+    order = np.lexsort((*words[:0:-1], deal, words[0]))
+    first, deal = words[0][order], deal[order]
+    starts = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(deal) != 0))[: len(first)])
+    ends = pa.array(np.append(starts, len(first)), pa.int32())
+    lists = {f"w{i}": pa.ListArray.from_arrays(ends, pa.array(column[order], kind)) for i, column in enumerate(words[1:], 2)}
+    return pa.table({"first": pa.array(first[starts], kind), "deal": deal[starts], **lists, "n": pa.ListArray.from_arrays(ends, pa.array(n[order], pa.int32()))})
+
+
+def _pairs(kind: pa.DataType):
+    def run(table: pa.Table) -> pa.Table:
+        maps, numbers, deals = _opened(table)
+        a, b, n = maps.pairs(len(numbers))
+        rows = _by_first([numbers[a], numbers[b]], deals[a], n, kind)
+        return rows.add_column(0, "shard", pa.array([table["shard"][0].as_py()] * len(rows), pa.int64()))
 
-def _pairs(table: pa.Table) -> pa.Table:
-    maps, numbers = _opened(table)
-    a, b, n = maps.pairs(len(numbers))
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(a), pa.int64()), "first": numbers[a], "second": numbers[b], "n": pa.array(n, pa.int32())})
+    return run
 
 
-def _longer(longest: int, pairs):
-    """pairs: the frequent ones, broadcast, or None if the shard brings its own."""
+def _longer(longest: int, pairs, kind: pa.DataType):
+    """pairs: the frequent ones, broadcast, or None if the shard brings its own. Shorter phrases are filled up with -1."""
 
     def run(table: pa.Table) -> pa.Table:
-        maps, numbers = _opened(table)
+        maps, numbers, deals = _opened(table)
         if pairs is None:
             own = table["follow"].combine_chunks().flatten()
             first, second = own.field("first").to_numpy(), own.field("second").to_numpy()
@@ -232,15 +259,33 @@ def _longer(longest: int, pairs):
         local = [order[np.minimum(np.searchsorted(numbers, x, sorter=order), len(order) - 1)] for x in (first, second)]
         here = (numbers[local[0]] == first) & (numbers[local[1]] == second)
         follow = np.sort(local[0][here].astype(np.int64) * len(numbers) + local[1][here])
-        phrases, counts = [], []
+        words, counts = [np.zeros((0, longest), np.int32)], [np.zeros(0, np.int64)]
         for phrase, n in maps.phrases(follow, len(numbers), longest) if len(follow) else ():
-            phrases.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * phrase.shape[1], pa.int32()), pa.array(numbers[phrase].ravel())))
-            counts.append(pa.array(n))
-        return pa.table({"ids": pa.chunked_array(phrases, pa.list_(pa.int64())), "n": pa.chunked_array(counts, pa.int64())})
+            words.append(np.pad(phrase, ((0, 0), (0, longest - phrase.shape[1])), constant_values=-1))
+            counts.append(n)
+        found = np.concatenate(words)
+        named = np.append(numbers, -1)[found]  # the last entry stands for no word
+        return _by_first(list(named.T), deals[found[:, 0]], np.concatenate(counts), kind)
 
     return run
 
 
+def _unpacked_sums(packed: DataFrame, columns: list[str]) -> DataFrame:
+    """(first, columns, f): rows of a shard and first word brought together by that word, unpacked and summed there."""
+    rows = packed.repartition("first", "deal").select("first", "deal", F.inline(F.arrays_zip(*columns, "n")))
+    return rows.groupBy("first", "deal", *columns).agg(F.sum("n").alias("f")).drop("deal")
+
+
+def _numbered(words: DataFrame, work: Workspace) -> DataFrame:
+    """words with a dense id: places within the parts of the written table, after the sizes of the parts before (a row a part)."""
+    rows = work.write(words.withColumn("at", F.monotonically_increasing_id()), "counted")
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("part").count()
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    return work.write(rows.join(F.broadcast(before), "part").select("lang", "word", "f", place.alias("id")), "words")
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """A written table, broadcast if it has at most BROADCAST rows; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
@@ -252,18 +297,23 @@ def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest:
     shards = work.write(slim.mapInArrow(_sharded(longest, shard, max(OPEN, shard)), SHARDS), "shards")
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("w", "at")).select("shard", "lang", "w", F.col("at.words").alias("word"), F.col("at.counts").alias("n"))
     sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    words = work.write(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "words")
-    of_shard = local.join(_bounded(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("w", "id")).alias("frequent"))
+    words = _numbered(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), work)
+    kind, number = (pa.int32(), "int") if words.count() < 1 << 31 else (pa.int64(), "long")
+    known = _bounded(words.select("lang", "word", "id", F.ceil(F.col("f") / DEAL).alias("deals")))
+    of_shard = local.join(known, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("w", "id", "deals")).alias("frequent"))
     opened = shards.select("shard", "context", "ids", F.size("words").alias("n_words")).join(work.write(of_shard, "frequent"), "shard")
-    pairs = opened.groupBy("shard").applyInArrow(_pairs, "shard long, first long, second long, n int")
-    two = work.write(pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "pairs")
+    pairs = opened.groupBy("shard").applyInArrow(_pairs(kind), f"shard long, first {number}, deal int, w2 array<{number}>, n array<int>")
+    two = work.write(_unpacked_sums(pairs, ["w2"]).filter(F.col("f") >= least).withColumnRenamed("w2", "second"), "pairs")
     if two.count() <= BROADCAST:
         found = two.select("first", "second").toArrow()
         everywhere = df.sparkSession.sparkContext.broadcast((found["first"].to_numpy(), found["second"].to_numpy()))
     else:
-        everywhere, follow = None, pairs.join(two.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("follow"))
+        single = pairs.select("shard", "first", F.explode("w2").alias("second"))
+        everywhere, follow = None, single.join(two.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("follow"))
         opened = opened.join(follow, "shard")
-    longer = opened.groupBy("shard").applyInArrow(_longer(longest, everywhere), "ids array<long>, n long").groupBy("ids").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    others = [f"w{i}" for i in range(2, longest + 1)]
+    packed = opened.groupBy("shard").applyInArrow(_longer(longest, everywhere, kind), f"first {number}, deal int, {', '.join(f'{w} array<{number}>' for w in others)}, n array<int>")
+    longer = _unpacked_sums(packed, others).filter(F.col("f") >= least).select(F.filter(F.array("first", *others), lambda w: w >= 0).alias("ids"), "f")
     more = work.write(longer.unionByName(two.select(F.array("first", "second").alias("ids"), "f")), "numbered")
     named = more.select("ids", "f", F.posexplode("ids").alias("i", "id")).join(_bounded(words.select("lang", "word", "id")), "id").groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("at"))
     every = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(named.select("lang", F.array_join("at.word", " ").alias("phrase"), "f"))
