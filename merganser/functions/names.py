@@ -225,10 +225,10 @@ def initial(first: Column) -> Column:
 
 
 def deletions(s: Column) -> Column:
-    """s, and what one deletion (from three bytes) or two (from four) leave of it: strings within reach share one.
+    """s, and what one deletion (from four bytes) or two (from six) leave of it: strings that are a typo() apart share one.
 
     s: a column of in_bytes().
     """
     less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
     one, n = less(s), F.length(s)
-    return F.when(n >= 4, F.array_distinct(F.concat(F.array(s), one, F.flatten(F.transform(one, less))))).when(n >= 3, F.array_distinct(F.concat(F.array(s), one))).otherwise(F.array(s))
+    return F.when(n >= 6, F.array_distinct(F.concat(F.array(s), one, F.flatten(F.transform(one, less))))).when(n >= 4, F.array_distinct(F.concat(F.array(s), one))).otherwise(F.array(s))
