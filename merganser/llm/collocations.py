@@ -8,9 +8,9 @@ grow depth-first. Popcounts are summed over the shards: a shard gives one row fo
 popcounts in arrays side by side, and these rows, not one for each phrase, are shuffled by that word; they are unpacked and summed where
 they arrive. A word with more than 4 million occurrences is dealt by its phrases, so no group is larger than a few times that.
 
-A phrase can only be frequent if its words and its pairs are, so three passes over the shards follow each other: words, pairs of frequent
-words, and longer phrases all of whose pairs are frequent. What is frequent reaches a shard by joins with what that shard
-holds; at most 500,000 frequent pairs are broadcast, more are joined like the words. A piece that is longer than a shard goes on in the
+A phrase can only be frequent if all that it contains is, so four passes over the shards follow each other: words, pairs of frequent
+words, phrases of three words whose pairs are frequent, and longer phrases all of whose threes are frequent. What is frequent reaches a shard by
+joins with what that shard holds; at most 500,000 frequent pairs or threes are broadcast, more are joined like the words. A piece that is longer than a shard goes on in the
 next one, which repeats its last words as context: phrases that end in the context are not counted again.
 
 Defined results: a null text is empty, a null language is ``und``; rows without an id and repeated rows count like
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -179,9 +180,11 @@ class Bitmaps:
         total = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
         return key // n_words, key % n_words, total  # 0: in the context only, but a longer phrase may begin there
 
-    def phrases(self, follow: np.ndarray, n_words: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word numbers, a row a phrase, and popcounts) of phrases of three words and more, all of whose pairs a * n_words + b
-        are in ``follow``, which is sorted. Phrases grow depth-first, many neighbours in the tree at a time."""
+    def phrases(self, follow: np.ndarray, n_words: int, shortest: int, longest: int, threes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word numbers, a row a phrase, and popcounts) of phrases of ``shortest`` to ``longest`` words, all of whose pairs a * n_words + b
+        are in ``follow``, and all of whose threes (place of the first pair in ``follow`` * n_words + c) in ``threes``; both are sorted.
+        Phrases grow depth-first, many neighbours in the tree at a time."""
+        among = lambda keys, key: keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
         stack = [(np.arange(n_words, dtype=np.int32)[:, None], self.word, self.block, self.mask)]
         while stack:
             phrase, tag, block, mask = stack.pop()
@@ -193,7 +196,10 @@ class Bitmaps:
                     continue
             tag, word, block, mask = self.extended(tag, block, mask)
             key = phrase[tag, -1].astype(np.int64) * n_words + word
-            kept = np.flatnonzero(follow[np.minimum(np.searchsorted(follow, key), len(follow) - 1)] == key)
+            kept = np.flatnonzero(among(follow, key))
+            if threes is not None and phrase.shape[1] >= 2:
+                last = phrase[tag[kept], -2].astype(np.int64) * n_words + phrase[tag[kept], -1]
+                kept = kept[among(threes, np.searchsorted(follow, last) * n_words + word[kept])]
             key = tag[kept].astype(np.int64) * n_words + word[kept]
             order = np.argsort(key, kind="stable")
             key, kept = key[order], kept[order]
@@ -202,9 +208,9 @@ class Bitmaps:
             if not len(starts):
                 continue
             longer = np.concatenate([phrase[key[starts] // n_words], (key[starts] % n_words).astype(np.int32)[:, None]], 1)
-            if longer.shape[1] >= 3:
+            if longer.shape[1] >= shortest:
                 n = np.add.reduceat(np.bitwise_count(mask & self.own(block)), starts, dtype=np.int64)
-                yield longer[n > 0], n[n > 0]
+                yield longer, n  # 0: in the context only, but a longer phrase may begin there
             if longer.shape[1] < longest:
                 stack.append((longer, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key)))), block, mask))
 
@@ -245,27 +251,39 @@ def _pairs(kind: pa.DataType):
     return run
 
 
-def _longer(longest: int, pairs, kind: pa.DataType):
-    """pairs: the frequent ones, broadcast, or None if the shard brings its own. Shorter phrases are filled up with -1."""
+def _local(numbers: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Phrases, a column for each of their words, in the numbers of a shard; those that it lacks a word of are left out."""
+    order = np.argsort(numbers)
+    found = [order[np.minimum(np.searchsorted(numbers, x, sorter=order), len(order) - 1)] for x in columns]
+    here = np.logical_and.reduce([numbers[x] == y for x, y in zip(found, columns, strict=True)])
+    return [x[here].astype(np.int64) for x in found]
+
+
+def _longer(shortest: int, longest: int, kind: pa.DataType, *known):
+    """known: the frequent pairs and, for more than three words, threes: broadcast columns, or the name of the shard's own list.
+    Shorter phrases are filled up with -1."""
 
     def run(table: pa.Table) -> pa.Table:
         maps, numbers, deals = _opened(table)
-        if pairs is None:
-            own = table["follow"].combine_chunks().flatten()
-            first, second = own.field("first").to_numpy(), own.field("second").to_numpy()
-        else:
-            first, second = pairs.value
-        order = np.argsort(numbers)
-        local = [order[np.minimum(np.searchsorted(numbers, x, sorter=order), len(order) - 1)] for x in (first, second)]
-        here = (numbers[local[0]] == first) & (numbers[local[1]] == second)
-        follow = np.sort(local[0][here].astype(np.int64) * len(numbers) + local[1][here])
+        lists = []
+        for some in known:
+            own = table[some].slice(0, 1).combine_chunks().flatten() if isinstance(some, str) else None
+            lists.append(_local(numbers, [own.field(i).to_numpy() for i in range(own.type.num_fields)] if own is not None else some.value))
+        follow = np.sort(lists[0][0] * len(numbers) + lists[0][1])
+        threes = None
+        if len(lists) > 1 and len(follow):
+            a, b, c = lists[1]
+            place = np.minimum(np.searchsorted(follow, a * len(numbers) + b), len(follow) - 1)
+            here = follow[place] == a * len(numbers) + b
+            threes = np.sort(place[here] * len(numbers) + c[here])
         words, counts = [np.zeros((0, longest), np.int32)], [np.zeros(0, np.int64)]
-        for phrase, n in maps.phrases(follow, len(numbers), longest) if len(follow) else ():
+        for phrase, n in maps.phrases(follow, len(numbers), shortest, longest, threes) if len(follow) and (threes is None or len(threes)) else ():
             words.append(np.pad(phrase, ((0, 0), (0, longest - phrase.shape[1])), constant_values=-1))
             counts.append(n)
         found = np.concatenate(words)
         named = np.append(numbers, -1)[found]  # the last entry stands for no word
-        return _by_first(list(named.T), deals[found[:, 0]], np.concatenate(counts), kind)
+        rows = _by_first(list(named.T), deals[found[:, 0]], np.concatenate(counts), kind)
+        return rows.add_column(0, "shard", pa.array([table["shard"][0].as_py()] * len(rows), pa.int64()))
 
     return run
 
@@ -303,18 +321,34 @@ def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest:
     of_shard = local.join(known, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("w", "id", "deals")).alias("frequent"))
     opened = shards.select("shard", "context", "ids", F.size("words").alias("n_words")).join(work.write(of_shard, "frequent"), "shard")
     pairs = opened.groupBy("shard").applyInArrow(_pairs(kind), f"shard long, first {number}, deal int, w2 array<{number}>, n array<int>")
-    two = work.write(_unpacked_sums(pairs, ["w2"]).filter(F.col("f") >= least).withColumnRenamed("w2", "second"), "pairs")
-    if two.count() <= BROADCAST:
-        found = two.select("first", "second").toArrow()
-        everywhere = df.sparkSession.sparkContext.broadcast((found["first"].to_numpy(), found["second"].to_numpy()))
-    else:
-        single = pairs.select("shard", "first", F.explode("w2").alias("second"))
-        everywhere, follow = None, single.join(two.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("follow"))
-        opened = opened.join(follow, "shard")
-    others = [f"w{i}" for i in range(2, longest + 1)]
-    packed = opened.groupBy("shard").applyInArrow(_longer(longest, everywhere, kind), f"first {number}, deal int, {', '.join(f'{w} array<{number}>' for w in others)}, n array<int>")
-    longer = _unpacked_sums(packed, others).filter(F.col("f") >= least).select(F.filter(F.array("first", *others), lambda w: w >= 0).alias("ids"), "f")
-    more = work.write(longer.unionByName(two.select(F.array("first", "second").alias("ids"), "f")), "numbered")
+    two = work.write(_unpacked_sums(pairs, ["w2"]).filter(F.col("f") >= least), "pairs")
+
+    def reach(opened: DataFrame, packed: DataFrame, frequent: DataFrame, name: str):
+        """How shards learn which of their phrases are frequent: (opened, what ``_longer`` takes)."""
+        columns = frequent.columns[:-1]
+        if frequent.count() <= BROADCAST:
+            found = frequent.toArrow()
+            return opened, df.sparkSession.sparkContext.broadcast([found[c].to_numpy() for c in columns])
+        single = packed.select("shard", "first", F.inline(F.arrays_zip(*columns[1:])))
+        own = single.join(frequent.select(*columns), columns).groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias(name))
+        return opened.join(own, "shard"), name
+
+    def grown(opened: DataFrame, shortest: int, longest: int, *known) -> DataFrame:
+        others = ", ".join(f"w{i} array<{number}>" for i in range(2, longest + 1))
+        return opened.groupBy("shard").applyInArrow(_longer(shortest, longest, kind, *known), f"shard long, first {number}, deal int, {others}, n array<int>")
+
+    frequent = [two]
+    if longest >= 3:
+        opened, by_pair = reach(opened, pairs, two, "pairs")
+        packed = grown(opened, 3, 3, by_pair)
+        three = work.write(_unpacked_sums(packed, ["w2", "w3"]).filter(F.col("f") >= least), "threes")
+        frequent.append(three)
+    if longest >= 4:
+        opened, by_three = reach(opened, packed, three, "threes")
+        others = [f"w{i}" for i in range(2, longest + 1)]
+        frequent.append(_unpacked_sums(grown(opened, 4, longest, by_pair, by_three), others).filter(F.col("f") >= least))
+    ids = [x.select(F.filter(F.array(*x.columns[:-1]), lambda w: w >= 0).alias("ids"), "f") for x in frequent]
+    more = work.write(reduce(DataFrame.unionByName, ids), "numbered")
     named = more.select("ids", "f", F.posexplode("ids").alias("i", "id")).join(_bounded(words.select("lang", "word", "id")), "id").groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("at"))
     every = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(named.select("lang", F.array_join("at.word", " ").alias("phrase"), "f"))
     return work.write(sizes, "sizes"), work.write(every.withColumn("size", F.size(F.split("phrase", " "))), "phrases")
