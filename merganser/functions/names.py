@@ -1,13 +1,13 @@
 """Person names as column expressions: cleaning, parsing, surname normalisation, aliases.
 
-Everything stays in the JVM. Decomposed accents need no Unicode normalisation step, because folding drops combining
-marks anyway.
+Everything stays in the JVM, but for canonical composition, for which there is no built-in function.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +114,8 @@ POSITION = r"\s*\([A-Za-z/]+\)\s*$"
 QUOTES = "’‘ʼ`"
 
 BLANK = r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$"
+#: Texts that may not be composed.
+UNCOMPOSED = r"[^\x00-\x{2FF}]"
 #: Letters that have no decomposition.
 SPECIAL_ONE = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T"}
 SPECIAL_MORE = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "þ": "th", "Þ": "TH"}
@@ -145,9 +147,23 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, BLANK, "")
 
 
+def composed(c: Column) -> Column:
+    """Canonical composition: letters and the marks after them as one letter where there is one.
+
+    Python composes what holds letters from U+0300 on, in Arrow batches; everything else is composed already and stays in the
+    JVM.
+    """
+
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    odd = c.rlike(UNCOMPOSED)
+    return F.when(odd, F.pandas_udf(compose, "string")(F.when(odd, c))).otherwise(c)
+
+
 def preprocess(c: Column) -> Column:
-    """Plain apostrophes, no position in parentheses at the end, single spaces."""
-    c = F.translate(c, QUOTES, "'" * len(QUOTES))
+    """Composed letters, plain apostrophes, no position in parentheses at the end, single spaces."""
+    c = F.translate(composed(c), QUOTES, "'" * len(QUOTES))
     return F.regexp_replace(trimmed(F.regexp_replace(c, POSITION, "")), r"\s+", " ")
 
 

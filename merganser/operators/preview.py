@@ -59,7 +59,7 @@ def frame(attrs: DataFrame, terms: DataFrame, references: DataFrame, teams: Data
     """(primary_id, data_type, current, incoming, result): a row of each kind for each primary, empty ones too.
 
     Kinds: the current team (the last value that is a number and names a team), past teams, each taxonomy, and the number
-    of rows that name the player in events.
+    of rows that name the player in events. A primary that shares events with its duplicates has one row more, a warning.
     """
     mains = redirect.select("primary_id").distinct()
     last = valid_names(attrs, current_key, teams).groupBy("entity_id").agg(F.max_by("name", "pos").alias("name")).withColumn("pos", F.lit(0).cast("long"))
@@ -79,10 +79,14 @@ def frame(attrs: DataFrame, terms: DataFrame, references: DataFrame, teams: Data
     team = F.col("data_type") == "Current Team"
     both = F.array_union("c", "i")
     cells = [F.when(team, cell(x, whole=True)).otherwise(cell(x)).alias(n) for x, n in ((F.col("c"), "current"), (F.col("i"), "incoming"), (both, "result"))]
-    counts = preview_counts(references.filter("key = 'sp_player'").select(F.col("value").try_cast("long").alias("entity_id")), redirect)
+    players = references.filter("key = 'sp_player'").select(F.col("value").try_cast("long").alias("entity_id"), F.col("entity_id").alias("event_id"))
+    counts = preview_counts(players, redirect)
     number_cell = lambda c: F.when(F.col(c) == 0, "None").otherwise(F.col(c).cast("string")).alias(c)
     events = counts.select("primary_id", F.lit("Events").alias("data_type"), number_cell("current"), number_cell("incoming"), F.col("result").cast("string").alias("result"))
-    return full.select("primary_id", "data_type", *cells).unionByName(events)
+    none = F.lit(None).cast("string")
+    text = F.concat(F.col("shared").cast("string"), F.lit(" event(s) hold both the primary and a duplicate"))
+    warning = shared_events(players, redirect).select("primary_id", F.lit("Warning").alias("data_type"), none.alias("current"), none.alias("incoming"), text.alias("result"))
+    return full.select("primary_id", "data_type", *cells).unionByName(events).unionByName(warning)
 
 
 def titled(ids: DataFrame, entities: DataFrame) -> DataFrame:

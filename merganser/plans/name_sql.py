@@ -33,7 +33,7 @@ def parsed(source: str) -> str:
     for letter, plain in N.SPECIAL_MORE.items():
         special = f"replace({special}, {q(letter)}, {q(plain)})"
     return rf"""
-p1 AS (SELECT *, regexp_replace({trimmed(f"regexp_replace(translate(title, {q(N.QUOTES)}, {q(chr(39) * 4)}), {q(N.POSITION)}, '')")}, '\s+', ' ', 'g') AS p1x FROM {source}),
+p1 AS (SELECT *, regexp_replace({trimmed(f"regexp_replace(translate(nfc_normalize(title), {q(N.QUOTES)}, {q(chr(39) * 4)}), {q(N.POSITION)}, '')")}, '\s+', ' ', 'g') AS p1x FROM {source}),
 p2 AS (SELECT *, {trimmed(f"regexp_replace(regexp_replace(lower(p1x), {q(N.SUFFIX)}, ''), {q(N.INNER_SUFFIX)}, ' ', 'g')")} AS p2x FROM p1),
 p3 AS (SELECT *, CASE WHEN contains(p2x, ',') THEN concat({trimmed("substr(p2x, instr(p2x, ',') + 1)")}, ' ', {trimmed("substr(p2x, 1, instr(p2x, ',') - 1)")}) ELSE p2x END AS p3x FROM p2),
 p4 AS (SELECT *, string_split(lower(translate({special}, {q(old)}, {q(new)})), ' ') AS w FROM p3),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merganser.functions import names
-from merganser.operators import cluster, documents, enrich, incremental, match, merge, preview, redirects, scan, snapshot, whole
+from merganser.operators import cluster, documents, enrich, incremental, match, merge, preview, redirects, scan, snapshot, titles, whole
 from merganser.operators.lineage import cut, shared_folder
 from merganser.plans import name_sql
 from merganser.sources.fixtures import relation, with_relations
@@ -85,6 +85,20 @@ for _name, _test in {
     query(_name, f"{_PAIRS} WHERE {_test}")(lambda spark, sf, t=_test: pairs(spark, sf).filter(t).select("id_a", "id_b", "certainty", "scenario"))
 
 
+_COMPOSED = with_relations("composed_persons") + ","
+
+
+@query("composed_names", f"{_COMPOSED} {name_sql.parsed('composed_persons')} SELECT entity_id, p1x AS cleaned, first, last FROM p1 JOIN parsed USING (entity_id)")
+def composed_names(spark, sf):
+    return match.with_names(relation(spark, sf, "composed_persons")).select("entity_id", names.preprocess(F.col("title")).alias("cleaned"), "first", "last")
+
+
+@query("pairs_composed", f"{_COMPOSED} {name_sql.pairs('composed_persons')} SELECT id_a, id_b, certainty, scenario FROM pairs")
+def pairs_composed(spark, sf):
+    """Letters with marks, in other scripts than Latin too, match however they are written."""
+    return match.find_pairs(relation(spark, sf, "composed_persons")).select("id_a", "id_b", "certainty", "scenario")
+
+
 # groups
 
 _GROUPS = f"{_PERSONS} {name_sql.groups()}"
@@ -174,6 +188,29 @@ def label_search(spark, sf):
     return scan.search(entities(spark, sf), "Smi", relation(spark, sf, "persons").select("entity_id", F.col("team").alias("group")))
 
 
+_LABELS = ORACLE["label_search"]
+
+
+@query("indexed_search", _LABELS)
+def indexed_search(spark, sf):
+    """The same rows from an index of trigrams."""
+    folder = shared_folder(spark, "titles")
+    titles.build(entities(spark, sf), folder, 64)
+    return titles.find(spark, folder, "Smi", relation(spark, sf, "persons").select("entity_id", F.col("team").alias("group")))
+
+
+@query(
+    "indexed_search_each",  # every word of a title as a term
+    f"""{_PUBLISHED}, t AS (SELECT DISTINCT unnest(string_split(title, ' ')) AS term FROM entities),
+r AS (SELECT term, entity_id, title, row_number() OVER (PARTITION BY term ORDER BY title, entity_id) AS rank FROM t JOIN pub ON contains(lower(title), lower(term)) WHERE length(term) >= 3)
+SELECT term, entity_id, title, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""",
+)
+def indexed_search_each(spark, sf):
+    folder = shared_folder(spark, "titles")
+    titles.build(entities(spark, sf), folder, 64)
+    return titles.find_each(spark, folder, entities(spark, sf).select(F.explode(F.split("title", " ")).alias("term")))
+
+
 @query("title_lookup", f"{with_relations('persons')}, w AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0) SELECT id, coalesce(title, 'Unknown Player') AS title FROM w LEFT JOIN persons ON entity_id = id")
 def title_lookup(spark, sf):
     wanted = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"))
@@ -449,17 +486,16 @@ def backup_loadable(spark, sf):
 
 
 @query(
-    "backup_pick",  # a user's last one, none if it is reverted or malformed; then one that was asked for
+    "backup_pick",  # each user's last one, none if it is reverted or malformed; then one that was asked for
     f"""{_BACKUPS}, ok AS (SELECT * FROM backups WHERE regexp_matches(backup_id, '{snapshot.BACKUP_ID}') AND coalesce(status, 'active') <> 'reverted'),
-users AS (SELECT DISTINCT user_id FROM backups WHERE user_id < 8), last AS (SELECT user_id, max_by(backup_id, (created_at, backup_id)) AS backup_id FROM backups GROUP BY user_id)
-SELECT 'last' AS how, backup_id, user_id FROM last JOIN users USING (user_id) WHERE backup_id IN (SELECT backup_id FROM ok)
+last AS (SELECT user_id, max_by(backup_id, (created_at, backup_id)) AS backup_id FROM backups GROUP BY user_id)
+SELECT 'last' AS how, backup_id, user_id FROM last WHERE backup_id IN (SELECT backup_id FROM ok)
 UNION ALL SELECT 'asked', backup_id, user_id FROM ok WHERE backup_id = (SELECT min(backup_id) FROM ok) AND user_id = (SELECT user_id FROM ok ORDER BY backup_id LIMIT 1)""",
 )
 def backup_pick(spark, sf):
     backups = relation(spark, sf, "backups")
-    last = [snapshot.pick(backups, user) for user in range(8)]
     first = snapshot.loadable(backups).orderBy("backup_id").select("user_id", "backup_id").first()
-    out = [df.select(F.lit("last").alias("how"), "backup_id", "user_id") for df in last]
+    out = [snapshot.pick_each(backups).select(F.lit("last").alias("how"), "backup_id", "user_id")]
     out += [snapshot.pick(backups, first.user_id, first.backup_id).select(F.lit("asked").alias("how"), "backup_id", "user_id")] if first else []
     return reduce(DataFrame.unionByName, out)
 
@@ -716,7 +752,9 @@ def _cell(c: str) -> str:
 @query(
     "preview_frame",
     f"""{_FRAME} SELECT primary_id, data_type, {_cell("c")} AS current, {_cell("i")} AS incoming, {_cell("r")} AS result FROM frame
-UNION ALL SELECT primary_id, 'Events', CASE cur WHEN 0 THEN 'None' ELSE CAST(cur AS varchar) END, CASE inc WHEN 0 THEN 'None' ELSE CAST(inc AS varchar) END, CAST(cur + inc AS varchar) FROM c""",
+UNION ALL SELECT primary_id, 'Events', CASE cur WHEN 0 THEN 'None' ELSE CAST(cur AS varchar) END, CASE inc WHEN 0 THEN 'None' ELSE CAST(inc AS varchar) END, CAST(cur + inc AS varchar) FROM c
+UNION ALL SELECT primary_id, 'Warning', NULL, NULL, concat(count(*), ' event(s) hold both the primary and a duplicate') FROM redirect JOIN "references" a ON a.key = 'sp_player' AND a.value = CAST(primary_id AS varchar)
+ WHERE EXISTS (SELECT 1 FROM "references" d WHERE d.key = 'sp_player' AND d.value = CAST(dup_id AS varchar) AND d.entity_id = a.entity_id) GROUP BY primary_id""",
 )
 def preview_frame(spark, sf):
     return preview.frame(relation(spark, sf, "player_attrs"), relation(spark, sf, "player_terms").withColumnRenamed("term", "name"), relation(spark, sf, "references"), relation(spark, sf, "teams"), relation(spark, sf, "redirect"), current_key="sp_team")

@@ -26,6 +26,11 @@ RELATIONS = {
     "entities": f"""
 SELECT entity_id, CASE WHEN entity_id % 13 = 0 THEN 'team' ELSE 'player' END AS kind, CASE WHEN entity_id % 11 = 0 THEN 'draft' ELSE 'publish' END AS status, title, CAST(entity_id % 1000 AS int) AS day
 FROM ({PERSONS}) AS everyone
+""",
+    "composed_persons": """
+SELECT c_custkey AS entity_id, c_custkey AS ord, concat(f, ' ', l) AS title FROM customer
+JOIN (VALUES (0,'\u0410\u043d\u0434\u0440\u0435\u0439'),(1,'\u0410\u043d\u0434\u0440\u0435\u0438\u0306'),(2,'Jos\u00e9'),(3,'Jose\u0301'),(4,'\u1112\u1161\u11ab'),(5,'\ud55c'),(6,'\u304b\u3099'),(7,'\u304c')) AS fn(i, f) ON fn.i = c_custkey % 8
+JOIN (VALUES (0,'\u0427\u0430\u0439\u043a\u0438\u043d'),(1,'\u0427\u0430\u0438\u0306\u043a\u0438\u043d'),(2,'\u1e69et'),(3,'s\u0307\u0323et'),(4,'s\u0323\u0307et'),(5,'\u0391\u0313\u0301\u03b3'),(6,'\u1f0c\u03b3'),(7,'Nguy\u0302\u0303n'),(8,'O\u2019Neil')) AS ln(i, l) ON ln.i = CAST(floor(c_custkey / 8) AS int) % 9
 """,
     "terms": """
 SELECT o_custkey AS entity_id, CASE WHEN o_orderkey % 3 = 0 THEN 'status' ELSE 'priority' END AS taxonomy, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS term FROM orders
