@@ -2,37 +2,72 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merganser.operators import match
+from merganser.operators.components import components
 from merganser.operators.lineage import cut
 
 
-def leaders(pairs: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """The state after one round: who waits for nobody earlier leads, or joins the earliest leader that it matches."""
+    labelled = edges.join(state.select(F.col("ord").alias("ord_a"), F.col("leader").alias("of")), "ord_a")
+    seen = labelled.groupBy("ord_b").agg(
+        F.min(F.when(F.col("of") == F.col("ord_a"), F.col("ord_a"))).alias("joins"),
+        F.min(F.when(F.col("of").isNull(), F.col("ord_a"))).alias("waits"),
+    )
+    now = state.join(seen.withColumnRenamed("ord_b", "ord"), "ord", "left")
+    # a leader that may still turn up earlier than the one found has to be waited for
+    settled = F.when(F.col("waits").isNotNull() & (F.col("joins").isNull() | (F.col("waits") < F.col("joins"))), None).otherwise(F.coalesce("joins", "ord"))
+    return now.select("ord", F.coalesce("leader", settled).alias("leader"))
+
+
+def _remaining(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """What is decided asks no more, and what was taken answers no more."""
+    open_ = state.filter("leader is null").select(F.col("ord").alias("ord_b"))
+    taken = state.filter("leader <> ord").select(F.col("ord").alias("ord_a"))
+    return edges.join(open_, "ord_b", "left_semi").join(taken, "ord_a", "left_anti")
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule within one component. rows: ord, ord_a (an earlier match), leads (whether that is known to lead)."""
+    rows = rows.sort_values("ord", kind="stable")
+    found: dict[int, int] = {}
+    for own, earlier, leads in zip(rows["ord"].tolist(), rows["ord_a"].tolist(), rows["leads"].tolist(), strict=True):
+        best = found.get(own, own)  # itself, as long as nobody earlier leads it
+        found[own] = min(best, earlier) if leads or found.get(earlier) == earlier else best
+    return pd.DataFrame({"ord": list(found), "leader": list(found.values())}, dtype="int64")
+
+
+def _in_components(edges: DataFrame, state: DataFrame, bound: int) -> DataFrame:
+    """The state with everything decided that is in a component, of those who wait for each other, of at most ``bound`` edges."""
+    known = edges.join(state.select(F.col("ord").alias("ord_a"), F.col("leader").isNotNull().alias("leads")), "ord_a")
+    known = cut(known.select("ord_a", "ord_b", "leads"))
+    roots = components(known.filter("not leads").select(F.col("ord_b").alias("a"), F.col("ord_a").alias("b")))
+    waiting = state.filter("leader is null").join(roots, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("root", "ord").alias("root"))
+    rows = waiting.join(known, F.col("ord") == F.col("ord_b"), "left").select("root", "ord", F.coalesce("ord_a", "ord").alias("ord_a"), F.coalesce("leads", F.lit(False)).alias("leads"))
+    rows = cut(rows.withColumns({c: F.col(c).cast("long") for c in ("root", "ord", "ord_a")}))
+    small = rows.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") <= bound)
+    decided = rows.join(small, "root", "left_semi").select("root", "ord", "ord_a", "leads").groupBy("root").applyInPandas(lambda g: _in_order(g), "ord long, leader long")
+    return state.join(decided.withColumnRenamed("leader", "found"), "ord", "left").select("ord", F.coalesce("leader", "found").alias("leader"))
+
+
+def leaders(pairs: DataFrame, rounds: int = 8, bound: int = 1_000_000) -> DataFrame:
     """(ord, leader): every entity that has a pair, with the one that leads its group; leaders lead themselves.
 
-    Decided in rounds of joins: an entity without an earlier undecided match leads, unless an earlier leader matches it; it
-    then joins the earliest such leader. The result equals that of going through the entities one by one; rounds are as many as
-    the longest chain of entities that wait for each other.
+    An entity without an earlier undecided match leads, unless an earlier leader matches it; it then joins the earliest such
+    leader. That is decided in ``rounds`` of joins, after which only long chains of entities that wait for each other are
+    left. These go by connected components: one of at most ``bound`` edges is gone through in order by one task, a larger one goes on
+    in rounds. The result equals that of going through all entities one by one.
     """
     edges = cut(pairs.select("ord_a", "ord_b").distinct())
     nodes = edges.select(F.col("ord_a").alias("ord")).unionByName(edges.select(F.col("ord_b").alias("ord"))).distinct()
-    state = cut(nodes.withColumn("leader", F.lit(None).cast("long")))
+    state, done = cut(nodes.withColumn("leader", F.lit(None).cast("long"))), 0
     while state.filter("leader is null").limit(1).count():
-        labelled = edges.join(state.select(F.col("ord").alias("ord_a"), F.col("leader").alias("of")), "ord_a")
-        seen = labelled.groupBy("ord_b").agg(
-            F.min(F.when(F.col("of") == F.col("ord_a"), F.col("ord_a"))).alias("joins"),
-            F.min(F.when(F.col("of").isNull(), F.col("ord_a"))).alias("waits"),
-        )
-        now = state.join(seen.withColumnRenamed("ord_b", "ord"), "ord", "left")
-        # a leader that may still turn up earlier than the one found has to be waited for
-        settled = F.when(F.col("waits").isNotNull() & (F.col("joins").isNull() | (F.col("waits") < F.col("joins"))), None).otherwise(F.coalesce("joins", "ord"))
-        state = cut(now.select("ord", F.coalesce("leader", settled).alias("leader")))
-        # what is decided asks no more, and what was taken answers no more
-        open_ = state.filter("leader is null").select(F.col("ord").alias("ord_b"))
-        taken = state.filter("leader <> ord").select(F.col("ord").alias("ord_a"))
-        edges = cut(edges.join(open_, "ord_b", "left_semi").join(taken, "ord_a", "left_anti"))
+        state = cut(_in_components(edges, state, bound) if done == rounds else _round(edges, state))
+        edges, done = cut(_remaining(edges, state)), done + 1
     return state
 
 

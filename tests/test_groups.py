@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from merganser.operators import cluster, enrich, match
+from merganser.operators import cluster, components, enrich, match
 
 
 def sequential(n, pairs):
@@ -101,3 +101,48 @@ def test_ranks_of_a_large_group(spark):
 def test_a_group_is_called_as_its_first_entity(spark):
     entities = spark.createDataFrame([(7, 1, "Mike Scott"), (8, 2, "Michael Scott"), (9, 0, "Other One")], "entity_id long, ord long, title string")
     assert [tuple(r) for r in cluster.group_titles(cluster.group_entities(entities), entities).collect()] == [(1, "Mike Scott")]
+
+
+def led(n, pairs):
+    return {m: k for k, mine in sequential(n, pairs).items() for m in (k, *mine)}
+
+
+def test_leaders_by_components_equal_the_sequential_rule(spark):
+    rng = random.Random(8)
+    for rounds, bound in ((0, 1000), (1, 1000), (1, 12), (0, 0), (2, 40)):
+        pairs = {(a, b) for a in range(90) for b in range(a + 1, min(90, a + 12)) if a // 30 == b // 30 and rng.random() < 0.13}
+        found = cluster.leaders(frame(spark, sorted(pairs)), rounds, bound).collect()
+        assert {r.ord: r.leader for r in found if r.leader != r.ord} == {m: k for m, k in led(90, pairs).items() if m != k}, (rounds, bound)
+        assert {r.ord for r in found} == {x for p in pairs for x in p}
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n, jobs = 3000, spark.sparkContext.statusTracker()
+    rows = [(k, k + 1, k, k + 1) for k in range(n - 1)]
+    pairs = spark.createDataFrame(rows, "id_a long, id_b long, ord_a long, ord_b long")
+    spark.sparkContext.setJobGroup("chain", "a long chain")
+    got = {r.ord: r.leader for r in cluster.leaders(pairs, rounds=2).collect()}
+    done = len(jobs.getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {k: k - k % 2 for k in range(n)}
+    assert done < 400  # in rounds alone it would be some thousands
+
+
+def test_components_against_a_plain_search(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 400)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [start] if start not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = start
+                todo += near[x]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
+    assert got == {x: r for x, r in want.items() if x != r}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
