@@ -3,7 +3,7 @@
 A document's ids and its end id are cut into pieces of ``length`` ids; only the last may be shorter. Whole pieces are
 sequences of their own. The others are packed online in each partition by bounded-space best-fit: at most
 ``open_bins`` sequences are open, a bitset over free space finds the one with the least room that is enough, and when
-none has room and all places are taken the fullest closes first. The pieces of one batch of texts, a bounded look ahead, are
+none has room and all places are taken the fullest closes first; a piece that fills a sequence needs no place. The pieces of one batch of texts, a bounded look ahead, are
 placed longest first. Memory is bounded by the open bins and the batch, and nothing is shuffled. Sequences are numbered
 by partition, so only what a partition leaves open at its end is not filled.
 
@@ -50,7 +50,7 @@ class BoundedBestFit:
             room = n + (above & -above).bit_length() - 1
             bin_id = self._pop(room)
         else:
-            if self.open == self.most:  # the fullest closes
+            if self.open == self.most and n < self.length:  # the fullest closes
                 self._pop((self.free & -self.free).bit_length() - 1)
             room, bin_id = self.length, self._new()
         left = room - n

@@ -178,7 +178,7 @@ def naive_best_fit(sizes, length, most):
         if room:
             b = min(room, key=lambda b: (b["free"], -b["stamp"]))
         else:
-            if len(bins) == most:
+            if len(bins) == most and n < length:
                 bins.remove(min(bins, key=lambda b: (b["free"], -b["stamp"])))
             b = {"free": length, "id": made}
             made += 1
@@ -199,6 +199,11 @@ def test_best_fit_against_a_plain_search(seed, length, most):
     assert [packer.place(n) for n in sizes] == naive_best_fit(sizes, length, most)
 
 
+def test_a_full_piece_closes_nothing():
+    packer = BoundedBestFit(10, 2)
+    assert [packer.place(n)[0] for n in (6, 7, 10, 3, 4)] == [0, 1, 2, 1, 0]
+
+
 def test_packing_is_dense(spark):
     """One task leaves less than two sequences in a hundred beyond the least possible number."""
     rng = random.Random(8)
