@@ -5,8 +5,8 @@ between pieces, so no phrase crosses a piece. A word's bitmap is compressed: onl
 are kept, as (block, mask). Moving a phrase's bitmap by one position and ANDing it with the bitmaps of the words in the
 same blocks gives the bitmaps of all its extensions, and their popcounts are how often they occur in the shard; phrases
 grow depth-first. Popcounts are summed over the shards: a shard gives one row for each first word, with the other words and the
-popcounts in arrays side by side, and these rows, not one for each phrase, are shuffled by that word; they are unpacked and summed where
-they arrive. A word with more than 4 million occurrences is dealt by its phrases, so no group is larger than a few times that.
+popcounts in arrays side by side, and these rows, not one for each phrase, are shuffled and sorted by that word; the arrays are summed where
+they arrive, batch by batch, and only frequent phrases become rows. A word with more than 4 million occurrences is dealt by its phrases, so no group is larger than a few times that.
 
 A phrase can only be frequent if all that it contains is, so four passes over the shards follow each other: words, pairs of frequent
 words, phrases of three words whose pairs are frequent, and longer phrases all of whose threes are frequent. What is frequent reaches a shard by
@@ -42,6 +42,8 @@ SHARD, OPEN = 1 << 20, 1 << 22
 BITS, AT_ONCE = 16, 1 << 16
 #: Rows of frequent words or pairs that a join may broadcast.
 BROADCAST = 500_000
+#: Phrases that a packed row holds at most.
+WIDE = 1 << 12
 #: Occurrences of a first word that one group of its phrases may hold.
 DEAL = 1 << 22
 #: Odd multiplier that mixes the words of a phrase.
@@ -227,7 +229,7 @@ def _opened(table: pa.Table) -> tuple[Bitmaps, np.ndarray, np.ndarray]:
 
 
 def _by_first(words: list[np.ndarray], deals: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Table:
-    """Phrases, a column for each of their words, as rows of one first word and deal: the other words and n in sorted arrays."""
+    """Phrases, a column for each of their words, as rows of one first word and deal: the other words and n in sorted arrays of a bounded length."""
     mixed = np.zeros(len(n), np.uint64)
     for column in words[1:]:
         mixed = (mixed ^ column.astype(np.uint64)) * MIX
@@ -236,6 +238,8 @@ def _by_first(words: list[np.ndarray], deals: np.ndarray, n: np.ndarray, kind: p
     order = np.lexsort((*words[:0:-1], deal, words[0]))
     first, deal = words[0][order], deal[order]
     starts = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(deal) != 0))[: len(first)])
+    within = np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first))))
+    starts = np.flatnonzero(within % WIDE == 0)
     ends = pa.array(np.append(starts, len(first)), pa.int32())
     lists = {f"w{i}": pa.ListArray.from_arrays(ends, pa.array(column[order], kind)) for i, column in enumerate(words[1:], 2)}
     return pa.table({"first": pa.array(first[starts], kind), "deal": deal[starts], **lists, "n": pa.ListArray.from_arrays(ends, pa.array(n[order], pa.int32()))})
@@ -288,10 +292,49 @@ def _longer(shortest: int, longest: int, kind: pa.DataType, *known):
     return run
 
 
-def _unpacked_sums(packed: DataFrame, columns: list[str]) -> DataFrame:
+def _sums(columns: int, least: int, kind: pa.DataType):
+    """Rows of _by_first(), sorted by first word and deal, to (first, the other words, f) of phrases with f >= least.
+
+    A batch is unpacked and summed at once; its last group is held, as sums, until the next batch shows whether it goes on.
+    """
+
+    def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        starts = np.flatnonzero(np.append(True, np.logical_or.reduce([np.diff(k) != 0 for k in keys])))
+        return [k[starts] for k in keys], np.add.reduceat(n[order], starts)
+
+    def frequent(keys: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = np.flatnonzero(n >= least)
+        if len(kept):
+            words = [pa.array(k[kept], kind) for i, k in enumerate(keys) if i != 1]
+            yield pa.RecordBatch.from_arrays([*words, pa.array(n[kept], pa.int64())], ["first", *(f"w{i}" for i in range(2, columns + 2)), "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            if not sizes.sum():
+                continue
+            keys = [np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)] + [batch.column(i).flatten().to_numpy() for i in range(2, columns + 2)]
+            n = batch.column(columns + 2).flatten().to_numpy().astype(np.int64)
+            if held:
+                keys, n = [np.concatenate(x) for x in zip(held[0], keys, strict=True)], np.concatenate([held[1], n])
+            keys, n = summed(keys, n)
+            at = int(np.flatnonzero((keys[0] == keys[0][-1]) & (keys[1] == keys[1][-1]))[0])
+            yield from frequent([k[:at] for k in keys], n[:at])
+            held = [k[at:].copy() for k in keys], n[at:].copy()
+        if held:
+            yield from frequent(*held)
+        release()
+
+    return run
+
+
+def _frequent_sums(packed: DataFrame, columns: list[str], least: int, kind: pa.DataType, number: str) -> DataFrame:
     """(first, columns, f): rows of a shard and first word brought together by that word, unpacked and summed there."""
-    rows = packed.repartition("first", "deal").select("first", "deal", F.inline(F.arrays_zip(*columns, "n")))
-    return rows.groupBy("first", "deal", *columns).agg(F.sum("n").alias("f")).drop("deal")
+    rows = packed.select("first", "deal", *columns, "n").repartition("first", "deal").sortWithinPartitions("first", "deal")
+    return rows.mapInArrow(_sums(len(columns), least, kind), f"first {number}, {', '.join(f'{c} {number}' for c in columns)}, f long")
 
 
 def _numbered(words: DataFrame, work: Workspace) -> DataFrame:
@@ -321,7 +364,7 @@ def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest:
     of_shard = local.join(known, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("w", "id", "deals")).alias("frequent"))
     opened = shards.select("shard", "context", "ids", F.size("words").alias("n_words")).join(work.write(of_shard, "frequent"), "shard")
     pairs = opened.groupBy("shard").applyInArrow(_pairs(kind), f"shard long, first {number}, deal int, w2 array<{number}>, n array<int>")
-    two = work.write(_unpacked_sums(pairs, ["w2"]).filter(F.col("f") >= least), "pairs")
+    two = work.write(_frequent_sums(pairs, ["w2"], least, kind, number), "pairs")
 
     def reach(opened: DataFrame, packed: DataFrame, frequent: DataFrame, name: str):
         """How shards learn which of their phrases are frequent: (opened, what ``_longer`` takes)."""
@@ -341,12 +384,12 @@ def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest:
     if longest >= 3:
         opened, by_pair = reach(opened, pairs, two, "pairs")
         packed = grown(opened, 3, 3, by_pair)
-        three = work.write(_unpacked_sums(packed, ["w2", "w3"]).filter(F.col("f") >= least), "threes")
+        three = work.write(_frequent_sums(packed, ["w2", "w3"], least, kind, number), "threes")
         frequent.append(three)
     if longest >= 4:
         opened, by_three = reach(opened, packed, three, "threes")
         others = [f"w{i}" for i in range(2, longest + 1)]
-        frequent.append(_unpacked_sums(grown(opened, 4, longest, by_pair, by_three), others).filter(F.col("f") >= least))
+        frequent.append(_frequent_sums(grown(opened, 4, longest, by_pair, by_three), others, least, kind, number))
     ids = [x.select(F.filter(F.array(*x.columns[:-1]), lambda w: w >= 0).alias("ids"), "f") for x in frequent]
     more = work.write(reduce(DataFrame.unionByName, ids), "numbered")
     named = more.select("ids", "f", F.posexplode("ids").alias("i", "id")).join(_bounded(words.select("lang", "word", "id")), "id").groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("at"))

@@ -7,10 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from merganser.llm import chat, whitening
-from merganser.llm.collocations import collocations
+from merganser.llm.collocations import _sums, collocations
 from merganser.llm.common import Workspace
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -221,3 +222,25 @@ def test_shingles_that_a_public_hash_takes_for_equal_stay_apart(spark):
         got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), key=key).collect()}
         assert [got[i] for i in range(1, 9)] == [1, 2, 1, 4, 4, 6, 7, 8]
         assert key == 0 or (got[10], got[11]) == (10, 11)
+
+
+def test_packed_phrases_are_summed_across_batches():
+    rng = random.Random(12)
+    kind = pa.int32()
+    for case in range(30):
+        rows, want = [], Counter()
+        for _ in range(rng.randint(0, 40)):  # rows of a shard, first word and deal: the other words and popcounts
+            first, deal = rng.randrange(4), rng.randrange(2)
+            found = [(first, 2 * rng.randrange(5) + deal, rng.choice([-1, 7])) for _ in range(rng.randrange(6))]
+            rows.append((first, deal, found, [rng.randint(0, 9) for _ in found]))
+            for phrase, n in zip(found, rows[-1][3], strict=True):
+                want[phrase] += n
+        rows.sort(key=lambda r: r[:2])
+        columns = [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind), *[pa.array([[p[i] for p in r[2]] for r in rows], pa.list_(kind)) for i in (1, 2)], pa.array([r[3] for r in rows], pa.list_(kind))]
+        whole, at, batches = pa.RecordBatch.from_arrays(columns, ["first", "deal", "w2", "w3", "n"]), 0, []
+        while at < len(rows):
+            n = rng.randint(0, 5)
+            batches.append(whole.slice(at, n))
+            at += n
+        got = [tuple(r.values()) for b in _sums(2, 8, kind)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted((*p, n) for p, n in want.items() if n >= 8), case
