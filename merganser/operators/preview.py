@@ -89,6 +89,7 @@ def frame(attrs: DataFrame, terms: DataFrame, references: DataFrame, teams: Data
     return full.select("primary_id", "data_type", *cells).unionByName(events).unionByName(warning)
 
 
-def titled(ids: DataFrame, entities: DataFrame) -> DataFrame:
-    """ids (id) with their titles, or a placeholder."""
+def titled(ids: DataFrame, entities: DataFrame, kind: str | None = None) -> DataFrame:
+    """ids (id) with their titles, or a placeholder; entities of another ``kind`` have that, too."""
+    entities = entities if kind is None else entities.filter(F.col("kind") == kind)
     return ids.join(entities.select(F.col("entity_id").alias("id"), "title"), "id", "left").select("id", F.coalesce("title", F.lit("Unknown Player")).alias("title"))

@@ -217,6 +217,12 @@ def title_lookup(spark, sf):
     return preview.titled(wanted, relation(spark, sf, "persons"))
 
 
+@query("player_lookup", f"{with_relations('entities')} SELECT o_orderkey AS id, coalesce(title, 'Unknown Player') AS title FROM orders LEFT JOIN entities ON entity_id = o_orderkey AND kind = 'player'")
+def player_lookup(spark, sf):
+    """Entities that are no players have the placeholder."""
+    return preview.titled(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id")), entities(spark, sf), kind="player")
+
+
 _ATTRS = with_relations("attrs")
 
 
