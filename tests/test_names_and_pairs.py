@@ -96,3 +96,20 @@ def test_aliases_first_row_wins():
 
 def test_empty_table(spark):
     assert match.find_pairs(spark.createDataFrame([], "entity_id long, ord long, title string")).count() == 0
+
+
+def test_pairs_of_classes_are_all_pairs_and_few(spark):
+    rng = random.Random(5)
+    titles = [rng.choice(["Mike", "Michael", "M.", "Marc", "Mark"]) + " " + rng.choice(["Scott", "Scot", "Mark", "MacBeth", "McBeth"]) for _ in range(300)] + ["Pele", "pele", None, None]
+    entities = spark.createDataFrame([(1000 - 3 * i, i, t) for i, t in enumerate(titles)], "entity_id long, ord long, title string")
+    members, links = match.class_pairs(entities)
+    of, links = {r.entity_id: (r.ord, r.class_id) for r in members.collect()}, links.collect()
+    assert len(of) == len(titles) and len(links) < 700
+    held = {}
+    for i, (_, c) in of.items():
+        held.setdefault(c, []).append(i)
+    assert all(min(held[c], key=lambda i: of[i][0]) == c for c in held)
+    every = sorted((a, b, r.certainty, r.scenario) for r in links for a in held[r.id_a] for b in held[r.id_b] if of[a][0] < of[b][0])
+    want = sorted((r.id_a, r.id_b, r.certainty, r.scenario) for r in match.find_pairs(entities).collect())
+    assert every == want and len(want) > 10_000
+    assert all(any(of[a][0] < of[b][0] for a in held[r.id_a] for b in held[r.id_b]) for r in links)
