@@ -4,13 +4,14 @@ Documents are cut into shards of one language. A shard is a line of positions, o
 between pieces, so no phrase crosses a piece. A word's bitmap is compressed: only blocks of 16 positions that hold a bit
 are kept, as (block, mask). Moving a phrase's bitmap by one position and ANDing it with the bitmaps of the words in the
 same blocks gives the bitmaps of all its extensions, and their popcounts are how often they occur in the shard; phrases
-grow depth-first. Popcounts are summed over the shards: a shard gives one row for each first word, with the other words and the
-popcounts in arrays side by side, and these rows, not one for each phrase, are shuffled and sorted by that word; the arrays are summed where
-they arrive, batch by batch, and only frequent phrases become rows. A word with more than 4 million occurrences is dealt by its phrases, so no group is larger than a few times that.
+grow depth-first. Popcounts are summed over the shards: a shard gives one row for each group of first words, with the words and the
+popcounts in arrays side by side, and these rows, not one for each phrase, are shuffled and sorted by that group; the arrays are summed where
+they arrive, batch by batch, and only frequent phrases become rows. Rare first words are 64 a group, others alone; one with more than 4 million
+occurrences is dealt by its phrases, so no group is larger than a few times that.
 
 A phrase can only be frequent if all that it contains is, so four passes over the shards follow each other: words, pairs of frequent
-words, phrases of three words whose pairs are frequent, and longer phrases all of whose threes are frequent. What is frequent reaches a shard by
-joins with what that shard holds; at most 500,000 frequent pairs or threes are broadcast, more are joined like the words. A piece that is longer than a shard goes on in the
+words, phrases of three words whose pairs are frequent, and longer phrases all of whose threes are frequent. At most 500,000 frequent words, pairs
+or threes are broadcast, and looked up shard by shard; more are joined with what the shards hold. A piece that is longer than a shard goes on in the
 next one, which repeats its last words as context: phrases that end in the context are not counted again.
 
 Defined results: a null text is empty, a null language is ``und``; rows without an id and repeated rows count like
@@ -27,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ BITS, AT_ONCE = 16, 1 << 16
 BROADCAST = 500_000
 #: Phrases that a packed row holds at most.
 WIDE = 1 << 12
-#: Occurrences of a first word that one group of its phrases may hold.
-DEAL = 1 << 22
+#: Occurrences of first words that one group of their phrases may hold, and rare first words of a group.
+DEAL, SHARE = 1 << 22, 64
 #: Odd multiplier that mixes the words of a phrase.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
@@ -217,39 +219,60 @@ class Bitmaps:
                 stack.append((longer, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key)))), block, mask))
 
 
-def _opened(table: pa.Table) -> tuple[Bitmaps, np.ndarray, np.ndarray]:
-    """A shard's bitmaps of frequent words; the number in the whole corpus of each word of the shard (-1: not frequent), and its deals."""
+def _marked(known):
+    """(shard, its frequent words) by a broadcast table sorted by lang, and the rows of each lang in it: no row for each word of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, rows_of = known.value
+        for batch in batches:
+            for i, lang in enumerate(batch.column(1).to_pylist()):
+                own = table.slice(*rows_of.get(lang, (0, 0))).combine_chunks()
+                words = batch.column(2).slice(i, 1).flatten()
+                found = pc.index_in(words, value_set=own["word"].combine_chunks().cast(words.type))
+                at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                if len(at):
+                    entry = own.take(found.drop_null())
+                    columns = [pa.array(at, pa.int32()), *(entry[c].combine_chunks() for c in ("id", "deals", "grp"))]
+                    frequent = pa.StructArray.from_arrays(columns, ["w", "id", "deals", "grp"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), frequent)], ["shard", "frequent"])
+        release()
+
+    return run
+
+
+def _opened(table: pa.Table) -> tuple[Bitmaps, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's bitmaps of frequent words; the number in the whole corpus of each word of the shard (-1: not frequent), its group as a first word, and its deals."""
     row = table.slice(0, 1).combine_chunks()
     numbers = np.full(row["n_words"][0].as_py(), -1, np.int64)
-    deals = np.ones(len(numbers), np.uint64)
+    groups, deals = np.zeros(len(numbers), np.int64), np.ones(len(numbers), np.uint64)
     frequent = row["frequent"].chunk(0).flatten()
     at = frequent.field("w").to_numpy()
-    numbers[at], deals[at] = frequent.field("id").to_numpy(), frequent.field("deals").to_numpy()
-    return Bitmaps(_unpacked(row["ids"][0].as_py()), numbers >= 0, row["context"][0].as_py()), numbers, deals
+    numbers[at], groups[at], deals[at] = (frequent.field(c).to_numpy() for c in ("id", "grp", "deals"))
+    return Bitmaps(_unpacked(row["ids"][0].as_py()), numbers >= 0, row["context"][0].as_py()), numbers, groups, deals
 
 
-def _by_first(words: list[np.ndarray], deals: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Table:
-    """Phrases, a column for each of their words, as rows of one first word and deal: the other words and n in sorted arrays of a bounded length."""
+def _by_group(words: list[np.ndarray], groups: np.ndarray, deals: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Table:
+    """Phrases, a column for each of their words, as rows of one group of first words and deal: the words and n in sorted arrays of a bounded length."""
     mixed = np.zeros(len(n), np.uint64)
     for column in words[1:]:
         mixed = (mixed ^ column.astype(np.uint64)) * MIX
         mixed ^= mixed >> np.uint64(32)
     deal = (mixed % deals).astype(np.int32)
-    order = np.lexsort((*words[:0:-1], deal, words[0]))
-    first, deal = words[0][order], deal[order]
-    starts = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(deal) != 0))[: len(first)])
-    within = np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first))))
+    order = np.lexsort((*words[::-1], deal, groups))
+    group, deal = groups[order], deal[order]
+    starts = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(deal) != 0))[: len(group)])
+    within = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
     starts = np.flatnonzero(within % WIDE == 0)
-    ends = pa.array(np.append(starts, len(first)), pa.int32())
-    lists = {f"w{i}": pa.ListArray.from_arrays(ends, pa.array(column[order], kind)) for i, column in enumerate(words[1:], 2)}
-    return pa.table({"first": pa.array(first[starts], kind), "deal": deal[starts], **lists, "n": pa.ListArray.from_arrays(ends, pa.array(n[order], pa.int32()))})
+    ends = pa.array(np.append(starts, len(group)), pa.int32())
+    lists = {f"w{i}": pa.ListArray.from_arrays(ends, pa.array(column[order], kind)) for i, column in enumerate(words, 1)}
+    return pa.table({"grp": pa.array(group[starts], kind), "deal": deal[starts], **lists, "n": pa.ListArray.from_arrays(ends, pa.array(n[order], pa.int32()))})
 
 
 def _pairs(kind: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
-        maps, numbers, deals = _opened(table)
+        maps, numbers, groups, deals = _opened(table)
         a, b, n = maps.pairs(len(numbers))
-        rows = _by_first([numbers[a], numbers[b]], deals[a], n, kind)
+        rows = _by_group([numbers[a], numbers[b]], groups[a], deals[a], n, kind)
         return rows.add_column(0, "shard", pa.array([table["shard"][0].as_py()] * len(rows), pa.int64()))
 
     return run
@@ -268,7 +291,7 @@ def _longer(shortest: int, longest: int, kind: pa.DataType, *known):
     Shorter phrases are filled up with -1."""
 
     def run(table: pa.Table) -> pa.Table:
-        maps, numbers, deals = _opened(table)
+        maps, numbers, groups, deals = _opened(table)
         lists = []
         for some in known:
             own = table[some].slice(0, 1).combine_chunks().flatten() if isinstance(some, str) else None
@@ -286,14 +309,14 @@ def _longer(shortest: int, longest: int, kind: pa.DataType, *known):
             counts.append(n)
         found = np.concatenate(words)
         named = np.append(numbers, -1)[found]  # the last entry stands for no word
-        rows = _by_first(list(named.T), deals[found[:, 0]], np.concatenate(counts), kind)
+        rows = _by_group(list(named.T), groups[found[:, 0]], deals[found[:, 0]], np.concatenate(counts), kind)
         return rows.add_column(0, "shard", pa.array([table["shard"][0].as_py()] * len(rows), pa.int64()))
 
     return run
 
 
 def _sums(columns: int, least: int, kind: pa.DataType):
-    """Rows of _by_first(), sorted by first word and deal, to (first, the other words, f) of phrases with f >= least.
+    """Rows of _by_group(), sorted by group (the first column) and deal, to (group, the words in ``columns`` arrays, f) of phrases with f >= least.
 
     A batch is unpacked and summed at once; its last group is held, as sums, until the next batch shows whether it goes on.
     """
@@ -332,9 +355,10 @@ def _sums(columns: int, least: int, kind: pa.DataType):
 
 
 def _frequent_sums(packed: DataFrame, columns: list[str], least: int, kind: pa.DataType, number: str) -> DataFrame:
-    """(first, columns, f): rows of a shard and first word brought together by that word, unpacked and summed there."""
-    rows = packed.select("first", "deal", *columns, "n").repartition("first", "deal").sortWithinPartitions("first", "deal")
-    return rows.mapInArrow(_sums(len(columns), least, kind), f"first {number}, {', '.join(f'{c} {number}' for c in columns)}, f long")
+    """(columns, f): rows of a shard and group of first words brought together by that group, unpacked and summed there."""
+    rows = packed.select("grp", "deal", *columns, "n").repartition("grp", "deal").sortWithinPartitions("grp", "deal")
+    summed = rows.mapInArrow(_sums(len(columns), least, kind), f"first {number}, {', '.join(f'w{i} {number}' for i in range(2, len(columns) + 2))}, f long")
+    return summed.toDF("grp", *columns, "f").drop("grp")
 
 
 def _numbered(words: DataFrame, work: Workspace) -> DataFrame:
@@ -347,6 +371,23 @@ def _numbered(words: DataFrame, work: Workspace) -> DataFrame:
     return work.write(rows.join(F.broadcast(before), "part").select("lang", "word", "f", place.alias("id")), "words")
 
 
+def _frequent_of(shards: DataFrame, local: DataFrame, words: DataFrame, number: str) -> DataFrame:
+    """(shard, frequent: its frequent words with their numbers, deals and groups); shards without any are left out."""
+    alone = F.col("f") * SHARE > DEAL
+    grp = F.when(alone, -1 - F.col("id")).otherwise(F.expr(f"id div {SHARE}"))
+    known = words.select("lang", "word", F.col("id").cast(number), F.ceil(F.col("f") / DEAL).alias("deals"), grp.cast(number).alias("grp"))
+    if words.count() <= BROADCAST:
+        table = known.toArrow().sort_by("lang").combine_chunks()
+        langs = table["lang"].to_pylist()
+        ends = [i for i in range(1, len(langs) + 1) if i == len(langs) or langs[i] != langs[i - 1]]
+        rows_of = {langs[i]: (i, j - i) for i, j in zip([0, *ends], ends, strict=False)}
+        frequent = shards.sparkSession.sparkContext.broadcast((table.drop_columns("lang"), rows_of))
+        return shards.select("shard", "lang", "words").mapInArrow(_marked(frequent), f"shard long, frequent array<struct<w: int, id: {number}, deals: long, grp: {number}>>")
+    # a left join makes a row for each word of a shard, whatever part of them is frequent
+    own = F.when(F.col("id").isNotNull(), F.struct("w", "id", "deals", "grp"))
+    return local.join(known, ["lang", "word"], "left").groupBy("shard").agg(F.collect_list(own).alias("frequent")).filter(F.size("frequent") > 0)
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """A written table, broadcast if it has at most BROADCAST rows; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
@@ -360,11 +401,11 @@ def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest:
     sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = _numbered(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), work)
     kind, number = (pa.int32(), "int") if words.count() < 1 << 31 else (pa.int64(), "long")
-    known = _bounded(words.select("lang", "word", "id", F.ceil(F.col("f") / DEAL).alias("deals")))
-    of_shard = local.join(known, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("w", "id", "deals")).alias("frequent"))
+    of_shard = _frequent_of(shards, local, words, number)
     opened = shards.select("shard", "context", "ids", F.size("words").alias("n_words")).join(work.write(of_shard, "frequent"), "shard")
-    pairs = opened.groupBy("shard").applyInArrow(_pairs(kind), f"shard long, first {number}, deal int, w2 array<{number}>, n array<int>")
-    two = work.write(_frequent_sums(pairs, ["w2"], least, kind, number), "pairs")
+    w = [f"w{i}" for i in range(1, longest + 1)]
+    pairs = opened.groupBy("shard").applyInArrow(_pairs(kind), f"shard long, grp {number}, deal int, w1 array<{number}>, w2 array<{number}>, n array<int>")
+    two = work.write(_frequent_sums(pairs, ["w1", "w2"], least, kind, number), "pairs")
 
     def reach(opened: DataFrame, packed: DataFrame, frequent: DataFrame, name: str):
         """How shards learn which of their phrases are frequent: (opened, what ``_longer`` takes)."""
@@ -372,24 +413,23 @@ def frequent_phrases(df: DataFrame, work: Workspace, least: int = 100, longest:
         if frequent.count() <= BROADCAST:
             found = frequent.toArrow()
             return opened, df.sparkSession.sparkContext.broadcast([found[c].to_numpy() for c in columns])
-        single = packed.select("shard", "first", F.inline(F.arrays_zip(*columns[1:])))
+        single = packed.select("shard", F.inline(F.arrays_zip(*columns)))
         own = single.join(frequent.select(*columns), columns).groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias(name))
         return opened.join(own, "shard"), name
 
     def grown(opened: DataFrame, shortest: int, longest: int, *known) -> DataFrame:
-        others = ", ".join(f"w{i} array<{number}>" for i in range(2, longest + 1))
-        return opened.groupBy("shard").applyInArrow(_longer(shortest, longest, kind, *known), f"shard long, first {number}, deal int, {others}, n array<int>")
+        arrays = ", ".join(f"{c} array<{number}>" for c in w[:longest])
+        return opened.groupBy("shard").applyInArrow(_longer(shortest, longest, kind, *known), f"shard long, grp {number}, deal int, {arrays}, n array<int>")
 
     frequent = [two]
     if longest >= 3:
         opened, by_pair = reach(opened, pairs, two, "pairs")
         packed = grown(opened, 3, 3, by_pair)
-        three = work.write(_frequent_sums(packed, ["w2", "w3"], least, kind, number), "threes")
+        three = work.write(_frequent_sums(packed, w[:3], least, kind, number), "threes")
         frequent.append(three)
     if longest >= 4:
         opened, by_three = reach(opened, packed, three, "threes")
-        others = [f"w{i}" for i in range(2, longest + 1)]
-        frequent.append(_frequent_sums(grown(opened, 4, longest, by_pair, by_three), others, least, kind, number))
+        frequent.append(_frequent_sums(grown(opened, 4, longest, by_pair, by_three), w, least, kind, number))
     ids = [x.select(F.filter(F.array(*x.columns[:-1]), lambda w: w >= 0).alias("ids"), "f") for x in frequent]
     more = work.write(reduce(DataFrame.unionByName, ids), "numbered")
     named = more.select("ids", "f", F.posexplode("ids").alias("i", "id")).join(_bounded(words.select("lang", "word", "id")), "id").groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("at"))

@@ -193,6 +193,31 @@ def test_collocations_against_counting(spark, monkeypatch):
     assert collocations(spark.createDataFrame([(None, None), ("en", ".")], "lang string, text string"), least=1).count() == 0
 
 
+def test_rows_do_not_grow_with_the_frequent_words_of_a_shard(spark, monkeypatch):
+    from merganser.llm import collocations as module
+    from merganser.llm.common import Workspace
+
+    rows = [("en", " ".join(f"w{i:03}" for i in range(400)))] * 5 + [("de", "x y. rare")] * 5 + [("fr", "rare")]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    packed, marked = [], []
+    sums, write = module._frequent_sums, Workspace.write
+    monkeypatch.setattr(module, "_frequent_sums", lambda rows, *rest: packed.append(rows) or sums(rows, *rest))
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: (name == "frequent" and marked.append(df)) or write(self, df, name))
+    found = []
+    for most in (module.BROADCAST, 0):
+        monkeypatch.setattr(module, "BROADCAST", most)
+        _, phrases = module.frequent_phrases(df, Workspace(spark, "collocations"), 5)
+        found.append(sorted(tuple(r) for r in phrases.collect()))
+    assert found[0] == found[1] and sum(len(r[1].split()) == 2 for r in found[0]) == 400
+    assert len(packed) == 6 and all(df.count() <= 9 for df in packed)  # 400 rare first words are 7 groups
+    small, large = marked
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert "LeftOuter" in large._jdf.queryExecution().optimizedPlan().toString()
+    content = lambda df: sorted((r.shard, sorted(tuple(x) for x in r.frequent)) for r in df.collect())
+    assert [len(x[1]) for x in content(small)] == [len(x[1]) for x in content(large)] and len(content(small)) == 2  # the third has none
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     from merganser.llm import collocations as module
 
